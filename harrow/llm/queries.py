@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .jaccard_join import op6_ngram_jaccard_join
+from .packing import op3_packing
+from .token_files import op8_bit_plane_output
 
-QUERIES = {"op6_ngram_jaccard_join": op6_ngram_jaccard_join}
+QUERIES = {"op3_packing": op3_packing, "op6_ngram_jaccard_join": op6_ngram_jaccard_join, "op8_bit_plane_output": op8_bit_plane_output}
 ORACLE_SQL: dict[str, str] = {}

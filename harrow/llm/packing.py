@@ -145,6 +145,8 @@ def pack(
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     index = F.create_map(*[x for i, s in enumerate(names) for x in (F.lit(s), F.lit(i))]) if names else F.create_map(F.lit(""), F.lit(0))
     begins = by_part.withColumn("earlier", F.coalesce(F.sum("tokens").over(earlier), F.lit(0))).select("source", "part", "earlier", F.element_at(index, F.col("source")).alias("queue"))
+    # A written table has a known size: joined by broadcast while it is small, so that ids stay where they are.
+    begins = staged(begins, "queue-begins")
     placed = tokens.join(begins, ["source", "part"]).select("doc_id", "source", "queue", (F.col("earlier") + F.col("before")).alias("begin"), "n", "ids")
     out = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
     place = partial(_place, totals=np.array([totals[s] for s in names], np.int64), weights=whole, window=window, grain=grain, code=encoder(path, kind).code, schema=out)

@@ -10,14 +10,15 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from functools import partial
+from itertools import chain
 
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 500_000
 CHUNK_CHARS = 64
 #: White space other than the space and the line feed.
 _RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-#: Latin letters that are one code point in every normal form, and at most one mark.
-_PLAIN_WORD = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]?")
+#: Latin letters that are one code point in every normal form, then a few ASCII marks
+#: (no apostrophe: it may start a contraction), which are a piece of their own.
+_PLAIN_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]{0,4})")
 #: Byte-level BPE writes bytes without a printable sign of their own as code points from 256 on.
 _BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 _ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
@@ -29,13 +30,17 @@ class _Table:
     def __init__(self, make):
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.long: list[str] = []
         self.make = make
 
-    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+    def learn(self, split: list[list[str]]) -> None:
+        chunks = set(chain.from_iterable(split))
         new = chunks - self.young.keys()
         if len(self.young) + len(new) > CACHE_CHUNKS:
             self.old, self.young, new = self.young, {}, chunks
         young, old, unknown = self.young, self.old, []
+        for c in self.long:
+            young.pop(c, None)
         for c in new:
             if c in old:
                 young[c] = old[c]
@@ -43,7 +48,10 @@ class _Table:
                 unknown.append(c)
         if unknown:
             young.update(zip(unknown, self.make(unknown), strict=True))
-        return young
+        self.long = [c for c in unknown if len(c) > CHUNK_CHARS]
+
+    def join(self, chunks: list[str]) -> bytes:
+        return b"".join(map(self.young.__getitem__, chunks))
 
 
 class ChunkEncoder:
@@ -63,60 +71,76 @@ class ChunkEncoder:
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
         self.model = self.tokenizer.model
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.known, self.spaced = _Table(partial(self._make, "")), _Table(partial(self._make, " "))
-        self.marks = {c: self._raw(c) for c in ".,;:!?"}
+        self.marks: dict[str, bytes] = {}
+        self.rare: set[str] = set()
         self.line_feed = self._raw("\n")
+        self.table = _Table(self._make)
 
     def _raw(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _make(self, prefix: str, chunks: list[str]) -> list[bytes]:
+    def _make(self, chunks: list[str]) -> list[bytes]:
         """Ids of new chunks: a plain word (and one mark) goes straight to the merges, the rest the long way."""
-        out, rest, lower = [], [], self.kind == "dropped"
+        out, rest, texts, lower = [], [], [], self.kind == "dropped"
+        code, merge, marks = self.code, self.model.tokenize, self.marks
         for i, c in enumerate(chunks):
-            if _PLAIN_WORD.fullmatch(c):
-                mark = self.marks.get(c[-1], b"")
-                word = (prefix + (c[:-1] if mark else c)).encode().decode("latin-1") if not lower else (c[:-1] if mark else c).lower().encode().decode("latin-1")
-                out.append(array(self.code, [t.id for t in self.model.tokenize(word.translate(_BYTE_SIGNS))]).tobytes() + mark)
+            first = not lower and c[:1] == "\n"
+            text = c if lower or first else " " + c
+            plain = _PLAIN_WORD.fullmatch(c, 1 if first else 0)
+            if plain:
+                word, mark = plain.groups()
+                word = word.lower() if lower else word if first else " " + word
+                ids = array(code, [t.id for t in merge(word.encode().decode("latin-1").translate(_BYTE_SIGNS))]).tobytes()
+                if mark:
+                    if mark not in marks:
+                        if len(marks) > 20_000:
+                            marks.clear()
+                        marks[mark] = self._raw(mark)
+                    ids += marks[mark]
+                out.append(self.line_feed + ids if first else ids)
             else:
+                if not lower and (_RARE_SPACE.match(c, first) or _RARE_SPACE.match(c[-1:])):
+                    self.rare.add(c)
                 out.append(b"")
                 rest.append(i)
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([prefix + chunks[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = array(self.code, e.ids).tobytes()
+                texts.append(text)
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            out[i] = array(code, e.ids).tobytes()
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids (``code`` wide) of each text; null is empty."""
-        step, out = 256, []
-        for i in range(0, len(texts), step):
-            some = [t or "" for t in texts[i : i + step]]
+        out = []
+        for i in range(0, len(texts), 256):
+            some = [t or "" for t in texts[i : i + 256]]
             out += self._dropped(some) if self.kind == "dropped" else self._leading(some)
         return out
 
     def _dropped(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known.learn({c for s in split for c in s if len(c) <= CHUNK_CHARS})
-        return [b"".join([known[c] if len(c) <= CHUNK_CHARS else self._raw(c) for c in s]) for s in split]
-
-    @staticmethod
-    def _plain(t: str) -> bool:
-        return not ("  " in t or "\n\n" in t or " \n" in t or "\n " in t or t[:1] in (" ", "\n") or t[-1:] in (" ", "\n") or _RARE_SPACE.search(t))
+        split = [_folded(t).replace("\n", " ").split(" ") for t in texts]
+        self.table.learn(split)
+        return [self.table.join(s) for s in split]
 
     def _leading(self, texts: list[str]) -> list[bytes]:
-        split = [[line.split(" ") for line in t.split("\n")] if t and self._plain(t) else None for t in texts]
-        known = self.known.learn({line[0] for s in split if s for line in s if len(line[0]) <= CHUNK_CHARS})
-        spaced = self.spaced.learn({c for s in split if s for line in s for c in line[1:] if len(c) <= CHUNK_CHARS})
-        out = []
-        for t, s in zip(texts, split, strict=True):
-            if s is None:
-                out.append(self._raw(t) if t else b"")
-                continue
-            lines = [
-                b"".join([known[line[0]] if len(line[0]) <= CHUNK_CHARS else self._raw(line[0]), *[spaced[c] if len(c) <= CHUNK_CHARS else self._raw(" " + c) for c in line[1:]]])
-                for line in s
-            ]
-            out.append(self.line_feed.join(lines))
-        return out
+        # Chunks start at a space (left out of the key) or at a line feed (kept in it). An
+        # empty chunk or a bare line feed shows a run of white space, whose cut hangs on
+        # what follows; so does rarer white space at a chunk's edge.
+        split = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
+        split = [None if "" in s or "\n" in s else s for s in split]
+        self.table.learn([s for s in split if s])
+        if self.rare:
+            split = [s if s and self.rare.isdisjoint(s) else None for s in split]
+        skip = len(self.line_feed)
+        return [self.table.join(s)[skip:] if s else self._raw(t) if t else b"" for t, s in zip(texts, split, strict=True)]
+
+
+def _folded(t: str) -> str:
+    """Lower case ahead of the tokenizer's own, where that is one code point for another for certain."""
+    try:
+        t.encode("latin-1")
+    except UnicodeEncodeError:
+        return t
+    return t.lower()
 
 
 def encoder(path: str, kind: str) -> ChunkEncoder:

@@ -78,21 +78,27 @@ def _describe(batches: Iterator[pa.RecordBatch], width: int, schema: pa.Schema)
         yield pa.RecordBatch.from_arrays([none(k, pa.int64()), none(k, pa.int64()), none(k, pa.int64()), pa.array(used.astype(np.int32)), pa.array([kept[i].tobytes() for i in used], pa.binary())], schema=schema)
 
 
-def _add_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum the counts of each sketch part; a task holds the parts dealt to it, of a fixed total size."""
+def _add_parts(batches: Iterator[pa.RecordBatch], mean: float) -> Iterator[pa.RecordBatch]:
+    """Sum the counts of each sketch part; a task holds the parts dealt to it, of a fixed total size.
+
+    Ranks are steps of an eighth of an octave around the mean count: fine enough to
+    tell a list that is a little longer than chance has it, whatever the input's size.
+    """
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             own = np.frombuffer(counts, "<u2").astype(np.uint64)
             sums[part] = sums[part] + own if part in sums else own
-    rank = lambda c: np.floor(np.log2(1 + c / 8)).astype(np.uint8)
+    rank = lambda c: np.clip(np.round(8 * np.log2(np.maximum(c, 1) / mean)) + 24, 0, 127).astype(np.uint8)
     if sums:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([rank(c).tobytes() for c in sums.values()], pa.binary())], names=["part", "ranks"])
 
 
 def _list_ranks(described: DataFrame) -> np.ndarray:
-    """Rank (log2 of the estimated list length) by the leading hash bits: 2**21 bytes, whatever the input."""
-    parts = described.where("part is not null").select("part", "counts").repartition(16, "part").mapInArrow(_add_parts, "part int, ranks binary")
+    """Rank of the estimated list length by the leading hash bits: 2**21 bytes, whatever the input."""
+    shingles = described.agg(F.sum("n")).first()[0] or 1
+    add = partial(_add_parts, mean=shingles / (1 << SKETCH_BITS))
+    parts = described.where("part is not null").select("part", "counts").repartition(16, "part").mapInArrow(add, "part int, ranks binary")
     ranks = np.zeros(1 << SKETCH_BITS, np.uint8)
     step = 1 << SKETCH_PART_BITS
     for row in parts.toLocalIterator():

@@ -231,15 +231,22 @@ def _search_cells(batches: Iterator[pa.RecordBatch], percent: int, schema: pa.Sc
             if own != cell:
                 yield from flush()
                 cell, held = own, []
-            held.append((node, items, side))
+            if not held or held[-1][0] != node:  # a repeated row
+                held.append((node, items, side))
     yield from flush()
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch], width: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    seen: set[tuple[int, int]] = set()
     for batch in batches:
         for first, last, hashes, offsets in _sets(batch, width):
-            rows = pa.array([hashes[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), pa.array(np.diff(offsets)), pa.array(_set_ids(hashes, offsets)), rows], schema=schema)
+            rows = []
+            for doc_id, sid, a, b in zip(batch.column("doc_id").slice(first, last - first).to_pylist(), _set_ids(hashes, offsets).tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                if (doc_id, sid) not in seen:  # rows may be repeated
+                    seen.add((doc_id, sid))
+                    rows.append((doc_id, b - a, sid, hashes[a:b].tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def _cells(nodes: DataFrame, cell_shingles: int) -> DataFrame:
@@ -295,17 +302,17 @@ def near_duplicate_components(docs: DataFrame, width: int = WIDTH, percent: int
     b = reps.select(F.col("n").alias("n_b"), F.col("sid").alias("sid_b"), F.col("node").alias("b"))
     groups = components(met.join(a, ["n_a", "sid_a"]).join(b, ["n_b", "sid_b"]).select("a", "b"), "groups")
     nodes = staged(groups.join(reps, "node").select("node", "n", "sid", F.col("component").alias("group")), "nodes")
-    cells = _cells(nodes.select("node", "n", "group"), cell_shingles)
+    cells = staged(_cells(nodes.select("node", "n", "group"), cell_shingles), "cells")
 
-    wanted = nodes.select(F.col("node").alias("doc_id"))
-    if nodes.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    # Small tables go to the sets, so that these are dealt out once, to their cells.
+    fit = lambda table: F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    wanted = fit(nodes.select(F.col("node").alias("doc_id"), "n", "sid"))
     pa_sets = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("items", pa.binary())])
-    sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(partial(_full_sets, width=width, schema=pa_sets), "doc_id bigint, n bigint, sid bigint, items binary")
-    sets = sets.join(nodes.select(F.col("node").alias("doc_id"), "n", "sid"), ["doc_id", "n", "sid"], "left_semi").dropDuplicates(["doc_id"])
+    sets = texts.join(wanted.select("doc_id"), "doc_id", "left_semi").mapInArrow(partial(_full_sets, width=width, schema=pa_sets), "doc_id bigint, n bigint, sid bigint, items binary")
+    sets = sets.join(wanted, ["doc_id", "n", "sid"], "left_semi")
     pa_links = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     links = (
-        sets.withColumnRenamed("doc_id", "node").join(cells, "node")
+        sets.withColumnRenamed("doc_id", "node").join(fit(cells), "node")
         .select("cell", "n", "node", "items", "side")
         .repartition(shuffle_partitions(spark), "cell")
         .sortWithinPartitions("cell", "n", "node")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .jaccard_join import op6_ngram_jaccard_join
 from .mixing import op2_source_mixing
+from .order_minhash import op4_order_minhash
 from .packing import op3_packing
 from .secret_scan import op1_secret_scan
 from .token_files import op8_bit_plane_output
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_source_mixing": op2_source_mixing,
     "op3_packing": op3_packing,
+    "op4_order_minhash": op4_order_minhash,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_bit_plane_output": op8_bit_plane_output,
     "op10_url_filter": op10_url_filter,

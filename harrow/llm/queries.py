@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .ann import op5_multiprobe_ann
 from .jaccard_join import op6_ngram_jaccard_join
 from .mixing import op2_source_mixing
 from .order_minhash import op4_order_minhash
 from .packing import op3_packing
 from .secret_scan import op1_secret_scan
 from .token_files import op8_bit_plane_output
+from .toxicity import op9_toxicity_chain
 from .url_filter import op10_url_filter
 
 QUERIES = {
@@ -15,8 +17,10 @@ QUERIES = {
     "op2_source_mixing": op2_source_mixing,
     "op3_packing": op3_packing,
     "op4_order_minhash": op4_order_minhash,
+    "op5_multiprobe_ann": op5_multiprobe_ann,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_bit_plane_output": op8_bit_plane_output,
+    "op9_toxicity_chain": op9_toxicity_chain,
     "op10_url_filter": op10_url_filter,
 }
 ORACLE_SQL: dict[str, str] = {}

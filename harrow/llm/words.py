@@ -21,6 +21,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IN_WORD = np.ones(256, dtype=bool)
 _IN_WORD[_SEPARATORS] = False
+#: Letters and digits, and every byte of a non-ASCII character.
+LETTERS = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
+#: ASCII punctuation and symbols.
+SYMBOLS = np.array([33 <= c < 127 and not chr(c).isalnum() for c in range(256)])
 
 _POWERS: list[np.ndarray] = []
 
@@ -69,13 +73,13 @@ def blocks(offsets: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int,
 class Words:
     """Words of the documents ``first .. last`` (exclusive) of a batch."""
 
-    __slots__ = ("data", "doc", "ends", "first", "hashes", "starts", "per_doc")
+    __slots__ = ("_down", "_prefix", "data", "doc", "ends", "first", "hashes", "per_doc", "starts")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, first: int, last: int):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, first: int, last: int, members: np.ndarray = _IN_WORD):
         lo, hi = int(offsets[first]), int(offsets[last])
         own = offsets[first : last + 1] - lo
         raw = _LOWER[data[lo:hi]]
-        inside = _IN_WORD[raw]
+        inside = members[raw]
         before, after = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
         if len(raw):
             before[1:], after[:-1] = inside[:-1], inside[1:]
@@ -90,11 +94,12 @@ class Words:
         up, down = _powers(len(raw) + 1)
         prefix = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((raw.astype(np.uint64) + _U(1)) * up[: len(raw)], out=prefix[1:])
-        self.hashes = self.span_hashes(prefix, self.starts, self.ends, down)
+        self._prefix, self._down = prefix, down
+        self.hashes = self.span_hashes(self.starts, self.ends)
 
-    @staticmethod
-    def span_hashes(prefix, starts, ends, down) -> np.ndarray:
-        return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+    def span_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of any stretches of bytes; those of equal bytes are equal."""
+        return mix((self._prefix[ends] - self._prefix[starts]) * self._down[starts] + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
 
 def shingle_sets(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -165,13 +165,6 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     images.select(F.col("image").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
-def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [file_tail(x)[:3] for x in batch.column("content").to_pylist() if x]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["shard", "place", "ids"])
-
-
 def _documents(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for image in batch.column("content").to_pylist():
@@ -202,19 +195,22 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(partial(_documents, schema=schema), "shard bigint, place bigint, doc_id bigint, before bigint, n_tokens bigint, ids binary")
 
 
-def file_starts(spark: SparkSession, path: str) -> DataFrame:
-    """(shard, place, start): ids in all files before this one. One row a file."""
-    files = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_tails, "shard bigint, place bigint, ids bigint")
-    files = staged(files, "file-tails")
+def document_starts(docs: DataFrame) -> DataFrame:
+    """``docs`` (as read, with shard, place, before, n_tokens) with ``start``: ids of all documents before it.
+
+    One total a file is put in order: within its shard, then over shards.
+    """
+    files = docs.groupBy("shard", "place").agg(F.sum("n_tokens").alias("ids"))
     shards = files.groupBy("shard").agg(F.sum("ids").alias("shard_ids"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = shards.select("shard", F.coalesce(F.sum("shard_ids").over(before), F.lit(0)).alias("shard_start"))
     within = Window.partitionBy("shard").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("own", F.coalesce(F.sum("ids").over(within), F.lit(0))).join(shards, "shard").select("shard", "place", (F.col("shard_start") + F.col("own")).alias("start"))
+    files = files.withColumn("own", F.coalesce(F.sum("ids").over(within), F.lit(0))).join(shards, "shard").select("shard", "place", (F.col("shard_start") + F.col("own")).alias("file_start"))
+    return docs.join(files, ["shard", "place"]).withColumn("start", F.col("file_start") + F.col("before")).drop("file_start")
 
 
 def op8_bit_plane_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = staged_path(spark, "token-files")
     write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
-    docs = read_token_files(spark, path).select("shard", "place", "doc_id", "before", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-    return docs.join(file_starts(spark, path), ["shard", "place"]).select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    digests = staged(read_token_files(spark, path).select("shard", "place", "doc_id", "before", "n_tokens", F.crc32("ids").alias("ids_crc32")), "token-digests")
+    return document_starts(digests).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -10,7 +10,8 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from itertools import chain
+from itertools import compress
+from operator import not_
 
 CACHE_CHUNKS = 500_000
 CHUNK_CHARS = 64
@@ -30,28 +31,35 @@ class _Table:
     def __init__(self, make):
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.long: list[str] = []
         self.make = make
 
-    def learn(self, split: list[list[str]]) -> None:
-        chunks = set(chain.from_iterable(split))
-        new = chunks - self.young.keys()
-        if len(self.young) + len(new) > CACHE_CHUNKS:
-            self.old, self.young, new = self.young, {}, chunks
-        young, old, unknown = self.young, self.old, []
-        for c in self.long:
-            young.pop(c, None)
-        for c in new:
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        old, fresh = self.old, {}
+        unknown = []
+        for c in chunks:
             if c in old:
-                young[c] = old[c]
+                fresh[c] = old[c]
             else:
                 unknown.append(c)
-        if unknown:
-            young.update(zip(unknown, self.make(unknown), strict=True))
-        self.long = [c for c in unknown if len(c) > CHUNK_CHARS]
-
-    def join(self, chunks: list[str]) -> bytes:
-        return b"".join(map(self.young.__getitem__, chunks))
+        fresh.update(zip(unknown, self.make(unknown), strict=True))
+        if len(self.young) + len(fresh) > CACHE_CHUNKS:
+            self.old, self.young = self.young, {}
+        self.young.update(fresh if all(len(c) <= CHUNK_CHARS for c in unknown) else {c: v for c, v in fresh.items() if len(c) <= CHUNK_CHARS})
+        return fresh
+
+    def join(self, split: list[list[str]]) -> list[bytes]:
+        """The ids of each list of chunks."""
+        get, missing, rows = self.young.get, set(), []
+        for chunks in split:
+            ids = list(map(get, chunks))
+            holes = list(compress(range(len(ids)), map(not_, ids)))
+            missing.update([chunks[i] for i in holes])
+            rows.append((ids, holes))
+        fresh = self._learn(missing) if missing else {}
+        for (ids, holes), chunks in zip(rows, split, strict=True):
+            for i in holes:
+                ids[i] = fresh[chunks[i]]
+        return [b"".join(ids) for ids, _ in rows]
 
 
 class ChunkEncoder:
@@ -117,21 +125,18 @@ class ChunkEncoder:
         return out
 
     def _dropped(self, texts: list[str]) -> list[bytes]:
-        split = [_folded(t).replace("\n", " ").split(" ") for t in texts]
-        self.table.learn(split)
-        return [self.table.join(s) for s in split]
+        return self.table.join([_folded(t).replace("\n", " ").split(" ") for t in texts])
 
     def _leading(self, texts: list[str]) -> list[bytes]:
         # Chunks start at a space (left out of the key) or at a line feed (kept in it). An
         # empty chunk or a bare line feed shows a run of white space, whose cut hangs on
         # what follows; so does rarer white space at a chunk's edge.
         split = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
-        split = [None if "" in s or "\n" in s else s for s in split]
-        self.table.learn([s for s in split if s])
+        split = [[] if "" in s or "\n" in s else s for s in split]
+        joined, skip = self.table.join(split), len(self.line_feed)
         if self.rare:
-            split = [s if s and self.rare.isdisjoint(s) else None for s in split]
-        skip = len(self.line_feed)
-        return [self.table.join(s)[skip:] if s else self._raw(t) if t else b"" for t, s in zip(texts, split, strict=True)]
+            split = [s if self.rare.isdisjoint(s) else [] for s in split]
+        return [ids[skip:] if s else self._raw(t) if t else b"" for t, s, ids in zip(texts, split, joined, strict=True)]
 
 
 def _folded(t: str) -> str:

@@ -326,7 +326,9 @@ def near_duplicate_components(docs: DataFrame, width: int = WIDTH, percent: int
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are the first (smallest doc_id) of their component; null ids stay."""
     classes = near_duplicate_components(docs, **options)
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"))
+    gone = staged(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
     return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
 
 

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 BLOCK_TOKENS = 1 << 16
+BROADCAST_ROWS = 1_000_000
 MAX_REPETITION = 1.5
 _POINTS = 31
 _PASSES = 9
@@ -118,7 +119,9 @@ def mix_sources(
     before = lambda *by: Window.partitionBy("harrow_source", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     stretch = stretch.withColumn("stretch_before", F.coalesce(F.sum("stretch_own").over(before("stretch")), F.lit(0))).drop("stretch_own")
     dealt = dealt.join(stretch, ["harrow_source", "stretch"]).withColumn("left", F.col("rest") - F.col("stretch_before") - F.coalesce(F.sum("own").over(before("stretch", "block_key")), F.lit(0)))
-    dealt = dealt.select("harrow_source", "block", "weight", "whole", "own", F.greatest("left", F.lit(0)).alias("left"))
+    dealt = staged(dealt.select("harrow_source", "block", "weight", "whole", "own", F.greatest("left", F.lit(0)).alias("left")), "mixing-blocks")
+    if dealt.count() <= BROADCAST_ROWS:
+        dealt = F.broadcast(dealt)
 
     # The block in which a budget ends is one of a source's; only its documents are put in order.
     joined = rows.join(dealt, ["harrow_source", "block"])

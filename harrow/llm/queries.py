@@ -7,6 +7,7 @@ from .jaccard_join import op6_ngram_jaccard_join
 from .mixing import op2_source_mixing
 from .order_minhash import op4_order_minhash
 from .packing import op3_packing
+from .quality import op7_quality_cotraining
 from .secret_scan import op1_secret_scan
 from .token_files import op8_bit_plane_output
 from .toxicity import op9_toxicity_chain
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_order_minhash": op4_order_minhash,
     "op5_multiprobe_ann": op5_multiprobe_ann,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_quality_cotraining": op7_quality_cotraining,
     "op8_bit_plane_output": op8_bit_plane_output,
     "op9_toxicity_chain": op9_toxicity_chain,
     "op10_url_filter": op10_url_filter,

@@ -1 +1 @@
-
+"""Column functions: text, identity, vectors."""

@@ -1 +1 @@
-
+"""Whole jobs: evaluation, reports, answers, commands, and the registered queries."""

@@ -1 +1 @@
-
+"""Corpora and query files, in and out."""

@@ -1 +1 @@
-
+"""Incremental ingestion as a stream of micro-batches."""

@@ -61,18 +61,45 @@ class Vocabulary:
         return both // len(self.hashes), both % len(self.hashes)
 
 
-def select(docs: np.ndarray, feats: np.ndarray, label: np.ndarray, most: int, least_docs: int = 3, only_positive: bool = False) -> np.ndarray:
-    """Hashes of the ``most`` features with the largest G statistic. (docs, feats) are distinct pairs."""
-    own, inverse = np.unique(feats, return_inverse=True)
-    n1, n0 = max(1, int(label.sum())), max(1, int(len(label) - label.sum()))
-    a = np.bincount(inverse, weights=label[docs], minlength=len(own))
-    b = np.bincount(inverse, minlength=len(own)) - a
-    p, q = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
-    both = (a + b + 1) / (n1 + n0 + 2)
-    g = a * np.log(p / both) + b * np.log(q / both)
-    good = (a + b >= least_docs) & (g > 3) & ((p > q) if only_positive else True)
-    at = np.flatnonzero(good)
-    return own[at[np.lexsort((own[at], -g[at]))[:most]]]
+def distinct(docs: np.ndarray, feats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (document, feature) pairs."""
+    _, at = np.unique(mix(feats + docs.astype(np.uint64) * _U(0x9E3779B97F4A7C15)), return_index=True)
+    return docs[at], feats[at]
+
+
+class TrainingSet:
+    """(row, feature) pairs of the training rows; features of fewer than ``least_docs`` rows are left out."""
+
+    def __init__(self, docs: np.ndarray, feats: np.ndarray, rows: int, least_docs: int = 3):
+        hashes, ids, count = np.unique(feats, return_inverse=True, return_counts=True)
+        keep = count >= least_docs
+        new = np.cumsum(keep) - 1
+        pairs = keep[ids]
+        self.hashes = hashes[keep]
+        self.docs, self.ids = docs[pairs].astype(np.int32), new[ids[pairs]].astype(np.int32)
+        self.rows = rows
+
+    def select(self, rows: np.ndarray, label: np.ndarray, most: int, only_positive: bool = False) -> np.ndarray:
+        """Features (ascending) with the largest G statistic over ``rows``, whose labels are ``label``."""
+        value = np.full(self.rows, -1.0)
+        value[rows] = label
+        v = value[self.docs]
+        n1, n0 = max(1, int(label.sum())), max(1, int(len(label) - label.sum()))
+        a = np.bincount(self.ids[v > 0], minlength=len(self.hashes)).astype(float)
+        b = np.bincount(self.ids[v == 0], minlength=len(self.hashes)).astype(float)
+        p, q = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
+        both = (a + b + 1) / (n1 + n0 + 2)
+        g = a * np.log(p / both) + b * np.log(q / both)
+        at = np.flatnonzero((a + b >= 3) & (g > 3) & ((p > q) if only_positive else True))
+        return np.sort(at[np.lexsort((at, -g[at]))[:most]])
+
+    def pairs(self, rows: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position in ``rows``, position in ``chosen``) of the pairs that both name."""
+        place, column = np.full(self.rows, -1), np.full(max(1, len(self.hashes)), -1)
+        place[rows], column[chosen] = np.arange(len(rows)), np.arange(len(chosen))
+        d, f = place[self.docs], column[self.ids] if len(self.ids) else np.zeros(0, np.int64)
+        keep = (d >= 0) & (f >= 0)
+        return d[keep], f[keep]
 
 
 @dataclass
@@ -86,10 +113,15 @@ class Logistic:
     constant: float
 
     def logit(self, docs: np.ndarray, feats: np.ndarray, dense: np.ndarray) -> np.ndarray:
-        z = ((dense - self.centre) / self.scale) @ self.dense + self.constant
+        z = standard(dense, self.centre, self.scale) @ self.dense + self.constant
         return z + np.bincount(docs, weights=self.sparse[feats], minlength=len(dense))
 
 
+def standard(dense: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Dense columns in standard deviations, held to six of them."""
+    return np.clip((dense - centre) / scale, -6, 6)
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
@@ -101,14 +133,20 @@ def fit_logistic(docs: np.ndarray, feats: np.ndarray, features: int, dense: np.n
     centre = dense.mean(axis=0) if n else np.zeros(dense.shape[1])
     scale = dense.std(axis=0) if n else np.ones(dense.shape[1])
     scale = np.where(scale > 1e-9, scale, 1.0)
-    x = (dense - centre) / scale
+    x = standard(dense, centre, scale)
     share = (float((weight * label).sum()) + 0.5) / (float(weight.sum()) + 1)
     model = Logistic(np.zeros(features), np.zeros(dense.shape[1]), centre, scale, float(np.log(share / (1 - share))))
     if n == 0 or label.min() == label.max():
         return model
-    # The step follows from a bound on the curvature: a quarter of the largest row and column sums.
-    per_doc = np.bincount(docs, minlength=n) + (x * x).sum(axis=1) + 1
-    step = 4.0 / (np.sqrt(per_doc.max() * max(float(np.bincount(feats, minlength=max(1, features)).max(initial=0)), n)) + penalty)
+    # The step is the inverse of the curvature's bound: a quarter of the design's largest
+    # squared singular value, by power iteration.
+    u, size = np.ones(n), 1.0
+    for _ in range(30):
+        parts = np.bincount(feats, weights=u[docs], minlength=features), x.T @ u, u.sum()
+        u = x @ parts[1] + parts[2] + np.bincount(docs, weights=parts[0][feats], minlength=n)
+        size = float(np.linalg.norm(u)) or 1.0
+        u = u / size
+    step = 1 / (1.1 * size / 4 * float(weight.max()) + penalty)
     ws, wd, c = model.sparse.copy(), model.dense.copy(), model.constant
     ps, pd, pc = ws, wd, c
     for t in range(rounds):
@@ -122,14 +160,6 @@ def fit_logistic(docs: np.ndarray, feats: np.ndarray, features: int, dense: np.n
     return Logistic(ws, wd, centre, scale, c)
 
 
-def pick(docs: np.ndarray, feats: np.ndarray, rows: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of the documents ``rows``, renumbered by position in ``rows``."""
-    place = np.full(total, -1)
-    place[rows] = np.arange(len(rows))
-    keep = place[docs] >= 0
-    return place[docs[keep]], feats[keep]
-
-
 def folds(keys: np.ndarray, count: int) -> np.ndarray:
     """A fold for each key; rows of one key share it."""
     return (mix(keys.astype(np.int64).view(np.uint64) + _U(77)) % _U(count)).astype(np.int64)

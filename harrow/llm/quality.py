@@ -24,17 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .linear import Logistic, Vocabulary, document_features, fit_logistic, folds, pick, select, sigmoid
+from .linear import Logistic, TrainingSet, Vocabulary, distinct, document_features, fit_logistic, folds, sigmoid
 from .words import blocks, mix, utf8
 
-FIT_ROWS = 5000
-POOL_ROWS = 6000
+FIT_ROWS = 3000
+POOL_ROWS = 4000
 ROUNDS = 4
 SURE = 0.95
 GROWTH = 0.1
 FOLDS = 4
 TERMS = 8192
-KEEP_GOOD = 0.995
+KEEP_GOOD = 0.998
 _U = np.uint64
 _LETTER, _DIGIT, _SYMBOL, _UPPER, _SPACE, _LINE = (
     np.array([f(chr(c), c) for c in range(256)])
@@ -111,25 +111,20 @@ class CoTrained:
         return sigmoid(z[:, 0]), sigmoid(z[:, 1]), sigmoid(self.both.logit(none, none, z))
 
 
-def _fit(docs, feats, dense, label, terms) -> View:
-    vocabulary = Vocabulary(select(docs, feats, label, terms))
-    d, f = vocabulary.find(docs, feats)
-    return View(vocabulary, fit_logistic(d, f, len(vocabulary.hashes), dense, label))
-
-
-def co_train(views: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ids: np.ndarray, label: np.ndarray, metadata: list[str], rounds: int = ROUNDS, keep_good: float = KEEP_GOOD) -> CoTrained:
-    """``views``: content and page (docs, feats, dense) of all rows; ``label``: 0, 1, or nan where unknown."""
+def co_train(views: list[tuple[TrainingSet, np.ndarray]], ids: np.ndarray, label: np.ndarray, metadata: list[str], rounds: int = ROUNDS, keep_good: float = KEEP_GOOD) -> CoTrained:
+    """``views``: content and page (features, dense columns) of all rows; ``label``: 0, 1, or nan where unknown."""
     n = len(ids)
     known = np.flatnonzero(~np.isnan(label))
     own = [label.copy(), label.copy()]  # what each view is trained on
 
-    def model(v: int, rows: np.ndarray, labels: np.ndarray) -> View:
-        docs, feats, dense = views[v]
-        return _fit(*pick(docs, feats, rows, n), dense[rows], labels[rows], TERMS)
+    def model(v: int, rows: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, Logistic]:
+        data, dense = views[v]
+        chosen = data.select(rows, labels[rows], TERMS)
+        return chosen, fit_logistic(*data.pairs(rows, chosen), len(chosen), dense[rows], labels[rows])
 
-    def logits(v: int, view: View, rows: np.ndarray) -> np.ndarray:
-        docs, feats, dense = views[v]
-        return view.logit(*pick(docs, feats, rows, n), dense[rows])
+    def logits(v: int, fitted: tuple[np.ndarray, Logistic], rows: np.ndarray) -> np.ndarray:
+        data, dense = views[v]
+        return fitted[1].logit(*data.pairs(rows, fitted[0]), dense[rows])
 
     share = float(label[known].mean()) if len(known) else 0.5
     if len(known) and 0 < share < 1:
@@ -145,7 +140,10 @@ def co_train(views: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ids: np.nda
                     best = np.argsort(-sure, kind="stable")[: max(1, round(per_round * quota))]
                     now[1 - v][open_rows[best[sure[best] >= SURE]]] = value
             own = now
-    final = [model(v, np.flatnonzero(~np.isnan(own[v])), own[v]) for v in (0, 1)]
+    final = []
+    for v in (0, 1):
+        chosen, fitted = model(v, np.flatnonzero(~np.isnan(own[v])), own[v])
+        final.append(View(Vocabulary(views[v][0].hashes[chosen]), fitted))
     fold, z = folds(ids, FOLDS), np.zeros((n, 2))
     for k in range(FOLDS):
         held = known[fold[known] == k]
@@ -193,10 +191,10 @@ def _train(batches: Iterator[pa.RecordBatch], metadata: list[str]) -> Iterator[p
     t_docs, t_feats, m_docs, m_feats, dense, ids, label, n = [], [], [], [], [], [], [], 0
     for batch in batches:
         for first, _, content, meta, page in _views(batch, metadata):
-            both = np.unique(np.rec.fromarrays(content))
-            t_docs.append(both.f0 + n + first)
-            t_feats.append(both.f1)
-            m_docs.append(meta[0] + n + first)
+            d, f = distinct(*content)
+            t_docs.append((d + n + first).astype(np.int32))
+            t_feats.append(f)
+            m_docs.append((meta[0] + n + first).astype(np.int32))
             m_feats.append(meta[1])
             dense.append(page)
         ids.append(batch.column("doc_id").to_numpy(zero_copy_only=False))
@@ -204,7 +202,7 @@ def _train(batches: Iterator[pa.RecordBatch], metadata: list[str]) -> Iterator[p
         n += batch.num_rows
     cat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
     page = np.concatenate(dense) if dense else np.zeros((0, 9))
-    views = [(cat(t_docs, np.int64), cat(t_feats, np.uint64), np.zeros((n, 0))), (cat(m_docs, np.int64), cat(m_feats, np.uint64), page)]
+    views = [(TrainingSet(cat(t_docs, np.int32), cat(t_feats, np.uint64), n), np.zeros((n, 0))), (TrainingSet(cat(m_docs, np.int32), cat(m_feats, np.uint64), n), page)]
     model = co_train(views, cat(ids, np.int64), cat(label, float), metadata)
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 

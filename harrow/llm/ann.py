@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, staged
+from .common import lean, shuffle_partitions, staged
 from .words import mix
 
 TABLES = 8
@@ -112,6 +112,7 @@ def _vectors(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, flat[begin[rows][:, None] + np.arange(dim)]
 
 
+@lean
 def _entries(batches: Iterator[pa.RecordBatch], functions: int, largest: float, probes: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """(cell, id, query, vector): an index row in each table, or a query's probes."""
     made: dict[int, Hashes] = {}
@@ -141,6 +142,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
+@lean
 def _rank(batches: Iterator[pa.RecordBatch], k: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Rows come by (cell, part), index rows before probes; one part of a bucket is held at a time."""
     best: dict[int, tuple[np.ndarray, np.ndarray]] = {}

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+import pyarrow as pa
 
+from pyspark.sql import DataFrame, SparkSession
 _STAGED: list[tuple[object, object]] = []
 
 
@@ -57,14 +60,22 @@ def _sweep() -> None:
 atexit.register(_sweep)
 
 
-def text_of(column: str = "text"):
-    """The whole text; null counts as empty."""
-    return F.coalesce(F.col(column), F.lit(""))
+def lean(task: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A Python task that hands freed memory back when it ends; Spark keeps its worker for later tasks."""
 
+    @functools.wraps(task)
+    def run(*args, **kwargs):
+        try:
+            yield from task(*args, **kwargs)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return run
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

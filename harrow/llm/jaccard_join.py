@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, staged
+from .common import lean, shuffle_partitions, staged
 from .graph import components
 from .words import Words, blocks, mix, shingle_sets, utf8
 
@@ -57,6 +57,7 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, int, np.ndar
         yield first, last, *shingle_sets(Words(data, offsets, first, last), width)
 
 
+@lean
 def _describe(batches: Iterator[pa.RecordBatch], width: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Per document (doc_id, n, sid); at the end the task's shingle counts, in parts."""
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -106,6 +107,7 @@ def _list_ranks(described: DataFrame) -> np.ndarray:
     return ranks
 
 
+@lean
 def _short_lists(batches: Iterator[pa.RecordBatch], width: int, percent: int, ranks, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Postings of the shortest ``n - T + 1`` lists of each set not yet seen by this task.
 
@@ -215,6 +217,7 @@ def t_occurrence_links(sets: list[np.ndarray], sides: np.ndarray, percent: int =
     return forest
 
 
+@lean
 def _search_cells(batches: Iterator[pa.RecordBatch], percent: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Rows come ordered by cell and size; one cell is held at a time."""
     cell, held = None, []
@@ -236,6 +239,7 @@ def _search_cells(batches: Iterator[pa.RecordBatch], percent: int, schema: pa.Sc
     yield from flush()
 
 
+@lean
 def _full_sets(batches: Iterator[pa.RecordBatch], width: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     seen: set[tuple[int, int]] = set()
     for batch in batches:

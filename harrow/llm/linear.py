@@ -80,7 +80,11 @@ class TrainingSet:
         self.rows = rows
 
     def select(self, rows: np.ndarray, label: np.ndarray, most: int, only_positive: bool = False) -> np.ndarray:
-        """Features (ascending) with the largest G statistic over ``rows``, whose labels are ``label``."""
+        """Features (ascending) with the largest G statistic over ``rows``, whose labels are ``label``.
+
+        ``only_positive``: features that are at least three times commoner with the label,
+        and clearer than most of as many chance ones: a long text holds many words.
+        """
         value = np.full(self.rows, -1.0)
         value[rows] = label
         v = value[self.docs]
@@ -90,7 +94,8 @@ class TrainingSet:
         p, q = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
         both = (a + b + 1) / (n1 + n0 + 2)
         g = a * np.log(p / both) + b * np.log(q / both)
-        at = np.flatnonzero((a + b >= 3) & (g > 3) & ((p > q) if only_positive else True))
+        clear = (g > max(3.0, np.log(max(1, len(g))) / 2)) & (p > 3 * q) if only_positive else g > 3
+        at = np.flatnonzero((a + b >= 3) & clear)
         return np.sort(at[np.lexsort((at, -g[at]))[:most]])
 
     def pairs(self, rows: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

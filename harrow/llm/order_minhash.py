@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import lean, shuffle_partitions
 from .words import mix
 
 PIECE = 8
@@ -125,6 +125,7 @@ def likeness(a: np.ndarray | None, b: np.ndarray | None) -> float:
     return float((a == b).mean())
 
 
+@lean
 def fingerprint(batches: Iterator[pa.RecordBatch], piece: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = [shown(sketch(t or "", piece)) for t in batch.column("harrow_text").to_pylist()]
@@ -172,6 +173,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
+@lean
 def _compare(batches: Iterator[pa.RecordBatch], piece: int) -> Iterator[pa.RecordBatch]:
     """Rows come by stretch, own rows before the one ahead; one row is held back until its successor is seen."""
     held: tuple | None = None

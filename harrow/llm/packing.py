@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged
-from .tokens import encoder
+from .common import lean, staged
+from .tokens import binary_column, encoder
 
 WINDOW = 2048
 GRAIN = 128
@@ -42,20 +42,19 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@lean
 def _tokenise(batches: Iterator[pa.RecordBatch], path: str, kind: str, end_id: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """doc_id, source, part, before (tokens of the source earlier in this part), n, ids."""
     coder, part, before = encoder(path, kind), TaskContext.get().partitionId(), {}
-    end = np.array([end_id], coder.code).tobytes()
-    wide = np.dtype(coder.code).itemsize
     for whole in batches:
         for i in range(0, whole.num_rows, _ROWS):
             batch = whole.slice(i, _ROWS)
-            ids = [x + end for x in coder.encode(batch.column("text").to_pylist())]
-            starts, sizes = [], [len(x) // wide for x in ids]
-            for source, n in zip(batch.column("source").to_pylist(), sizes, strict=True):
+            ids, counts = coder.encode_column(batch.column("text"), end_id)
+            starts = []
+            for source, n in zip(batch.column("source").to_pylist(), counts.tolist(), strict=True):
                 starts.append(before.get(source, 0))
                 before[source] = starts[-1] + n
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array([part] * len(counts), pa.int32()), pa.array(starts, pa.int64()), pa.array(counts), binary_column(ids, counts)], schema=schema)
 
 
 def served_before(k: np.ndarray, m: np.ndarray, totals: np.ndarray, weights: np.ndarray, grain: int) -> np.ndarray:
@@ -72,6 +71,7 @@ def served_before(k: np.ndarray, m: np.ndarray, totals: np.ndarray, weights: np.
     return at
 
 
+@lean
 def _place(batches: Iterator[pa.RecordBatch], totals, weights, window: int, grain: int, code: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for i in range(0, whole.num_rows, _ROWS):
@@ -100,8 +100,7 @@ def _place(batches: Iterator[pa.RecordBatch], totals, weights, window: int, grai
             ends = np.cumsum(size)
             base = np.cumsum(n) - n
             ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), code).astype("<u4")
-            offsets = np.concatenate(([0], ends * 4))
-            pieces = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
+            pieces = binary_column(ids, size)
             take = pa.array(doc)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("source").take(take), pa.array(ends - size - base[doc]), pa.array(size), pieces, pa.array(n[doc]), pa.array(at // window), pa.array(at % window)], schema=schema)
 

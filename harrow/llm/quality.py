@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import lean
 from .linear import Logistic, TrainingSet, Vocabulary, distinct, document_features, fit_logistic, folds, sigmoid
 from .words import blocks, mix, utf8
 
@@ -187,6 +188,7 @@ def _views(batch: pa.RecordBatch, metadata: list[str]) -> Iterator[tuple]:
         yield first, last, content, metadata_features([c[first:last] for c in columns]), page_view(data, offsets, first, last)
 
 
+@lean
 def _train(batches: Iterator[pa.RecordBatch], metadata: list[str]) -> Iterator[pa.RecordBatch]:
     t_docs, t_feats, m_docs, m_feats, dense, ids, label, n = [], [], [], [], [], [], [], 0
     for batch in batches:
@@ -226,6 +228,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] =
 _RESULT = ("p_content", "p_page", "quality_score", "keep")
 
 
+@lean
 def _score(batches: Iterator[pa.RecordBatch], model: CoTrained, keep: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         parts = [model.predict(content, meta, page) for _, _, content, meta, page in _views(batch, [f"harrow_{c}" for c in model.metadata])]

@@ -28,13 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, staged, staged_path
+from .common import lean, shuffle_partitions, staged, staged_path
 from .tokens import encoder
 
 HEAD, FOOT = b"HBPF\x01", b"HBPE"
 _TAIL = struct.Struct("<IIQIII4s")
 BLOCK_IDS = 1 << 16
-FILE_IDS = 1 << 23
+FILE_IDS = 1 << 22
 END_ID = 2
 LEVEL = 3
 _CHUNK = np.dtype([("at", "<u8"), ("ids", "<u4"), ("mode", "u1"), ("planes", "u1")])
@@ -71,7 +71,7 @@ def encode_file(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray,
     press = zstandard.ZstdCompressor(level=LEVEL)
     body, table, sizes, at = [HEAD], [], [], len(HEAD)
     for i in range(0, len(ids), block):
-        own = ids[i : i + block]
+        own = ids[i : i + block].astype(np.uint32)
         planes = [press.compress(p) for p in to_planes(own, mode)]
         table.append((at, len(own), mode == "bit", len(planes)))
         sizes += [len(p) for p in planes]
@@ -124,30 +124,31 @@ def decode_file(image: bytes) -> Iterator[tuple[int | None, int, np.ndarray]]:
         rest, taken = both[count:], taken + count
 
 
+@lean
 def _write(batches: Iterator[pa.RecordBatch], path: str, kind: str, end_id: int, mode: str, block: int, file_ids: int) -> Iterator[pa.RecordBatch]:
     coder, shard, place = encoder(path, kind), TaskContext.get().partitionId(), 0
-    end = np.array([end_id], coder.code).tobytes()
     docs: list[int | None] = []
-    parts: list[bytes] = []
-    size, limit, wide = 0, file_ids * np.dtype(coder.code).itemsize, np.dtype(coder.code).itemsize
+    counts: list[np.ndarray] = []
+    ids: list[np.ndarray] = []
+    size = 0
 
     def close() -> pa.RecordBatch:
-        counts = np.array([len(p) // wide for p in parts], np.int64)
-        image = encode_file(docs, counts, np.frombuffer(b"".join(parts), coder.code).astype(np.uint32), shard, place, mode, block)
+        image = encode_file(docs, np.concatenate(counts), np.concatenate(ids), shard, place, mode, block)
         return pa.RecordBatch.from_arrays([pa.array([image], pa.binary())], names=["image"])
 
     for whole in batches:
         for i in range(0, whole.num_rows, _ROWS):
             batch = whole.slice(i, _ROWS)
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text").to_pylist()), strict=True):
-                docs.append(doc_id)
-                parts.append(ids + end)
-                size += len(parts[-1])
-                if size >= limit:
-                    yield close()
-                    place, size = place + 1, 0
-                    docs.clear()
-                    parts.clear()
+            own, count = coder.encode_column(batch.column("text"), end_id)
+            docs += batch.column("doc_id").to_pylist()
+            counts.append(count)
+            ids.append(own)
+            size += len(own)
+            if size >= file_ids:
+                yield close()
+                place, size = place + 1, 0
+                for held in (docs, counts, ids):
+                    held.clear()
     if docs:
         yield close()
 
@@ -165,6 +166,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     images.select(F.col("image").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
+@lean
 def _documents(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for image in batch.column("content").to_pylist():

@@ -75,10 +75,10 @@ class Words:
 
     __slots__ = ("_down", "_prefix", "data", "doc", "ends", "first", "hashes", "per_doc", "starts")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, first: int, last: int, members: np.ndarray = _IN_WORD):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, first: int, last: int, members: np.ndarray = _IN_WORD, fold: bool = True):
         lo, hi = int(offsets[first]), int(offsets[last])
         own = offsets[first : last + 1] - lo
-        raw = _LOWER[data[lo:hi]]
+        raw = _LOWER[data[lo:hi]] if fold else data[lo:hi]
         inside = members[raw]
         before, after = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
         if len(raw):

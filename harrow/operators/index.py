@@ -71,7 +71,7 @@ def replace_documents(index: DataFrame, fresh: DataFrame) -> DataFrame:
     hashes = fresh.groupBy("doc_id").agg(F.count_distinct("content_hash").alias("n"))
     one = F.assert_true(F.col("n") == 1, F.lit("chunks of one document must share a content hash")).isNull()
     checked = hashes.where(one).select("doc_id")
-    return index.join(checked, "doc_id", "left_anti").unionByName(fresh, allowMissingColumns=True)
+    return index.join(checked, "doc_id", "left_anti").select(*index.columns).unionByName(fresh, allowMissingColumns=True)
 
 
 def with_content_hash(docs: DataFrame, title: str = "title", text: str = "text") -> DataFrame:

@@ -55,7 +55,7 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
 def read_text_folder(spark: SparkSession, path: str) -> DataFrame:
     """Every ``.md`` and ``.txt`` below ``path``; the title is the first heading that starts a line, else the file's name."""
     root = _status(spark, path).getPath().toString().rstrip("/") + "/"
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,txt}").text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,txt}").text(path, wholetext=True)
     rows = files.select(F.col("value").alias("text"), F.expr("url_decode(replace(_metadata.file_path, '+', '%2B'))").alias("full"), F.col("_metadata.file_path").alias("source_uri"))
     relative = F.regexp_replace("full", "^.*?" + _quoted(root.split(":", 1)[-1].lstrip("/")), "")
     heading = r"(?m)^(?:(={2,6})\s*(.+?)\s*\1|#{1,6}\s+(.+?))\s*$"

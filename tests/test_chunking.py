@@ -70,8 +70,8 @@ def test_every_word_is_covered_and_spans_are_exact(spark):
     out = C.chunk_documents(docs, options).collect()
     texts = {r[0]: r[2] for r in rows}
     for doc_id, text in texts.items():
-        own = sorted((c for c in out if c.doc_id == doc_id), key=lambda c: c.index)
-        assert [c.index for c in own] == list(range(len(own)))
+        own = sorted((c for c in out if c.doc_id == doc_id), key=lambda c: c["index"])
+        assert [c["index"] for c in own] == list(range(len(own)))
         seen = set()
         for c in own:
             assert c.text == text[c.char_start : c.char_end] and c.token_count <= 48

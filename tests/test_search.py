@@ -124,7 +124,7 @@ def test_retrieve_end_to_end(spark):
     words = "red green blue stone river cloud".split()
     rows = [(f"d{i}", " ".join(rng.choice(words, 6)), rng.standard_normal(4).tolist(), int(i % 3)) for i in range(60)]
     chunks = spark.createDataFrame(rows, "doc_id string, text string, dense array<double>, cluster_id int")
-    queries = spark.createDataFrame([(1, "red river", [1.0, 0, 0, 0]), (2, "cloud", [0, 1.0, 0, 0])], "query_id int, text string, dense array<double>")
+    queries = spark.createDataFrame([(1, "red river", [1.0, 0.0, 0.0, 0.0]), (2, "cloud", [0.0, 1.0, 0.0, 0.0])], "query_id int, text string, dense array<double>")
     centroids = spark.createDataFrame([(i, np.eye(4)[i].tolist()) for i in range(3)], "cluster_id int, centroid array<double>")
     for options in (RetrievalOptions(top_k=5), RetrievalOptions(top_k=5, route_top_m=1), RetrievalOptions(top_k=5, use_sparse=False, mmr_lambda=None), RetrievalOptions(top_k=5, use_dense=False)):
         found = S.retrieve(queries, chunks, options, centroids).groupBy("query_id").agg(F.count("*").alias("n"), F.max("rank").alias("r")).collect()

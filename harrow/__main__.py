@@ -10,10 +10,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import canonical_id
-from .operators import clustering, synthesis
+from .operators import clustering
 from .operators.index import hashed_embedding
 from .options import ChunkingOptions, ClusteringOptions, RetrievalOptions, from_environment
-from .plans import ablation, report
+from .plans import ablation, evalset, report
 from .plans.service import Services, configure_logging, serve
 from .sources.corpus import load_documents, load_queries, write_jsonl
 from .streaming.ingest import ingest
@@ -42,9 +42,7 @@ def main(argv: list[str] | None = None) -> int:
     configure_logging()
     spark = SparkSession.builder.appName("harrow").getOrCreate()
     if a.command == "eval-set":
-        docs = load_documents(spark, a.corpus).withColumn("source", F.col("metadata")["source"]).where(F.col("metadata")["duplicate_of"].isNull())
-        picked = synthesis.sample_passages(docs).join(docs.select("doc_id", "title", "source", F.col("metadata")["topic"].alias("topic")), "doc_id")
-        rows = picked.select(F.concat_ws("#", "doc_id", "line").alias("query_id"), F.col("title").alias("query"), F.array("doc_id").alias("relevant_doc_ids"), "source", "topic", F.array("passage").alias("passage"))
+        rows = evalset.build_eval_set(load_documents(spark, a.corpus), evalset.first_sentence)
         write_jsonl(rows, a.out)
         return 0
     services = Services.create(spark, a.index, a.dimension)

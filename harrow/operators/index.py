@@ -31,6 +31,13 @@ def document_frequencies(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def bm25_weights(index: DataFrame, lengths: DataFrame, avgdl: float, id_col: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, term, weight): the document half of BM25, which is fixed when a document is written."""
+    tf, dl = F.col("tf"), F.col("dl")
+    weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.lit(avgdl)))
+    return index.join(lengths, id_col).select(id_col, "term", weight.alias("weight"))
+
+
 def hashed_embedding(docs: DataFrame, id_col: str = "doc_id", text: str = "text", dimension: int = 64) -> DataFrame:
     """(id, dense): signed feature hashing of the terms, L2-normalised. The offline stand-in for an embedding model.
 

@@ -168,6 +168,7 @@ _BODIES = {
     "doc_freq": "SELECT * FROM freq",
     "doc_length": "SELECT doc_id, dl FROM lens",
     "corpus_statistics": "SELECT n::BIGINT AS n, round(avgdl, 6) AS avgdl FROM whole",
+    "bm25_weights": "SELECT doc_id, term, round(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS weight FROM post JOIN lens USING (doc_id) , whole",
     "hash_embed": "SELECT doc_id, i, round(w / n, 9) AS x FROM doc_terms_sums JOIN (SELECT doc_id, sqrt(sum(w * w)::DOUBLE) AS n FROM doc_terms_sums GROUP BY 1) USING (doc_id) WHERE w <> 0",
     "bm25_topk": _SHOWN.format(id="doc_id", of="bm", k=10),
     "dense_topk": _SHOWN.format(id="vec_id", of="near_vec", k=10),

@@ -17,7 +17,7 @@ from ..functions import text as tx
 from ..functions.vectors import unit
 from ..operators import batching, chunking, clustering, index, metrics, search, synthesis
 from ..options import EmbeddingOptions, RetrievalOptions
-from . import ablation
+from . import ablation, evalset
 from .oracle import ORACLE_SQL  # noqa: F401
 
 K, POOL, PREFETCH, WEIGHT, M_ROUTED = 10, 40, 100, 0.7, 3
@@ -221,6 +221,14 @@ def corpus_statistics(spark, sf):
     return index.corpus_statistics(documents(spark, sf)).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
+@query
+def bm25_weights(spark, sf):
+    docs = documents(spark, sf)
+    avgdl = index.corpus_statistics(docs).first().avgdl
+    found = index.bm25_weights(index.postings(docs), index.document_lengths(docs), avgdl)
+    return found.select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
 @query
 def hash_embed(spark, sf):
     made = index.hashed_embedding(documents(spark, sf)).select("doc_id", F.posexplode("dense").alias("i", "x"))
@@ -458,6 +466,12 @@ def mirrors(spark, sf):
     return made.select("doc_id", F.md5("text").alias("digest"), F.col("metadata")["duplicate_of"].alias("duplicate_of"), F.col("metadata")["topic"].alias("topic"))
 
 
+@query
+def evaluation_set(spark, sf):
+    made = evalset.build_eval_set(titled(spark, sf), evalset.first_sentence, per_document=2, pairs_per_topic=5)
+    return made.select("query_id", F.md5("query").alias("digest"), F.array_join("relevant_doc_ids", ",").alias("relevant"), "source", "topic")
+
+
 @query
 def multihop_pairs(spark, sf):
     return synthesis.multihop_pairs(documents(spark, sf).select("doc_id", F.col("lang").alias("topic")))

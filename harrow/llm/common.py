@@ -11,7 +11,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 _STAGED: list[tuple[object, object]] = []
 
 
@@ -60,6 +61,22 @@ def _sweep() -> None:
 atexit.register(_sweep)
 
 
+def first_by_hash(rows: DataFrame, by: str, n: int, seed: int, key: str = "doc_id") -> DataFrame:
+    """At most ``n`` rows for each value of ``by`` (a few values), the first in the order of a hash of ``key``.
+
+    A bar on the hash, set from the counts, first leaves out all rows that surely come
+    later, so little is put in order however many rows there are.
+    """
+    counts = {r[0]: r[1] for r in rows.groupBy(by).count().collect()}
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), key), 1)
+    bar = F.lit(False)
+    for value, count in counts.items():
+        share = min(1.0, (1.2 * n + 100) / max(1, count))
+        bar = bar | (F.col(by).eqNullSafe(F.lit(value)) & (place <= F.lit(min((1 << 63) - 1, int(share * (1 << 63))))))
+    order = Window.partitionBy(by).orderBy(place, key)
+    return rows.where(bar).withColumn("harrow_place", F.row_number().over(order)).where(F.col("harrow_place") <= n).drop("harrow_place")
+
+
 def lean(task: Callable[..., Iterator]) -> Callable[..., Iterator]:
     """A Python task that hands freed memory back when it ends; Spark keeps its worker for later tasks."""
 

@@ -21,10 +21,10 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import first_by_hash, lean
 from .linear import Logistic, TrainingSet, Vocabulary, distinct, document_features, fit_logistic, folds, sigmoid
 from .words import blocks, mix, utf8
 
@@ -216,8 +216,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] =
     """
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).dropna().dropDuplicates(["doc_id"])
     order = F.xxhash64(F.lit(7), "doc_id")
-    place = F.row_number().over(Window.partitionBy("quality").orderBy(order, "doc_id"))
-    rows = known.withColumn("place", place).where(F.col("place") <= fit_rows).drop("place")
+    rows = first_by_hash(known, "quality", fit_rows, 7)
     pool = docs.select("doc_id").dropna().join(known, "doc_id", "left_anti").distinct().orderBy(order, "doc_id").limit(pool_rows).withColumn("quality", F.lit(None).cast("int"))
     texts = docs.select("doc_id", *metadata, F.coalesce("text", F.lit("")).alias("harrow_text"))
     sample = F.broadcast(rows.unionByName(pool)).join(texts, "doc_id").dropDuplicates(["doc_id"])

@@ -1,0 +1,155 @@
+"""Secret scan, source mixing and URL filter."""
+
+import base64
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from harrow.llm import mixing as M
+from harrow.llm import secret_scan as S
+from harrow.llm import url_filter as U
+
+from .conftest import make_docs
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def base_spans(t):
+    found = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(t) if len(m[2]) >= 8]
+    found += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    found += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+    return sorted(found)
+
+
+def secret_texts(words):
+    rng = random.Random(4)
+    parts = ["password=", "Token : '", 'api_key="', "AKIA", "secret==", "passwd", "apikey:", " ", "\n", "é😀", "x", "0123456789abcdef", "deadbeef", "ABCDEFGHIJKLMNOP", "abcdefgh", "AKIAAKIA", "=", '"']
+    return ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(400)] + [None, "", "password=" + "a" * 50_000, " ".join(words)]
+
+
+def test_base_spans_are_exact_and_redacted(spark, words, odd_rows):
+    rows = odd_rows + [(100 + i, t, "s") for i, t in enumerate(secret_texts(words))]
+    found = S.scan_secrets(make_docs(spark, rows))
+    texts = {i: t or "" for i, t, _ in rows}
+    for r in found.select("doc_id", "base", "spans", "text").collect():
+        assert [tuple(x) for x in r.base] == base_spans(texts[r.doc_id])
+        assert set(r.base) <= set(r.spans) and r.spans == sorted(r.spans)
+    clean = {r.doc_id: r.text for r in S.redact(found.where("doc_id > 99")).collect()}
+    for i, t in clean.items():
+        if t is not None and S.PLACEHOLDER in t:
+            left = [s for s in base_spans(t.replace(S.PLACEHOLDER, "\n")) if s[3] == "access"]
+            assert not left
+    assert clean[100 + 400] is None and clean[100 + 401] == "" and found.count() == len(rows)
+
+
+def test_random_strings_are_found_and_text_is_not(spark, words):
+    rng = random.Random(5)
+    secret = {i: base64.b64encode(rng.randbytes(rng.choice([24, 30, 45]))).decode().rstrip("=") for i in range(300)}
+    plain = {1000 + i: "-".join(rng.choices(words, k=6)) + "-2024" for i in range(300)}
+    rows = [(i, f"see {s} end", "s") for i, s in (secret | plain).items()]
+    found = {r.doc_id: [x for x in r.spans if x.kind == "random"] for r in S.scan_secrets(make_docs(spark, rows), keep=["doc_id"]).collect()}
+    hit = sum(bool(found[i]) for i in secret)
+    wrong = sum(bool(found[i]) for i in plain)
+    assert hit > 240 and wrong <= 0.08 * (hit + wrong), (hit, wrong)
+
+
+def test_normal_tail(spark):
+    zs = [-3.0, -1.0, 0.0, 0.5, 2.0, 5.0]
+    row = spark.range(1).selectExpr(*[f"{S._tail(f'{z}D')} as p{i}" for i, z in enumerate(zs)]).first()
+    assert all(abs(p - 0.5 * math.erfc(z / math.sqrt(2))) < 1e-6 for z, p in zip(zs, row, strict=True))
+
+
+def brute_exponent(tokens, fits):
+    low, high = 0.0, 1.0
+    if fits(0.0):
+        return 0.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (low, mid) if fits(mid) else (mid, high)
+    return high
+
+
+def test_mixing_meets_its_limits(spark):
+    rng, rows = random.Random(6), []
+    for s, n in (("big", 400), ("mid", 90), ("small", 30), (None, 25)):
+        rows += [(len(rows) + i, "w " * rng.randint(1, 30), s) for i in range(n)]
+    docs = make_docs(spark, rows)
+    tokens = Counter()
+    for _, t, s in rows:
+        tokens[s] += len(t.split())
+    total, most = sum(tokens.values()), max(tokens.values())
+
+    def weights(a):
+        z = sum((t / total) ** a for t in tokens.values())
+        return {s: (t / total) ** a / z for s, t in tokens.items()}
+
+    def repeats(a):
+        w = weights(a)
+        budget = most / max(w.values())
+        return max(w[s] * budget / t for s, t in tokens.items())
+
+    a = brute_exponent(tokens, lambda a: repeats(a) <= 1.5)
+    out = M.mix_sources(docs, max_repetition=1.5, block_tokens=200).collect()
+    wanted = weights(a)
+    for s, w in wanted.items():
+        own = [r for r in out if r.source == s]
+        assert abs(own[0].weight - w) < 1e-6
+        budget = w * most / max(wanted.values())
+        assert budget - 60 <= sum(int(r.tokens) for r in own) <= budget + 1
+    copies = Counter(r.doc_id for r in out)
+    assert set(copies) == {i for i, _, _ in rows} and max(copies.values()) == 2
+    # Of a source's partial order all blocks but one are whole or absent.
+    for s in ("mid", "small"):
+        blocks = Counter(r.block for r in out if r.source == s and r.epoch == 0)
+        again = Counter(r.block for r in out if r.source == s and r.epoch == 1)
+        assert sum(0 < again[b] < n for b, n in blocks.items()) <= 1
+    entropy = 1.0
+    a = brute_exponent(tokens, lambda a: -sum(w * math.log(w) for w in weights(a).values()) <= entropy)
+    out = M.mix_sources(docs, max_repetition=None, target_entropy=entropy, budget=3000).collect()
+    assert all(abs(r.weight - weights(a)[r.source]) < 1e-6 for r in out)
+    assert 3000 - 4 * 31 <= sum(int(r.tokens) for r in out) <= 3004
+
+
+def test_mixing_of_odd_rows(spark, odd_rows):
+    docs = make_docs(spark, odd_rows)
+    out = M.mix_sources(docs)
+    assert {r.doc_id for r in out.collect()} == {i for i, _, _ in odd_rows} and set(docs.columns) <= set(out.columns)
+    assert M.mix_sources(docs.where("false")).count() == 0
+    assert M.mix_sources(docs.where("text is null")).count() == 1
+
+
+def brute_url(url, rules):
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0] if rest[len(host) :].startswith("/") else ""
+        host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+    fit = [(r, v) for r, v in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.partition("/")[2])]
+    return (host, path, *max(fit, key=lambda x: len(x[0]))) if fit else (host, path, None, None)
+
+
+def test_url_rules(spark):
+    urls = [None, "", "no scheme/x", "://", "http://NET", "http://a.NET/", "http://x.example.net/en/1?q#f", "http://example.net/en", "https://a.Example.com/de/x#y", "http://org/fr/", "http://b.org/fr/z", "http://morg/fr/", "http://h?x/y", "a://b://c/d", "http://É.net/ü", "http://h.net:80/x", "http://cheap-pills.example.com/en/1"]
+    pages = spark.createDataFrame([(i, u, "h", "p", "r", "v") for i, u in enumerate(urls)], "page_id int, url string, host string, path string, rule string, verdict string")
+    for r in U.filter_urls(pages).collect():
+        host, path, rule, verdict = brute_url(urls[r.page_id], U.RULES)
+        assert (r.host, r.path, r.rule) == (host, path, rule), urls[r.page_id]
+        assert r.verdict == (verdict or ("block" if r.block_probability >= 0.5 else "allow"))
+    assert U.filter_urls(pages.where("false")).count() == 0
+
+
+def test_url_classifier_generalises(spark):
+    urls = {"http://www.cheap-pills.example.org/fr/9": 1, "http://new-casino.example.com/en/2": 1, "https://spam-farm.example.com/x": 1, "https://m.thorn.example.com/en/443": 0, "http://blog.orchard.example.org/es/1": 0, "https://library.example.com/fr/12": 0}
+    got = {r.url: r.verdict for r in U.filter_urls(spark.createDataFrame([(u,) for u in urls], "url string"), rules=()).collect()}
+    assert got == {u: "block" if y else "allow" for u, y in urls.items()}
+
+
+def test_digest_of_nothing(spark):
+    row = S.scan_secrets(make_docs(spark, [(1, None, "s")]), keep=["doc_id"]).select(F.sha2(S._listed("base"), 256).alias("h")).first()
+    assert row.h == hashlib.sha256(b"").hexdigest()
+    assert S.scan_secrets(make_docs(spark, [(1, None, "s")]).where("false")).count() == 0

@@ -83,7 +83,7 @@ class TrainingSet:
         """Features (ascending) with the largest G statistic over ``rows``, whose labels are ``label``.
 
         ``only_positive``: features that are at least three times commoner with the label,
-        and clearer than most of as many chance ones: a long text holds many words.
+        and so clear that chance hardly makes one among all: a long text holds many words.
         """
         value = np.full(self.rows, -1.0)
         value[rows] = label

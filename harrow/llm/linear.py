@@ -17,20 +17,34 @@ _U = np.uint64
 _FRONT_BITS = 20
 
 
-def document_features(data: np.ndarray, offsets: np.ndarray, first: int, last: int, prefixes: tuple[int, ...] = (), symbols: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(document, feature) of words, their first bytes, and runs of symbols; repeats included."""
-    words = Words(data, offsets, first, last, LETTERS)
-    docs, feats = [words.doc], [words.hashes]
+def word_features(words: Words, units: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(unit, feature) of words and their first bytes, repeats included; ``units``: of each word."""
+    docs, feats = [units], [words.hashes]
     for n in prefixes:
         long = words.ends - words.starts > n
         starts = words.starts[long]
-        docs.append(words.doc[long])
+        docs.append(units[long])
         feats.append(mix(words.span_hashes(starts, starts + n) ^ _U(n)))
+    return np.concatenate(docs), np.concatenate(feats)
+
+
+def document_features(data: np.ndarray, offsets: np.ndarray, first: int, last: int, prefixes: tuple[int, ...] = (), symbols: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(document, feature) of words, their first bytes, and runs of symbols; repeats included."""
+    words = Words(data, offsets, first, last, LETTERS)
+    docs, feats = word_features(words, words.doc, prefixes)
     if symbols:
         runs = Words(data, offsets, first, last, SYMBOLS)
-        docs.append(runs.doc)
-        feats.append(mix(runs.hashes ^ _U(0x5EED)))
-    return np.concatenate(docs), np.concatenate(feats)
+        docs, feats = np.concatenate((docs, runs.doc)), np.concatenate((feats, mix(runs.hashes ^ _U(0x5EED))))
+    return docs, feats
+
+
+def passage_features(data: np.ndarray, offsets: np.ndarray, first: int, last: int, size: int, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, feature) pairs and the document of each passage; passages are ``size`` words, every document has one."""
+    words = Words(data, offsets, first, last, LETTERS)
+    count = np.maximum(1, -(-words.per_doc // size))
+    begin, base = np.cumsum(words.per_doc) - words.per_doc, np.cumsum(count) - count
+    units = base[words.doc] + (np.arange(len(words.doc)) - begin[words.doc]) // size
+    return *word_features(words, units, prefixes), np.repeat(np.arange(last - first), count)
 
 
 class Vocabulary:

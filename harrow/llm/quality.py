@@ -221,7 +221,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] =
     texts = docs.select("doc_id", *metadata, F.coalesce("text", F.lit("")).alias("harrow_text"))
     sample = F.broadcast(rows.unionByName(pool)).join(texts, "doc_id").dropDuplicates(["doc_id"])
     one = sample.select("doc_id", "quality", *[F.col(c).cast("string").alias(c) for c in metadata], "harrow_text").repartition(1).sortWithinPartitions("doc_id")
-    return pickle.loads(one.mapInArrow(partial(_train, metadata=list(metadata)), "model binary").collect()[0].model)
+    train = partial(_train, metadata=list(metadata))
+    found = one.mapInArrow(train, "model binary").collect()
+    return pickle.loads(found[0].model if found else next(train(iter(()))).column(0)[0].as_py())
 
 
 _RESULT = ("p_content", "p_page", "quality_score", "keep")

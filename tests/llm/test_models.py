@@ -145,7 +145,7 @@ def test_toxicity_on_held_out_rows(spark, words):
 
 
 def test_toxicity_of_odd_rows(spark, words, odd_rows):
-    rows, labels = corpus(words, 300, 2)
+    rows, labels = corpus(words, 1500, 2)
     known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     chain = X.train_toxicity(make_docs(spark, rows), known)
     odd = make_docs(spark, odd_rows)

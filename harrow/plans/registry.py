@@ -76,7 +76,7 @@ def topics(spark, sf) -> DataFrame:
 def relevant(spark, sf) -> DataFrame:
     """(query_id, doc_id): the documents that hold the item's text. The items are a stated, small set."""
     docs = documents(spark, sf).select("doc_id", F.col("text").alias("body"))
-    return docs.join(F.broadcast(items(spark, sf)), F.col("body").contains(F.col("text"))).select("query_id", "doc_id")
+    return docs.join(items(spark, sf), F.col("body").contains(F.col("text"))).select("query_id", "doc_id")
 
 
 def sectioned(spark, sf) -> DataFrame:

@@ -1,5 +1,9 @@
 import hashlib
+import json
 import random
+import threading
+import urllib.error
+import urllib.request
 import uuid
 
 import numpy as np
@@ -15,7 +19,7 @@ from harrow.operators.index import CHUNK_SCHEMA, IndexStore
 from harrow.options import ClusteringOptions, EmbeddingOptions
 from harrow.plans.answer import Complete, Extractive, Text, answer_events
 from harrow.plans.report import BEGIN, END, difference, update_section
-from harrow.plans.service import Services, request_options
+from harrow.plans.service import Services, request_options, serve
 from harrow.options import RetrievalOptions
 from harrow.sources import corpus as S
 from harrow.streaming.ingest import ingest, ingest_stream
@@ -90,6 +94,33 @@ def test_service_over_an_index(spark, tmp_path):
         request_options({"query": ""}, RetrievalOptions())
 
 
+def test_http_front(spark, tmp_path):
+    services = Services.create(spark, str(tmp_path / "index"), 16)
+    ingest(services.store, _docs(spark, a="sun and moon", b="stars at night"))
+    server = serve(services, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_address[1]}"
+
+    def call(path, body=None, **headers):
+        request = urllib.request.Request(base + path, None if body is None else json.dumps(body).encode(), headers)
+        try:
+            with urllib.request.urlopen(request, timeout=60) as answer:
+                return answer.status, answer.headers, answer.read().decode()
+        except urllib.error.HTTPError as wrong:
+            return wrong.code, wrong.headers, wrong.read().decode()
+
+    try:
+        assert call("/healthz")[0] == call("/readyz")[0] == 200 and call("/nowhere")[0] == 404
+        status, headers, body = call("/v1/retrieve", {"query": "moon", "top_k": 1}, **{"x-request-id": "r1"})
+        assert status == 200 and headers["x-request-id"] == "r1" and json.loads(body)["results"][0]["doc_id"] == "a"
+        status, headers, body = call("/v1/retrieve", {"query": "", "top_k": 1})
+        assert status == 422 and headers["content-type"] == "application/problem+json"
+        status, _, body = call("/v1/answer", {"query": "moon"})
+        assert status == 200 and body.startswith("event: sources") and "event: done" in body
+    finally:
+        server.shutdown()
+
+
 def test_stream_of_files(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()

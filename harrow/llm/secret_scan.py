@@ -19,7 +19,10 @@ above 1/2 tell how many of the candidates are random, and with that the share of
 false discoveries among the candidates above any bar. The bar is the lowest that keeps
 this share at ``fdr`` (with one standard error to be safe); classes are doubled
 lengths by half steps, so short strings, which text passes by chance, face a higher
-bar. The count by class and hundredth of p is all that leaves the executors.
+bar. A class too small to tell starts from a fixed bar, the one that holds a share of
+1/20 among as many texts of its length as random strings (``BY_CHANCE``), and keeps it
+unless its own counts say otherwise: a lone random string is found. The count by class
+and hundredth of p is all that leaves the executors.
 """
 
 from __future__ import annotations
@@ -55,6 +58,18 @@ ALPHABETS = [
     ("base64", "^[0-9A-Za-z+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 ]
 
+# For the length classes from 8 (20 characters) on, the bar where a random string is 19 times
+# as likely as a text, and the share of texts with p of 1/2 or more; later classes: FLOOR and none. From
+# 6,000 to 20,000 made-up texts a class: words of sf0.1 joined by - or / (base64), in camel case (base62), run
+# together (base36, base32), all with a number; decimal numbers with a letter between (hex).
+BY_CHANCE = {
+    "hex": [(0.77, 0.0675), (0.43, 0.0195), (0.14, 0.0023), (0.02, 0.0)],
+    "base32": [(0.35, 0.0152), (0.10, 0.0036), (0.01, 0.0001)],
+    "base36": [(0.45, 0.0208), (0.17, 0.0062), (0.02, 0.0003)],
+    "base64": [(0.04, 0.0003)],
+}
+FIRST_CLASS = 8
+
 _SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 
 
@@ -128,7 +143,7 @@ def _battery(cut: str) -> str:
 
 
 def _bars(tested: DataFrame, fdr: float) -> dict[tuple[str, int], float]:
-    """The p above which candidates of a class count as random; a class without one flags none.
+    """The bars of all classes.
 
     One count per class and hundredth of p comes to the driver: some thousands at most.
     """
@@ -136,6 +151,15 @@ def _bars(tested: DataFrame, fdr: float) -> dict[tuple[str, int], float]:
     seen = tested.select(F.explode("candidates").alias("c")).groupBy(F.col("c.enc").alias("enc"), _length_class(F.col("c.n")).alias("cls"), F.least(F.floor(F.col("c.p") * 100), F.lit(99)).cast("int").alias("bin")).count()
     for r in seen.collect():
         counts.setdefault((r.enc, r.cls), [0] * 100)[r.bin] += r["count"]
+    return _bars_of(counts, fdr)
+
+
+def _bars_of(counts: dict[tuple[str, int], list[int]], fdr: float) -> dict[tuple[str, int], float]:
+    """The p above which candidates of a class count as random; a class without one flags none.
+
+    The lower of the bar that the counts prove and the fixed one, which falls away where
+    the texts above it exceed their share by more than two standard errors.
+    """
     bars = {}
     for key, bins in counts.items():
         upper = sum(bins[50:])
@@ -145,9 +169,19 @@ def _bars(tested: DataFrame, fdr: float) -> dict[tuple[str, int], float]:
             if above and max(0.0, above - random * (1 - i / 100)) <= fdr * above + math.sqrt(above) * fdr:
                 bars[key] = i / 100
                 break
+        bar, by_chance = _by_chance(*key)
+        above = sum(bins[round(bar * 100) :])
+        random = max(0.0, upper - by_chance * sum(bins)) / (0.5 - by_chance)
+        if above - random * (1 - bar) <= fdr * above + 2 * math.sqrt(above):
+            bars[key] = min(bar, bars.get(key, bar))
     return bars
 
 
+def _by_chance(enc: str, cls: int) -> tuple[float, float]:
+    known = BY_CHANCE.get({"HEX": "hex", "BASE36": "base36"}.get(enc, enc), [])
+    return known[cls - FIRST_CLASS] if cls - FIRST_CLASS < len(known) else (FLOOR, 0.0)
+
+
 def _length_class(n: Column) -> Column:
     return F.floor(F.log2(n.cast("double")) * 2).cast("int")
 

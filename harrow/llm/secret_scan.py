@@ -42,7 +42,8 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
 #: Shorter hex runs fail anyway; a pattern that skips them finds the same long ones.
 HEX_LONG = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+#: "=" only as padding at the end: a value after NAME= is a run of its own.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:=++(?![A-Za-z0-9+/_-]))?+"
 FDR = 0.05
 FLOOR = 0.01
 PLACEHOLDER = "[SECRET]"

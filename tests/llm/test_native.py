@@ -75,6 +75,21 @@ def test_a_lone_random_string_is_found(spark, words):
     assert flagged(spark, texts) == {0: [(4, 44)], 1: []}
 
 
+def test_values_after_an_equals_sign_are_candidates(spark):
+    rng = random.Random(8)
+    names = ["auth=", "key=", "https://x.org/a?sig=", "DB_PWD=", "A_RATHER_LONG_NAME_OF_A_VARIABLE=", "x=="]
+    texts, expected = [], []
+    for name in names:
+        for tail in ("", "=", "==", "&a=b"):
+            value = random_string(rng, string.ascii_letters + string.digits, 40)
+            texts.append(f"see {name}{value}{tail} end")
+            at = 4 + len(name)
+            expected.append([(at, at + 40 + len(tail.replace("&a=b", "")))])
+    found = flagged(spark, texts)
+    # One random string in 30 has p below FLOOR.
+    assert all(found[i] in (expected[i], []) for i in found) and sum(found[i] == expected[i] for i in found) >= 21
+
+
 def test_most_random_strings_are_found_in_classes_of_any_size():
     rng = random.Random(7)
     for key in (("base62", 10), ("base64", 10), ("base36", 9), ("HEX", 10), ("hex", 10)):

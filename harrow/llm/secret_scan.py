@@ -21,7 +21,8 @@ this share at ``fdr`` (with one standard error to be safe); classes are doubled
 lengths by half steps, so short strings, which text passes by chance, face a higher
 bar. A class too small to tell starts from a fixed bar, the one that holds a share of
 1/20 among as many texts of its length as random strings (``BY_CHANCE``), and keeps it
-unless its own counts say otherwise: a lone random string is found. The count by class
+unless its own counts say otherwise: a lone random string is found. A string counts once,
+however many documents hold it. The count by class
 and hundredth of p is all that leaves the executors.
 """
 
@@ -109,7 +110,7 @@ def _tail(z: str) -> str:
 
 
 def _battery(cut: str) -> str:
-    """SQL: array of (start, end, enc, n, p) of the candidates that could be encoded secrets."""
+    """SQL: array of (start, end, enc, n, id, p) of the candidates that could be encoded secrets."""
     kinds = " ".join(f"when b rlike '{member}' then '{name}'" for name, member, _ in ALPHABETS)
     symbols = " ".join(f"when '{name}' then '{letters}'" for name, _, letters in ALPHABETS)
     body = r"translate(regexp_replace(c.g, '=+$', ''), '-_', '+/')"
@@ -120,18 +121,18 @@ def _battery(cut: str) -> str:
         ("c", "struct(c.start, c.end, c.b, c.enc, c.letters, transform(regexp_extract_all(c.b, '.', 0), x -> instr(c.letters, x) - 1) as v, length(c.b) as n, length(c.letters) as k)"),
         (
             "c",
-            "struct(c.start, c.end, c.enc, c.n, c.k,"
+            "struct(c.start, c.end, c.enc, c.n, xxhash64(c.b) as id, c.k,"
             " aggregate(sequence(1, c.k), 0D, (a, j) -> a + pow(c.n - length(replace(c.b, substr(c.letters, j, 1), '')), 2)) * c.k / c.n - c.n as chi,"
             " aggregate(zip_with(slice(c.v, 1, c.n - 1), slice(c.v, 2, c.n - 1), (x, y) -> if((2 * x >= c.k) <> (2 * y >= c.k), 1, 0)), 0, (a, x) -> a + x) as turns,"
             " aggregate(zip_with(slice(c.v, 1, c.n - 1), slice(c.v, 2, c.n - 1), (x, y) -> (x - (c.k - 1) / 2) * (y - (c.k - 1) / 2)), 0D, (a, x) -> a + x) as lag)",
         ),
         (
             "c",
-            "struct(c.start, c.end, c.enc, c.n, (c.chi - (c.k - 1)) / sqrt(2D * (c.k - 1) * (c.n - 1) / c.n) as z_chi,"
+            "struct(c.start, c.end, c.enc, c.n, c.id, (c.chi - (c.k - 1)) / sqrt(2D * (c.k - 1) * (c.n - 1) / c.n) as z_chi,"
             " abs(c.turns - (c.n - 1) / 2) / sqrt((c.n - 1) / 4D) as z_turns, abs(c.lag) / ((pow(c.k, 2) - 1) / 12) / sqrt(c.n - 1D) as z_lag)",
         ),
-        ("c", f"struct(c.start, c.end, c.enc, c.n, -ln(greatest({_tail('c.z_chi')}, 1e-300)) - ln(greatest(2 * {_tail('c.z_turns')}, 1e-300)) - ln(greatest(2 * {_tail('c.z_lag')}, 1e-300)) as h)"),
-        ("c", "struct(c.start, c.end, c.enc, c.n, least(1D, exp(-c.h) * (1 + c.h + c.h * c.h / 2)) as p)"),
+        ("c", f"struct(c.start, c.end, c.enc, c.n, c.id, -ln(greatest({_tail('c.z_chi')}, 1e-300)) - ln(greatest(2 * {_tail('c.z_turns')}, 1e-300)) - ln(greatest(2 * {_tail('c.z_lag')}, 1e-300)) as h)"),
+        ("c", "struct(c.start, c.end, c.enc, c.n, c.id, least(1D, exp(-c.h) * (1 + c.h + c.h * c.h / 2)) as p)"),
     ]
     out = f"filter({cut}, c -> c.g rlike '[0-9]' and c.g rlike '[A-Za-z]')"
     for i, (var, body) in enumerate(steps):
@@ -144,12 +145,14 @@ def _battery(cut: str) -> str:
 
 
 def _bars(tested: DataFrame, fdr: float) -> dict[tuple[str, int], float]:
-    """The bars of all classes.
+    """The bars of all classes. A string counts once, however often it occurs.
 
     One count per class and hundredth of p comes to the driver: some thousands at most.
     """
     counts: dict[tuple[str, int], list[int]] = {}
-    seen = tested.select(F.explode("candidates").alias("c")).groupBy(F.col("c.enc").alias("enc"), _length_class(F.col("c.n")).alias("cls"), F.least(F.floor(F.col("c.p") * 100), F.lit(99)).cast("int").alias("bin")).count()
+    cls, bin_ = _length_class(F.col("c.n")), F.least(F.floor(F.col("c.p") * 100), F.lit(99)).cast("int")
+    distinct = tested.select(F.explode("candidates").alias("c")).select(F.col("c.enc").alias("enc"), cls.alias("cls"), F.col("c.id").alias("id"), bin_.alias("bin")).distinct()
+    seen = distinct.groupBy("enc", "cls", "bin").count()
     for r in seen.collect():
         counts.setdefault((r.enc, r.cls), [0] * 100)[r.bin] += r["count"]
     return _bars_of(counts, fdr)

@@ -90,6 +90,19 @@ def test_values_after_an_equals_sign_are_candidates(spark):
     assert all(found[i] in (expected[i], []) for i in found) and sum(found[i] == expected[i] for i in found) >= 21
 
 
+def test_copies_do_not_move_the_bar(spark):
+    rng = random.Random(9)
+    letters = string.ascii_letters + string.digits
+    once = [f"see {random_string(rng, letters, 40)} end" for _ in range(60)]
+    alone = flagged(spark, once)
+    tested = spark.createDataFrame(list(enumerate(once)), "i int, text string").select("i", F.expr(S._battery(S._cut("text", S.CANDIDATE)))[0]["p"].alias("p"))
+    p = {r.i: r.p for r in tested.collect()}
+    for near in (0.3, 0.6):
+        copy = min(p, key=lambda i: abs(p[i] - near))
+        found = flagged(spark, once + [once[copy]] * 1000)
+        assert {i: found[i] for i in alone} == alone and sum(map(bool, alone.values())) >= 54
+
+
 def test_most_random_strings_are_found_in_classes_of_any_size():
     rng = random.Random(7)
     for key in (("base62", 10), ("base64", 10), ("base36", 9), ("HEX", 10), ("hex", 10)):

@@ -335,7 +335,7 @@ def silhouette_fixed(spark, sf):
 def kmeans_select_k(spark, sf):
     from ..options import ClusteringOptions
 
-    model = clustering.fit(vectors(spark, sf).drop("cluster_id"), ClusteringOptions(k_grid=(4, 6)), "vec_id")
+    model = clustering.fit(vectors(spark, sf).drop("cluster_id"), ClusteringOptions(), "vec_id")
     rows = [(k, float(s), k == model.k, model.version) for k, s in sorted(model.silhouette_by_k.items())]
     return spark.createDataFrame(rows, "k int, silhouette double, chosen boolean, version string")
 

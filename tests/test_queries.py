@@ -40,3 +40,10 @@ def test_entry():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "bm25_topk" in e.queries()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_choice_of_k_tries_the_whole_grid(spark):
+    rows = registry.QUERIES["kmeans_select_k"](spark, SF).collect()
+    assert sorted(r.k for r in rows) == [4, 6, 8, 10, 12, 16]
+    assert [r.k for r in rows if r.chosen] == [max(rows, key=lambda r: r.silhouette).k]

@@ -10,10 +10,12 @@ candidates by exact inner products, and the tables' lists are merged.
 Largest inner product is turned into least distance by one more coordinate:
 ``x / M`` gets ``sqrt(1 - |x|^2 / M^2)`` (M: the largest norm), queries get 0.
 
-``K`` follows the number of vectors. The number of probes is fitted: on a sample of
+``K`` starts from the number of vectors. The number of probes is fitted: on a sample of
 at most ``FIT_ROWS`` index rows and ``FIT_QUERIES`` queries, the fewest that find
 ``target`` of the sample's true neighbours (which are farther apart than those of the
-whole table, so the whole does no worse). Every row is indexed.
+whole table, so the whole does no worse). Where ``MOST_PROBES`` don't, ``K`` is lowered
+until they do. Every row is indexed. Queries whose buckets hold fewer than ``k`` rows
+are compared with all rows, block by block.
 
 Of equal vectors only the ``k + 1`` smallest ids can be in a result, as ties go to the
 smaller id; the others are left out of the index, which loses nothing.
@@ -137,6 +139,15 @@ def _entries(batches: Iterator[pa.RecordBatch], functions: int, largest: float,
                     yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(ids[rows[who]]), pa.array([images[j] for j in who], pa.binary())], schema=schema)
 
 
+@lean
+def _images(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """(cell, id, vector) with the length as the cell."""
+    for batch in batches:
+        ids = batch.column("id").to_numpy(zero_copy_only=False)
+        for rows, x in _vectors(batch.column("vector")):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), x.shape[1])), pa.array(ids[rows]), pa.array([v.tobytes() for v in x], pa.binary())], schema=schema)
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best, ties to the smaller id."""
     return np.lexsort((ids, -scores))[:k]
@@ -205,7 +216,7 @@ def _rank(batches: Iterator[pa.RecordBatch], k: int, schema: pa.Schema) -> Itera
 
 
 def fit_probes(index: list[tuple[int, list[float]]], queries: list[tuple[int, list[float]]], functions: int, largest: float, k: int, target: float) -> int:
-    """Fewest probes a table that find ``target`` of the true neighbours within the sample."""
+    """Fewest probes a table that find ``target`` of the true neighbours within the sample; more than MOST_PROBES: none do."""
     dims = {len(v) for _, v in index}
     ranks = []
     for dim in dims:
@@ -231,7 +242,7 @@ def fit_probes(index: list[tuple[int, list[float]]], queries: list[tuple[int, li
     if not ranks or not sum(map(len, ranks)):
         return 1
     every = np.sort(np.concatenate(ranks))
-    return int(min(MOST_PROBES, every[min(len(every) - 1, math.ceil(target * len(every)) - 1)]))
+    return int(every[min(len(every) - 1, math.ceil(target * len(every)) - 1)])
 
 
 def nearest(index: DataFrame, queries: DataFrame, k: int = 20, target: float = TARGET, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -239,8 +250,8 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 20, target: float = T
     inner product (double precision), a query's own id excluded, ties to the smaller id.
 
     Vectors that are null, empty, zero, or hold a null or non-finite component take no
-    part; vectors meet only those of their own length. A query with fewer than ``k``
-    candidates gets what its buckets hold. Repeated (id, vector) rows count once.
+    part; vectors meet only those of their own length. A query whose buckets hold fewer
+    than ``k`` candidates gets its exact neighbours. Repeated (id, vector) rows count once.
     Empty tables give no rows; other columns are ignored.
     """
     spark: SparkSession = index.sparkSession
@@ -254,7 +265,10 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 20, target: float = T
     functions = min(MOST_FUNCTIONS, max(1, round(math.log(max(1.0, head.n / BUCKET_ROWS)) / math.log(SPREAD))))
     largest = float(head.largest or 1.0)
     some = lambda df, n: [(r.id, r.vector) for r in df.orderBy(F.xxhash64(F.lit(SEED), "id")).limit(n).collect()]
-    probes = fit_probes(some(rows, FIT_ROWS), some(asked, FIT_QUERIES), functions, largest, k, target)
+    sample, sample_asked = some(rows, FIT_ROWS), some(asked, FIT_QUERIES)
+    while (probes := fit_probes(sample, sample_asked, functions, largest, k, target)) > MOST_PROBES and functions > 1:
+        functions -= 1
+    probes = min(probes, MOST_PROBES)
 
     schema = pa.schema([("cell", pa.int64()), ("id", pa.int64()), ("vector", pa.binary())])
     make = lambda df, n: df.mapInArrow(partial(_entries, functions=functions, largest=largest, probes=n, schema=schema), "cell bigint, id bigint, vector binary")
@@ -264,14 +278,26 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 20, target: float = T
     entries = entries.join(fit(sizes.where("parts > 1")), "cell", "left").select("cell", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(0).cast("int").alias("part"), "id", F.lit(False).alias("asks"), "vector")
     probing = probing.join(fit(sizes), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", F.lit(True).alias("asks"), "vector")
     out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-    lists = (
-        entries.unionByName(probing)
-        .repartition(shuffle_partitions(spark), "cell", "part")
-        .sortWithinPartitions("cell", "part", "asks")
-        .mapInArrow(partial(_rank, k=k, schema=out), "query_id bigint, vec_id bigint, score double")
-    )
+
+    def ranked(entries: DataFrame, probing: DataFrame) -> DataFrame:
+        return (
+            entries.unionByName(probing)
+            .repartition(shuffle_partitions(spark), "cell", "part")
+            .sortWithinPartitions("cell", "part", "asks")
+            .mapInArrow(partial(_rank, k=k, schema=out), "query_id bigint, vec_id bigint, score double")
+        )
+
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    merged = lists.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    merge = lambda lists: lists.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    merged = staged(merge(ranked(entries, probing)), "ann-found")
+    full = merged.groupBy("query_id").count().where(F.col("count") >= k)
+    short = staged(asked.join(full, asked.id == full.query_id, "left_anti"), "ann-short")
+    if short.head() is not None:
+        image = lambda df: df.mapInArrow(partial(_images, schema=schema), "cell bigint, id bigint, vector binary")
+        parts = max(1, math.ceil(head.n / PART_ROWS))
+        every = image(rows).select("cell", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), "id", F.lit(False).alias("asks"), "vector")
+        asking = image(short).select("cell", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "id", F.lit(True).alias("asks"), "vector")
+        merged = merge(merged.unionByName(ranked(every, asking)))
     return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

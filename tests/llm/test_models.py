@@ -94,6 +94,33 @@ def test_neighbours_and_recall(spark, scale):
     assert A.nearest(table.where("false"), table).count() == 0
 
 
+def test_probes_that_do_not_reach_lower_the_functions(spark, monkeypatch):
+    monkeypatch.setattr(A, "MOST_PROBES", 2)
+    monkeypatch.setattr(A, "BUCKET_ROWS", 10)
+    x = np.random.default_rng(3).standard_normal((2000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id) for r in A.nearest(table, table.where("vec_id % 20 = 0")).collect()}
+    near = x[::20] @ x.T
+    near[np.arange(100), np.arange(100) * 20] = -9
+    wanted = {(q * 20, int(i)) for q in range(100) for i in np.argsort(-near[q])[:20]}
+    recall = len(got & wanted) / len(wanted)
+    assert recall >= 0.95, recall
+
+
+def test_a_query_far_from_all_gets_its_exact_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(A, "BUCKET_ROWS", 2)
+    rng = np.random.default_rng(4)
+    x = np.eye(16)[0] + 0.01 * rng.standard_normal((3000, 16))
+    far = -np.eye(16)[0] + 0.3 * np.eye(16)[1]
+    schema = "vec_id long, embedding array<double>"
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], schema)
+    # The fit follows the many queries that lie among the rows.
+    asked = spark.createDataFrame([(9000, far.tolist())] + [(i, x[i].tolist()) for i in range(150)], schema)
+    got = A.nearest(table, asked).where("query_id = 9000").orderBy("rank").collect()
+    assert [r.vec_id for r in got] == np.argsort(-(x @ far), kind="stable")[:20].tolist(), len(got)
+
+
 def test_probe_order():
     inside = np.array([0.1, 0.5, 0.95])
     moves = A.probe_sequence(inside, 27)

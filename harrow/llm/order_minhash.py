@@ -1,12 +1,11 @@
 """Order MinHash fingerprints: sketches of a text that follow its edit distance.
 
 Every 8-character piece of a text is numbered by its earlier occurrences, and the
-numbered piece hashed. One permutation of the hashes is cut into 64 bins; in each
-bin the two smallest are taken, put back in text order, and their pair hashed into
+numbered piece hashed. Each of 64 independent permutations selects the two pieces
+that it puts first; they are put back in text order, and their pair is hashed into
 one 32-bit component. Unlike a MinHash component it changes when pieces change
-places. A bin that holds nothing takes over that of another bin, picked by a fixed
-pseudo-random order (so alike texts pick alike). The likeness of two fingerprints is
-the share of equal components: 1 for equal texts, near 0 for unrelated ones.
+places. The likeness of two fingerprints is the share of equal components: 1 for
+equal texts, near 0 for unrelated ones.
 
 A text shorter than a piece is one piece; the empty text has the fingerprint ``-``
 and is like nothing but itself.
@@ -15,33 +14,40 @@ and is like nothing but itself.
 from __future__ import annotations
 
 import hashlib
+import json
+import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, shuffle_partitions
+from .common import lean, shuffle_partitions, staged
 from .words import mix
 
 PIECE = 8
-BINS = 64
+PERMUTATIONS = 64
 TAKEN = 2
 EMPTY = "-"
+#: Code points of a text that one block of permuted values covers.
+SPAN = 2048
+#: Bytes of text that a stretch of documents is meant to hold.
+STRETCH_BYTES = 1 << 26
+#: Equal rows (id and text) from here on may be dealt to several stretches.
+HOT_ROWS = 10_000
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 _ODD = mix(np.arange(1, 65, dtype=np.uint64) * _STEP) | _U(1)
+_FLIP = (mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * _U(0xA0761D6478BD642F)) >> _U(32)).astype(np.uint32)[:, None]
+_TIMES = ((mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * _U(0xE7037ED1A0B428DB)) >> _U(32)).astype(np.uint32) | np.uint32(1))[:, None]
+_LAST = np.uint32(0xFFFFFFFF)
+_ROW = np.arange(PERMUTATIONS)
 
-
-def _other_bins() -> np.ndarray:
-    """For each bin, all bins in the order in which it asks them when it is empty."""
-    tries = mix(np.arange(BINS * BINS, dtype=np.uint64) + _U(0xABCDEF)).reshape(BINS, BINS)
-    return np.argsort(tries, axis=1)
-
-
-_ASK = _other_bins()
+#: The two pieces that each permutation puts first: ranks and positions, first and second.
+Chosen = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def piece_hashes(codes: np.ndarray, piece: int = PIECE) -> np.ndarray:
@@ -71,50 +77,67 @@ def numbered(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(text: str, piece: int = PIECE) -> np.ndarray | None:
-    """The 64 components, or None for an empty text."""
-    if not text:
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _nothing() -> Chosen:
+    return np.full(PERMUTATIONS, _LAST), np.full(PERMUTATIONS, -1), np.full(PERMUTATIONS, _LAST), np.full(PERMUTATIONS, -1)
+
+
+def select(items: np.ndarray, first: int, last: int, before: Chosen | None = None) -> Chosen:
+    """The choice among ``items[:last]``, where ``before`` is that among ``items[:first]``. Ties go to the earlier piece."""
+    r1, p1, r2, p2 = before or _nothing()
+    low = (items[first:last] >> _U(32)).astype(np.uint32)
+    for i in range(0, len(low), SPAN):
+        ranks = (low[i : i + SPAN] ^ _FLIP) * _TIMES
+        a = ranks.argmin(axis=1)
+        ra = ranks[_ROW, a]
+        if ranks.shape[1] > 1:
+            ranks[_ROW, a] = _LAST
+            b = ranks.argmin(axis=1)
+            # The very last rank may be a piece's own; never take the first one twice.
+            b = np.where(b == a, (a == 0).astype(b.dtype), b)
+            rb, b = ranks[_ROW, b], b + first + i
+        else:
+            rb, b = np.full(PERMUTATIONS, _LAST), np.full(PERMUTATIONS, -1)
+        a = a + first + i
+        # Merge two ordered pairs; an absent piece (-1) comes after all.
+        none1, none2 = p1 < 0, p2 < 0
+        wins = none1 | (ra < r1)
+        second_old, second_old_at, second_old_none = np.where(wins, r1, r2), np.where(wins, p1, p2), np.where(wins, none1, none2)
+        second_new, second_new_at = np.where(wins, rb, ra), np.where(wins, b, a)
+        r1, p1 = np.where(wins, ra, r1), np.where(wins, a, p1)
+        takes = (second_new_at >= 0) & (second_old_none | (second_new < second_old))
+        r2, p2 = np.where(takes, second_new, second_old), np.where(takes, second_new_at, second_old_at)
+    return r1, p1, r2, p2
+
+
+def components_of(items: np.ndarray, chosen: Chosen) -> np.ndarray | None:
+    """One hash for each permutation, of its pieces in text order; None for no pieces."""
+    if not len(items):
         return None
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return sketch_of(numbered(piece_hashes(codes, piece)))
-
-
-def sketch_of(items: np.ndarray) -> np.ndarray:
-    n = len(items)
-    if n > 1024:
-        # The smallest items of every bin are almost surely below this bar; if some bin lacks them, all are used.
-        bar = _U(min((1 << 64) - 1, int((1 << 64) * 640.0 / n)))
-        inner = items * _STEP
-        at = np.flatnonzero(mix(inner) < bar)
-        values = items[at]
-    else:
-        at, values = np.arange(n), items
-    for whole in (False, True):
-        if whole:
-            at, values = np.arange(n), items
-        rank = mix(values * _STEP)
-        bins = (values & _U(BINS - 1)).astype(np.int64)
-        order = np.lexsort((at, rank, bins))
-        b = bins[order]
-        count = np.bincount(b, minlength=BINS)
-        if n <= 1024 or whole or count.min() >= TAKEN:
-            break
-    first = np.cumsum(count) - count
-    filled = np.flatnonzero(count)
-    one = order[first[filled]]
-    two = order[first[filled] + (count[filled] > 1)]
-    swap = at[one] > at[two]
-    left, right = np.where(swap, values[two], values[one]), np.where(swap, values[one], values[two])
-    pairs = np.zeros(BINS, np.uint64)
-    pairs[filled] = mix(left * _ODD[10] + right * _ODD[11] + (count[filled] > 1).astype(np.uint64))
-    if len(filled) < BINS:
-        have = count > 0
-        for empty in np.flatnonzero(~have):
-            asked = _ASK[empty]
-            pairs[empty] = pairs[asked[np.argmax(have[asked])]]
+    _, p1, _, p2 = chosen
+    alone = p2 < 0
+    left, right = np.where(alone, p1, np.minimum(p1, p2)), np.where(alone, p1, np.maximum(p1, p2))
+    pairs = mix(items[left] * _ODD[10] + items[right] * _ODD[11] + (~alone).astype(np.uint64) + _ROW.astype(np.uint64) * _STEP)
     return (pairs >> _U(32)).astype(np.uint32)
 
 
+def sketch(text: str, piece: int = PIECE) -> np.ndarray | None:
+    """The 64 components, or None for an empty text."""
+    items = numbered(piece_hashes(_codes(text), piece))
+    return components_of(items, select(items, 0, len(items)))
+
+
+def sketch_both(text: str, edited: str, same: int, piece: int = PIECE) -> tuple[np.ndarray | None, np.ndarray | None]:
+    """Sketches of two texts that share their first ``same`` code points: the shared pieces are permuted once."""
+    one, two = (numbered(piece_hashes(_codes(t), piece)) for t in (text, edited))
+    shared = max(0, same - piece + 1)
+    first = select(one, 0, shared) if shared else None
+    return tuple(components_of(items, select(items, shared, len(items), first)) for items in (one, two))
+
+
 def shown(components: np.ndarray | None) -> str:
     return EMPTY if components is None else components.astype(">u4").tobytes().hex()
 
@@ -134,40 +157,109 @@ def fingerprint(batches: Iterator[pa.RecordBatch], piece: int) -> Iterator[pa.Re
 
 
 def with_fingerprint(docs: DataFrame, keep: list[str], piece: int = PIECE, text: str = "text") -> DataFrame:
-    """The columns ``keep`` of ``docs`` and ``fingerprint``. Null text counts as empty; rows stay as they are."""
+    """The columns ``keep`` of ``docs`` and ``fingerprint`` (one named so is replaced).
+
+    Null text counts as empty. Rows stay as they are, repeated ones too; no rows give none.
+    """
     keep = [c for c in keep if c != "fingerprint"]
     rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("harrow_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "harrow_text")
     return rows.mapInArrow(partial(fingerprint, piece=piece), f"{schema + ', ' if schema else ''}fingerprint string")
 
 
-def neighbours(docs: DataFrame) -> DataFrame:
-    """(stretch, ahead, doc_id, text): rows in runs of ascending doc_id, each followed by the row that comes after it.
+def _after(key: tuple) -> tuple | None:
+    """The least key above ``key``: (doc_id, hash), ordered as Spark orders structs."""
+    doc_id, h = key
+    return (doc_id, h + 1) if h < (1 << 63) - 1 else None
+
+
+def _order(key: tuple) -> tuple:
+    return key[0] is not None, key[0] or 0, key[1]
 
-    Quantiles of doc_id cut the order into stretches. The first row of each stretch is
-    also sent to the one before (``ahead``), the very first to the last: so every row
-    meets its successor though only whole texts' one shuffle takes place. Nulls come
-    first, equal ids by text.
+
+def stretches(keys: DataFrame, parts: int, hot_rows: int) -> tuple[list[tuple], list[int], list[int]]:
+    """(cuts, base, parts of each): stretches of the order of ``keys(doc_id, h)``.
+
+    Stretch ``i`` begins with the key ``cuts[i]`` and has the numbers from ``base[i]``
+    on, one unless it is a single much repeated key. About ``parts`` rows reach the
+    driver: the first key of each range, and the keys with more than a range's rows.
     """
-    spark = docs.sparkSession
-    n = shuffle_partitions(spark)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("q")).first().q or [] if n > 1 else []
-    cuts = sorted(set(cuts))
-    # The number of cuts that the id is above: a stretch is one range of ids.
-    stretch = F.when(F.col("doc_id").isNull(), 0).otherwise(F.expr(f"size(filter(array({', '.join(f'{c}L' for c in cuts)}), c -> c < doc_id))")) if cuts else F.lit(0)
-    rows = rows.withColumn("stretch", stretch.cast("int"))
-    firsts = rows.groupBy("stretch").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("f")).select("stretch", "f.doc_id").collect()
-    order = sorted(r.stretch for r in firsts)
-    before = dict(zip(order, [order[-1], *order[:-1]], strict=True)) if order else {}
-    send = F.lit(None).cast("int")
-    for r in firsts:
-        mine = F.col("doc_id").eqNullSafe(F.lit(r.doc_id).cast("bigint")) & (F.col("stretch") == r.stretch)
-        send = F.when(mine, F.lit(before[r.stretch])).otherwise(send)
-    own = F.struct(F.col("stretch").alias("stretch"), F.lit(False).alias("ahead"))
-    both = F.when(send.isNotNull(), F.array(own, F.struct(send.alias("stretch"), F.lit(True).alias("ahead")))).otherwise(F.array(own))
-    rows = rows.select("doc_id", "text", F.explode(both).alias("s")).select("s.stretch", "s.ahead", "doc_id", "text")
-    return rows.repartition(n, "stretch").sortWithinPartitions("stretch", "ahead", "doc_id", "text")
+    total = keys.count()
+    if not total:
+        return [], [], []
+    bar = max(hot_rows, math.ceil(total / parts))
+    counted = keys.repartitionByRange(parts, "doc_id", "h").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).withColumn("at", F.spark_partition_id())
+    key = F.struct("doc_id", "h")
+    ranges = counted.groupBy("at").agg(F.min(key).alias("first"), F.collect_list(F.when(F.col("n") > bar, F.struct("doc_id", "h", "n"))).alias("hot")).collect()
+    cuts = {tuple(r.first) for r in ranges}
+    hot = {(x.doc_id, x.h): x.n for r in ranges for x in r.hot}
+    known = sorted(cuts | set(hot), key=_order)
+    for k in hot:
+        # What follows a hot key begins a stretch of its own, if any row does.
+        place = bisect_left(known, _order(k), key=_order)
+        nxt = known[place + 1] if place + 1 < len(known) else None
+        found = keys.where(key > F.struct(F.lit(k[0]).cast("bigint").alias("doc_id"), F.lit(k[1]).alias("h"))).agg(F.min(key).alias("k")).first().k
+        if found is not None and (nxt is None or _order(tuple(found)) < _order(nxt)):
+            cuts.add(tuple(found))
+    known = sorted(cuts | set(hot), key=_order)
+    sizes = [math.ceil(hot[k] / bar) if k in hot else 1 for k in known]
+    base = [sum(sizes[:i]) for i in range(len(sizes))] if len(sizes) < 2 else [0, *np.cumsum(sizes)[:-1].tolist()]
+    return known, base, sizes
+
+
+def _stretch_of(cuts: list[tuple]) -> Column:
+    """Position of the last cut at or below (doc_id, h): first among each 64th cut, then among the 64 from there."""
+    kind = "array<struct<doc_id:bigint,h:bigint>>"
+    listed = lambda some: F.from_json(F.lit(json.dumps([{"doc_id": d, "h": h} for d, h in some])), kind)
+    own = F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("h").alias("h"))
+    below = lambda some: F.size(F.filter(some, lambda c: c <= own))
+    coarse = F.greatest(below(listed(cuts[::64])) - 1, F.lit(0)) * 64
+    return (coarse + below(F.slice(listed(cuts), coarse + 1, F.lit(64))) - 1).cast("int")
+
+
+@lean
+def _one_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each number that this task meets."""
+    seen: set[int] = set()
+    for batch in batches:
+        at = []
+        for i, number in enumerate(batch.column("number").to_pylist()):
+            if number not in seen:
+                seen.add(number)
+                at.append(i)
+        if at:
+            yield batch.take(pa.array(at)) if len(at) < batch.num_rows else batch
+
+
+def neighbours(docs: DataFrame, stretch_bytes: int = STRETCH_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(number, ahead, doc_id, text): rows in stretches of the ascending order, one partition
+    each, every stretch closed by the row that comes after it (``ahead``).
+
+    The order is (doc_id, hash of the text), nulls first. The slim table of these keys
+    gives the stretches, so whole texts are shuffled once. A key repeated beyond
+    ``hot_rows`` is dealt to several stretches: its rows are equal, so any of them
+    may follow any other.
+    """
+    spark: SparkSession = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    keys = staged(rows.select("doc_id", "h", F.octet_length("text").alias("bytes")), "order-keys")
+    parts = max(shuffle_partitions(spark), math.ceil((keys.agg(F.sum("bytes")).first()[0] or 0) / stretch_bytes))
+    cuts, base, sizes = stretches(keys.drop("bytes"), parts, hot_rows)
+    if not cuts:
+        return rows.select(F.lit(0).alias("number"), F.lit(False).alias("ahead"), "doc_id", "text")
+    many = sum(sizes)
+    dealt = rows.withColumn("s", _stretch_of(cuts))
+    lists = lambda x: F.from_json(F.lit(json.dumps(x)), "array<int>")
+    number = F.element_at(lists(base), F.col("s") + 1)
+    if many > len(cuts):
+        number = number + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.element_at(lists(sizes), F.col("s") + 1)).cast("int")
+    # What closes a number: another row of a hot key, else the first key of the next stretch.
+    closes = [(base[i] + j, *(cuts[i] if j < sizes[i] - 1 else cuts[(i + 1) % len(cuts)])) for i in range(len(cuts)) for j in range(sizes[i])]
+    wanted = F.broadcast(spark.createDataFrame(closes, "number int, c_doc_id bigint, c_h bigint"))
+    ahead = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("c_doc_id")) & (F.col("h") == F.col("c_h"))).select("number", F.lit(True).alias("ahead"), "doc_id", "h", "text")
+    ahead = ahead.mapInArrow(_one_each, ahead.schema).dropDuplicates(["number"])
+    both = dealt.select(number.alias("number"), F.lit(False).alias("ahead"), "doc_id", "h", "text").unionByName(ahead)
+    return both.repartitionById(many, "number").sortWithinPartitions("number", "ahead", "doc_id", "h").drop("h")
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
@@ -175,50 +267,50 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha2
 
 @lean
 def _compare(batches: Iterator[pa.RecordBatch], piece: int) -> Iterator[pa.RecordBatch]:
-    """Rows come by stretch, own rows before the one ahead; one row is held back until its successor is seen."""
+    """Rows come by number, the row ahead last; one row is held back until its successor is seen."""
     held: tuple | None = None
-    stretch, met = None, False
     rows: list[tuple] = []
 
-    def pair(one: tuple, two_text: str, two_sketch) -> tuple:
-        doc_id, text, own = one
-        n = len(text)
-        tail = n // 4
-        edited = text[: n - tail] + two_text[:tail]
-        other = sketch(edited, piece)
-        return doc_id, n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), shown(own), shown(other), likeness(own, other), likeness(own, two_sketch)
-
     def batch_of() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _OUT, strict=True)], schema=_OUT)
 
+    # The last row's likeness to its successor's needs only this one's sketch; others get theirs with their edited text's.
+    waiting: tuple | None = None
     for batch in batches:
-        for own, ahead, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if own != stretch:
-                stretch, held, met = own, None, False
-            if met:
-                continue  # further rows of the id ahead
-            mine = sketch(text, piece)
-            if held is not None:
-                rows.append(pair(held, text, mine))
-            held = (doc_id, text, mine)
-            met = ahead
+        for number, doc_id, text in zip(batch.column("number").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            if held is not None and held[0] == number:
+                _, own_id, own_text = held
+                tail = len(own_text) // 4
+                edited = own_text[: len(own_text) - tail] + text[:tail]
+                own, other = sketch_both(own_text, edited, len(own_text) - tail, piece)
+                if waiting is not None:
+                    rows.append((*waiting[:-1], likeness(waiting[-1], own)))
+                waiting = (own_id, len(own_text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), shown(own), shown(other), likeness(own, other), own)
+            elif waiting is not None:
+                rows.append((*waiting[:-1], likeness(waiting[-1], sketch(held[2], piece))))
+                waiting = None
+            held = (number, doc_id, text)
             if len(rows) >= 500:
                 yield batch_of()
                 rows = []
+    if waiting is not None:
+        rows.append((*waiting[:-1], likeness(waiting[-1], sketch(held[2], piece))))
     if rows:
         yield batch_of()
 
 
-def compare_with_edits(docs: DataFrame, piece: int = PIECE) -> DataFrame:
+def compare_with_edits(docs: DataFrame, piece: int = PIECE, stretch_bytes: int = STRETCH_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text is the text with its last quarter (``n // 4`` code points) replaced
     by the start of the next document's, in ascending doc_id (null ids first, equal ids
-    by text; after the last comes the first). Null text is empty. A single row is its
-    own successor. Empty table: no rows.
+    by the 64-bit hash of their text; after the last comes the first). Null text is
+    empty. A single row is its own successor; repeated rows follow one another. Empty
+    table: no rows. Other columns are ignored.
     """
-    return neighbours(docs).mapInArrow(partial(_compare, piece=piece), "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return neighbours(docs, stretch_bytes, hot_rows).mapInArrow(partial(_compare, piece=piece), "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for all of ``documents``, by ``compare_with_edits``."""
     return compare_with_edits(spark.read.parquet(f"{sf_dir}/documents.parquet"))

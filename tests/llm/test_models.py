@@ -5,6 +5,8 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from harrow.llm import ann as A
 from harrow.llm import order_minhash as O
@@ -26,39 +28,80 @@ def test_fingerprints_follow_edits(words):
     turned = text[half:] + text[:half]
     assert O.likeness(one, O.sketch(turned)) < 0.9  # the same pieces in another order
     assert O.shown(O.sketch("")) == O.EMPTY and O.likeness(None, None) == 1.0 and O.likeness(None, one) == 0.0
-    assert O.likeness(O.sketch("abc"), O.sketch("abc")) == 1.0 and len(O.shown(O.sketch("a" * 5000))) == 8 * O.BINS
+    assert O.likeness(O.sketch("abc"), O.sketch("abc")) == 1.0 and len(O.shown(O.sketch("a" * 5000))) == 8 * O.PERMUTATIONS
 
 
 def test_selection_equals_taking_the_smallest(words):
-    text = " ".join(words[:900])
-    items = O.numbered(O.piece_hashes(np.frombuffer(text.encode("utf-32-le"), np.uint32)))
-    rank = O.mix(items * O._STEP)
-    bins = items & np.uint64(O.BINS - 1)
-    wanted = []
-    for b in range(O.BINS):
-        own = np.flatnonzero(bins == b)
-        own = np.sort(own[np.argsort(rank[own], kind="stable")][:2])
-        wanted.append(O.mix(items[own[:1]] * O._ODD[10] + items[own[-1:]] * O._ODD[11] + np.uint64(len(own) > 1))[0] >> np.uint64(32))
-    assert (O.sketch_of(items) == np.array(wanted, np.uint32)).all()
+    for text in (" ".join(words[:900]), "ab" * 3000, "x", "abcdefghi"):
+        items = O.numbered(O.piece_hashes(O._codes(text)))
+        wanted = []
+        for flip, times in zip(O._FLIP[:, 0].tolist(), O._TIMES[:, 0].tolist(), strict=True):
+            rank = [((int(x) >> 32) ^ flip) * times % (1 << 32) for x in items]
+            own = sorted(sorted(range(len(rank)), key=lambda i: (rank[i], i))[:2])
+            wanted.append(own)
+        _, p1, _, p2 = O.select(items, 0, len(items))
+        assert [sorted({a, b} - {-1}) for a, b in zip(p1.tolist(), p2.tolist(), strict=True)] == wanted
+        for cut in (0, 1, 7, len(text) // 2, len(text)):
+            edited = text[:cut] + "another end, " * 30
+            assert [O.shown(x) for x in O.sketch_both(text, edited, cut)] == [O.shown(O.sketch(text)), O.shown(O.sketch(edited))]
     again = O.numbered(np.array([5, 9, 5, 5, 9], np.uint64))
     assert len(set(again.tolist())) == 5 and again[0] == 5 and again[1] == 9
 
 
-def test_edited_texts(spark, odd_rows):
-    got = sorted(O.compare_with_edits(make_docs(spark, odd_rows)).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.n_chars))
-    rows = sorted(((i, t or "") for i, t, _ in odd_rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    assert len(got) == len(rows)
-    for k, (r, (i, t)) in enumerate(zip(got, rows, strict=True)):
+def order_of(row):
+    return row[0] is not None, row[0] or 0, np.uint64(xxhash.xxh64(row[1].encode(), seed=42).intdigest()).astype(np.int64)
+
+
+def hold_edits(got, rows):
+    """``got`` are the rows that ``rows`` (doc_id, text) must give."""
+    rows = sorted(((i, t or "") for i, t in rows), key=order_of)
+    wanted = []
+    for k, (i, t) in enumerate(rows):
         after = rows[(k + 1) % len(rows)][1]
         edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
-        assert (r.doc_id, r.n_chars, r.edited_sha256) == (i, len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert r.fingerprint == O.shown(O.sketch(t)) and r.edited_fingerprint == O.shown(O.sketch(edited))
-        assert r.near_next == O.likeness(O.sketch(t), O.sketch(after))
+        own, other = O.sketch(t), O.sketch(edited)
+        wanted.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), O.shown(own), O.shown(other), O.likeness(own, other), O.likeness(own, O.sketch(after))))
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(map(tuple, got), key=key) == sorted(wanted, key=key)
+
+
+@pytest.mark.parametrize("parts", [4, 211, 4000])
+def test_edited_texts(spark, odd_rows, words, parts):
+    rng = random.Random(14)
+    rows = [(i, t) for i, t, _ in odd_rows] + [(100 + i, " ".join(rng.choices(words, k=5))) for i in range(300)]
+    rng.shuffle(rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        hold_edits(O.compare_with_edits(make_docs(spark, [(i, t, "s") for i, t in rows])).collect(), rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("hot", [[(None, "a much repeated text")], [(7, None)], [(400, "the same words over and over"), (401, "the next")], [(400, "x y z"), (None, "x y z")]])
+def test_much_repeated_rows_spread_over_stretches(spark, words, hot):
+    rng = random.Random(15)
+    rows = [(rng.choice([None, i]), " ".join(rng.choices(words, k=4))) for i in range(300)] + [h for h in hot for _ in range(600)]
+    rng.shuffle(rows)
+    docs = make_docs(spark, [(i, t, "s") for i, t in rows])
+    hold_edits(O.compare_with_edits(docs, hot_rows=100).collect(), rows)
+    sizes = [r["n"] for r in O.neighbours(docs, hot_rows=100).where("not ahead").groupBy("number").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 600
+
+
+def test_edits_of_few_rows(spark, odd_rows):
     assert O.compare_with_edits(make_docs(spark, odd_rows).where("false")).count() == 0
     single = O.compare_with_edits(make_docs(spark, [(1, "abcdefgh", "s")])).collect()
     assert len(single) == 1 and single[0].near_next == 1.0
 
 
+def test_fingerprint_column(spark, odd_rows):
+    docs = make_docs(spark, odd_rows).withColumn("fingerprint", F.lit(0))
+    got = O.with_fingerprint(docs, docs.columns).collect()
+    assert len(got) == len(odd_rows) and all(r.fingerprint == O.shown(O.sketch(r.text or "")) for r in got)
+    assert O.with_fingerprint(docs.where("false"), []).columns == ["fingerprint"]
+
+
 def _exact(ids, x, query, k):
     s = (x * x[ids.index(query)]).sum(axis=1)
     order = sorted((i for i in range(len(ids)) if ids[i] != query), key=lambda i: (-s[i], ids[i]))

@@ -34,6 +34,8 @@ TAKEN = 2
 EMPTY = "-"
 #: Code points of a text that one block of permuted values covers.
 SPAN = 2048
+#: Code points of the texts that are compared at once.
+BLOCK_CHARS = 1 << 16
 #: Bytes of text that a stretch of documents is meant to hold.
 STRETCH_BYTES = 1 << 26
 #: Equal rows (id and text) from here on may be dealt to several stretches.
@@ -45,97 +47,139 @@ _FLIP = (mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * _U(0xA0761D6478BD
 _TIMES = ((mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * _U(0xE7037ED1A0B428DB)) >> _U(32)).astype(np.uint32) | np.uint32(1))[:, None]
 _LAST = np.uint32(0xFFFFFFFF)
 _ROW = np.arange(PERMUTATIONS)
+_SALT = _ROW.astype(np.uint64) * _STEP
 
-#: The two pieces that each permutation puts first: ranks and positions, first and second.
-Chosen = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+_ABSENT = _U(0xFFFFFFFFFFFFFFFF)
+_KNOWN_BITS = 16
 
 
-def piece_hashes(codes: np.ndarray, piece: int = PIECE) -> np.ndarray:
-    """Hash of each run of ``piece`` code points; a shorter text is one run."""
+def piece_hashes(codes: np.ndarray, sizes: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets): of each run of ``piece`` code points within each of the texts in turn; a shorter text is one run."""
     wide = codes.astype(np.uint64) + _U(1)
-    n = len(codes)
-    if n < piece:
-        return mix((wide * _ODD[:n]).sum(keepdims=True) + _U(n) * np.ones(1, np.uint64)) if n else np.zeros(0, np.uint64)
-    out = np.zeros(n - piece + 1, np.uint64)
-    for k in range(piece):
-        out += wide[k : n - piece + 1 + k] * _ODD[k]
-    return mix(out)
+    ends = np.cumsum(sizes)
+    count = np.where(sizes >= piece, sizes - piece + 1, (sizes > 0).astype(np.int64))
+    offsets = np.concatenate(([0], np.cumsum(count)))
+    out = np.zeros(int(offsets[-1]), np.uint64)
+    if len(wide) >= piece:
+        m = len(wide) - piece + 1
+        rolled, term = wide[:m] * _ODD[0], np.empty(m, np.uint64)
+        for k in range(1, piece):
+            np.multiply(wide[k : m + k], _ODD[k], out=term)
+            rolled += term
+        long = sizes >= piece
+        starts = np.zeros(len(wide), bool)  # where a run begins: not in a text's last positions
+        for begin, n in zip((ends - sizes)[long].tolist(), count[long].tolist(), strict=True):
+            starts[begin : begin + n] = True
+        out[np.repeat(long, count)] = mix(rolled[starts[:m]])
+    for d in np.flatnonzero((sizes > 0) & (sizes < piece)).tolist():
+        own = wide[ends[d] - sizes[d] : ends[d]]
+        out[offsets[d]] = mix((own * _ODD[: len(own)]).sum(keepdims=True) + _U(len(own)))[0]
+    return out, offsets
 
 
 def numbered(hashes: np.ndarray) -> np.ndarray:
-    """Hashes with the number of the same piece's earlier occurrences mixed in."""
-    order = np.argsort(hashes, kind="stable")
-    again = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]]) + 1
-    if not len(again):
+    """Hashes of one text with the number of the same piece's earlier occurrences mixed in."""
+    ordered = np.sort(hashes)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(twice):
         return hashes
-    # Runs of equal pieces: position in the run is the occurrence number.
-    head = np.concatenate(([True], np.diff(again) != 1))
-    start = np.flatnonzero(head)
-    run = np.arange(len(again)) - np.repeat(start, np.diff(np.append(start, len(again)))) + 1
+    # Only pieces that may be repeated (by their leading bits) are put in order with their places.
+    known = np.zeros(1 << _KNOWN_BITS, bool)
+    known[twice >> _U(64 - _KNOWN_BITS)] = True
+    maybe = np.flatnonzero(known[hashes >> _U(64 - _KNOWN_BITS)])
+    order = maybe[np.argsort(hashes[maybe], kind="stable")]
+    own = hashes[order]
+    fresh = np.concatenate(([True], own[1:] != own[:-1]))
+    run = np.arange(len(own)) - np.maximum.accumulate(np.where(fresh, np.arange(len(own)), 0))
     out = hashes.copy()
-    out[order[again]] = mix(hashes[order[again]] + run.astype(np.uint64) * _STEP)
+    again = ~fresh
+    out[order[again]] = mix(own[again] + run[again].astype(np.uint64) * _STEP)
     return out
 
 
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
-def _nothing() -> Chosen:
-    return np.full(PERMUTATIONS, _LAST), np.full(PERMUTATIONS, -1), np.full(PERMUTATIONS, _LAST), np.full(PERMUTATIONS, -1)
-
-
-def select(items: np.ndarray, first: int, last: int, before: Chosen | None = None) -> Chosen:
-    """The choice among ``items[:last]``, where ``before`` is that among ``items[:first]``. Ties go to the earlier piece."""
-    r1, p1, r2, p2 = before or _nothing()
-    low = (items[first:last] >> _U(32)).astype(np.uint32)
-    for i in range(0, len(low), SPAN):
-        ranks = (low[i : i + SPAN] ^ _FLIP) * _TIMES
-        a = ranks.argmin(axis=1)
-        ra = ranks[_ROW, a]
-        if ranks.shape[1] > 1:
-            ranks[_ROW, a] = _LAST
-            b = ranks.argmin(axis=1)
-            # The very last rank may be a piece's own; never take the first one twice.
-            b = np.where(b == a, (a == 0).astype(b.dtype), b)
-            rb, b = ranks[_ROW, b], b + first + i
-        else:
-            rb, b = np.full(PERMUTATIONS, _LAST), np.full(PERMUTATIONS, -1)
-        a = a + first + i
-        # Merge two ordered pairs; an absent piece (-1) comes after all.
-        none1, none2 = p1 < 0, p2 < 0
-        wins = none1 | (ra < r1)
-        second_old, second_old_at, second_old_none = np.where(wins, r1, r2), np.where(wins, p1, p2), np.where(wins, none1, none2)
-        second_new, second_new_at = np.where(wins, rb, ra), np.where(wins, b, a)
-        r1, p1 = np.where(wins, ra, r1), np.where(wins, a, p1)
-        takes = (second_new_at >= 0) & (second_old_none | (second_new < second_old))
-        r2, p2 = np.where(takes, second_new, second_old), np.where(takes, second_new_at, second_old_at)
-    return r1, p1, r2, p2
-
-
-def components_of(items: np.ndarray, chosen: Chosen) -> np.ndarray | None:
-    """One hash for each permutation, of its pieces in text order; None for no pieces."""
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of the texts in turn, number of each)."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.array([len(t) for t in texts], np.int64)
+
+
+def items_of(texts: list[str], piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """(items, offsets): the numbered pieces of each text, in turn."""
+    hashes, offsets = piece_hashes(*_codes(texts), piece)
+    own = [numbered(hashes[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return (np.concatenate(own) if own else hashes), offsets
+
+
+def select(items: np.ndarray, begin: np.ndarray, end: np.ndarray, origin: np.ndarray) -> np.ndarray:
+    """(stretches, 2, permutations): the two items of each stretch that each permutation puts first.
+
+    Given as rank << 32 | position, counted from ``origin``; ties go to the earlier item,
+    and an absent one is all ones.
+    """
+    out = np.full((len(begin), TAKEN, PERMUTATIONS), _ABSENT)
+    low = (items >> _U(32)).astype(np.uint32)
+    room = np.empty(PERMUTATIONS * SPAN, np.uint32)
+    # With its usual buffer numpy copies rows shorter than that before it works on them: three times slower.
+    usual = np.setbufsize(16)
+    for s, (first, last, base) in enumerate(zip(begin.tolist(), end.tolist(), origin.tolist(), strict=True)):
+        for i in range(first, last, SPAN):
+            m = min(SPAN, last - i)
+            flat = room[: PERMUTATIONS * m]
+            ranks, row = flat.reshape(PERMUTATIONS, m), _ROW * m
+            np.bitwise_xor(low[i : i + m], _FLIP, out=ranks)
+            np.multiply(ranks, _TIMES, out=ranks)
+            own = np.full((1, TAKEN, PERMUTATIONS), _ABSENT) if i > first else out[s : s + 1]
+            for k in range(min(TAKEN, m)):
+                at = ranks.argmin(axis=1)
+                cell = at + row
+                own[0, k] = (flat[cell].astype(np.uint64) << _U(32)) + (at + (i - base)).astype(np.uint64)
+                flat[cell] = _LAST
+            if i > first:
+                out[s] = both_first(out[s : s + 1], own)[0]
+    np.setbufsize(usual)
+    # A piece whose own rank is the last one may be named twice: once is enough.
+    out[:, 1][out[:, 1] == out[:, 0]] = _ABSENT
+    return out
+
+
+def both_first(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The choice among two stretches together."""
+    later = np.minimum(np.maximum(a[:, 0], b[:, 0]), np.minimum(a[:, 1], b[:, 1]))
+    return np.stack((np.minimum(a[:, 0], b[:, 0]), later), axis=1)
+
+
+def components_of(items: np.ndarray, offsets: np.ndarray, chosen: np.ndarray) -> list[np.ndarray | None]:
+    """For each text one hash for each permutation, of its pieces in text order; None for no pieces."""
     if not len(items):
-        return None
-    _, p1, _, p2 = chosen
-    alone = p2 < 0
-    left, right = np.where(alone, p1, np.minimum(p1, p2)), np.where(alone, p1, np.maximum(p1, p2))
-    pairs = mix(items[left] * _ODD[10] + items[right] * _ODD[11] + (~alone).astype(np.uint64) + _ROW.astype(np.uint64) * _STEP)
-    return (pairs >> _U(32)).astype(np.uint32)
+        return [None] * (len(offsets) - 1)
+    empty = offsets[1:] == offsets[:-1]
+    places = (chosen & _U(0xFFFFFFFF)).astype(np.int64)
+    alone = chosen[:, 1] == _ABSENT
+    one, two = places[:, 0], np.where(alone, places[:, 0], places[:, 1])
+    base = offsets[:-1, None]
+    at = [np.where(empty[:, None], 0, base + x) for x in (np.minimum(one, two), np.maximum(one, two))]
+    pairs = mix(items[at[0]] * _ODD[10] + items[at[1]] * _ODD[11] + (~alone).astype(np.uint64) + _SALT)
+    return [None if none else own for none, own in zip(empty.tolist(), (pairs >> _U(32)).astype(np.uint32), strict=True)]
 
 
 def sketch(text: str, piece: int = PIECE) -> np.ndarray | None:
     """The 64 components, or None for an empty text."""
-    items = numbered(piece_hashes(_codes(text), piece))
-    return components_of(items, select(items, 0, len(items)))
+    return sketches([text], piece)[0]
+
 
+def sketches(texts: list[str], piece: int = PIECE) -> list[np.ndarray | None]:
+    items, offsets = items_of(texts, piece)
+    return components_of(items, offsets, select(items, offsets[:-1], offsets[1:], offsets[:-1]))
 
-def sketch_both(text: str, edited: str, same: int, piece: int = PIECE) -> tuple[np.ndarray | None, np.ndarray | None]:
-    """Sketches of two texts that share their first ``same`` code points: the shared pieces are permuted once."""
-    one, two = (numbered(piece_hashes(_codes(t), piece)) for t in (text, edited))
-    shared = max(0, same - piece + 1)
-    first = select(one, 0, shared) if shared else None
-    return tuple(components_of(items, select(items, shared, len(items), first)) for items in (one, two))
+
+def sketches_of_edits(texts: list[str], edited: list[str], same: list[int], piece: int = PIECE) -> tuple[list[np.ndarray | None], list[np.ndarray | None]]:
+    """Sketches of the texts and of their edited texts, whose first ``same`` code points are equal: their pieces are permuted once."""
+    (one, at_one), (two, at_two) = items_of(texts, piece), items_of(edited, piece)
+    shared = np.maximum(0, np.array(same, np.int64) - piece + 1)
+    middle = at_one[:-1] + shared
+    first = select(one, at_one[:-1], middle, at_one[:-1])
+    own = both_first(first, select(one, middle, at_one[1:], at_one[:-1]))
+    other = both_first(first, select(two, at_two[:-1] + shared, at_two[1:], at_two[:-1]))
+    return components_of(one, at_one, own), components_of(two, at_two, other)
 
 
 def shown(components: np.ndarray | None) -> str:
@@ -151,7 +195,9 @@ def likeness(a: np.ndarray | None, b: np.ndarray | None) -> float:
 @lean
 def fingerprint(batches: Iterator[pa.RecordBatch], piece: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = [shown(sketch(t or "", piece)) for t in batch.column("harrow_text").to_pylist()]
+        prints = []
+        for text in batch.column("harrow_text"):
+            prints.append(shown(sketch(text.as_py(), piece)))
         names = [n for n in batch.schema.names if n != "harrow_text"]
         yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(prints, pa.string())], names=[*names, "fingerprint"])
 
@@ -177,16 +223,13 @@ def _order(key: tuple) -> tuple:
     return key[0] is not None, key[0] or 0, key[1]
 
 
-def stretches(keys: DataFrame, parts: int, hot_rows: int) -> tuple[list[tuple], list[int], list[int]]:
+def stretches(keys: DataFrame, total: int, parts: int, hot_rows: int) -> tuple[list[tuple], list[int], list[int]]:
     """(cuts, base, parts of each): stretches of the order of ``keys(doc_id, h)``.
 
     Stretch ``i`` begins with the key ``cuts[i]`` and has the numbers from ``base[i]``
     on, one unless it is a single much repeated key. About ``parts`` rows reach the
     driver: the first key of each range, and the keys with more than a range's rows.
     """
-    total = keys.count()
-    if not total:
-        return [], [], []
     bar = max(hot_rows, math.ceil(total / parts))
     counted = keys.repartitionByRange(parts, "doc_id", "h").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).withColumn("at", F.spark_partition_id())
     key = F.struct("doc_id", "h")
@@ -203,8 +246,7 @@ def stretches(keys: DataFrame, parts: int, hot_rows: int) -> tuple[list[tuple],
             cuts.add(tuple(found))
     known = sorted(cuts | set(hot), key=_order)
     sizes = [math.ceil(hot[k] / bar) if k in hot else 1 for k in known]
-    base = [sum(sizes[:i]) for i in range(len(sizes))] if len(sizes) < 2 else [0, *np.cumsum(sizes)[:-1].tolist()]
-    return known, base, sizes
+    return known, [0, *np.cumsum(sizes)[:-1].tolist()], sizes
 
 
 def _stretch_of(cuts: list[tuple]) -> Column:
@@ -243,10 +285,11 @@ def neighbours(docs: DataFrame, stretch_bytes: int = STRETCH_BYTES, hot_rows: in
     spark: SparkSession = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     keys = staged(rows.select("doc_id", "h", F.octet_length("text").alias("bytes")), "order-keys")
-    parts = max(shuffle_partitions(spark), math.ceil((keys.agg(F.sum("bytes")).first()[0] or 0) / stretch_bytes))
-    cuts, base, sizes = stretches(keys.drop("bytes"), parts, hot_rows)
-    if not cuts:
+    total, size = keys.agg(F.count(F.lit(1)), F.sum("bytes")).first()
+    parts = max(shuffle_partitions(spark), math.ceil((size or 0) / stretch_bytes))
+    if not total:
         return rows.select(F.lit(0).alias("number"), F.lit(False).alias("ahead"), "doc_id", "text")
+    cuts, base, sizes = stretches(keys.drop("bytes"), total, parts, hot_rows)
     many = sum(sizes)
     dealt = rows.withColumn("s", _stretch_of(cuts))
     lists = lambda x: F.from_json(F.lit(json.dumps(x)), "array<int>")
@@ -267,36 +310,35 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha2
 
 @lean
 def _compare(batches: Iterator[pa.RecordBatch], piece: int) -> Iterator[pa.RecordBatch]:
-    """Rows come by number, the row ahead last; one row is held back until its successor is seen."""
-    held: tuple | None = None
-    rows: list[tuple] = []
-
-    def batch_of() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _OUT, strict=True)], schema=_OUT)
+    """Rows come by number, the row ahead last; a block of rows is compared when its successor is seen."""
+    held: list[tuple[int, int | None, str]] = []  # a run of one number, whose last row waits for its successor
+    size = 0
+
+    def compared() -> pa.RecordBatch:
+        texts = [t for _, _, t in held]
+        same = [len(t) - len(t) // 4 for t in texts[:-1]]
+        edited = [t[:n] + after[: len(t) - n] for t, n, after in zip(texts, same, texts[1:], strict=False)]
+        own, other = sketches_of_edits(texts[:-1], edited, same, piece)
+        following = own[1:] + [sketch(texts[-1], piece)]
+        columns = [
+            [i for _, i, _ in held[:-1]], [len(t) for t in texts[:-1]], [hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in edited],
+            [shown(x) for x in own], [shown(x) for x in other], [likeness(x, y) for x, y in zip(own, other, strict=True)], [likeness(x, y) for x, y in zip(own, following, strict=True)],
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _OUT, strict=True)], schema=_OUT)
 
-    # The last row's likeness to its successor's needs only this one's sketch; others get theirs with their edited text's.
-    waiting: tuple | None = None
     for batch in batches:
-        for number, doc_id, text in zip(batch.column("number").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            if held is not None and held[0] == number:
-                _, own_id, own_text = held
-                tail = len(own_text) // 4
-                edited = own_text[: len(own_text) - tail] + text[:tail]
-                own, other = sketch_both(own_text, edited, len(own_text) - tail, piece)
-                if waiting is not None:
-                    rows.append((*waiting[:-1], likeness(waiting[-1], own)))
-                waiting = (own_id, len(own_text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), shown(own), shown(other), likeness(own, other), own)
-            elif waiting is not None:
-                rows.append((*waiting[:-1], likeness(waiting[-1], sketch(held[2], piece))))
-                waiting = None
-            held = (number, doc_id, text)
-            if len(rows) >= 500:
-                yield batch_of()
-                rows = []
-    if waiting is not None:
-        rows.append((*waiting[:-1], likeness(waiting[-1], sketch(held[2], piece))))
-    if rows:
-        yield batch_of()
+        for row in zip(*(batch.column(c).to_pylist() for c in ("number", "doc_id", "text")), strict=True):
+            if held and held[-1][0] != row[0]:
+                if len(held) > 1:
+                    yield compared()
+                held, size = [], 0
+            held.append(row)
+            size += len(row[2])
+            if size > BLOCK_CHARS and len(held) > 1:
+                yield compared()
+                held, size = held[-1:], len(row[2])
+    if len(held) > 1:
+        yield compared()
 
 
 def compare_with_edits(docs: DataFrame, piece: int = PIECE, stretch_bytes: int = STRETCH_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -33,17 +33,17 @@ def test_fingerprints_follow_edits(words):
 
 def test_selection_equals_taking_the_smallest(words):
     for text in (" ".join(words[:900]), "ab" * 3000, "x", "abcdefghi"):
-        items = O.numbered(O.piece_hashes(O._codes(text)))
+        items, at = O.items_of([text])
         wanted = []
         for flip, times in zip(O._FLIP[:, 0].tolist(), O._TIMES[:, 0].tolist(), strict=True):
             rank = [((int(x) >> 32) ^ flip) * times % (1 << 32) for x in items]
             own = sorted(sorted(range(len(rank)), key=lambda i: (rank[i], i))[:2])
             wanted.append(own)
-        _, p1, _, p2 = O.select(items, 0, len(items))
-        assert [sorted({a, b} - {-1}) for a, b in zip(p1.tolist(), p2.tolist(), strict=True)] == wanted
+        chosen = O.select(items, at[:1], at[1:], at[:1])[0].T.tolist()
+        assert [sorted(x & 0xFFFFFFFF for x in c if x != (1 << 64) - 1) for c in chosen] == wanted
         for cut in (0, 1, 7, len(text) // 2, len(text)):
             edited = text[:cut] + "another end, " * 30
-            assert [O.shown(x) for x in O.sketch_both(text, edited, cut)] == [O.shown(O.sketch(text)), O.shown(O.sketch(edited))]
+            assert [O.shown(x[0]) for x in O.sketches_of_edits([text, ''], [edited, ''], [cut, 0])] == [O.shown(O.sketch(text)), O.shown(O.sketch(edited))]
     again = O.numbered(np.array([5, 9, 5, 5, 9], np.uint64))
     assert len(set(again.tolist())) == 5 and again[0] == 5 and again[1] == 9
 

@@ -33,6 +33,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import MAXIMUM, STRIDE, running
 from .common import staged
 
 # The three base kinds, in their order.
@@ -84,13 +85,10 @@ def _cut(text: str, pattern: str, group: int = 0) -> str:
     """SQL: array of (start, end, g) of every match, leftmost and non-overlapping; g is the group."""
     p = _sql(pattern)
     found, pieces, groups = f"regexp_extract_all({text}, {p}, 0)", f"split({text}, {p}, -1)", f"regexp_extract_all({text}, {p}, {group})"
-    sizes = f"zip_with({found}, slice({pieces}, 1, size({groups})), (m, x) -> struct(length(m) as size, length(x) as gap))"
+    sizes = f"zip_with({found}, slice({pieces}, 1, size({groups})), (m, x) -> struct(cast(length(m) as bigint) as size, cast(length(x) as bigint) as gap))"
     zipped = f"zip_with({sizes}, {groups}, (a, g) -> struct(a.size as size, a.gap as gap, g as g))"
-    fold = (
-        f"aggregate({zipped}, struct(0L as at, cast(array() as array<struct<start:bigint,end:bigint,g:string>>) as out), "
-        "(s, m) -> struct(s.at + m.gap + m.size as at, concat(s.out, array(struct(s.at + m.gap as start, s.at + m.gap + m.size as end, m.g as g))) as out)).out"
-    )
-    return f"if({text} rlike {p}, {fold}, cast(array() as array<struct<start:bigint,end:bigint,g:string>>))"
+    placed = f"zip_with(m, {running('m', 'e.gap + e.size')}, (x, at) -> struct(at + x.gap as start, at + x.gap + x.size as end, x.g as g))"
+    return f"if({text} rlike {p}, element_at(transform(array({zipped}), m -> {placed}), 1), cast(array() as array<struct<start:bigint,end:bigint,g:string>>))"
 
 
 def _kind(text: str, rank: int, kind: str, pattern: str, least: int, group: int = 0) -> str:
@@ -215,17 +213,24 @@ def _listed(column: str) -> Column:
 
 
 def redact(scanned: DataFrame, text: str = "text", placeholder: str = PLACEHOLDER) -> DataFrame:
-    """Replace every span (overlapping ones together) by the placeholder; drops base and spans."""
-    fold = (
-        "aggregate(spans, struct(0L as at, '' as out), (s, x) -> if(x.start >= s.at,"
-        f" struct(x.end as at, concat(s.out, substring({text}, cast(s.at + 1 as int), cast(x.start - s.at as int)), {_sql(placeholder)}) as out),"
-        " struct(greatest(s.at, x.end) as at, s.out as out)),"
-        f" s -> concat(s.out, substring({text}, cast(s.at + 1 as int))))"
-    )
-    return scanned.withColumn(text, F.expr(f"if(size(spans) > 0, {fold}, {text})")).drop("base", "spans")
+    """Replace every span (overlapping ones together) by the placeholder; drops base and spans.
+
+    Null text stays null. Stretches of ``STRIDE`` spans are cut out of the text first,
+    so a text with very many spans is not walked from its start for each.
+    """
+    reach = running("spans", "e.end", MAXIMUM)
+    # What lies between the farthest end so far and a span's start is kept; a span that begins earlier belongs to the one before.
+    kept = f"filter(zip_with(spans, {reach}, (x, at) -> struct(at as at, x.start as start)), x -> x.start >= x.at)"
+    base, last = "element_at(some, 1).at", "element_at(some, -1).start"
+    own = f"transform(array(substring({text}, cast({base} + 1 as int), cast({last} - {base} as int))), t -> array_join(transform(some, x -> concat(substring(t, cast(x.at - {base} + 1 as int), cast(x.start - x.at as int)), {_sql(placeholder)})), ''))"
+    strides = f"transform(sequence(0, (size(k) - 1) div {STRIDE}), i -> slice(k, i * {STRIDE} + 1, {STRIDE}))"
+    front = f"element_at(transform(array({kept}), k -> array_join(transform({strides}, some -> element_at({own}, 1)), '')), 1)"
+    end = "cast(array_max(transform(spans, x -> x.end)) + 1 as int)"
+    return scanned.withColumn(text, F.expr(f"if(size(spans) > 0, concat({front}, substring({text}, {end})), {text})")).drop("base", "spans")
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for all of ``documents``, by ``scan_secrets``."""
     found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"])
     count = lambda kind: F.expr(f"cast(size(filter(base, s -> s.kind = '{kind}')) as bigint)").alias(f"n_{kind}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"))

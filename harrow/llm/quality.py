@@ -1,15 +1,21 @@
 """Document quality by co-training two views.
 
-The content view sees words and runs of symbols; the page view sees metadata (source,
-language, length) and layout (lines, their lengths, shares of kinds of characters).
-Each starts from the labelled rows. In every round each view labels the unlabelled
-rows it is surest of, in the classes' known proportion, and they join the *other*
-view's training rows. At the end both are calibrated on out-of-fold log odds of the
-labelled rows (Platt), and a last model on both log odds scores every document.
-
-Fitting takes at most ``FIT_ROWS`` labelled rows of each class and ``POOL_ROWS``
-unlabelled ones, in the order of a hash of their ids, in one task. Every document is
-scored, whole.
+The content view sees the text: words, runs of symbols, and layout (lines, their
+lengths, shares of kinds of characters). The page view sees the other columns of the
+table only: source, language and length (numbers count by quarter octaves). Each
+starts from the labelled rows. In every round each view scores all unlabelled
+documents and labels the ones it is surest of, in the classes' known proportion; they
+join the *other* view's training rows. Of equal documents one is taken. At the end
+both are calibrated on out-of-fold log odds of the labelled rows (Platt), and a last
+model on both log odds scores every document.
+
+Texts are read once: a document becomes a list of known terms (at most ``TERMS``, the
+commonest of the labelled rows, whatever their labels), its layout and its page
+features. That table is written, and the rounds run over it. Fitting takes at most
+``FIT_ROWS`` labelled rows of each class (``FIT_BYTES`` of text for the terms), in the
+order of a hash of their ids, and the pseudo-labelled ones, a share ``GROWTH`` of these
+a round; labelled rows beyond that count as unlabelled. It is done in one task. Every
+document is a candidate in every round, and is scored, whole.
 """
 
 from __future__ import annotations
@@ -21,20 +27,26 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import first_by_hash, lean
-from .linear import Logistic, TrainingSet, Vocabulary, distinct, document_features, fit_logistic, folds, sigmoid
+from .common import first_by_hash, lean, staged
+from .linear import Logistic, Vocabulary, distinct, document_features, fit_logistic, folds, sigmoid
+from .tokens import binary_column
 from .words import blocks, mix, utf8
 
 FIT_ROWS = 3000
-POOL_ROWS = 4000
+FIT_BYTES = 1 << 26
 ROUNDS = 4
 SURE = 0.95
 GROWTH = 0.1
 FOLDS = 4
-TERMS = 8192
+TERMS = 1 << 15
+LEAST_DOCS = 3
+PAGE_BITS = 16
+LAYOUT = 7
+METADATA = ("source", "lang", "n_chars")
 KEEP_GOOD = 0.998
 _U = np.uint64
 _LETTER, _DIGIT, _SYMBOL, _UPPER, _SPACE, _LINE = (
@@ -43,8 +55,8 @@ _LETTER, _DIGIT, _SYMBOL, _UPPER, _SPACE, _LINE = (
 )
 
 
-def page_view(data: np.ndarray, offsets: np.ndarray, first: int, last: int) -> np.ndarray:
-    """Layout of each document: log length, log lines, log mean line and word, shares of characters, symbols next to each other."""
+def layout(data: np.ndarray, offsets: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Layout of each document, whatever its length: log mean line and word, shares of characters, symbols next to each other."""
     lo, hi = int(offsets[first]), int(offsets[last])
     own, raw = offsets[first : last + 1] - lo, data[lo:hi]
     size = np.diff(own)
@@ -58,22 +70,16 @@ def page_view(data: np.ndarray, offsets: np.ndarray, first: int, last: int) -> n
     lines, spaces = count(_LINE[raw]) + 1, count(_SPACE[raw]) + 1
     n = np.maximum(size, 1)
     shares = [count(_LETTER[raw]) / n, count(_DIGIT[raw]) / n, count(symbol) / n, count(_UPPER[raw]) / n, count(twice) / n]
-    return np.stack((np.log1p(size), np.log(lines), np.log1p(size / lines), np.log1p(size / (spaces + lines)), *shares), axis=1)
+    return np.stack((np.log1p(size / lines), np.log1p(size / (spaces + lines)), *shares), axis=1)
 
 
-def metadata_features(columns: Sequence[Sequence]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of each value of the metadata columns; null is a value."""
-    docs, feats = [], []
+def page_features(columns: Sequence[Sequence]) -> np.ndarray:
+    """(rows, columns): a hashed feature for each value; null is a value."""
+    out = []
     for j, values in enumerate(columns):
-        seen: dict = {}
-        for v in values:
-            if v not in seen:
-                seen[v] = hash_text(f"{j}\x00{v!r}")
-        docs.append(np.arange(len(values)))
-        feats.append(np.array([seen[v] for v in values], np.uint64))
-    if not docs:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(docs), mix(np.concatenate(feats))
+        seen = {v: hash_text(f"{j}\x00{v!r}") for v in set(values)}
+        out.append(mix(np.array([seen[v] for v in values], np.uint64)) >> _U(64 - PAGE_BITS))
+    return np.stack(out, axis=1).astype(np.int64) if out else np.zeros((0, 0), np.int64)
 
 
 def hash_text(s: str) -> int:
@@ -84,83 +90,192 @@ def hash_text(s: str) -> int:
     return h
 
 
+def page_column(df: DataFrame, name: str):
+    """A metadata column as text: numbers by quarter octaves, what is no plain value as JSON."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.NumericType):
+        return F.floor(F.log2(1 + F.abs(F.col(name).cast("double"))) * 4).cast("string")
+    return F.to_json(F.struct(F.col(name))) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else F.col(name).cast("string")
+
+
+@lean
+def _common_terms(batches: Iterator[pa.RecordBatch], terms: int, fit_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The features that most rows have, ``LEAST_DOCS`` at least; rows come in the order of a hash."""
+    feats, size = [], 0
+    for batch in batches:
+        data, offsets = utf8(batch.column("harrow_text"))
+        for first, last in blocks(offsets):
+            if size < fit_bytes:
+                feats.append(distinct(*document_features(data, offsets, first, last, symbols=True))[1])
+                size += int(offsets[last] - offsets[first])
+    hashes, count = np.unique(np.concatenate(feats) if feats else np.zeros(0, np.uint64), return_counts=True)
+    order = np.lexsort((hashes, -count))[:terms]
+    yield pa.RecordBatch.from_arrays([pa.array([np.sort(hashes[order[count[order] >= LEAST_DOCS]]).tobytes()], pa.binary())], names=["terms"])
+
+
+@lean
+def _describe(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, metadata: list[str], keep: list[str]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = utf8(batch.column("harrow_text"))
+        terms, counts, shape = [], [], []
+        for first, last in blocks(offsets):
+            d, f = vocabulary.find(*document_features(data, offsets, first, last, symbols=True))
+            terms.append(f.astype(np.uint16))
+            counts.append(np.bincount(d, minlength=last - first))
+            shape.append(layout(data, offsets, first, last).astype(np.float32))
+        n = batch.num_rows
+        if not n:
+            continue
+        page = page_features([batch.column(c).to_pylist() for c in metadata]).astype(np.uint16)
+        made = [binary_column(np.concatenate(terms), np.concatenate(counts)), binary_column(np.concatenate(shape).ravel(), np.full(n, LAYOUT)), binary_column(page.ravel(), np.full(n, len(metadata)))]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *made], names=[*keep, "harrow_terms", "harrow_layout", "harrow_page"])
+
+
+def described(docs: DataFrame, vocabulary: Vocabulary, metadata: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """The columns ``keep`` and each document as both views see it: harrow_terms, harrow_layout, harrow_page."""
+    keep = list(keep)
+    rows = docs.select(*keep, *[page_column(docs, c).alias(f"harrow_{c}") for c in metadata], F.coalesce("text", F.lit("")).alias("harrow_text"))
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name in keep)
+    return rows.mapInArrow(partial(_describe, vocabulary=vocabulary, metadata=[f"harrow_{c}" for c in metadata], keep=keep), f"{kinds}harrow_terms binary, harrow_layout binary, harrow_page binary")
+
+
+Features = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def features_of(batch: pa.RecordBatch) -> tuple[Features, Features]:
+    """(row, feature, dense columns) of the content view and of the page view."""
+    n = batch.num_rows
+    terms = [np.frombuffer(b, np.uint16) for b in batch.column("harrow_terms").to_pylist()]
+    shape = np.frombuffer(b"".join(batch.column("harrow_layout").to_pylist()), np.float32).reshape(n, LAYOUT).astype(float)
+    page = np.frombuffer(b"".join(batch.column("harrow_page").to_pylist()), np.uint16).reshape(n, -1)
+    every = np.arange(n)
+    content = np.repeat(every, [len(t) for t in terms]), (np.concatenate(terms) if n else np.zeros(0)).astype(np.int64), shape
+    return content, (np.repeat(every, page.shape[1]), page.ravel().astype(np.int64), np.zeros((n, 0)))
+
+
+def rows_of(view: Features, rows: np.ndarray) -> Features:
+    place = np.full(len(view[2]), -1)
+    place[rows] = np.arange(len(rows))
+    own = place[view[0]]
+    return own[own >= 0], view[1][own >= 0], view[2][rows]
+
+
+def fit_view(view: Features, size: int, rows: np.ndarray, label: np.ndarray) -> Logistic:
+    docs, feats, dense = rows_of(view, rows)
+    return fit_logistic(docs, feats, size, dense, label[rows])
+
+
+def logits(model: Logistic, view: Features) -> np.ndarray:
+    return model.logit(*view)
+
+
 @dataclass
 class View:
-    vocabulary: Vocabulary
     model: Logistic
     slope: float = 1.0
     shift: float = 0.0
 
-    def logit(self, docs, feats, dense) -> np.ndarray:
-        d, f = self.vocabulary.find(docs, feats)
-        return self.slope * self.model.logit(d, f, dense) + self.shift
+    def logit(self, view: Features) -> np.ndarray:
+        return self.slope * logits(self.model, view) + self.shift
 
 
 @dataclass
 class CoTrained:
+    vocabulary: Vocabulary
     text: View
     page: View
     both: Logistic
     bar: float
     metadata: list[str]
 
-    def predict(self, text_pairs, page_pairs, page_dense) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def predict(self, content: Features, page: Features) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated probabilities of quality: content view, page view, both."""
-        n = len(page_dense)
-        z = np.stack((self.text.logit(*text_pairs, np.zeros((n, 0))), self.page.logit(*page_pairs, page_dense)), axis=1)
+        z = np.stack((self.text.logit(content), self.page.logit(page)), axis=1)
         none = np.zeros(0, np.int64)
         return sigmoid(z[:, 0]), sigmoid(z[:, 1]), sigmoid(self.both.logit(none, none, z))
 
 
-def co_train(views: list[tuple[TrainingSet, np.ndarray]], ids: np.ndarray, label: np.ndarray, metadata: list[str], rounds: int = ROUNDS, keep_good: float = KEEP_GOOD) -> CoTrained:
-    """``views``: content and page (features, dense columns) of all rows; ``label``: 0, 1, or nan where unknown."""
-    n = len(ids)
-    known = np.flatnonzero(~np.isnan(label))
-    own = [label.copy(), label.copy()]  # what each view is trained on
-
-    def model(v: int, rows: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, Logistic]:
-        data, dense = views[v]
-        chosen = data.select(rows, labels[rows], TERMS)
-        return chosen, fit_logistic(*data.pairs(rows, chosen), len(chosen), dense[rows], labels[rows])
-
-    def logits(v: int, fitted: tuple[np.ndarray, Logistic], rows: np.ndarray) -> np.ndarray:
-        data, dense = views[v]
-        return fitted[1].logit(*data.pairs(rows, fitted[0]), dense[rows])
-
-    share = float(label[known].mean()) if len(known) else 0.5
-    if len(known) and 0 < share < 1:
-        per_round = max(1, round(GROWTH * len(known)))
-        for _ in range(rounds):
-            now = [own[0].copy(), own[1].copy()]
-            for v in (0, 1):
-                open_rows = np.flatnonzero(np.isnan(own[1 - v]))
-                if not len(open_rows):
-                    continue
-                p = sigmoid(logits(v, model(v, np.flatnonzero(~np.isnan(own[v])), own[v]), open_rows))
-                for value, sure, quota in ((1.0, p, share), (0.0, 1 - p, 1 - share)):
-                    best = np.argsort(-sure, kind="stable")[: max(1, round(per_round * quota))]
-                    now[1 - v][open_rows[best[sure[best] >= SURE]]] = value
-            own = now
-    final = []
-    for v in (0, 1):
-        chosen, fitted = model(v, np.flatnonzero(~np.isnan(own[v])), own[v])
-        final.append(View(Vocabulary(views[v][0].hashes[chosen]), fitted))
-    fold, z = folds(ids, FOLDS), np.zeros((n, 2))
+def _sizes(vocabulary_size: int) -> tuple[int, int]:
+    return max(1, vocabulary_size), 1 << PAGE_BITS
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[tuple[Features, Features], pa.Table | None]:
+    """The features of all training rows, which are bounded."""
+    held = list(batches)
+    if not held:
+        none = np.zeros(0, np.int64)
+        return ((none, none, np.zeros((0, LAYOUT))), (none, none, np.zeros((0, 0)))), None
+    table = pa.Table.from_batches(held).combine_chunks()
+    return features_of(table.to_batches()[0]), table
+
+
+def _labels(table: pa.Table | None, name: str) -> np.ndarray:
+    return np.zeros(0) if table is None else table.column(name).to_numpy().astype(float)
+
+
+@lean
+def _fit_round(batches: Iterator[pa.RecordBatch], sizes: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Both views' models of one round; ``content_label`` and ``page_label`` are what each is trained on."""
+    views, table = _gathered(batches)
+    made = []
+    for view, size, name in zip(views, sizes, ("content_label", "page_label"), strict=True):
+        label = _labels(table, name)
+        made.append(fit_view(view, size, np.flatnonzero(~np.isnan(label)), label))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], names=["models"])
+
+
+def surest(p: np.ndarray, taken: np.ndarray, digest: np.ndarray, quota: int, sure: float) -> np.ndarray:
+    """Positions of the ``quota`` largest ``p`` that reach ``sure``, one of each digest, ties to the smaller digest; ``taken`` are out."""
+    at = np.flatnonzero((p >= sure) & ~taken)
+    at = at[np.lexsort((digest[at], -p[at]))]
+    _, first = np.unique(digest[at], return_index=True)
+    return at[np.sort(first)][:quota]
+
+
+@lean
+def _pick(batches: Iterator[pa.RecordBatch], models: list[Logistic], taken: tuple[np.ndarray, np.ndarray], quota: tuple[int, int], sure: float) -> Iterator[pa.RecordBatch]:
+    """(view, value, p, row, digest): what this task's unlabelled rows offer, at most a quota for each view and value."""
+    best: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
+    for batch in batches:
+        row, digest = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "digest"))
+        for v, view in enumerate(features_of(batch)):
+            good = sigmoid(logits(models[v], view))
+            for value in (0, 1):
+                own = good if value else 1 - good
+                at = surest(own, np.isin(digest, taken[1 - v]), digest, quota[value], sure)
+                held = best.get((v, value), (own[:0], row[:0], digest[:0]))
+                p, r, d = (np.concatenate((x, y)) for x, y in zip(held, (own[at], row[at], digest[at]), strict=True))
+                at = surest(p, np.zeros(len(p), bool), d, quota[value], sure)
+                best[v, value] = p[at], r[at], d[at]
+    for (v, value), (p, r, d) in best.items():
+        n = len(p)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, v, np.int32)), pa.array(np.full(n, value, np.int32)), pa.array(p), pa.array(r), pa.array(d)], names=["view", "value", "p", "row", "digest"])
+
+
+@lean
+def _finish(batches: Iterator[pa.RecordBatch], sizes: tuple[int, int], metadata: list[str], keep_good: float) -> Iterator[pa.RecordBatch]:
+    """The last models of both views, their calibration on held-out folds of the labelled rows, and the model of both."""
+    views, table = _gathered(batches)
+    truth, own = _labels(table, "quality"), [_labels(table, "content_label"), _labels(table, "page_label")]
+    ids = table.column("doc_id").to_numpy().astype(np.int64) if table is not None else np.zeros(0, np.int64)
+    known = np.flatnonzero(~np.isnan(truth))
+    final = [View(fit_view(views[v], sizes[v], np.flatnonzero(~np.isnan(own[v])), own[v])) for v in (0, 1)]
+    fold, z, none = folds(ids, FOLDS), np.zeros((len(ids), 2)), np.zeros(0, np.int64)
     for k in range(FOLDS):
         held = known[fold[known] == k]
         for v in (0, 1):
-            fit = np.flatnonzero(~np.isnan(own[v]) & ~((fold == k) & ~np.isnan(label)))
+            fit = np.flatnonzero(~np.isnan(own[v]) & ~((fold == k) & ~np.isnan(truth)))
             if len(held):
-                z[held, v] = logits(v, model(v, fit, own[v]), held)
-    none = np.zeros(0, np.int64)
+                z[held, v] = logits(fit_view(views[v], sizes[v], fit, own[v]), rows_of(views[v], held))
     for v in (0, 1):
-        platt = fit_logistic(none, none, 0, z[known, v : v + 1], label[known], penalty=0.01)
-        slope = float(platt.dense[0] / platt.scale[0]) if len(known) else 1.0
-        final[v].slope, final[v].shift = slope, float(platt.constant - slope * platt.centre[0])
-        z[:, v] = slope * z[:, v] + final[v].shift
-    both = fit_logistic(none, none, 0, z[known], label[known], penalty=0.01)
+        platt = fit_logistic(none, none, 0, z[known, v : v + 1], truth[known], penalty=0.01)
+        final[v].slope = float(platt.dense[0] / platt.scale[0]) if len(known) else 1.0
+        final[v].shift = float(platt.constant - final[v].slope * platt.centre[0])
+        z[:, v] = final[v].slope * z[:, v] + final[v].shift
+    both = fit_logistic(none, none, 0, z[known], truth[known], penalty=0.01)
     p = sigmoid(both.logit(none, none, z[known]))
-    return CoTrained(final[0], final[1], both, _bar(p, label[known], keep_good), metadata)
+    model = CoTrained(Vocabulary(np.zeros(0, np.uint64)), final[0], final[1], both, _bar(p, truth[known], keep_good), metadata)
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
 
 def _bar(p: np.ndarray, y: np.ndarray, keep_good: float) -> float:
@@ -179,51 +294,57 @@ def _bar(p: np.ndarray, y: np.ndarray, keep_good: float) -> float:
     return float((p[order[best]] + (p[order[best + 1]] if best + 1 < len(p) else 1.0)) / 2)
 
 
-def _views(batch: pa.RecordBatch, metadata: list[str]) -> Iterator[tuple]:
-    """(first, last, content pairs, page pairs, page columns) of the blocks of a batch."""
-    data, offsets = utf8(batch.column("harrow_text"))
-    columns = [batch.column(c).to_pylist() for c in metadata]
-    for first, last in blocks(offsets):
-        content = document_features(data, offsets, first, last, symbols=True)
-        yield first, last, content, metadata_features([c[first:last] for c in columns]), page_view(data, offsets, first, last)
-
+def _in_one_task(df: DataFrame, task, column: str):
+    """What ``task`` makes of all rows of a bounded table; without rows, of nothing."""
+    found = df.repartition(1).sortWithinPartitions("row").mapInArrow(task, f"{column} binary").collect()
+    return found[0][0] if found else next(task(iter(()))).column(0)[0].as_py()
 
-@lean
-def _train(batches: Iterator[pa.RecordBatch], metadata: list[str]) -> Iterator[pa.RecordBatch]:
-    t_docs, t_feats, m_docs, m_feats, dense, ids, label, n = [], [], [], [], [], [], [], 0
-    for batch in batches:
-        for first, _, content, meta, page in _views(batch, metadata):
-            d, f = distinct(*content)
-            t_docs.append((d + n + first).astype(np.int32))
-            t_feats.append(f)
-            m_docs.append((meta[0] + n + first).astype(np.int32))
-            m_feats.append(meta[1])
-            dense.append(page)
-        ids.append(batch.column("doc_id").to_numpy(zero_copy_only=False))
-        label.append(batch.column("quality").to_numpy(zero_copy_only=False).astype(float))
-        n += batch.num_rows
-    cat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-    page = np.concatenate(dense) if dense else np.zeros((0, 9))
-    views = [(TrainingSet(cat(t_docs, np.int32), cat(t_feats, np.uint64), n), np.zeros((n, 0))), (TrainingSet(cat(m_docs, np.int32), cat(m_feats, np.uint64), n), page)]
-    model = co_train(views, cat(ids, np.int64), cat(label, float), metadata)
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
+def train_quality(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] | None = None, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES, rounds: int = ROUNDS, growth: float = GROWTH, sure: float = SURE, keep_good: float = KEEP_GOOD) -> tuple[CoTrained, DataFrame]:
+    """(model, the documents as its views see them): co-train on ``docs`` (doc_id, text, metadata...) and labels (doc_id, quality 0/1).
 
-def train_quality(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] = ("source", "lang"), fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS) -> CoTrained:
-    """Co-train on (doc_id, text, metadata...) and labels (doc_id, quality 0/1); null labels and ids are left out.
-
-    Without labels, or with one class only, every document scores that class's share and is kept.
+    ``metadata``: the page view's columns (default: those of ``METADATA`` that there are).
+    Null labels and ids are left out, of repeated ids one row is used. Without labels, or
+    with one class only, every document scores that class's share and is kept.
     """
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).dropna().dropDuplicates(["doc_id"])
-    order = F.xxhash64(F.lit(7), "doc_id")
-    rows = first_by_hash(known, "quality", fit_rows, 7)
-    pool = docs.select("doc_id").dropna().join(known, "doc_id", "left_anti").distinct().orderBy(order, "doc_id").limit(pool_rows).withColumn("quality", F.lit(None).cast("int"))
-    texts = docs.select("doc_id", *metadata, F.coalesce("text", F.lit("")).alias("harrow_text"))
-    sample = F.broadcast(rows.unionByName(pool)).join(texts, "doc_id").dropDuplicates(["doc_id"])
-    one = sample.select("doc_id", "quality", *[F.col(c).cast("string").alias(c) for c in metadata], "harrow_text").repartition(1).sortWithinPartitions("doc_id")
-    train = partial(_train, metadata=list(metadata))
-    found = one.mapInArrow(train, "model binary").collect()
-    return pickle.loads(found[0].model if found else next(train(iter(()))).column(0)[0].as_py())
+    metadata = [c for c in METADATA if c in docs.columns] if metadata is None else list(metadata)
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).dropna().groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    some = F.broadcast(staged(first_by_hash(known, "quality", fit_rows, 7), "quality-labels"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("harrow_text")).join(some.select("doc_id"), "doc_id").dropDuplicates(["doc_id"])
+    ordered = texts.repartition(1).sortWithinPartitions(F.xxhash64(F.lit(7), "doc_id"), "doc_id")
+    found = ordered.mapInArrow(partial(_common_terms, terms=TERMS, fit_bytes=fit_bytes), "terms binary").collect()
+    vocabulary = Vocabulary(np.frombuffer(found[0].terms if found else b"", np.uint64))
+    sizes = _sizes(len(vocabulary.hashes))
+
+    rows = described(docs, vocabulary, metadata, ["doc_id"]).withColumns({"row": F.monotonically_increasing_id(), "digest": F.xxhash64("harrow_terms", "harrow_layout", "harrow_page")})
+    seen = staged(rows, "quality-views")
+    marked = seen.join(some, "doc_id", "left")
+    labelled = staged(marked.where("quality is not null").dropDuplicates(["doc_id"]), "quality-labelled")
+    counts = {r.quality: r["count"] for r in labelled.groupBy("quality").count().collect()}
+    n, open_rows = sum(counts.values()), marked.where("quality is null").drop("quality")
+    quota = tuple(max(1, round(growth * n * counts.get(value, 0) / n)) if n else 0 for value in (0, 1))
+    pseudo: tuple[dict[int, int], dict[int, int]] = {}, {}
+    digests: tuple[set[int], set[int]] = set(), set()
+    spark = docs.sparkSession
+
+    def training() -> DataFrame:
+        marks = [(row, *(pseudo[v].get(row) for v in (0, 1))) for row in sorted({*pseudo[0], *pseudo[1]})]
+        added = open_rows.join(F.broadcast(spark.createDataFrame(marks, "row bigint, content_label int, page_label int")), "row").withColumn("quality", F.lit(None).cast("int"))
+        return labelled.withColumns({"content_label": F.col("quality"), "page_label": F.col("quality")}).unionByName(added)
+
+    for _ in range(rounds if len(counts) == 2 else 0):
+        models = pickle.loads(_in_one_task(training(), partial(_fit_round, sizes=sizes), "models"))
+        taken = tuple(np.array(sorted(d), np.int64) for d in digests)
+        offers = open_rows.mapInArrow(partial(_pick, models=models, taken=taken, quota=quota, sure=sure), "view int, value int, p double, row bigint, digest bigint")
+        best = Window.partitionBy("view", "value").orderBy(F.desc("p"), "digest", "row")
+        single = offers.groupBy("view", "value", "digest").agg(F.max("p").alias("p"), F.min("row").alias("row"))
+        chosen = single.withColumn("place", F.row_number().over(best)).where(F.when(F.col("value") == 1, F.lit(quota[1])).otherwise(F.lit(quota[0])) >= F.col("place"))
+        for r in chosen.orderBy("view", "value", "place").collect():
+            pseudo[1 - r.view].setdefault(r.row, r.value)
+            digests[1 - r.view].add(r.digest)
+    model: CoTrained = pickle.loads(_in_one_task(training(), partial(_finish, sizes=sizes, metadata=metadata, keep_good=keep_good), "model"))
+    model.vocabulary = vocabulary
+    return model, seen
 
 
 _RESULT = ("p_content", "p_page", "quality_score", "keep")
@@ -232,25 +353,31 @@ _RESULT = ("p_content", "p_page", "quality_score", "keep")
 @lean
 def _score(batches: Iterator[pa.RecordBatch], model: CoTrained, keep: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        parts = [model.predict(content, meta, page) for _, _, content, meta, page in _views(batch, [f"harrow_{c}" for c in model.metadata])]
-        p = [np.concatenate([x[j] for x in parts]) if parts else np.zeros(0) for j in range(3)]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *[pa.array(np.round(x, 6)) for x in p], pa.array(p[2] >= model.bar)], names=[*keep, *_RESULT])
+        if batch.num_rows:
+            p = model.predict(*features_of(batch))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *[pa.array(np.round(x, 6)) for x in p], pa.array(p[2] >= model.bar)], names=[*keep, *_RESULT])
+
+
+def score_described(rows: DataFrame, model: CoTrained, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``score_quality`` of documents that ``described`` or ``train_quality`` has read already."""
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name in keep)
+    return rows.select(*keep, "harrow_terms", "harrow_layout", "harrow_page").mapInArrow(partial(_score, model=model, keep=list(keep)), f"{kinds}p_content double, p_page double, quality_score double, keep boolean")
 
 
 def score_quality(docs: DataFrame, model: CoTrained, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The columns ``keep``, the views' calibrated probabilities ``p_content`` and ``p_page``,
     ``quality_score`` of both, and ``keep`` (the score reaches the model's bar).
 
-    Null or empty text is judged by its metadata and layout. One row for each row;
-    columns of ``keep`` that clash with the result's names are left out.
+    Null or empty text is judged by its other columns and its (empty) layout. One row for
+    each row, repeated ones too; columns of ``keep`` that clash with the result's names
+    are left out. No rows give none.
     """
     keep = [c for c in keep if c not in _RESULT and not c.startswith("harrow_")]
-    rows = docs.select(*keep, *[F.col(c).cast("string").alias(f"harrow_{c}") for c in model.metadata], F.coalesce("text", F.lit("")).alias("harrow_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
-    return rows.mapInArrow(partial(_score, model=model, keep=keep), f"{kinds + ', ' if kinds else ''}p_content double, p_page double, quality_score double, keep boolean")
+    return score_described(described(docs, model.vocabulary, model.metadata, keep), model, keep)
 
 
 def op7_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, both views' probabilities, quality_score and keep for all of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, model)
+    model, seen = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_described(seen, model)

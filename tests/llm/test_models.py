@@ -1,9 +1,11 @@
 """Fingerprints, nearest neighbours and the trained classifiers."""
 
 import hashlib
+import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -165,10 +167,57 @@ def test_a_query_far_from_all_gets_its_exact_neighbours(spark, monkeypatch):
 
 
 def test_probe_order():
-    inside = np.array([0.1, 0.5, 0.95])
-    moves = A.probe_sequence(inside, 27)
-    cost = [sum((inside[j] if d < 0 else 1 - inside[j]) ** 2 for j, d in enumerate(m) if d) for m in moves]
-    assert len({tuple(m) for m in moves}) == 27 and cost == sorted(cost) and not moves[0].any()
+    inside = np.array([[0.1, 0.5, 0.95], [0.7, 0.2, 0.4]])
+    for own, moves in zip(inside, A.probe_moves(inside, 27), strict=True):
+        cost = [sum((own[j] if d < 0 else 1 - own[j]) ** 2 for j, d in enumerate(m) if d) for m in moves]
+        assert len({tuple(m) for m in moves}) == 27 and cost == sorted(cost) and not moves[0].any()
+    rng = np.random.default_rng(5)
+    inside = rng.random((20, 6))
+    for own, moves in zip(inside, A.probe_moves(inside, 40), strict=True):
+        cost = [sum((own[j] if d < 0 else 1 - own[j]) ** 2 for j, d in enumerate(m) if d) for m in moves]
+        every = sorted(sum((own[j] if d < 0 else 1 - own[j]) ** 2 for j, d in enumerate(m) if d) for m in itertools.product((-1, 0, 1), repeat=6))
+        assert cost == sorted(cost) and len({tuple(m) for m in moves}) == 40
+        assert cost[-1] <= every[60]  # the true order's first 40 are among the first 60 or so
+
+
+@pytest.mark.parametrize("n", [1, 2, 18, 21])
+def test_few_rows_give_every_candidate(spark, n):
+    for seed in (1, 2):
+        x = np.random.default_rng([n, seed]).standard_normal((n, 16)).astype(np.float32)
+        table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+        got = {}
+        for r in A.nearest(table, table).orderBy("rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert got == {q: _exact(list(range(n)), x.astype(float), q, 20) for q in range(n) if n > 1}
+
+
+def test_a_hot_bucket_is_split(spark, monkeypatch):
+    monkeypatch.setattr(A, "SHARD_ROWS", 200)
+    rng = np.random.default_rng(6)
+    x = np.eye(12)[0] + 0.001 * rng.standard_normal((1500, 12))  # all in a bucket or two
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in A.nearest(table, table.where("vec_id % 20 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = sum(len(got[q] & set(_exact(list(range(1500)), x, q, 20))) for q in range(0, 1500, 20))
+    assert hits >= 0.95 * 75 * 20, hits
+
+
+def test_ids_that_come_with_several_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.5, 0.1]), (2, [0.9, 0.1]), (2, [0.1, 0.9]), (3, [-1.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in A.nearest(table, table.where("vec_id = 1")).orderBy("rank").collect()]
+    assert got == [(1, 1, 2, 0.5 * 0.9 + 0.1 * 0.1), (1, 2, 3, -0.5)]
+
+
+def test_the_ann_query_returns_the_contract(spark, tmp_path):
+    x = np.random.default_rng(9).standard_normal((400, 8)).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = A.op5_multiprobe_ann(spark, str(tmp_path))
+    assert dict(found.dtypes) == {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"}
+    rows = found.collect()
+    assert {r.query_id for r in rows} == set(range(0, 400, 20)) and len(rows) == 20 * 20
+    assert all(r.score == float((x[r.query_id].astype(float) * x[r.vec_id].astype(float)).sum()) for r in rows)
 
 
 def test_logistic_finds_the_optimum():
@@ -204,14 +253,42 @@ def test_toxicity_on_held_out_rows(spark, words):
     docs = make_docs(spark, rows)
     known = spark.createDataFrame([x for x in labels if x[0] < 900] + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
     chain = X.train_toxicity(docs, known)
-    assert chain.names == list(X.DERIVED)
+    assert chain.names == ["poor", "toxic"] and chain.models[1][1].dense.shape == (1,)
     got = {r.doc_id: r for r in X.score_toxicity(docs, chain).collect()}
     held = [x for x in labels if x[0] >= 900]
     caught = sum(got[i].rejected for i, _, t in held if t)
     wrong = sum(got[i].rejected for i, _, t in held if not t)
     assert caught >= 0.95 * sum(t for *_, t in held) and wrong <= 0.01 * len(held)
-    two = X.train_toxicity(docs, known, columns=("quality", "toxic"))
-    assert two.names == ["quality", "toxic"] and two.models[1][1].dense.shape == (1,)
+    one = X.train_toxicity(docs, known.drop("quality"))
+    assert one.names == ["toxic"] and one.models[0][1].dense.shape == (0,)
+    few = X.train_toxicity(docs, known, fit_bytes=2000)
+    assert len(few.models[0][0].hashes) < len(chain.models[0][0].hashes)
+
+
+def test_the_bar_comes_from_rows_no_part_of_the_chain_has_seen(spark, words):
+    """Against a chain put together step by step, with dictionaries, on the same rows."""
+    rows, labels = corpus(words, 240, 21)
+    texts = {i: t for i, t, _ in rows}
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    chain = X.train_toxicity(make_docs(spark, rows), known)
+    place = {i: xxhash.xxh64(i.to_bytes(8, "little"), seed=xxhash.xxh64((9).to_bytes(4, "little"), seed=42).intdigest()).intdigest() for i in texts}
+    ids = np.array(sorted(texts, key=lambda i: (np.uint64(place[i]).astype(np.int64), i)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": ids, "text": [texts[i] for i in ids], "poor": [1 - labels[i][1] for i in ids], "toxic": [labels[i][2] for i in ids]})
+    data, _, y = X._read(iter([batch]), ["poor", "toxic"], 1 << 30)
+    p = np.zeros(len(ids))
+    for k in range(X.FOLDS):
+        out = X.outer_fold(ids) == k
+        fit, earlier, inner = np.flatnonzero(~out), np.zeros((len(ids), 1)), X.folds(ids, X.FOLDS)
+        first = X._fit_one(data, fit, y[:, 0], np.zeros((len(ids), 0)))
+        for j in range(X.FOLDS):
+            held = fit[inner[fit] == j]
+            chosen, model = X._fit_one(data, fit[inner[fit] != j], y[:, 0], np.zeros((len(ids), 0)))
+            earlier[held, 0] = model.logit(*data.pairs(held, chosen), np.zeros((len(held), 0)))
+        second = X._fit_one(data, fit, y[:, 1], earlier)
+        held = np.flatnonzero(out)
+        z = first[1].logit(*data.pairs(held, first[0]), np.zeros((len(held), 0)))
+        p[held] = sigmoid(second[1].logit(*data.pairs(held, second[0]), z[:, None]))
+    assert abs(X.bar_of(p, y[:, 1], X.PRECISION) - chain.bar) < 1e-9
 
 
 def test_toxicity_of_odd_rows(spark, words, odd_rows):
@@ -230,8 +307,10 @@ def test_quality_on_held_out_rows(spark, words, odd_rows):
     rows, labels = corpus(words, 1500, 3)
     docs = make_docs(spark, rows)
     known = spark.createDataFrame([x for x in labels if x[0] < 400], "doc_id long, quality int, toxic int")
-    model = Q.train_quality(docs, known)
+    model, seen = Q.train_quality(docs, known)
+    assert model.metadata == ["source", "lang", "n_chars"]
     got = {r.doc_id: r for r in Q.score_quality(docs, model).collect()}
+    assert {r.doc_id: r for r in Q.score_described(seen, model).collect()} == got
     held = [x for x in labels if x[0] >= 400]
     kept = [got[i].keep for i, q, _ in held if q]
     poor = [got[i].keep for i, q, _ in held if not q]
@@ -240,5 +319,50 @@ def test_quality_on_held_out_rows(spark, words, odd_rows):
     odd = make_docs(spark, odd_rows)
     assert Q.score_quality(odd, model, keep=odd.columns).count() == len(odd_rows)
     assert Q.score_quality(odd.where("false"), model).count() == 0
-    none = Q.train_quality(docs, known.where("false"))
+    none, _ = Q.train_quality(docs, known.where("false"))
     assert Q.score_quality(docs, none).where("not keep").count() == 0
+
+
+def test_cotraining_equals_its_steps_by_hand(spark, words):
+    """Every round and the final models against plain loops over the same features, on a small table with copies."""
+    rows, labels = corpus(words, 160, 31)
+    rows = [(i, t, "poor" if not q and i % 2 else s) for (i, t, s), (_, q, _) in zip(rows, labels, strict=True)] + [(1000 + i, rows[150][1], rows[150][2]) for i in range(5)]
+    docs = make_docs(spark, rows)
+    known = spark.createDataFrame([x for x in labels if x[0] < 80], "doc_id long, quality int, toxic int")
+    sure, growth = 0.7, 0.2
+    model, seen = Q.train_quality(docs, known, rounds=2, growth=growth, sure=sure)
+    table = pa.Table.from_pandas(seen.orderBy("row").toPandas())
+    views = Q.features_of(table.combine_chunks().to_batches()[0])
+    ids, digest = table.column("doc_id").to_numpy(), table.column("digest").to_numpy()
+    truth = np.array([labels[i][1] if i < 80 else np.nan for i in ids.tolist()], float)
+    sizes, own = Q._sizes(len(model.vocabulary.hashes)), [truth.copy(), truth.copy()]
+    share = np.nanmean(truth)
+    quota = [max(1, round(growth * 80 * x)) for x in (1 - share, share)]
+    taken, added = [set(), set()], 0
+    for _ in range(2):
+        now = [o.copy() for o in own]
+        for v in (0, 1):
+            fit = np.flatnonzero(~np.isnan(own[v]))
+            p = sigmoid(Q.logits(Q.fit_view(views[v], sizes[v], fit, own[v]), views[v]))
+            fresh = set()
+            for value in (0, 1):
+                sureness = p if value else 1 - p
+                met, left = set(), quota[value]
+                for j in sorted(range(len(ids)), key=lambda j: (-sureness[j], digest[j], j)):
+                    if np.isnan(truth[j]) and sureness[j] >= sure and digest[j] not in taken[1 - v] and digest[j] not in met and left:
+                        met.add(digest[j])
+                        left -= 1
+                        if np.isnan(now[1 - v][j]):
+                            now[1 - v][j] = value
+                            added += 1
+                fresh |= met
+            taken[1 - v] |= fresh
+        own = now
+    assert added > 10
+    for v, view in enumerate((model.text, model.page)):
+        rows_v = np.flatnonzero(~np.isnan(own[v]))
+        assert np.allclose(Q.fit_view(views[v], sizes[v], rows_v, own[v]).sparse, view.model.sparse, atol=1e-7)
+    got = {r.doc_id: r for r in Q.score_described(seen, model).collect()}
+    for j, i in enumerate(ids.tolist()):
+        z = [view.slope * view.model.logit(*(x[f == j] * 0 if k == 0 else x[f == j] if k == 1 else x[j : j + 1] for k, x in enumerate((f, g, d)))) + view.shift for view, (f, g, d) in zip((model.text, model.page), views, strict=True)]
+        assert abs(got[i].p_content - sigmoid(z[0])[0]) < 1e-5 and abs(got[i].p_page - sigmoid(z[1])[0]) < 1e-5

@@ -9,25 +9,34 @@ probed for the partners found (DivideSkip). This is done at two levels:
 1. across the cluster, the short lists of every distinct set are merged by a
    shuffle on the shingle. Lists are ranked by a count sketch of fixed size, shortest
    first; any ranking gives the same links. Documents met in a list are chained to
-   their predecessor, which costs one row per posting however long the list is.
-2. each chained group is a cell of bounded size (a larger group is dealt over
-   block-against-block cells, which together hold every pair). In a cell the full
-   inverted lists are built and searched: merge the short lists, drop candidates
-   below ``T - L`` occurrences or already connected, binary-probe the ``L`` long
-   lists, and test ``100 * shared >= 80 * union`` exactly.
-
-Cells report a spanning forest of the links, never all pairs. Equal sets are one node.
+   their predecessor, which costs one row per posting however long the list is. A
+   task chains the sets of one size that it meets itself, and sends one of them.
+2. each chained group is a cell of bounded size. In a cell the full inverted lists
+   are built and searched: heap-merge the short lists, drop candidates below
+   ``T - L`` occurrences or already connected, binary-probe the ``L`` long lists, and
+   test ``100 * shared >= 80 * union`` exactly.
+
+Where the sketch can't tell common shingles from rare ones, they chain documents that
+have little in common, and groups grow. A group beyond a cell is therefore chained
+anew with the exact counts of its shingles: those in no other of its sets, and then
+the rarest, come first, so a passage that half the group holds no longer counts. What
+is still beyond a cell is dealt over block-against-block cells, which together hold
+every pair.
+
+Cells report a spanning forest of the links, never all pairs. Equal sets are one node:
+the smallest doc_id that has it, with the set's size and hash.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import lean, shuffle_partitions, staged
@@ -39,7 +48,11 @@ PERCENT = 80
 SKETCH_BITS = 21
 SKETCH_PART_BITS = 14
 CELL_SHINGLES = 1_500_000
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 32 << 20
+#: Postings that are merged one by one off a heap; more are merged run by run.
+HEAP_ENTRIES = 256
+#: Stands for a null doc_id: after all others.
+NO_ID = (1 << 63) - 1
 _U = np.uint64
 _KEY_BITS = 57
 
@@ -107,43 +120,71 @@ def _list_ranks(described: DataFrame) -> np.ndarray:
     return ranks
 
 
+def prefix_sizes(n: int, percent: int) -> tuple[int, int]:
+    """How many of its shortest lists a set of ``n`` looks partners up in, and in how many a larger partner must find it."""
+    return n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
+
+
+def _chained_here(keys: np.ndarray, n: np.ndarray, sid: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(postings to send, links (n, sid, sid)) of one task's postings.
+
+    Sets of one size in one list all chain to the first of them that counts as a
+    smaller partner, and only that one is sent; sets without such a one are all sent.
+    """
+    order = np.lexsort((sid, ~low, n, keys))
+    keys, n, sid, low = keys[order], n[order], sid[order], low[order]
+    fresh = np.concatenate((np.ones(min(1, len(keys)), bool), (keys[1:] != keys[:-1]) | (n[1:] != n[:-1])))
+    head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1] if len(keys) else np.zeros(0, np.int64)
+    inner = ~fresh & low[head]
+    links = np.unique(np.stack((n[inner], sid[head][inner], sid[inner]), axis=1), axis=0) if inner.any() else np.zeros((0, 3), np.int64)
+    return order[~inner], tuple(links.T)
+
+
 @lean
 def _short_lists(batches: Iterator[pa.RecordBatch], width: int, percent: int, ranks, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Postings of the shortest ``n - T + 1`` lists of each set not yet seen by this task.
+    """Postings of the shortest ``n - T + 1`` lists of each set not yet seen by this task, and links (``other``) made on the way.
 
     ``low`` marks those that also count when the partner is the larger set.
     """
     ranks, seen = ranks.value, set()
     for batch in batches:
+        parts: list[tuple[np.ndarray, int, int, int]] = []
         for _, _, hashes, offsets in _sets(batch, width):
             ids, sizes = _set_ids(hashes, offsets), np.diff(offsets)
             keys = (ranks[hashes >> _U(64 - SKETCH_BITS)].astype(np.uint64) << _U(_KEY_BITS)) | (hashes & _U((1 << _KEY_BITS) - 1))
-            out: list[tuple] = []
             for d in np.flatnonzero(sizes):
                 n, sid = int(sizes[d]), int(ids[d])
                 if (n, sid) in seen:
                     continue
                 seen.add((n, sid))
-                probe = n - -(-percent * n // 100) + 1
-                index = n - -(-2 * percent * n // (100 + percent)) + 1
+                probe, index = prefix_sizes(n, percent)
                 own = keys[offsets[d] : offsets[d + 1]]
                 own = np.sort(np.partition(own, probe - 1)[:probe]) if probe < n else np.sort(own)
-                out.append((own, n, sid, index))
-            if out:
-                lengths = [len(x[0]) for x in out]
-                spread = lambda k, kind: pa.array(np.repeat(np.array([x[k] for x in out], kind), lengths))  # noqa: E731, B023
-                low = np.concatenate([np.arange(m) < x[3] for m, x in zip(lengths, out, strict=True)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in out]).view(np.int64)), spread(1, np.int64), spread(2, np.int64), pa.array(low)], schema=schema)
+                parts.append((own, n, sid, index))
+        if not parts:
+            continue
+        lengths = [len(x[0]) for x in parts]
+        spread = lambda k: np.repeat(np.array([x[k] for x in parts], np.int64), lengths)  # noqa: E731, B023
+        low = np.concatenate([np.arange(m) < x[3] for m, x in zip(lengths, parts, strict=True)])
+        key, n, sid = np.concatenate([x[0] for x in parts]).view(np.int64), spread(1), spread(2)
+        sent, links = _chained_here(key, n, sid, low)
+        yield pa.RecordBatch.from_arrays([pa.array(key[sent]), pa.array(n[sent]), pa.array(sid[sent]), pa.array(low[sent]), pa.nulls(len(sent), pa.int64())], schema=schema)
+        if len(links[0]):
+            none = len(links[0])
+            yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64()), pa.array(links[0]), pa.array(links[2]), pa.nulls(none, pa.bool_()), pa.array(links[1])], schema=schema)
 
 
 def _chain(postings: DataFrame, percent: int) -> DataFrame:
-    """Edges between sets that meet in a short list: each to the nearest smaller one that counts, if sizes allow."""
+    """Edges between sets that meet in a short list: each to the nearest smaller one that counts, if sizes allow.
+
+    Rows with ``other`` are links that a task made itself, to a set of the same size.
+    """
     met = (
         "last(if(low, struct(n, sid), null), true) over "
         "(partition by key order by n, sid, low desc rows between unbounded preceding and 1 preceding)"
     )
     return (
-        postings.withColumn("near", F.expr(met))
+        postings.withColumn("near", F.when(F.col("other").isNotNull(), F.struct("n", F.col("other").alias("sid"))).otherwise(F.expr(met)))
         .where(F.col("near").isNotNull() & (F.lit(100) * F.col("near.n") >= F.lit(percent) * F.col("n")))
         .where("near.n <> n or near.sid <> sid")
         .select(F.col("near.n").alias("n_a"), F.col("near.sid").alias("sid_a"), F.col("n").alias("n_b"), F.col("sid").alias("sid_b"))
@@ -151,6 +192,21 @@ def _chain(postings: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def merged_runs(runs: list[np.ndarray]) -> np.ndarray:
+    """One ascending array of several. Few entries come off a heap one by one; else the two shortest runs come off, and their merger goes back."""
+    if sum(map(len, runs)) <= HEAP_ENTRIES:
+        return np.fromiter(heapq.merge(*(r.tolist() for r in runs)), np.int64)
+    heap = [(len(r), i, r) for i, r in enumerate(runs)]
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        (m, i, a), (n, _, b) = heapq.heappop(heap), heapq.heappop(heap)
+        out, taken = np.empty(m + n, a.dtype), np.zeros(m + n, bool)
+        taken[np.searchsorted(b, a, "right") + np.arange(m)] = True
+        out[taken], out[~taken] = a, b
+        heapq.heappush(heap, (m + n, i, out))
+    return heap[0][2] if heap else np.zeros(0, np.int64)
+
+
 def t_occurrence_links(sets: list[np.ndarray], sides: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Spanning forest, over positions in ``sets``, of the pairs with Jaccard >= percent/100.
 
@@ -190,13 +246,12 @@ def t_occurrence_links(sets: list[np.ndarray], sides: np.ndarray, percent: int =
         longest = int(lengths[own[-1]])
         skip = min(int(least / (0.0085 * math.log2(longest) + 1)), least - 1)
         short, long = own[: len(own) - skip], own[len(own) - skip :]
-        # Merge the sorted short lists (runs) and count how often each document occurs.
-        begin, size = head[short], lengths[short]
-        at = np.repeat(begin - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-        merged = postings[at]
-        merged = np.sort(merged[merged < x], kind="stable")
-        if not len(merged):
+        # Merge the short lists, up to this set, and count how often each document occurs.
+        runs = [postings[a : a + m] for a, m in zip(head[short].tolist(), lengths[short].tolist(), strict=True)]
+        runs = [r[:m] for r, m in zip(runs, [int(np.searchsorted(r, x)) for r in runs], strict=True) if m]
+        if not runs:
             continue
+        merged = merged_runs(runs)
         first = np.flatnonzero(np.concatenate(([True], merged[1:] != merged[:-1])))
         found, times = merged[first], np.diff(np.concatenate((first, [len(merged)])))
         need = -(-percent * (n + sizes[found]) // (100 + percent))
@@ -227,32 +282,60 @@ def _search_cells(batches: Iterator[pa.RecordBatch], percent: int, schema: pa.Sc
             forest = t_occurrence_links([np.frombuffer(s, np.uint64) for _, s, _ in held], np.array([side for _, _, side in held], np.int8), percent)
             if forest:
                 nodes = [node for node, _, _ in held]
-                yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in forest], pa.int64()), pa.array([nodes[j] for _, j in forest], pa.int64())], schema=schema)
+                ends = [[nodes[k][j] for k in side] for side in zip(*forest, strict=True) for j in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ends], schema=schema)
 
     for batch in batches:
-        for own, node, items, side in zip(*(batch.column(k).to_pylist() for k in ("cell", "node", "items", "side")), strict=True):
+        for own, id_, n, sid, items, side in zip(*(batch.column(k).to_pylist() for k in ("cell", "id", "n", "sid", "items", "side")), strict=True):
             if own != cell:
                 yield from flush()
                 cell, held = own, []
-            if not held or held[-1][0] != node:  # a repeated row
-                held.append((node, items, side))
+            if not held or held[-1][0] != (id_, n, sid):  # a repeated row
+                held.append(((id_, n, sid), items, side))
     yield from flush()
 
 
 @lean
 def _full_sets(batches: Iterator[pa.RecordBatch], width: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """(id, n, sid, items) of each document, repeated rows of a task once."""
     seen: set[tuple[int, int]] = set()
     for batch in batches:
         for first, last, hashes, offsets in _sets(batch, width):
             rows = []
-            for doc_id, sid, a, b in zip(batch.column("doc_id").slice(first, last - first).to_pylist(), _set_ids(hashes, offsets).tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                if (doc_id, sid) not in seen:  # rows may be repeated
-                    seen.add((doc_id, sid))
-                    rows.append((doc_id, b - a, sid, hashes[a:b].tobytes()))
+            for id_, sid, a, b in zip(batch.column("id").slice(first, last - first).to_pylist(), _set_ids(hashes, offsets).tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                if (id_, sid) not in seen:
+                    seen.add((id_, sid))
+                    rows.append((id_, b - a, sid, hashes[a:b].tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
+@lean
+def _all_postings(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        group, n, sid = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("group", "n", "sid"))
+        for i, items in enumerate(batch.column("items").to_pylist()):
+            own = np.frombuffer(items, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), x[i])) for x in (group, n, sid)] + [pa.array(own)], schema=schema)
+
+
+def exact_chain(sets: DataFrame, percent: int) -> DataFrame:
+    """Edges as ``_chain`` makes them, for ``sets(group, n, sid, items)``, lists ranked by their exact length within the group.
+
+    A shingle that no other set of the group holds has no list to look up; such shingles
+    fill a set's first places. Only the others are put in order.
+    """
+    schema = pa.schema([("group", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("shingle", pa.int64())])
+    every = sets.select("group", "n", "sid", "items").mapInArrow(partial(_all_postings, schema=schema), "group bigint, n bigint, sid bigint, shingle bigint")
+    shared = every.groupBy("group", "shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    rows = every.join(shared, ["group", "shingle"])
+    own = Window.partitionBy("group", "n", "sid")
+    place = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("df", "shingle"))
+    least = lambda over: f"n - cast(ceil({percent if over == 100 else 2 * percent} * n / {over}) as bigint) + 1"
+    kept = rows.withColumn("place", place).where(F.col("place") <= F.expr(least(100))).withColumn("low", F.col("place") <= F.expr(least(100 + percent)))
+    return _chain(kept.select(F.xxhash64("group", "shingle").alias("key"), "n", "sid", "low", F.lit(None).cast("bigint").alias("other")), percent)
+
+
 def _cells(nodes: DataFrame, cell_shingles: int) -> DataFrame:
     """(node, cell, side) from (node, n, group): small groups whole, larger ones block against block.
 
@@ -281,60 +364,84 @@ def _cells(nodes: DataFrame, cell_shingles: int) -> DataFrame:
     return one.union(many)
 
 
+def _node(id_: str, n: str, sid: str) -> Column:
+    return F.struct(F.col(id_).alias("id"), F.col(n).alias("n"), F.col(sid).alias("sid"))
+
+
+def _small(table: DataFrame, row_bytes: int) -> DataFrame:
+    """Broadcast, if its rows of so many bytes (fixed width, with a hash table's share) stay below ``BROADCAST_BYTES``."""
+    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
+
+
+def _grouped(met: DataFrame, reps: DataFrame, name: str) -> DataFrame:
+    """(node, n, sid, group) of the sets that ``met`` joins to others; the group is a hash of its smallest node."""
+    sets = lambda end: reps.select(F.col("n").alias(f"n_{end}"), F.col("sid").alias(f"sid_{end}"), F.col("node").alias(end))
+    edges = met.join(sets("a"), ["n_a", "sid_a"]).join(sets("b"), ["n_b", "sid_b"]).select("a", "b")
+    return components(edges, name).select("node", "node.n", "node.sid", F.xxhash64("component").alias("group"))
+
+
 def near_duplicate_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, cell_shingles: int = CELL_SHINGLES, text: str = "text") -> DataFrame:
     """``docs`` (doc_id, text, ...) -> doc_id, n_shingles, component_id, one row per row of ``docs``.
 
     ``component_id`` is the smallest doc_id reachable over links, the document's own
     included. Null or wordless text: no shingles, linked with nothing. Rows that
-    repeat a doc_id are documents of their own; a null doc_id keeps its shingle
-    count, and counts as absent when a component's smallest id is taken. An empty
-    table gives an empty result; other columns are ignored.
+    repeat a doc_id are documents of their own; a null doc_id links as any other, but
+    counts as absent when a component's smallest id is taken (null if there is no
+    other). An empty table gives an empty result; other columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
-    texts = docs.select("doc_id", F.col(text).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     pa_described = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
     described = staged(texts.mapInArrow(partial(_describe, width=width, schema=pa_described), "doc_id bigint, n bigint, sid bigint, part int, counts binary"), "shingle-sets")
     members = described.where("part is null").select("doc_id", "n", "sid")
     ranks = spark.sparkContext.broadcast(_list_ranks(described))
 
-    pa_postings = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("low", pa.bool_())])
-    postings = texts.mapInArrow(partial(_short_lists, width=width, percent=percent, ranks=ranks, schema=pa_postings), "key bigint, n bigint, sid bigint, low boolean")
-    met = staged(_chain(postings, percent), "met")
-
-    reps = members.where("n > 0").groupBy("n", "sid").agg(F.min("doc_id").alias("node")).where("node is not null")
-    a = reps.select(F.col("n").alias("n_a"), F.col("sid").alias("sid_a"), F.col("node").alias("a"))
-    b = reps.select(F.col("n").alias("n_b"), F.col("sid").alias("sid_b"), F.col("node").alias("b"))
-    groups = components(met.join(a, ["n_a", "sid_a"]).join(b, ["n_b", "sid_b"]).select("a", "b"), "groups")
-    nodes = staged(groups.join(reps, "node").select("node", "n", "sid", F.col("component").alias("group")), "nodes")
+    pa_postings = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("low", pa.bool_()), ("other", pa.int64())])
+    listed = texts.mapInArrow(partial(_short_lists, width=width, percent=percent, ranks=ranks, schema=pa_postings), "key bigint, n bigint, sid bigint, low boolean, other bigint")
+    # Links that tasks made themselves pass along with the postings, in lists of their own.
+    met = staged(_chain(listed.withColumn("key", F.coalesce("key", F.xxhash64("n", "sid", "other"))), percent), "met")
+
+    reps = members.where("n > 0").groupBy("n", "sid").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id")).select("n", "sid", _node("id", "n", "sid").alias("node"))
+    nodes = staged(_grouped(met, reps, "groups"), "nodes")
+    by_id = texts.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
+    pa_sets = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("items", pa.binary())])
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """wanted's columns and items; small tables go to the texts, so that these stay where they are."""
+        keyed = _small(wanted.withColumn("id", F.col("node.id")), 120)
+        made = by_id.join(keyed.select("id"), "id", "left_semi").mapInArrow(partial(_full_sets, width=width, schema=pa_sets), "id bigint, n bigint, sid bigint, items binary")
+        return made.join(keyed, ["id", "n", "sid"])
+
+    over = nodes.groupBy("group").agg(F.sum("n").alias("total")).where(F.col("total") > cell_shingles).select("group")
+    large = staged(nodes.join(_small(over, 40), "group"), "large-groups")
+    if large.head() is not None:
+        anew = _grouped(staged(exact_chain(sets_of(large).dropDuplicates(["n", "sid"]), percent), "met-exactly"), reps, "groups-anew")
+        nodes = staged(nodes.join(large.select("node"), "node", "left_anti").unionByName(anew.select(*nodes.columns)), "nodes-anew")
     cells = staged(_cells(nodes.select("node", "n", "group"), cell_shingles), "cells")
 
-    # Small tables go to the sets, so that these are dealt out once, to their cells.
-    fit = lambda table: F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-    wanted = fit(nodes.select(F.col("node").alias("doc_id"), "n", "sid"))
-    pa_sets = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("items", pa.binary())])
-    sets = texts.join(wanted.select("doc_id"), "doc_id", "left_semi").mapInArrow(partial(_full_sets, width=width, schema=pa_sets), "doc_id bigint, n bigint, sid bigint, items binary")
-    sets = sets.join(wanted, ["doc_id", "n", "sid"], "left_semi")
-    pa_links = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    pa_links = pa.schema([(f"{c}_{end}", pa.int64()) for end in "ab" for c in ("id", "n", "sid")])
     links = (
-        sets.withColumnRenamed("doc_id", "node").join(fit(cells), "node")
-        .select("cell", "n", "node", "items", "side")
+        sets_of(nodes).drop("group").join(_small(cells, 120), "node")
+        .select("cell", "id", "n", "sid", "items", "side")
         .repartition(shuffle_partitions(spark), "cell")
-        .sortWithinPartitions("cell", "n", "node")
-        .mapInArrow(partial(_search_cells, percent=percent, schema=pa_links), "a bigint, b bigint")
+        .sortWithinPartitions("cell", "n", "id", "sid")
+        .mapInArrow(partial(_search_cells, percent=percent, schema=pa_links), ", ".join(f"{f.name} bigint" for f in pa_links))
     )
-    linked = components(links, "links")
-    class_of = reps.join(linked, "node", "left").select("n", "sid", F.coalesce("component", "node").alias("component"))
-    return members.join(class_of, ["n", "sid"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    linked = components(links.select(*[_node(f"id_{end}", f"n_{end}", f"sid_{end}").alias(end) for end in "ab"]), "links")
+    class_of = reps.join(linked, "node", "left").select("n", "sid", F.coalesce("component", "node")["id"].alias("component"))
+    return members.join(class_of, ["n", "sid"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.nullif("component", F.lit(NO_ID)), "doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are the first (smallest doc_id) of their component; null ids stay."""
+    """The rows of ``docs`` that are the first (smallest doc_id) of their component; null ids stay.
+
+    Rows that share the first's id stay with it. Columns and repeated rows stay as they are.
+    """
     classes = near_duplicate_components(docs, **options)
     gone = staged(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    return docs.join(_small(gone, 60), docs["doc_id"] == F.col("gone_id"), "left_anti")
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id for all of ``documents``."""
     return near_duplicate_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -62,6 +62,50 @@ def test_against_brute_force(spark, words, odd_rows, cell):
         assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
 
 
+def test_repeated_ids_and_links_through_rows_without_an_id(spark, words):
+    rng = random.Random(5)
+    a = rng.choices(words, k=60)
+    b, c = [*a[:57], "x", "y", "z"], [*a[:54], "u", "v", "w", "x", "y", "z"]
+    other = rng.choices(words, k=60)
+    rows = [(1, " ".join(a), "s"), (None, " ".join(b), "s"), (3, " ".join(c), "s"), (3, " ".join(other), "s"), (4, " ".join([*other[:58], "q", "r"]), "s"), (None, " ".join(rng.choices(words, k=9)), "s")]
+    got = J.near_duplicate_components(make_docs(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+    assert {r.doc_id: r.component_id for r in got}[1] == 1 and [r.component_id for r in got if r.doc_id == 3] in ([1, 3], [3, 1])
+
+
+def test_a_passage_that_all_documents_share(spark, words):
+    """Ranked as rare (all sketch ranks alike), it chains everything; the exact counts take it apart again."""
+    rng = random.Random(6)
+    passage = rng.choices(words, k=30)
+    rows = [(i, " ".join([*passage, *rng.choices(words, k=rng.randint(10, 60))]), "s") for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + " end", "s") for i in range(0, 300, 10)]
+    docs = make_docs(spark, rows)
+    ranks = spark.sparkContext.broadcast(np.zeros(1 << J.SKETCH_BITS, np.uint8))
+    schema = J.pa.schema([("key", J.pa.int64()), ("n", J.pa.int64()), ("sid", J.pa.int64()), ("low", J.pa.bool_()), ("other", J.pa.int64())])
+    listed = docs.select("doc_id", "text").mapInArrow(J.partial(J._short_lists, width=5, percent=80, ranks=ranks, schema=schema), "key bigint, n bigint, sid bigint, low boolean, other bigint")
+    blind = J._chain(listed.withColumn("key", J.F.coalesce("key", J.F.xxhash64("n", "sid", "other"))), 80)
+    sets = docs.select(J.F.col("doc_id").alias("id"), "text").mapInArrow(J.partial(J._full_sets, width=5, schema=J.pa.schema([("id", J.pa.int64()), ("n", J.pa.int64()), ("sid", J.pa.int64()), ("items", J.pa.binary())])), "id bigint, n bigint, sid bigint, items binary")
+    exact = J.exact_chain(sets.withColumn("group", J.F.lit(1).cast("bigint")), 80)
+    assert exact.count() < 60 < blind.count()
+    got = J.near_duplicate_components(docs, cell_shingles=2000).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+
+
+def test_merged_runs():
+    rng = np.random.default_rng(4)
+    for sizes in ([], [3], [1, 5, 2], [200, 3, 90, 1, 1, 400]):
+        runs = [np.sort(rng.integers(0, 50, n)).astype(np.int32) for n in sizes]
+        assert J.merged_runs(runs).tolist() == sorted(x for r in runs for x in r.tolist())
+
+
+def test_a_task_sends_one_posting_for_sets_of_one_size():
+    keys, n, low = np.array([7, 7, 7, 7, 8, 8, 9, 9]), np.array([5, 5, 5, 6, 5, 5, 5, 5]), np.array([0, 1, 1, 1, 0, 0, 1, 1], bool)
+    sid = np.array([1, 3, 2, 9, 4, 5, 2, 3])
+    sent, links = J._chained_here(keys, n, sid, low)
+    assert sorted(sent.tolist()) == [2, 3, 4, 5, 6]
+    assert {tuple(x) for x in np.stack(links, axis=1).tolist()} == {(5, 2, 1), (5, 2, 3)}
+
+
 def test_exact_threshold(spark):
     # 8 of 10 shingles shared: 100 * 8 = 80 * 10; one less is no link.
     base = [f"w{i}" for i in range(13)]

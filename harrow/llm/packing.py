@@ -31,6 +31,8 @@ from .tokens import binary_column, encoder
 WINDOW = 2048
 GRAIN = 128
 END_ID = 1
+#: The query's target: natural shares to this power.
+EXPONENT = 0.7
 NULL_SOURCE = "\x00null"
 _WEIGHT_SCALE = 1 << 20
 _ROWS = 2000
@@ -109,7 +111,7 @@ def pack(
     docs: DataFrame,
     tokenizer: str | None = None,
     kind: str = "dropped",
-    weights: Mapping[str | None, float] | None = None,
+    weights: Mapping[str | None, float] | float | None = None,
     window: int = WINDOW,
     grain: int = GRAIN,
     end_id: int = END_ID,
@@ -119,10 +121,12 @@ def pack(
     length, ids (little-endian uint32), doc_tokens, sequence_id, offset.
 
     ``weights``: target token share by source (any scale; a source it lacks keeps its
-    natural share, which is also the default for all). A document is its ids and
+    natural share, which is also the default for all), or an exponent for the natural
+    shares (below 1 lifts small sources, whose queues then end sooner). A document is its ids and
     ``end_id``. Null or empty text: the end id alone. Null sources are one queue.
     Repeated rows are packed each on its own. Empty table: no rows. One total per
-    source is held on the driver, nothing that grows with the documents.
+    source is held on the driver, nothing that grows with the documents; placing a piece
+    takes a step for each source.
     """
     if window < 1 or not 1 <= grain <= window:
         raise ValueError("need 1 <= grain <= window")
@@ -135,15 +139,16 @@ def pack(
     totals = {r.source: r.tokens for r in by_part.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
     names = sorted(totals)
     everything = sum(totals.values()) or 1
-    given = {NULL_SOURCE if s is None else s: w for s, w in (weights or {}).items()}
-    share = np.array([given.get(s, totals[s] / everything) for s in names], float)
+    natural = {s: totals[s] / everything for s in names}
+    given = {NULL_SOURCE if s is None else s: w for s, w in weights.items()} if isinstance(weights, Mapping) else {s: x ** (1.0 if weights is None else weights) for s, x in natural.items()}
+    share = np.array([given.get(s, natural[s]) for s in names], float)
     if len(share) and (share <= 0).any():
         raise ValueError("target weights must be positive")
     whole = np.maximum(1, np.round(share / max(share.sum(), 1e-300) * _WEIGHT_SCALE)).astype(np.int64)
 
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    index = F.create_map(*[x for i, s in enumerate(names) for x in (F.lit(s), F.lit(i))]) if names else F.create_map(F.lit(""), F.lit(0))
-    begins = by_part.withColumn("earlier", F.coalesce(F.sum("tokens").over(earlier), F.lit(0))).select("source", "part", "earlier", F.element_at(index, F.col("source")).alias("queue"))
+    queues = spark.createDataFrame([(s, i) for i, s in enumerate(names)], "source string, queue int")
+    begins = by_part.withColumn("earlier", F.coalesce(F.sum("tokens").over(earlier), F.lit(0))).join(queues, "source").select("source", "part", "earlier", "queue")
     # A written table has a known size: joined by broadcast while it is small, so that ids stay where they are.
     begins = staged(begins, "queue-begins")
     placed = tokens.join(begins, ["source", "part"]).select("doc_id", "source", "queue", (F.col("earlier") + F.col("before")).alias("begin"), "n", "ids")
@@ -154,8 +159,10 @@ def pack(
 
 
 def piece_digests(pieces: DataFrame) -> DataFrame:
+    """The pieces with a checksum in place of their ids."""
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_digests(pack(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    """The contract's columns for all of ``documents``, mixed to their sources' shares to the power ``EXPONENT``."""
+    return piece_digests(pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), weights=EXPONENT))

@@ -7,12 +7,12 @@ One file holds the documents of a stretch of the order, at most about ``FILE_IDS
     index       zstandard of: chunk table (u64 offset, u32 ids, u8 mode, u8 planes,
                 u32 bytes of each plane), then the documents (validity, ids, counts)
     u32 shard, u32 place in the shard, u64 ids, u32 documents, u32 chunks, u32 bytes of index, "HBPE"
-    0x0A
 
 A block of ``BLOCK_IDS`` ids becomes byte planes (all lowest bytes, then the next) or
 bit planes (bit 0 of every id, then bit 1 ...); planes that hold no set bit at the top
-are left out. Files are written by Spark's own committer and read by its binary
-source, so any store that Spark reaches will do, and a retried task leaves no trace.
+are left out. Each such image is the one binary value of a Parquet file, written by
+Spark's own committer: any store that Spark reaches will do, and a retried task leaves
+no trace.
 """
 
 from __future__ import annotations
@@ -84,9 +84,8 @@ def encode_file(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray,
 
 
 def file_tail(image: bytes) -> tuple[int, int, int, int, int, int]:
-    """(shard, place, ids, documents, chunks, bytes of index) of a file image, with or without the closing 0x0A."""
-    end = len(image) - (image[-1:] == b"\n" and image[-5:-1] == FOOT)
-    *tail, foot = _TAIL.unpack(image[end - _TAIL.size : end])
+    """(shard, place, ids, documents, chunks, bytes of index) of a file image."""
+    *tail, foot = _TAIL.unpack(image[-_TAIL.size :])
     if foot != FOOT or image[: len(HEAD)] != HEAD:
         raise ValueError("not a token file")
     return tuple(tail)
@@ -95,7 +94,7 @@ def file_tail(image: bytes) -> tuple[int, int, int, int, int, int]:
 def decode_file(image: bytes) -> Iterator[tuple[int | None, int, np.ndarray]]:
     """(doc_id, ids before it in this file, its ids) in order; one chunk is unpacked at a time."""
     _, _, _, docs, chunks, index_size = file_tail(image)
-    end = len(image) - (image[-1:] == b"\n" and image[-5:-1] == FOOT) - _TAIL.size
+    end = len(image) - _TAIL.size
     unpress = zstandard.ZstdDecompressor()
     index = unpress.decompress(image[end - index_size : end])
     table = np.frombuffer(index, _CHUNK, chunks)
@@ -162,16 +161,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     order = ["doc_id", F.xxhash64("text")]
     ranged = docs.select("doc_id", "text").repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     images = ranged.mapInArrow(partial(_write, path=tokenizer or byte_bpe(), kind=kind, end_id=end_id, mode=mode, block=block, file_ids=file_ids), "image binary")
-    # The text sink writes a string's bytes as they are, then one 0x0A; one record a file.
-    images.select(F.col("image").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    images.write.option("maxRecordsPerFile", 1).option("compression", "uncompressed").parquet(path)
 
 
 @lean
 def _documents(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for image in batch.column("content").to_pylist():
-            if not image:
-                continue
+        for value in batch.column("image"):
+            image = value.as_py()
             shard, place, *_ = file_tail(image)
             rows: list[tuple] = []
             held = 0
@@ -193,7 +190,7 @@ def _documents(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian uint32), shard, place, before (ids earlier in the file)."""
     schema = pa.schema([("shard", pa.int64()), ("place", pa.int64()), ("doc_id", pa.int64()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-    files = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.schema("image binary").parquet(path)
     return files.mapInArrow(partial(_documents, schema=schema), "shard bigint, place bigint, doc_id bigint, before bigint, n_tokens bigint, ids binary")
 
 
@@ -212,6 +209,7 @@ def document_starts(docs: DataFrame) -> DataFrame:
 
 
 def op8_bit_plane_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, from the files that all of ``documents`` were written to."""
     path = staged_path(spark, "token-files")
     write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
     digests = staged(read_token_files(spark, path).select("shard", "place", "doc_id", "before", "n_tokens", F.crc32("ids").alias("ids_crc32")), "token-digests")

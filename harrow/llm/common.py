@@ -19,13 +19,15 @@ _STAGED: list[tuple[object, object]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests, a laptop) a temporary folder of our own is used, and set as the
-    checkpoint folder.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local session may leave it
+    unset (tests, a laptop): then a temporary folder of our own is used, and set as
+    the checkpoint folder.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="harrow-shared-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -77,6 +79,14 @@ def first_by_hash(rows: DataFrame, by: str, n: int, seed: int, key: str = "doc_i
     return rows.where(bar).withColumn("harrow_place", F.row_number().over(order)).where(F.col("harrow_place") <= n).drop("harrow_place")
 
 
+BROADCAST_BYTES = 32 << 20
+
+
+def small(table: DataFrame, row_bytes: int) -> DataFrame:
+    """``table`` to be broadcast, if its rows of at most so many bytes (with a hash table's share) stay below ``BROADCAST_BYTES``."""
+    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
+
+
 def lean(task: Callable[..., Iterator]) -> Callable[..., Iterator]:
     """A Python task that hands freed memory back when it ends; Spark keeps its worker for later tasks."""
 

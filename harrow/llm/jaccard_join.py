@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lean, shuffle_partitions, staged
+from .common import lean, shuffle_partitions, small, staged
 from .graph import components
 from .words import Words, blocks, mix, shingle_sets, utf8
 
@@ -48,7 +48,6 @@ PERCENT = 80
 SKETCH_BITS = 21
 SKETCH_PART_BITS = 14
 CELL_SHINGLES = 1_500_000
-BROADCAST_BYTES = 32 << 20
 #: Postings that are merged one by one off a heap; more are merged run by run.
 HEAP_ENTRIES = 256
 #: Stands for a null doc_id: after all others.
@@ -368,11 +367,6 @@ def _node(id_: str, n: str, sid: str) -> Column:
     return F.struct(F.col(id_).alias("id"), F.col(n).alias("n"), F.col(sid).alias("sid"))
 
 
-def _small(table: DataFrame, row_bytes: int) -> DataFrame:
-    """Broadcast, if its rows of so many bytes (fixed width, with a hash table's share) stay below ``BROADCAST_BYTES``."""
-    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
-
-
 def _grouped(met: DataFrame, reps: DataFrame, name: str) -> DataFrame:
     """(node, n, sid, group) of the sets that ``met`` joins to others; the group is a hash of its smallest node."""
     sets = lambda end: reps.select(F.col("n").alias(f"n_{end}"), F.col("sid").alias(f"sid_{end}"), F.col("node").alias(end))
@@ -408,12 +402,12 @@ def near_duplicate_components(docs: DataFrame, width: int = WIDTH, percent: int
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """wanted's columns and items; small tables go to the texts, so that these stay where they are."""
-        keyed = _small(wanted.withColumn("id", F.col("node.id")), 120)
+        keyed = small(wanted.withColumn("id", F.col("node.id")), 120)
         made = by_id.join(keyed.select("id"), "id", "left_semi").mapInArrow(partial(_full_sets, width=width, schema=pa_sets), "id bigint, n bigint, sid bigint, items binary")
         return made.join(keyed, ["id", "n", "sid"])
 
     over = nodes.groupBy("group").agg(F.sum("n").alias("total")).where(F.col("total") > cell_shingles).select("group")
-    large = staged(nodes.join(_small(over, 40), "group"), "large-groups")
+    large = staged(nodes.join(small(over, 40), "group"), "large-groups")
     if large.head() is not None:
         anew = _grouped(staged(exact_chain(sets_of(large).dropDuplicates(["n", "sid"]), percent), "met-exactly"), reps, "groups-anew")
         nodes = staged(nodes.join(large.select("node"), "node", "left_anti").unionByName(anew.select(*nodes.columns)), "nodes-anew")
@@ -421,7 +415,7 @@ def near_duplicate_components(docs: DataFrame, width: int = WIDTH, percent: int
 
     pa_links = pa.schema([(f"{c}_{end}", pa.int64()) for end in "ab" for c in ("id", "n", "sid")])
     links = (
-        sets_of(nodes).drop("group").join(_small(cells, 120), "node")
+        sets_of(nodes).drop("group").join(small(cells, 120), "node")
         .select("cell", "id", "n", "sid", "items", "side")
         .repartition(shuffle_partitions(spark), "cell")
         .sortWithinPartitions("cell", "n", "id", "sid")
@@ -439,7 +433,7 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """
     classes = near_duplicate_components(docs, **options)
     gone = staged(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return docs.join(_small(gone, 60), docs["doc_id"] == F.col("gone_id"), "left_anti")
+    return docs.join(small(gone, 60), docs["doc_id"] == F.col("gone_id"), "left_anti")
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

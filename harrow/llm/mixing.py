@@ -23,10 +23,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import small, staged
 
 BLOCK_TOKENS = 1 << 16
-BROADCAST_ROWS = 1_000_000
 MAX_REPETITION = 1.5
 _POINTS = 31
 _PASSES = 9
@@ -87,7 +86,9 @@ def mix_sources(
     spark: SparkSession = docs.sparkSession
     own = {"tokens": F.coalesce(F.col(tokens), F.lit(0)).cast("bigint") if tokens else count_words()}
     kept = [c for c in docs.columns if c not in ("weight", "epoch", "block", "block_key", "doc_key")]
-    ids = F.xxhash64(F.lit(seed), *[F.col(c) for c in ("doc_id", "text") if c in docs.columns])
+    # Rows without an id are told apart by their place in the input.
+    own_id = [F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())] if "doc_id" in docs.columns else [F.monotonically_increasing_id()]
+    ids = F.xxhash64(F.lit(seed), *own_id, *[F.col(c) for c in ("text",) if c in docs.columns])
     rows = docs.select(*kept).withColumns(own | {"doc_key": ids, "harrow_source": F.coalesce(F.col(source).cast("string"), F.lit("\x00null"))})
 
     by_source = staged(rows.groupBy("harrow_source").agg(F.sum("tokens").alias("t")), "source-tokens")
@@ -120,8 +121,8 @@ def mix_sources(
     stretch = stretch.withColumn("stretch_before", F.coalesce(F.sum("stretch_own").over(before("stretch")), F.lit(0))).drop("stretch_own")
     dealt = dealt.join(stretch, ["harrow_source", "stretch"]).withColumn("left", F.col("rest") - F.col("stretch_before") - F.coalesce(F.sum("own").over(before("stretch", "block_key")), F.lit(0)))
     dealt = staged(dealt.select("harrow_source", "block", "weight", "whole", "own", F.greatest("left", F.lit(0)).alias("left")), "mixing-blocks")
-    if dealt.count() <= BROADCAST_ROWS:
-        dealt = F.broadcast(dealt)
+    longest = dealt.agg(F.max(F.octet_length("harrow_source"))).first()[0] or 0
+    dealt = small(dealt, 120 + longest)
 
     # The block in which a budget ends is one of a source's; only its documents are put in order.
     joined = rows.join(dealt, ["harrow_source", "block"])
@@ -136,6 +137,7 @@ def mix_sources(
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each copy of a document in the default mixture of all ``documents``, with its place in the block permutations."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     slim = staged(docs.select("doc_id", "source", count_words().alias("words")), "words")
     return mix_sources(slim, tokens="words").select("doc_id", "source", "tokens", F.round("weight", 9).alias("weight"), "epoch", "block", "block_key", "doc_key")

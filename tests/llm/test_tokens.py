@@ -1,6 +1,9 @@
+import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,8 +83,8 @@ def test_token_files_round_trip(spark, odd_rows, tmp_path):
         for r in rows:
             assert r.start == at and r.n_tokens == len(wanted[r.doc_id]) and zlib.crc32(r.ids) == zlib.crc32(wanted[r.doc_id].tobytes())
             at += r.n_tokens
-        files = [p for p in (tmp_path / mode).iterdir() if p.name.startswith("part-")]
-        assert all(f.read_bytes().startswith(token_files.HEAD) for f in files if f.stat().st_size)
+        images = [x for f in (tmp_path / mode).iterdir() if f.name.startswith("part-") for x in pq.read_table(f)["image"].to_pylist()]
+        assert images and all(x.startswith(token_files.HEAD) and token_files.file_tail(x)[3] for x in images)
 
 
 def test_planes_round_trip():
@@ -99,3 +102,72 @@ def test_empty_tables(spark, tmp_path):
     assert packing.pack(empty).count() == 0
     token_files.write_token_files(empty, str(tmp_path / "none"))
     assert token_files.read_token_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def round_robin(docs, weights, grain, window):
+    """Pieces (doc, start, length, sequence, offset), served one quantum at a time with deficit counters held as fractions."""
+    left, deficit = {k: [(d, 0, n) for d, n in own] for k, own in docs.items()}, dict.fromkeys(docs, Fraction(0))
+    at, out = 0, []
+    while any(left.values()):
+        live = [k for k in left if left[k]]
+        wait = min((grain - deficit[k]) / weights[k] for k in live)
+        for k in live:
+            deficit[k] += weights[k] * wait
+        for k in sorted(live):  # all that have reached a quantum, smallest first
+            if deficit[k] < grain:
+                continue
+            deficit[k] -= grain
+            due = grain
+            while due and left[k]:
+                d, start, n = left[k].pop(0)
+                size = min(due, n, window - at % window)
+                if out and out[-1][0] == d and out[-1][3] == at // window and at % window and out[-1][1] + out[-1][2] == start:
+                    out[-1] = (d, out[-1][1], out[-1][2] + size, *out[-1][3:])
+                else:
+                    out.append((d, start, size, at // window, at % window))
+                at, due = at + size, due - size
+                if n > size:
+                    left[k].insert(0, (d, start + size, n - size))
+    return out
+
+
+@pytest.mark.parametrize("weights", [None, 0.5, {"a": 5, "b": 1, "c": 2}, {"c": 0.01}])
+def test_packing_is_deficit_round_robin_step_by_step(spark, words, weights):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 60))), rng.choice("aaab" if i < 40 else "bcc")) for i in range(80)]
+    docs = make_docs(spark, rows).repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id")
+    got = packing.pack(docs, weights=weights, window=256, grain=32).collect()
+    queues = {}
+    for i, t, s in rows:
+        queues.setdefault(s, []).append((i, len(ids_of(packing.word_bpe(), 1, t))))
+    totals = {s: sum(n for _, n in own) for s, own in queues.items()}
+    natural = {s: n / sum(totals.values()) for s, n in totals.items()}
+    share = {s: weights.get(s, natural[s]) for s in natural} if isinstance(weights, dict) else {s: x ** (weights or 1.0) for s, x in natural.items()}
+    whole = {s: Fraction(max(1, round(x / sum(share.values()) * (1 << 20)))) for s, x in share.items()}
+    wanted = round_robin(queues, whole, 32, 256)
+    assert sorted((p.doc_id, p.start, p.length, p.sequence_id, p.offset) for p in got) == sorted(wanted)
+
+
+def test_many_sources(spark, words):
+    rows = [(i, " ".join(words[i : i + 5]), f"s{i % 1500}") for i in range(1600)]
+    pieces = packing.pack(make_docs(spark, rows)).agg(F.sum("length"), F.count_distinct("doc_id")).first()
+    assert pieces[1] == 1600
+
+
+def test_the_token_queries_return_their_contracts(spark, odd_rows, tmp_path):
+    rows = [r for r in odd_rows if r[0] is not None and r[0] != 5] + [(5, "one", "b")]
+    make_docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    texts = {i: t for i, t, _ in rows}
+    pieces = packing.op3_packing(spark, str(tmp_path))
+    assert {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(pieces.columns) and all(t == "bigint" for c, t in pieces.dtypes if c != "source")
+    known = {i: ids_of(packing.word_bpe(), 1, t) for i, t in texts.items()}
+    for p in pieces.collect():
+        ids = known[p.doc_id]
+        assert p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes())
+    found = token_files.op8_bit_plane_output(spark, str(tmp_path))
+    assert dict(found.dtypes) == dict.fromkeys(["doc_id", "start", "n_tokens", "ids_crc32"], "bigint")
+    at = 0
+    for r in found.orderBy("doc_id").collect():
+        ids = ids_of(token_files.byte_bpe(), 2, texts[r.doc_id])
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)

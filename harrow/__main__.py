@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from .functions.text import canonical_id
 from .operators import clustering
-from .operators.index import hashed_embedding
+from .operators.search import bm25_topk_stored
 from .options import ChunkingOptions, ClusteringOptions, RetrievalOptions, from_environment
-from .plans import ablation, evalset, report
+from .plans import ablation, evalset, report, show
 from .plans.service import Services, configure_logging, serve
 from .sources.corpus import load_documents, load_queries, write_jsonl
 from .streaming.ingest import ingest
@@ -33,7 +33,9 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("queries")
     run.add_argument("out")
     run.add_argument("-k", type=int, default=10)
-    commands.add_parser("retrieve").add_argument("query")
+    ask = commands.add_parser("retrieve")
+    ask.add_argument("query")
+    ask.add_argument("--table", action="store_true", help="lines to read instead of JSON")
     front = commands.add_parser("serve")
     front.add_argument("--host", default="127.0.0.1")
     front.add_argument("--port", type=int, default=8000)
@@ -54,21 +56,30 @@ def main(argv: list[str] | None = None) -> int:
         model = clustering.recluster(services.store, from_environment(ClusteringOptions))
         print(json.dumps({"k": model.k, "silhouette": model.silhouette, "version": model.version, "silhouette_by_k": model.silhouette_by_k}))
     elif a.command == "retrieve":
-        print(json.dumps(services.retrieve(a.query, from_environment(RetrievalOptions)), ensure_ascii=False))
+        found = services.retrieve(a.query, from_environment(RetrievalOptions))
+        print(show.results(found) if a.table else json.dumps(found, ensure_ascii=False))
     elif a.command == "serve":
         serve(services, a.host, a.port, from_environment(RetrievalOptions)).serve_forever()
     elif a.command == "eval":
         asked = load_queries(spark, a.queries)
         queries = asked.select("query_id", F.col("query").alias("text"), F.coalesce("source", F.lit("")).alias("source"))
-        queries = queries.join(hashed_embedding(queries, "query_id", "text", a.dimension), "query_id", "left")
+        queries = queries.join(services.embedder.queries(queries, "query_id"), "query_id", "left")
         stored = services.store.read("chunks")
         chunks = stored.select(F.col("chunk_id").alias("doc_id"), "text", "dense", "cluster_id")
         canonical = stored.select(F.col("chunk_id").alias("doc_id"), canonical_id("doc_id", F.col("metadata")["duplicate_of"]).alias("canonical"))
         relevant = asked.select("query_id", F.explode("relevant_doc_ids").alias("doc_id"))
-        found = ablation.evaluate(queries, chunks, relevant, a.k, from_environment(RetrievalOptions), services.store.load_centroids(), canonical)
+        options = from_environment(RetrievalOptions)
+        sparse = bm25_topk_stored(queries, services.store, max(options.prefetch_limit, options.candidate_pool, a.k)).withColumnRenamed("chunk_id", "doc_id")
+        centroids = services.store.load_centroids()
+        found = ablation.evaluate(queries, chunks, relevant, a.k, options, centroids, canonical, sparse)
         rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
         summary = [r | {c: (r[c]["lo"], r[c]["hi"]) for c in ("ndcg_ci", "delta_ci")} for r in rows(found["summary"])]
-        print(report.write_report(a.out, summary, rows(found["by_source"]), rows(found["scores"]), {"k": a.k, "queries": queries.count(), "chunks": chunks.count()}))
+        meta = {"k": a.k, "queries": queries.count(), "chunks": chunks.count()}
+        topic = stored.select("cluster_id", F.col("metadata")["topic"].alias("topic")).dropna()
+        if not topic.isEmpty():
+            meta |= {"topics": topic.select("topic").distinct().count(), "cluster purity": clustering.purity(topic).first()[0]}
+        latency = {c.name: ablation.batch_latency(queries, chunks, c, centroids) for c in ablation.ablation_configs(options, a.k)}
+        print(report.write_report(a.out, summary, rows(found["by_source"]), rows(found["scores"]), meta, latency))
     return 0
 
 

@@ -84,7 +84,7 @@ def cap_at_sections(text: Column | str, max_chars: int) -> Column:
 
 def tokens(text: Column | str) -> Column:
     """Lower-cased runs of letters and digits, in order; null text has none."""
-    return F.filter(F.split(F.lower(F.coalesce(col(text), F.lit(""))), WORD_BREAK), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(col(text), F.lit(""))), WORD_BREAK), "")
 
 
 def canonical_id(doc_id: Column | str, duplicate_of: Column | str) -> Column:

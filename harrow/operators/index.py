@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ConfigurationError, IndexError_
-from ..functions.text import content_hash, tokens
+from ..functions.text import content_hash, embedding_text, tokens
 
 DENSE = "dense"
 
@@ -43,10 +43,11 @@ def hashed_embedding(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
 
     A text without terms has no direction and so no row.
     """
-    h = F.md5("term")
-    bucket = (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % dimension).cast("int")
-    sign = F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
-    sums = docs.select(id_col, F.explode(tokens(text)).alias("term")).groupBy(id_col, bucket.alias("b")).agg(F.sum(sign).alias("w"))
+    digit = lambda at: F.instr(F.lit("0123456789abcdef"), F.substring("h", at, 1)) - 1
+    # The bucket is the first 32 bits modulo the dimension; where this divides 256 the fourth byte alone decides.
+    first = digit(7) * 16 + digit(8) if 256 % dimension == 0 else F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint")
+    hashed = docs.select(id_col, F.explode(tokens(text)).alias("term")).select(id_col, F.md5("term").alias("h"))
+    sums = hashed.groupBy(id_col, (first % dimension).cast("int").alias("b")).agg(F.sum(1 - 2 * (digit(10) % 2)).alias("w"))
     rows = sums.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("b", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w")).cast("double")).alias("n"))
     place = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)) / F.col("n"))
     return rows.where("n > 0").select(id_col, place.alias(DENSE))
@@ -118,8 +119,33 @@ def schema_problems(df: DataFrame, wanted: T.StructType, dimension: int | None =
     return out
 
 
+POSTING_BUCKETS = 64
+TABLES = ("chunks", "centroids", "postings", "lengths")
+#: Shapes of the tables of the lexical index, which may be empty.
+LEXICAL = {"postings": "term string, chunk_id string, doc_id string, tf int, dl int, bucket int", "lengths": "chunk_id string, doc_id string, dl int"}
+
+
+def term_bucket(term: str = "term") -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(POSTING_BUCKETS)).cast("int")
+
+
+def chunk_terms(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, doc_id, terms): what the lexical index holds of a chunk, its header's words and its text's."""
+    return chunks.select("chunk_id", "doc_id", tokens(embedding_text("title", "section", "text")).alias("terms"))
+
+
+def stored_postings(chunks: DataFrame) -> DataFrame:
+    """(term, chunk_id, doc_id, tf, dl, bucket) of chunks, as the store keeps them."""
+    rows = chunk_terms(chunks).select("chunk_id", "doc_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+    return rows.groupBy("term", "chunk_id", "doc_id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf")).select("term", "chunk_id", "doc_id", "tf", "dl", term_bucket().alias("bucket"))
+
+
 class IndexStore:
-    """The tables of an index under one folder, as versioned Parquet: readers never see half a write."""
+    """The tables of an index under one folder, as versioned Parquet: readers never see half a write.
+
+    Next to the chunks lie their postings, in folders by a hash of the term, and their
+    lengths: a lexical search reads the folders of the asked terms, and no text.
+    """
 
     def __init__(self, spark: SparkSession, path: str, dimension: int):
         self.spark, self.path, self.dimension = spark, path.rstrip("/"), dimension
@@ -141,12 +167,14 @@ class IndexStore:
         versions = self._versions(table)
         if not versions:
             raise IndexError_(f"no table {table} under {self.path}")
-        return self.spark.read.parquet(f"{self.path}/{table}/v{versions[-1]}")
+        reader = self.spark.read.schema(LEXICAL[table]) if table in LEXICAL else self.spark.read
+        return reader.parquet(f"{self.path}/{table}/v{versions[-1]}")
 
-    def write(self, table: str, df: DataFrame, keep: int = 2) -> None:
-        """A new version; only the last ``keep`` stay."""
+    def write(self, table: str, df: DataFrame, keep: int = 2, by: str | None = None) -> None:
+        """A new version, in folders of ``by``; only the last ``keep`` stay."""
         versions = self._versions(table)
-        df.write.mode("overwrite").parquet(f"{self.path}/{table}/v{(versions or [0])[-1] + 1}")
+        rows = df.repartition(by).write.partitionBy(by) if by else df.write
+        rows.mode("overwrite").parquet(f"{self.path}/{table}/v{(versions or [0])[-1] + 1}")
         for old in versions[: max(0, len(versions) + 1 - keep)]:
             self._fs.delete(self._fs_path(f"{self.path}/{table}/v{old}"), True)
 
@@ -158,16 +186,38 @@ class IndexStore:
                 continue
             if problems := schema_problems(self.read(table), schema, self.dimension if table == "chunks" else None):
                 raise IndexError_(f"{table}: {'; '.join(problems)}")
+        if not (self.exists("postings") and self.exists("lengths")):
+            self._index(self.read("chunks"), None)
 
     def drop(self) -> None:
-        for table in ("chunks", "centroids"):
+        for table in TABLES:
             self._fs.delete(self._fs_path(f"{self.path}/{table}"), True)
 
     def ping(self) -> bool:
+        """Whether the store's tables can be read."""
         try:
-            return bool(self.spark.sql("select 1").count())
+            for table in TABLES:
+                self.read(table).limit(1).count()
+        except IndexError_:
+            raise
         except Exception as lost:
-            raise IndexError_("the Spark session doesn't answer") from lost
+            raise IndexError_(f"the store under {self.path} can't be read") from lost
+        return True
+
+    def _index(self, fresh: DataFrame, gone: DataFrame | None) -> None:
+        """Postings and lengths of ``fresh`` chunks take the place of those of the documents ``gone``."""
+        for table, rows in (("postings", stored_postings(fresh)), ("lengths", chunk_terms(fresh).select("chunk_id", "doc_id", F.size("terms").alias("dl")))):
+            if gone is not None and self.exists(table):
+                rows = self.read(table).join(gone, "doc_id", "left_anti").select(*rows.columns).unionByName(rows)
+            self.write(table, rows, by="bucket" if table == "postings" else None)
+
+    def postings(self) -> DataFrame:
+        return self.read("postings")
+
+    def statistics(self) -> tuple[int, float]:
+        """(chunks, mean length) of the lexical index."""
+        row = self.read("lengths").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+        return row.n, row.avgdl or 1.0
 
     def count_chunks(self) -> int:
         return self.read("chunks").count()
@@ -190,6 +240,7 @@ class IndexStore:
         if fresh.isEmpty():
             return
         self.write("chunks", replace_documents(self.read("chunks"), fresh))
+        self._index(fresh, fresh.select("doc_id").distinct())
 
     def write_cluster_model(self, centroids: DataFrame, assignments: DataFrame) -> None:
         """All centroids anew, with their sizes, and cluster_id of every chunk."""

@@ -12,6 +12,9 @@ from typing import Any, Protocol
 from ..errors import EmbeddingError, GenerationError, HarrowError, IndexError_
 
 
+# The names of the events below and of their fields are the wire contract.
+
+
 @dataclass(frozen=True)
 class Text:
     text: str
@@ -37,7 +40,7 @@ Event = Text | Citation | Complete
 
 
 class AnswerGenerator(Protocol):
-    """Streams text and citations, then exactly one completion."""
+    """Answers a question from sources, piece by piece; a ``Complete`` is its last event."""
 
     def stream(self, question: str, sources: Sequence[dict[str, Any]]) -> Iterator[Event]: ...
 

@@ -6,17 +6,17 @@ import json
 import logging
 import time
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from typing import Any
 
-from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import ConfigurationError, HarrowError
-from ..operators.index import IndexStore, hashed_embedding
-from ..operators.search import retrieve, route
+from ..operators.index import IndexStore
+from ..operators.search import bm25_topk_stored, dense_topk, retrieve, route
 from ..options import RetrievalOptions
+from ..streaming.ingest import Embedder, HashedEmbedder
 from .answer import AnswerGenerator, Extractive, answer_events, problem
 
 log = logging.getLogger("harrow")
@@ -52,26 +52,44 @@ class Services:
     spark: SparkSession
     store: IndexStore
     generator: AnswerGenerator
+    embedder: Embedder
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, dimension: int = 64) -> Services:
+    def create(cls, spark: SparkSession, path: str, dimension: int = 64, generator: AnswerGenerator | None = None, embedder: Embedder | None = None) -> Services:
         store = IndexStore(spark, path, dimension)
         store.ensure()
-        return cls(spark, store, Extractive())
+        return cls(spark, store, generator or Extractive(), embedder or HashedEmbedder(dimension))
 
     def retrieve(self, query: str, options: RetrievalOptions | None = None) -> dict[str, Any]:
         """results, routed_clusters and timings of one query."""
         options, begun = options or RetrievalOptions(), time.monotonic()
+        timings: dict[str, float] = {}
+
+        def timed(stage: str, made: DataFrame) -> DataFrame:
+            """The rows of a stage, small enough for one query to be held here."""
+            at = time.monotonic()
+            rows = made.collect()
+            timings[stage] = round(1000 * (time.monotonic() - at), 2)
+            return self.spark.createDataFrame(rows, made.schema)
+
         asked = self.spark.createDataFrame([(0, query)], "query_id int, text string")
-        queries = asked.join(hashed_embedding(asked, "query_id", "text", self.store.dimension), "query_id", "left").persist()
+        queries = timed("embed", asked.join(self.embedder.queries(asked, "query_id"), "query_id", "left"))
         chunks, centroids = self.store.read("chunks"), self.store.load_centroids()
         if options.route_top_m and centroids is None:
             log.warning("routing asked for, but there is no cluster model; searching all clusters")
-        routed = [] if not options.route_top_m or centroids is None else [{"cluster_id": r.cluster_id, "similarity": r.score} for r in route(queries, centroids, options.route_top_m).orderBy("rank").collect()]
-        found = retrieve(queries, chunks, options, centroids, id_col="chunk_id")
-        rows = found.join(chunks.select("chunk_id", "doc_id", "title", "section", "text", "source_uri", "char_start", "char_end"), "chunk_id").orderBy("rank").collect()
-        results = [{"chunk_id": r.chunk_id, "doc_id": r.doc_id, "title": r.title, "section": r.section, "text": r.text, "source_uri": r.source_uri, "char_span": [r.char_start, r.char_end], "score": r.score} for r in rows]
-        return {"results": results, "routed_clusters": routed, "timings_ms": {"total": round(1000 * (time.monotonic() - begun), 2)}}
+        routed = None
+        if options.route_top_m and centroids is not None and options.use_dense:
+            routed = timed("route", route(queries, centroids, options.route_top_m))
+        depth = options.prefetch_limit if options.use_dense and options.use_sparse else options.limit
+        sparse = timed("sparse", bm25_topk_stored(queries, self.store, depth)) if options.use_sparse else None
+        dense = timed("dense", dense_topk(queries, chunks, depth, routed.select("query_id", "cluster_id") if routed is not None else None, "chunk_id")) if options.use_dense else None
+        found = retrieve(queries, chunks, replace(options, route_top_m=0), None, id_col="chunk_id", sparse=sparse, dense=dense)
+        columns = ("chunk_id", "doc_id", "title", "section", "text", "source_uri", "char_start", "char_end")
+        rows = timed("rank", found.join(chunks.select(*columns), "chunk_id").orderBy("rank")).orderBy("rank").collect()
+        timings["total"] = round(1000 * (time.monotonic() - begun), 2)
+        results = [{c: r[c] for c in columns[:-2]} | {"char_span": [r.char_start, r.char_end], "score": r.score} for r in rows]
+        clusters = [] if routed is None else [{"cluster_id": r.cluster_id, "similarity": r.score} for r in routed.orderBy("rank").collect()]
+        return {"results": results, "routed_clusters": clusters, "timings_ms": timings}
 
     def answer(self, query: str, options: RetrievalOptions | None = None):
         """Events of an answer; retrieval happens first, so its errors aren't part of the stream."""

@@ -2,23 +2,53 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Protocol
 
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..errors import SourceError
+from ..errors import HarrowError, SourceError
 from ..functions.text import embedding_text
 from ..operators.chunking import TokenCounter, chunk_documents, empty_documents, word_counter
 from ..operators.clustering import assign
-from ..operators.index import CHUNK_SCHEMA, IndexStore, changed_documents, hashed_embedding, with_content_hash
+from ..operators.index import CHUNK_SCHEMA, IndexStore, hashed_embedding, with_content_hash
 from ..options import ChunkingOptions
 from ..sources.corpus import DOCUMENT_SCHEMA
+from ..staging import stage
 
-Embedder = Callable[[DataFrame], DataFrame]
+log = logging.getLogger("harrow")
+#: An id and a hash take some 200 bytes in a broadcast table.
+BROADCAST_KEYS = 100_000
+
+#: Documents whose chunks are written together; a group that fails leaves the others alone.
+FLUSH_DOCUMENTS = 100_000
+
+
+class Embedder(Protocol):
+    """Makes vectors of (id, text) tables; a model may treat queries otherwise than documents."""
+
+    def documents(self, texts: DataFrame, id_col: str) -> DataFrame: ...
+
+    def queries(self, texts: DataFrame, id_col: str) -> DataFrame: ...
+
+
+@dataclass(frozen=True)
+class HashedEmbedder:
+    """The offline embedder: signed feature hashing, the same for both."""
+
+    dimension: int = 64
+
+    def documents(self, texts: DataFrame, id_col: str) -> DataFrame:
+        return hashed_embedding(texts, id_col, "text", self.dimension)
+
+    def queries(self, texts: DataFrame, id_col: str) -> DataFrame:
+        return hashed_embedding(texts, id_col, "text", self.dimension)
 
 
 @dataclass
@@ -31,44 +61,69 @@ class IngestionReport:
     elapsed_s: float = 0.0
 
 
-def hashed_embedder(dimension: int) -> Embedder:
-    """(chunk_id, text) -> (chunk_id, dense); the offline embedder."""
-    return lambda texts: hashed_embedding(texts, "chunk_id", "text", dimension)
+def latest_changes(hashed: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(keys of the corpus, rows of ``hashed`` that are new or changed).
+
+    Of a repeated id the largest hash counts, and one row of it. Only ids and hashes are
+    shuffled until the changed ones are known; texts of unchanged documents never are.
+    """
+    keys = hashed.groupBy("doc_id").agg(F.max("content_hash").alias("content_hash"))
+    changed = stage(keys.join(held, ["doc_id", "content_hash"], "left_anti"))
+    wanted = F.broadcast(changed) if changed.count() <= BROADCAST_KEYS else changed
+    return keys, hashed.join(wanted, ["doc_id", "content_hash"], "left_semi").dropDuplicates(["doc_id"])
 
 
-def ingest(store: IndexStore, docs: DataFrame, options: ChunkingOptions | None = None, count: TokenCounter = word_counter, embed: Embedder | None = None) -> IngestionReport:
+def ingest(
+    store: IndexStore, docs: DataFrame, options: ChunkingOptions | None = None, count: TokenCounter = word_counter, embed: Embedder | None = None, flush_documents: int = FLUSH_DOCUMENTS
+) -> IngestionReport:
     """Index what is new or changed in ``docs`` (doc_id, title, text, source_uri, metadata).
 
     Unchanged documents are skipped by hash. A document without content fails and keeps
     its old chunks; documents that left the corpus stay. Of a repeated id the row with
     the largest hash is taken. Chunks get the cluster of their nearest centroid if
-    there is a model.
+    there is a model. Changed documents are written in groups of about
+    ``flush_documents``; where a group's embedding or writing fails, its documents are
+    reported as failed, keep what they had, and are new again in the next run.
     """
     begun = time.monotonic()
     if missing := [c for c in DOCUMENT_SCHEMA.fieldNames() if c not in docs.columns]:
         raise SourceError(f"documents lack {', '.join(missing)}")
     store.ensure()
-    hashed = with_content_hash(docs)
-    latest = hashed.groupBy("doc_id").agg(F.max_by(F.struct(*docs.columns, "content_hash"), "content_hash").alias("d")).select("d.*")
-    fresh = changed_documents(latest, store.content_hashes()).persist()
-    try:
-        chunks = chunk_documents(fresh.drop("content_hash"), options, count).persist()
-        failed = {r.doc_id: r.reason for r in empty_documents(fresh, chunks).toLocalIterator()}
-        texts = chunks.select("chunk_id", embedding_text("title", "section", "text").alias("text"))
-        dense = (embed or hashed_embedder(store.dimension))(texts)
-        rows = chunks.join(dense, "chunk_id", "left")
-        centroids = store.load_centroids()
-        if centroids is not None:
-            rows = rows.join(assign(rows.select("chunk_id", "dense"), centroids).select("chunk_id", "cluster_id"), "chunk_id", "left")
-        else:
-            rows = rows.withColumn("cluster_id", F.lit(None).cast("int"))
-        made, new = chunks.count(), fresh.count()
-        seen = latest.count()
-        store.replace(rows.select(*CHUNK_SCHEMA.fieldNames()))
-        chunks.unpersist()
-    finally:
-        fresh.unpersist()
-    return IngestionReport(seen, seen - new, new - len(failed), made, failed, time.monotonic() - begun)
+    embed = embed or HashedEmbedder(store.dimension)
+    keys, rows = latest_changes(with_content_hash(docs), store.content_hashes())
+    fresh = stage(rows)
+    seen, new = keys.count(), fresh.count()
+    report = IngestionReport(seen, seen - new)
+    centroids = store.load_centroids()
+    groups = max(1, -(-new // flush_documents))
+    for group in range(groups if new else 0):
+        own = fresh.where(F.pmod(F.xxhash64("doc_id"), F.lit(groups)) == group)
+        try:
+            made, failed = _flush(store, own, options, count, embed, centroids)
+        except AnalysisException:
+            raise  # no data makes a query that can't be planned
+        except (HarrowError, PySparkException) as lost:
+            log.warning("a group of documents could not be indexed: %s", lost)
+            made, failed = 0, {r.doc_id: f"its group failed: {type(lost).__name__}" for r in own.select("doc_id").toLocalIterator()}
+        report.chunks += made
+        report.failures.update(failed)
+    report.indexed = new - len(report.failures)
+    report.elapsed_s = time.monotonic() - begun
+    return report
+
+
+def _flush(store: IndexStore, docs: DataFrame, options: ChunkingOptions | None, count: TokenCounter, embed: Embedder, centroids: DataFrame | None) -> tuple[int, dict[str, str]]:
+    """Chunk, embed and write one group: (chunks, reason by document that gave none)."""
+    chunks = stage(chunk_documents(docs.drop("content_hash"), options, count))
+    failed = {r.doc_id: r.reason for r in empty_documents(docs, chunks).toLocalIterator()}
+    dense = embed.documents(chunks.select("chunk_id", embedding_text("title", "section", "text").alias("text")), "chunk_id")
+    rows = stage(chunks.join(dense, "chunk_id", "left"))
+    if centroids is not None:
+        rows = rows.join(assign(rows.select("chunk_id", "dense"), centroids).select("chunk_id", "cluster_id"), "chunk_id", "left")
+    else:
+        rows = rows.withColumn("cluster_id", F.lit(None).cast("int"))
+    store.replace(rows.select(*CHUNK_SCHEMA.fieldNames()))
+    return chunks.count(), failed
 
 
 def ingest_stream(spark: SparkSession, store: IndexStore, folder: str, checkpoint: str, on_report: Callable[[IngestionReport], None] = lambda r: None, **options) -> StreamingQuery:

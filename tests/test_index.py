@@ -1,6 +1,7 @@
 import hashlib
 import json
 import random
+import shutil
 import threading
 import urllib.error
 import urllib.request
@@ -10,19 +11,22 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from harrow.errors import ClusteringError, IndexError_, RateLimitError, SourceError
+from harrow.errors import ClusteringError, EmbeddingError, IndexError_, RateLimitError, SourceError
 from harrow.functions import text as tx
+from harrow.functions.text import embedding_text
 from harrow.operators import batching as B
 from harrow.operators import clustering as L
+from harrow.operators import search as R
 from harrow.operators import synthesis as Y
 from harrow.operators.index import CHUNK_SCHEMA, IndexStore
 from harrow.options import ClusteringOptions, EmbeddingOptions
 from harrow.plans.answer import Complete, Extractive, Text, answer_events
-from harrow.plans.report import BEGIN, END, difference, update_section
+from harrow.plans import show
+from harrow.plans.report import BEGIN, END, markdown, summary_table, update_section
 from harrow.plans.service import Services, request_options, serve
 from harrow.options import RetrievalOptions
 from harrow.sources import corpus as S
-from harrow.streaming.ingest import ingest, ingest_stream
+from harrow.streaming.ingest import HashedEmbedder, ingest, ingest_stream, latest_changes
 
 DOCS = "doc_id string, title string, text string, source_uri string, metadata map<string,string>"
 
@@ -77,6 +81,55 @@ def test_incremental_ingest(spark, tmp_path):
         other.ensure()
 
 
+def test_titles_are_searched_and_postings_follow_the_chunks(spark, tmp_path):
+    services = Services.create(spark, str(tmp_path / "index"), 16)
+    ingest(services.store, _docs(spark, zebra="one two three", b="four five", c="two two"))
+    ask = lambda q: [r["doc_id"] for r in services.retrieve(q, RetrievalOptions(top_k=3, use_dense=False, mmr_lambda=None))["results"]]
+    assert ask("zebra") == ["zebra"] and ask("two") == ["c", "zebra"] and ask("nothing") == []
+    ingest(services.store, _docs(spark, b="four two"))
+    assert ask("five") == [] and set(ask("two")) == {"b", "c", "zebra"}
+    text = services.store.read("chunks").select(F.col("chunk_id").alias("doc_id"), embedding_text("title", "section", "text").alias("text"))
+    asked = spark.createDataFrame([(0, "two title zebra"), (1, "four")], "query_id int, text string")
+    direct = {(r.query_id, r["rank"]): (r.doc_id, round(r.score, 9)) for r in R.bm25_topk(asked, text, 5).collect()}
+    stored = {(r.query_id, r["rank"]): (r.chunk_id, round(r.score, 9)) for r in R.bm25_topk_stored(asked, services.store, 5).collect()}
+    assert direct == stored and len(direct) > 3
+    found = services.retrieve("two")
+    assert set(found["timings_ms"]) == {"embed", "sparse", "dense", "rank", "total"} and services.store.ping()
+    shutil.rmtree(tmp_path / "index" / "postings")
+    with pytest.raises(IndexError_):
+        services.store.ping()
+
+
+class FailsOn:
+    """An embedder that a group of documents breaks."""
+
+    def __init__(self, word):
+        self.word = word
+
+    def documents(self, texts, id_col):
+        if texts.where(F.col("text").contains(self.word)).count():
+            raise EmbeddingError("no vector")
+        return HashedEmbedder(16).documents(texts, id_col)
+
+    queries = documents
+
+
+def test_a_group_that_fails_leaves_the_others(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "index"), 16)
+    docs = _docs(spark, **{f"d{i}": f"text number {i}" + (" poison" if i == 3 else "") for i in range(20)})
+    report = ingest(store, docs, embed=FailsOn("poison"), flush_documents=4)
+    assert "d3" in report.failures and 0 < len(report.failures) < 20 and report.indexed == 20 - len(report.failures) == store.count_chunks()
+    again = ingest(store, docs, flush_documents=4)
+    assert again.unchanged == report.indexed and again.indexed == len(report.failures) and store.count_chunks() == 20
+
+
+def test_of_a_repeated_id_the_largest_hash_counts(spark):
+    rows = spark.createDataFrame([("a", "h1", "x"), ("a", "h2", "y"), ("b", "h3", "z"), ("b", "h3", "z"), ("c", "h4", "w")], "doc_id string, content_hash string, text string")
+    held = spark.createDataFrame([("c", "h4"), ("a", "h1")], "doc_id string, content_hash string")
+    keys, changed = latest_changes(rows, held)
+    assert keys.count() == 3 and sorted((r.doc_id, r.text) for r in changed.collect()) == [("a", "y"), ("b", "z")]
+
+
 def test_service_over_an_index(spark, tmp_path):
     services = Services.create(spark, str(tmp_path / "index"), 16)
     texts = {f"d{i}": " ".join(random.Random(i).choices("sun moon star sky night day".split(), k=20)) for i in range(12)}
@@ -203,7 +256,16 @@ def test_answers_and_reports(tmp_path):
     assert list(answer_events("q", [], Odd()))[-1].startswith("event: error")
     done = list(Extractive().stream("what", []))
     assert isinstance(done[-1], Complete) and done[-1].refused
-    assert difference(0.0, (0, 0)) == "—" and difference(0.0, (-0.01, 0.01)).startswith("+0.000")
+    row = {"config": "a", "ndcg_at_k": 0.5, "ndcg_ci": (0.4, 0.6), "delta": 0.0, "delta_ci": (0, 0), "recall_at_5": None, "recall_at_k": 1.0, "mrr_at_k": 0.25, "distinct_docs": 7.0, "ils": 0.5}
+    other = row | {"config": "b", "ndcg_at_k": 0.4, "delta": -0.1, "delta_ci": (-0.2, 0.0)}
+    lines = summary_table([row, other], 10).split("\n")
+    assert "0.500 (0.400 to 0.600) *" in lines[2] and "baseline" in lines[2] and "-0.100 (-0.200 to +0.000)" in lines[3]
+    whole = markdown([row, other], [{"config": "a", "source": "s", "ndcg_at_k": 0.1, "recall_at_k": None}], {"k": 10, "cluster purity": 0.8}, {"a": 3.0})
+    assert "- cluster purity: 0.8" in whole and "0.100, " in whole and "## Diversity" in whole and "| a " in whole
+    found = {"results": [{"title": "t", "section": "s", "score": 0.5, "source_uri": "u", "char_span": [0, 4], "text": "a b"}], "routed_clusters": [{"cluster_id": 1, "similarity": 0.25}], "timings_ms": {"total": 3.0}}
+    assert "t, s" in show.results(found) and "1 (0.250)" in show.results(found)
+    assert show.routing([{"query_id": 1, "routed": [2], "relevant_clusters": [2, 3]}]) == "1: routed 2; relevant in 2, 3; missed 3"
+    assert show.events([("text", {"text": "x "}), ("citation", {"source_index": 0, "chunk_id": "c"}), ("done", {})]) == "x [1] \n[1] c"
     page = tmp_path / "r.md"
     page.write_text(f"x {BEGIN} old {END} y")
     assert update_section(str(page), "new") and page.read_text() == f"x {BEGIN}\nnew\n{END} y"

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..staging import stage
+
 RESAMPLES = 2000
+BROADCAST_ROWS = 200_000
 LOSS = 1e-9
 
 
@@ -79,12 +82,15 @@ def bootstrap_ci(values: DataFrame, value: str, by: str = "config", order: str =
     intervals of differences are paired. Groups are expected to hold the same queries.
     """
     spark = values.sparkSession
+    values = stage(values.select(by, order, value))
     n = values.select(order).distinct().count()
     if not n:
-        return values.sparkSession.createDataFrame([], f"{by} string, mean double, lo double, hi double")
+        return spark.createDataFrame([], f"{by} string, mean double, lo double, hi double")
     numbered = values.select(order).distinct().withColumn("i", F.row_number().over(Window.orderBy(order)) - 1)
     rows = values.select(by, order, F.col(value).alias("v")).join(numbered, order).select(by, "i", "v")
-    means = resamples(spark, n, count).join(F.broadcast(rows) if n <= 1_000_000 else rows, "i").groupBy(by, "draw").agg(F.avg("v").alias("m"))
+    # A row takes some 100 bytes in a broadcast table.
+    near = F.broadcast(rows) if values.count() <= BROADCAST_ROWS else rows
+    means = resamples(spark, n, count).join(near, "i").groupBy(by, "draw").agg(F.avg("v").alias("m"))
     ends = means.groupBy(by).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
     return values.groupBy(by).agg(F.avg(value).alias("mean")).join(ends, by).select(by, "mean", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import strip, tokens
 
 
 def hash_order(seed: int, *cols: Column | str) -> Column:
@@ -78,3 +78,28 @@ def multihop_pairs(docs: DataFrame, per_topic: int = 5, seed: int = 13, id_col:
     first = numbered.select(topic, F.col("i").alias("a"), F.col(id_col).alias("first"))
     second = numbered.select(topic, F.col("i").alias("b"), F.col(id_col).alias("second"))
     return best.join(first, [topic, "a"]).join(second, [topic, "b"]).select(topic, "first", "second")
+
+
+ANCHOR = 3
+
+
+def containing(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "query_id", item_text: str = "text") -> DataFrame:
+    """(item, id): the documents whose text holds an item's text.
+
+    All terms of an item but its first and last stand whole in such a document, so the
+    two must share the item's longest run of ``ANCHOR`` of these. Runs are met by hash
+    where documents are read; only the pairs that share one are compared. An item too
+    short for a run is compared with every document. Nulls hold nothing.
+    """
+    runs = lambda t, first, last: F.transform(F.sequence(first, last), lambda i: F.xxhash64(*[F.element_at(t, (i + j).cast("int")) for j in range(ANCHOR)]))
+    asked = items.where(F.col(item_text).isNotNull()).select(item_col, F.col(item_text).alias("item_text"), tokens(item_text).alias("t")).withColumn("n", F.size("t"))
+    long = F.col("n") >= ANCHOR + 2
+    sizes = F.transform(F.sequence(F.lit(2), F.col("n") - ANCHOR), lambda i: F.struct(F.length(F.array_join(F.slice("t", i, ANCHOR), "")).alias("size"), i.alias("at")))
+    place = F.array_max(sizes)["at"]
+    anchored = asked.where(long).withColumn("at", place).select(item_col, "item_text", F.xxhash64(*[F.element_at("t", (F.col("at") + j).cast("int")) for j in range(ANCHOR)]).alias("run"))
+    bodies = docs.where(F.col(text).isNotNull()).select(id_col, F.col(text).alias("body"))
+    parts = bodies.select(id_col, "body", tokens("body").alias("t")).where(F.size("t") >= ANCHOR)
+    met = parts.select(id_col, "body", F.explode(F.array_distinct(runs(F.col("t"), F.lit(1), F.size("t") - (ANCHOR - 1)))).alias("run")).join(anchored, "run")
+    found = met.where(F.col("body").contains(F.col("item_text"))).select(item_col, id_col)
+    short = asked.where(~long).select(item_col, "item_text")
+    return found.unionByName(bodies.join(short, F.col("body").contains(F.col("item_text"))).select(item_col, id_col))

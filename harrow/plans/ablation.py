@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import metrics as M
 from ..operators import search as S
 from ..options import RetrievalOptions
+from ..staging import stage
 
 BASELINE = "Hybrid (RRF)"
 
@@ -22,44 +24,49 @@ class Configuration:
     is_default: bool = False
 
 
+# The rows of the ablation by name: whether each branch searches, how many clusters are routed to, whether MMR re-ranks.
+ROWS = {
+    "Dense only": (True, False, 0, False),
+    "BM25 only": (False, True, 0, False),
+    "Hybrid (RRF)": (True, True, 0, False),
+    "Hybrid + routing (m=1)": (True, True, 1, False),
+    "Hybrid + routing (m=3)": (True, True, 3, False),
+    "Hybrid + MMR": (True, True, 0, True),
+    "Hybrid + routing (m=3) + MMR": (True, True, 3, True),
+}
+# Fixed value: the weight of relevance in MMR where the defaults have none.
+WEIGHT = 0.7
+
+
 def ablation_configs(defaults: RetrievalOptions, k: int) -> list[Configuration]:
-    """Seven rows over one base; the one that equals the shipped defaults is marked, else these are added."""
-    base = replace(defaults, top_k=k, candidate_pool=max(defaults.candidate_pool, k), route_top_m=0, mmr_lambda=None, use_dense=True, use_sparse=True)
-    weight = defaults.mmr_lambda if defaults.mmr_lambda is not None else 0.7
-    rows = [
-        ("Dense only", {"use_sparse": False}),
-        ("BM25 only", {"use_dense": False}),
-        (BASELINE, {}),
-        ("Hybrid + routing (m=1)", {"route_top_m": 1}),
-        ("Hybrid + routing (m=3)", {"route_top_m": 3}),
-        ("Hybrid + MMR", {"mmr_lambda": weight}),
-        ("Hybrid + routing (m=3) + MMR", {"route_top_m": 3, "mmr_lambda": weight}),
-    ]
-    shipped = replace(defaults, top_k=k, candidate_pool=max(defaults.candidate_pool, k))
-    configs = [Configuration(name, options := replace(base, **change), options == shipped) for name, change in rows]
-    if not any(c.is_default for c in configs):
-        configs.append(Configuration("Shipped default", shipped, True))
-    return configs
-
-
-def run_configs(queries: DataFrame, chunks: DataFrame, configs: list[Configuration], centroids: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
+    """The ``ROWS`` at depth ``k``; the defaults are one of them (marked), or come last."""
+    sized = replace(defaults, top_k=k, candidate_pool=max(k, defaults.candidate_pool))
+    lists = sized.mmr_lambda if sized.mmr_lambda is not None else WEIGHT
+
+    def switched(dense: bool, sparse: bool, clusters: int, rerank: bool) -> RetrievalOptions:
+        return replace(sized, use_dense=dense, use_sparse=sparse, route_top_m=clusters, mmr_lambda=lists if rerank else None)
+
+    made = {name: switched(*stages) for name, stages in ROWS.items()}
+    if sized not in made.values():
+        made["Shipped default"] = sized
+    return [Configuration(name, options, options == sized) for name, options in made.items()]
+
+
+def run_configs(queries: DataFrame, chunks: DataFrame, configs: list[Configuration], centroids: DataFrame | None = None, id_col: str = "doc_id", sparse: DataFrame | None = None) -> DataFrame:
     """(config, query_id, rank, id, score) of all configurations.
 
     The unrestricted dense list and the lexical list are made once, at the greatest
-    depth asked for, and shared.
+    depth asked for, and shared; ``sparse`` is a lexical list made before.
     """
-    depth = max([c.options.prefetch_limit for c in configs] + [c.options.limit for c in configs])
-    dense = S.dense_topk(queries, chunks, depth, id_col=id_col).persist()
-    sparse = S.bm25_topk(queries, chunks, depth, id_col=id_col).persist()
-    out = None
-    for c in configs:
-        rows = S.retrieve(queries, chunks, c.options, centroids, id_col, sparse, dense).select(F.lit(c.name).alias("config"), "query_id", "rank", id_col, "score")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    depth = max(max(c.options.prefetch_limit, c.options.limit) for c in configs)
+    dense = stage(S.dense_topk(queries, chunks, depth, id_col=id_col))
+    sparse = stage(sparse.where(F.col("rank") <= depth) if sparse is not None else S.bm25_topk(queries, chunks, depth, id_col=id_col))
+    lists = [S.retrieve(queries, chunks, c.options, centroids, id_col, sparse, dense).select(F.lit(c.name).alias("config"), "query_id", "rank", id_col, "score") for c in configs]
+    return reduce(DataFrame.unionByName, lists)
 
 
 def evaluate(
-    queries: DataFrame, chunks: DataFrame, relevant: DataFrame, k: int = 10, defaults: RetrievalOptions | None = None, centroids: DataFrame | None = None, canonical: DataFrame | None = None
+    queries: DataFrame, chunks: DataFrame, relevant: DataFrame, k: int = 10, defaults: RetrievalOptions | None = None, centroids: DataFrame | None = None, canonical: DataFrame | None = None, sparse: DataFrame | None = None
 ) -> dict[str, DataFrame]:
     """Scores per query, summaries with intervals, deltas to the hybrid row, means by source.
 
@@ -68,9 +75,10 @@ def evaluate(
     isn't themselves: a chunk's document, a mirror's original.
     """
     configs = ablation_configs(defaults or RetrievalOptions(), k)
-    results = run_configs(queries, chunks, configs, centroids).persist()
+    results = stage(run_configs(queries, chunks, configs, centroids, sparse=sparse))
     judged = results if canonical is None else results.join(canonical, "doc_id").select("config", "query_id", "rank", F.col("canonical").alias("doc_id"))
-    scores = M.score_rankings(judged, relevant, k).join(M.intra_list_similarity(results, chunks, k), ["config", "query_id"], "left").persist()
+    scores = M.score_rankings(judged, relevant, k).join(M.intra_list_similarity(results, chunks, k), ["config", "query_id"], "left")
+    scores = stage(scores)
     ci = M.bootstrap_ci(scores, "ndcg_at_k").select("config", F.struct("lo", "hi").alias("ndcg_ci"))
     deltas = M.paired_delta(scores, BASELINE)
     delta_ci = M.bootstrap_ci(deltas, "delta").select("config", F.col("mean").alias("delta"), F.struct("lo", "hi").alias("delta_ci"))

@@ -17,6 +17,7 @@ from ..functions import text as tx
 from ..functions.vectors import unit
 from ..operators import batching, chunking, clustering, index, metrics, search, synthesis
 from ..options import EmbeddingOptions, RetrievalOptions
+from ..staging import stage
 from . import ablation, evalset
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -57,7 +58,7 @@ def asked(spark, sf) -> DataFrame:
 
 
 def corpus(spark, sf) -> DataFrame:
-    """Documents with vector and the cluster of the nearest topic centroid."""
+    """Documents with vector and the cluster of the nearest topic centroid, made once a query."""
     docs = documents(spark, sf).select("doc_id", "text")
     dense = index.hashed_embedding(docs)
     near = clustering.assign(dense, topics(spark, sf), "doc_id").select("doc_id", "cluster_id")
@@ -74,9 +75,8 @@ def topics(spark, sf) -> DataFrame:
 
 
 def relevant(spark, sf) -> DataFrame:
-    """(query_id, doc_id): the documents that hold the item's text. The items are a stated, small set."""
-    docs = documents(spark, sf).select("doc_id", F.col("text").alias("body"))
-    return docs.join(items(spark, sf), F.col("body").contains(F.col("text"))).select("query_id", "doc_id")
+    """(query_id, doc_id): the documents that hold the item's text."""
+    return synthesis.containing(documents(spark, sf), items(spark, sf))
 
 
 def sectioned(spark, sf) -> DataFrame:
@@ -344,7 +344,7 @@ def kmeans_select_k(spark, sf):
 
 
 def _results(spark, sf) -> DataFrame:
-    dense, sparse = _lists(spark, sf)
+    dense, sparse = map(stage, _lists(spark, sf))
     parts = [("dense", dense), ("bm25", sparse), ("hybrid", search.rrf([dense, sparse], K))]
     rows = [d.where(F.col("rank") <= K).select(F.lit(c).alias("config"), "query_id", "rank", "doc_id") for c, d in parts]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
@@ -400,7 +400,7 @@ def paired_delta(spark, sf):
 
 @query
 def bootstrap_ci(spark, sf):
-    found = metrics.bootstrap_ci(_scores(spark, sf), "ndcg_at_k", count=200)
+    found = metrics.bootstrap_ci(_scores(spark, sf), "ndcg_at_k")
     return found.select("config", F.round("mean", 6).alias("mean"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
@@ -430,7 +430,7 @@ def routing_diag(spark, sf):
 
 @query
 def routing_loss(spark, sf):
-    dense, sparse = _lists(spark, sf)
+    dense, sparse = map(stage, _lists(spark, sf))
     routes = search.route(asked(spark, sf), topics(spark, sf), 1).select("query_id", "cluster_id")
     near = search.dense_topk(asked(spark, sf), corpus(spark, sf), PREFETCH, routes)
     both = [("hybrid", search.rrf([dense, sparse], K)), ("routed", search.rrf([near, sparse], K))]

@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from harrow.errors import ConfigurationError
+from harrow.functions.arrays import MAXIMUM, running
 from harrow.operators import metrics as M
 from harrow.operators import search as S
+from harrow.operators.synthesis import containing
 from harrow.options import RetrievalOptions
 from harrow.plans.ablation import ablation_configs
 
@@ -129,3 +131,57 @@ def test_retrieve_end_to_end(spark):
     for options in (RetrievalOptions(top_k=5), RetrievalOptions(top_k=5, route_top_m=1), RetrievalOptions(top_k=5, use_sparse=False, mmr_lambda=None), RetrievalOptions(top_k=5, use_dense=False)):
         found = S.retrieve(queries, chunks, options, centroids).groupBy("query_id").agg(F.count("*").alias("n"), F.max("rank").alias("r")).collect()
         assert [(r.n, r.r) for r in found] == [(5, 5), (5, 5)]
+
+
+def greedy_mmr(relevance, vectors, k, weight):
+    """Every value anew at every step."""
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+    order, left = [], list(range(len(relevance)))
+    while left and len(order) < k:
+        value = lambda i: round(relevance[i] if not order else weight * relevance[i] - (1 - weight) * max(float(unit[i] @ unit[j]) for j in order), 12)
+        order.append(max(left, key=lambda i: (value(i), -i)))
+        left.remove(order[-1])
+    return order
+
+
+def test_mmr_equals_the_greedy_order():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        n, weight = int(rng.integers(1, 25)), float(rng.choice([0.0, 0.3, 0.7, 1.0]))
+        vectors = rng.standard_normal((n, 4))
+        vectors[rng.integers(0, n, n // 3)] = vectors[0]
+        relevance = np.round(rng.random(n), 1)
+        assert S.mmr_order(relevance, vectors, 10, weight) == greedy_mmr(relevance, vectors, 10, weight)
+
+
+def test_many_queries_are_searched_in_bounded_products(spark, monkeypatch):
+    monkeypatch.setattr(S, "MATRIX_QUERIES", 900)
+    rng = np.random.default_rng(4)
+    q, x = rng.standard_normal((2000, 8)), rng.standard_normal((50, 8))
+    frame = lambda m, name: spark.createDataFrame([(i, v) for i, v in enumerate(m.tolist())], f"{name} long, dense array<double>")
+    got = {(r.query_id, r["rank"]): r.doc_id for r in S.dense_topk(frame(q, "query_id"), frame(x, "doc_id"), 3).collect()}
+    near = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+    best = np.argsort(-near, axis=1)[:, :3]
+    assert len(got) == 6000 and all(got[i, r + 1] == best[i, r] for i in range(2000) for r in range(3))
+
+
+def test_documents_that_contain_an_item(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdeé", k=rng.randint(1, 5))) for _ in range(40)]
+    bodies = [" ".join(rng.choices(words, k=30)) for _ in range(40)] + ["", "x", None, "A, b; C. d!"]
+    whole = [b for b in bodies[:10]]
+    parts = [b[rng.randrange(20) : rng.randrange(25, 90)] for b in bodies[:30]]
+    texts = whole + parts + ["", None, "b; C", "d", "A, b; C. d!", "zz zz zz zz zz zz"]
+    docs = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
+    got = sorted((r.query_id, r.doc_id) for r in containing(docs, items).collect())
+    assert got == sorted((i, j) for i, t in enumerate(texts) for j, b in enumerate(bodies) if t is not None and b is not None and t in b)
+
+
+def test_running_values(spark):
+    rows = [(i, list(range(n))) for i, n in enumerate([0, 1, 127, 128, 129, 1000])]
+    df = spark.createDataFrame(rows, "id int, xs array<int>").selectExpr("id", f"{running('xs', 'e')} as s", f"{running('xs', '(e * 37) % 101', MAXIMUM)} as m")
+    for r in df.collect():
+        xs = rows[r.id][1]
+        assert r.s == [sum(xs[:i]) for i in range(len(xs))]
+        assert r.m == [max([0, *((x * 37) % 101 for x in xs[:i])]) for i in range(len(xs))]

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import running
 from ..functions.text import CHUNK_NAMESPACE
 from ..options import ChunkingOptions
 
@@ -81,9 +82,12 @@ def _finer(text: str, spans: list[tuple[int, int]], costs: list[int], limit: int
 
 
 def _sentences(text: str, a: int, b: int, limit: int, count: TokenCounter):
-    edges = [a, *(a + m.end() for m in SENTENCE_BREAK.finditer(text[a:b])), b]
-    spans = [(s, s + len(text[s:e].rstrip())) for s, e in zip(edges[:-1], edges[1:], strict=True)]
-    spans = [s for s in spans if s[1] > s[0]]
+    """Sentences of ``text[a:b]`` with their costs; one over the limit as runs of its words."""
+    own = text[a:b]
+    # A sentence is what a break, or the end, closes; white space at its end is the break's.
+    closed = [(m.start(), m.end()) for m in SENTENCE_BREAK.finditer(own)] + [(len(own.rstrip()), len(own))]
+    starts = [0, *(after for _, after in closed)]
+    spans = [(a + s, a + e) for s, (e, _) in zip(starts, closed, strict=False) if own[s:e].strip()]
     for _, span, cost in _finer(text, spans, count([text[s:e] for s, e in spans]), limit, _word_runs, count):
         yield span, cost
 
@@ -180,11 +184,10 @@ def empty_documents(docs: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def line_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, line, start, end): the non-blank lines, trimmed, with code-point offsets; JVM only."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.split(t, "\n")
-    ends = F.aggregate(lines, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + F.length(x) + 1)))
-    rows = docs.select(id_col, F.posexplode(F.arrays_zip(lines.alias("body"), F.slice(ends, 1, F.size(lines)).alias("at")))).select(id_col, F.col("pos").alias("line"), "col.body", "col.at")
+    """(id, line, start, end): the non-blank lines, trimmed, with code-point offsets; JVM only, in time that grows with the lines."""
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    placed = docs.select(id_col, lines.alias("bodies")).select(id_col, "bodies", F.expr(running("bodies", "length(e) + 1")).alias("begins"))
+    rows = placed.select(id_col, F.posexplode(F.arrays_zip(F.col("bodies").alias("body"), F.col("begins").alias("at")))).select(id_col, F.col("pos").alias("line"), "col.body", "col.at")
     left = F.length("body") - F.length(F.regexp_replace("body", r"(?U)^\s+", ""))
     size = F.length(F.regexp_replace("body", r"(?U)^\s+|\s+$", ""))
     return rows.withColumn("start", F.col("at") + left).withColumn("end", F.col("at") + left + size).where(size > 0).select(id_col, F.col("line").cast("bigint").alias("line"), F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"))

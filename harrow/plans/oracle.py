@@ -142,6 +142,21 @@ _SHOWN = "SELECT query_id, rank, {id}, round(score, 6) AS score FROM {of} WHERE
 _MIRROR_DICE = f"{_hex("substr(md5('7:' || doc_id || ':' || (i - 1)), 1, 8)")}::DOUBLE / 4294967296.0"
 _PASSAGES = "SELECT doc_id, line, body AS passage FROM lines WHERE len(body) >= 300 AND body NOT LIKE '=%'"
 
+
+
+def _pairs(documents: str) -> str:
+    """The steps to ``chosen(topic, first, second)``: five pairs of ``documents(topic, doc_id)`` a topic, drawn by number."""
+    return f"""
+    ids AS (SELECT topic, doc_id, row_number() OVER (PARTITION BY topic ORDER BY doc_id) - 1 AS i FROM ({documents})),
+    sizes AS (SELECT topic, count(*) AS n, count(*) * (count(*) - 1) // 2 AS pairs FROM ids GROUP BY topic HAVING count(*) >= 2),
+    draws AS (SELECT topic, n, pairs, d, CASE WHEN pairs <= 20 THEN d ELSE ('0x' || substr(md5('13:' || topic || ':' || d), 1, 12))::BIGINT % pairs END AS p
+      FROM (SELECT *, unnest(range(CASE WHEN pairs <= 20 THEN pairs ELSE 40 END)) AS d FROM sizes)),
+    drawn AS (SELECT topic, p, min(d) AS d, any_value(pairs) AS pairs FROM draws GROUP BY topic, p),
+    best AS (SELECT topic, p, floor((1 + sqrt(1 + 8 * p::DOUBLE)) / 2)::BIGINT AS b FROM (
+      SELECT *, row_number() OVER (PARTITION BY topic ORDER BY CASE WHEN pairs <= 20 THEN md5('13:' || topic || ':' || p) ELSE lpad(d::VARCHAR, 20, '0') END, p) AS r FROM drawn) WHERE r <= 5),
+    chosen AS (SELECT best.topic, x.doc_id AS first, y.doc_id AS second FROM best JOIN ids x ON x.topic = best.topic AND x.i = p - b * (b - 1) // 2 JOIN ids y ON y.topic = best.topic AND y.i = b)"""
+
+
 _BODIES = {
     "doc_hash": "SELECT * FROM hashed",
     "chunk_ids": f"SELECT doc_id, {_uuid5("doc_id || ':' || content_hash || ':0'")} AS chunk_id FROM hashed",
@@ -198,7 +213,7 @@ _BODIES = {
     "bootstrap_ci": f"""SELECT config, round(mean, 6) AS mean, round(p[1], 6) AS lo, round(p[2], 6) AS hi FROM (SELECT config, avg(ndcg_at_k) AS mean FROM scores GROUP BY 1) JOIN (
       SELECT config, quantile_cont(m, [0.025, 0.975]) AS p FROM (
         SELECT config, draw, avg(v) AS m FROM (
-          SELECT draw, {_hex("substr(md5(draw || ':' || place), 1, 8)")} % n AS i FROM (SELECT id // n AS draw, id % n AS place, n FROM (SELECT unnest(range(200 * n)) AS id, n FROM (SELECT count(DISTINCT query_id) AS n FROM scores )))) d
+          SELECT draw, {_hex("substr(md5(draw || ':' || place), 1, 8)")} % n AS i FROM (SELECT id // n AS draw, id % n AS place, n FROM (SELECT unnest(range(2000 * n)) AS id, n FROM (SELECT count(DISTINCT query_id) AS n FROM scores )))) d
         JOIN (SELECT config, ndcg_at_k AS v, dense_rank() OVER (ORDER BY query_id) - 1 AS i FROM scores ) s USING (i) GROUP BY ALL) GROUP BY ALL) USING (config)""",
     "median_chars": "SELECT source, median(n_chars) AS median_chars FROM documents GROUP BY source",
     "topic_counts": "SELECT source, count(*) AS documents, string_agg(DISTINCT lang, ',' ORDER BY lang) AS topics FROM documents GROUP BY source",
@@ -207,6 +222,23 @@ _BODIES = {
       round(CASE WHEN count_if(o) > 0 THEN count_if(lost AND o) / count_if(o) END, 6) AS loss_rate_outside, round(CASE WHEN count_if(NOT o) > 0 THEN count_if(lost AND NOT o) / count_if(NOT o) END, 6) AS loss_rate_inside
       FROM (SELECT r.n < h.n - 1e-9 AS lost, len(list_filter(relevant_clusters, lambda c: c <> routed[1])) > 0 AS o FROM diagnosis d
         JOIN (SELECT query_id, ndcg_at_k AS n FROM routed_scores WHERE config = 'hybrid') h USING (query_id) JOIN (SELECT query_id, ndcg_at_k AS n FROM routed_scores WHERE config = 'routed') r USING (query_id))""",
+    "embedding_batches": """RECURSIVE_STEP
+    texts AS MATERIALIZED (SELECT source, doc_id, len(terms) AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM doc_terms JOIN (SELECT doc_id, source FROM documents) USING (doc_id)),
+    filled AS (
+      SELECT source, doc_id, tokens, i, 0::BIGINT AS batch, 1 AS held, tokens AS size FROM texts WHERE i = 1
+      UNION ALL
+      SELECT t.source, t.doc_id, t.tokens, t.i, f.batch + fresh::INT, CASE WHEN fresh THEN 1 ELSE f.held + 1 END, CASE WHEN fresh THEN t.tokens ELSE f.size + t.tokens END
+      FROM (SELECT *, i + 1 AS next FROM filled) f JOIN texts t ON t.source = f.source AND t.i = f.next, LATERAL (SELECT f.held = 128 OR f.size + t.tokens > 20000 AS fresh))
+    SELECT doc_id, source, tokens, batch FROM filled""",
+    "multihop_pairs": f"RECURSIVE_STEP {_pairs('SELECT DISTINCT lang AS topic, doc_id FROM documents')} SELECT topic, first, second FROM chosen",
+    "evaluation_set": f"""RECURSIVE_STEP
+    picked AS MATERIALIZED (SELECT p.doc_id::VARCHAR AS doc_id, line, passage, source, lang AS topic FROM
+      (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY md5('13:' || doc_id || ':' || line), line) AS r FROM ({_PASSAGES})) p JOIN documents d ON d.doc_id = p.doc_id WHERE r <= 2),
+    one AS MATERIALIZED (SELECT doc_id, arg_min(passage, line) AS passage, any_value(topic) AS topic FROM picked GROUP BY doc_id),
+    {_pairs('SELECT topic, doc_id FROM one')}
+    SELECT doc_id || '#' || line AS query_id, md5('What is said about: ' || substr(passage, 1, 80) || '?') AS digest, doc_id AS relevant, source, topic FROM picked
+    UNION ALL SELECT first || '+' || second, md5('What is said about: ' || substr(x.passage, 1, 80) || ' / ' || substr(y.passage, 1, 80) || '?'), first || ',' || second, 'multihop', c.topic
+      FROM chosen c JOIN one x ON x.doc_id = first JOIN one y ON y.doc_id = second""",
     "passage_candidates": f"SELECT doc_id, line, md5(passage) AS digest FROM ({_PASSAGES})",
     "sample_passages": f"SELECT doc_id, line, md5(passage) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY md5('13:' || doc_id || ':' || line), line) AS r FROM ({_PASSAGES})) WHERE r <= 2",
     "mirrors": f"""SELECT 'mirror:' || doc_id AS doc_id, md5(text) AS digest, doc_id AS duplicate_of, lang AS topic FROM (

@@ -23,8 +23,7 @@ the rarest, come first, so a passage that half the group holds no longer counts.
 is still beyond a cell is dealt over block-against-block cells, which together hold
 every pair.
 
-Cells report a spanning forest of the links, never all pairs. Equal sets are one node:
-the smallest doc_id that has it, with the set's size and hash.
+Cells report a spanning forest of the links, never all pairs. Equal sets are one node.
 """
 
 from __future__ import annotations
@@ -36,7 +35,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import lean, shuffle_partitions, small, staged
@@ -281,16 +280,15 @@ def _search_cells(batches: Iterator[pa.RecordBatch], percent: int, schema: pa.Sc
             forest = t_occurrence_links([np.frombuffer(s, np.uint64) for _, s, _ in held], np.array([side for _, _, side in held], np.int8), percent)
             if forest:
                 nodes = [node for node, _, _ in held]
-                ends = [[nodes[k][j] for k in side] for side in zip(*forest, strict=True) for j in range(3)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ends], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in forest], pa.int64()), pa.array([nodes[j] for _, j in forest], pa.int64())], schema=schema)
 
     for batch in batches:
-        for own, id_, n, sid, items, side in zip(*(batch.column(k).to_pylist() for k in ("cell", "id", "n", "sid", "items", "side")), strict=True):
+        for own, node, items, side in zip(*(batch.column(k).to_pylist() for k in ("cell", "node", "items", "side")), strict=True):
             if own != cell:
                 yield from flush()
                 cell, held = own, []
-            if not held or held[-1][0] != (id_, n, sid):  # a repeated row
-                held.append(((id_, n, sid), items, side))
+            if not held or held[-1][0] != node:  # a repeated row
+                held.append((node, items, side))
     yield from flush()
 
 
@@ -363,15 +361,11 @@ def _cells(nodes: DataFrame, cell_shingles: int) -> DataFrame:
     return one.union(many)
 
 
-def _node(id_: str, n: str, sid: str) -> Column:
-    return F.struct(F.col(id_).alias("id"), F.col(n).alias("n"), F.col(sid).alias("sid"))
-
-
 def _grouped(met: DataFrame, reps: DataFrame, name: str) -> DataFrame:
-    """(node, n, sid, group) of the sets that ``met`` joins to others; the group is a hash of its smallest node."""
+    """(node, id, n, sid, group) of the sets that ``met`` joins to others."""
     sets = lambda end: reps.select(F.col("n").alias(f"n_{end}"), F.col("sid").alias(f"sid_{end}"), F.col("node").alias(end))
     edges = met.join(sets("a"), ["n_a", "sid_a"]).join(sets("b"), ["n_b", "sid_b"]).select("a", "b")
-    return components(edges, name).select("node", "node.n", "node.sid", F.xxhash64("component").alias("group"))
+    return components(edges, name).join(reps, "node").select("node", "id", "n", "sid", F.col("component").alias("group"))
 
 
 def near_duplicate_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, cell_shingles: int = CELL_SHINGLES, text: str = "text") -> DataFrame:
@@ -395,14 +389,16 @@ def near_duplicate_components(docs: DataFrame, width: int = WIDTH, percent: int
     # Links that tasks made themselves pass along with the postings, in lists of their own.
     met = staged(_chain(listed.withColumn("key", F.coalesce("key", F.xxhash64("n", "sid", "other"))), percent), "met")
 
-    reps = members.where("n > 0").groupBy("n", "sid").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id")).select("n", "sid", _node("id", "n", "sid").alias("node"))
+    # Every distinct set has a number, and the smallest doc_id that has it.
+    sets = members.where("n > 0").groupBy("n", "sid").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id"))
+    reps = staged(sets.withColumn("node", F.monotonically_increasing_id()), "distinct-sets")
     nodes = staged(_grouped(met, reps, "groups"), "nodes")
     by_id = texts.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
     pa_sets = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("items", pa.binary())])
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """wanted's columns and items; small tables go to the texts, so that these stay where they are."""
-        keyed = small(wanted.withColumn("id", F.col("node.id")), 120)
+        keyed = small(wanted, 120)
         made = by_id.join(keyed.select("id"), "id", "left_semi").mapInArrow(partial(_full_sets, width=width, schema=pa_sets), "id bigint, n bigint, sid bigint, items binary")
         return made.join(keyed, ["id", "n", "sid"])
 
@@ -413,17 +409,20 @@ def near_duplicate_components(docs: DataFrame, width: int = WIDTH, percent: int
         nodes = staged(nodes.join(large.select("node"), "node", "left_anti").unionByName(anew.select(*nodes.columns)), "nodes-anew")
     cells = staged(_cells(nodes.select("node", "n", "group"), cell_shingles), "cells")
 
-    pa_links = pa.schema([(f"{c}_{end}", pa.int64()) for end in "ab" for c in ("id", "n", "sid")])
+    pa_links = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     links = (
-        sets_of(nodes).drop("group").join(small(cells, 120), "node")
-        .select("cell", "id", "n", "sid", "items", "side")
+        sets_of(nodes).drop("group").join(small(cells, 100), "node")
+        .select("cell", "node", "n", "items", "side")
         .repartition(shuffle_partitions(spark), "cell")
-        .sortWithinPartitions("cell", "n", "id", "sid")
-        .mapInArrow(partial(_search_cells, percent=percent, schema=pa_links), ", ".join(f"{f.name} bigint" for f in pa_links))
+        .sortWithinPartitions("cell", "n", "node")
+        .mapInArrow(partial(_search_cells, percent=percent, schema=pa_links), "a bigint, b bigint")
     )
-    linked = components(links.select(*[_node(f"id_{end}", f"n_{end}", f"sid_{end}").alias(end) for end in "ab"]), "links")
-    class_of = reps.join(linked, "node", "left").select("n", "sid", F.coalesce("component", "node")["id"].alias("component"))
-    return members.join(class_of, ["n", "sid"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.nullif("component", F.lit(NO_ID)), "doc_id").alias("component_id"))
+    linked = staged(components(links, "links").join(reps.select("node", "n", "sid", "id"), "node"), "linked")
+    least = linked.groupBy("component").agg(F.min("id").alias("least"))
+    class_of = linked.join(least, "component").select("n", "sid", F.nullif("least", F.lit(NO_ID)).alias("least"))
+    # Sets without a link keep their members' smallest id; rows that share a set are one class.
+    alone = reps.join(linked.select("node"), "node", "left_anti").select("n", "sid", F.nullif("id", F.lit(NO_ID)).alias("least"))
+    return members.join(class_of.unionByName(alone), ["n", "sid"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:

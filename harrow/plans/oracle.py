@@ -88,6 +88,8 @@ def _scored(results: str) -> str:
 _STEPS["scores"] = _scored("results")
 _STEPS["routed_results"] = "SELECT 'hybrid' AS config, query_id, rank, doc_id FROM fused WHERE rank <= 10 UNION ALL SELECT 'routed', query_id, rank, doc_id FROM fused_routed WHERE rank <= 10"
 _STEPS["routed_scores"] = _scored("routed_results")
+_STEPS["dn_routed3"] = _STEPS["dn_routed"].replace("r.rank <= 1", "r.rank <= 3")
+_STEPS["fused_routed3"] = _STEPS["fused_routed"].replace("dn_routed", "dn_routed3")
 _STEPS["diagnosis"] = """SELECT query_id, routed, relevant_clusters FROM (SELECT query_id, list(cluster_id ORDER BY rank) AS routed FROM routes WHERE rank <= 3 GROUP BY 1)
     JOIN (SELECT query_id, list_sort(list(DISTINCT cluster_id)) AS relevant_clusters FROM rel JOIN doc_cluster USING (doc_id) GROUP BY 1) USING (query_id)"""
 
@@ -116,23 +118,27 @@ def _uuid5(name: str) -> str:
     return f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || {variant} || substr({h}, 19, 2) || '-' || substr({h}, 21, 12)"
 
 
-def _mmr(pool: str, vec: str, key: str) -> str:
-    """Recursive picks over ``pool(query_id, idx, key, score, rel)``."""
-    return f"""RECURSIVE_STEP
-    pool AS MATERIALIZED (SELECT query_id, rank AS idx, {key}, score, CASE WHEN hi - lo < 1e-12 THEN 1.0 ELSE (score - lo) / (hi - lo) END AS rel
+def _picks(pool: str, vec: str, key: str, name: str) -> str:
+    """The steps to ``name(query_id, rank, key, score)``: ten recursive picks from the first 40 of ``pool``."""
+    return f"""
+    {name}_pool AS MATERIALIZED (SELECT query_id, rank AS idx, {key}, score, CASE WHEN hi - lo < 1e-12 THEN 1.0 ELSE (score - lo) / (hi - lo) END AS rel
       FROM (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM {pool} WHERE rank <= 40)),
-    sims AS MATERIALIZED (SELECT a.query_id, a.idx AS i, b.idx AS j, list_cosine_similarity(x.dense, y.dense) AS sim
-      FROM pool a JOIN pool b USING (query_id) JOIN {vec} x ON x.{key} = a.{key} JOIN {vec} y ON y.{key} = b.{key}),
-    picks AS (
-      SELECT query_id, 1 AS n, [arg_min(idx, (-round(rel, 12), idx))] AS chosen FROM pool GROUP BY query_id
+    {name}_sims AS MATERIALIZED (SELECT a.query_id, a.idx AS i, b.idx AS j, list_cosine_similarity(x.dense, y.dense) AS sim
+      FROM {name}_pool a JOIN {name}_pool b USING (query_id) JOIN {vec} x ON x.{key} = a.{key} JOIN {vec} y ON y.{key} = b.{key}),
+    {name}_picks AS (
+      SELECT query_id, 1 AS n, [arg_min(idx, (-round(rel, 12), idx))] AS chosen FROM {name}_pool GROUP BY query_id
       UNION ALL
-      SELECT p.query_id, p.n + 1, list_append(p.chosen, c.idx) FROM picks p JOIN LATERAL (
-        SELECT c.idx FROM pool c WHERE c.query_id = p.query_id AND NOT list_contains(p.chosen, c.idx)
-        ORDER BY round(0.7 * c.rel - (1 - 0.7) * (SELECT max(s.sim) FROM sims s WHERE s.query_id = c.query_id AND s.i = c.idx AND list_contains(p.chosen, s.j)), 12) DESC, c.idx LIMIT 1
-      ) c ON true WHERE p.n < 10)
-    SELECT k.query_id, k.rank, pool.{key}, round(pool.score, 6) AS score
-    FROM (SELECT query_id, unnest(chosen) AS idx, generate_subscripts(chosen, 1) AS rank FROM picks WHERE n = (SELECT max(m.n) FROM picks m WHERE m.query_id = picks.query_id)) k
-    JOIN pool ON pool.query_id = k.query_id AND pool.idx = k.idx"""
+      SELECT p.query_id, p.n + 1, list_append(p.chosen, c.idx) FROM {name}_picks p JOIN LATERAL (
+        SELECT c.idx FROM {name}_pool c WHERE c.query_id = p.query_id AND NOT list_contains(p.chosen, c.idx)
+        ORDER BY round(0.7 * c.rel - (1 - 0.7) * (SELECT max(s.sim) FROM {name}_sims s WHERE s.query_id = c.query_id AND s.i = c.idx AND list_contains(p.chosen, s.j)), 12) DESC, c.idx LIMIT 1
+      ) c ON true WHERE p.n < 10),
+    {name} AS (SELECT k.query_id, k.rank, o.{key}, o.score
+      FROM (SELECT query_id, unnest(chosen) AS idx, generate_subscripts(chosen, 1) AS rank FROM {name}_picks WHERE n = (SELECT max(m.n) FROM {name}_picks m WHERE m.query_id = {name}_picks.query_id)) k
+      JOIN {name}_pool o ON o.query_id = k.query_id AND o.idx = k.idx)"""
+
+
+def _mmr(pool: str, vec: str, key: str) -> str:
+    return f"RECURSIVE_STEP {_picks(pool, vec, key, 'chosen')} SELECT query_id, rank, {key}, round(score, 6) AS score FROM chosen"
 
 
 _SQUASHED = _strip(r"regexp_replace(text, '\s+', ' ', 'g')")
@@ -157,6 +163,11 @@ def _pairs(documents: str) -> str:
     chosen AS (SELECT best.topic, x.doc_id AS first, y.doc_id AS second FROM best JOIN ids x ON x.topic = best.topic AND x.i = p - b * (b - 1) // 2 JOIN ids y ON y.topic = best.topic AND y.i = b)"""
 
 
+#: The list that each configuration of the ablation gives.
+_ABLATION = {
+    "Dense only": "dn", "BM25 only": "bm", "Hybrid (RRF)": "fused", "Hybrid + routing (m=1)": "fused_routed", "Hybrid + routing (m=3)": "fused_routed3",
+    "Hybrid + MMR": "mmr_all", "Hybrid + routing (m=3) + MMR": "mmr_routed",
+}
 _BODIES = {
     "doc_hash": "SELECT * FROM hashed",
     "chunk_ids": f"SELECT doc_id, {_uuid5("doc_id || ':' || content_hash || ':0'")} AS chunk_id FROM hashed",
@@ -239,6 +250,10 @@ _BODIES = {
     SELECT doc_id || '#' || line AS query_id, md5('What is said about: ' || substr(passage, 1, 80) || '?') AS digest, doc_id AS relevant, source, topic FROM picked
     UNION ALL SELECT first || '+' || second, md5('What is said about: ' || substr(x.passage, 1, 80) || ' / ' || substr(y.passage, 1, 80) || '?'), first || ',' || second, 'multihop', c.topic
       FROM chosen c JOIN one x ON x.doc_id = first JOIN one y ON y.doc_id = second""",
+    "ablation_summary": f"""RECURSIVE_STEP {_picks("fused", "doc_vec", "doc_id", "mmr_all")}, {_picks("fused_routed3", "doc_vec", "doc_id", "mmr_routed")},
+    lists AS MATERIALIZED ({" UNION ALL ".join(f"SELECT '{name}' AS config, query_id, rank, doc_id FROM {of} WHERE rank <= 10" for name, of in _ABLATION.items())}),
+    judged AS MATERIALIZED ({_scored("lists")})
+    SELECT config, count(*) AS n_queries, {_MEANS}, round(avg(distinct_docs), 6) AS distinct_docs FROM judged GROUP BY config""",
     "passage_candidates": f"SELECT doc_id, line, md5(passage) AS digest FROM ({_PASSAGES})",
     "sample_passages": f"SELECT doc_id, line, md5(passage) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY md5('13:' || doc_id || ':' || line), line) AS r FROM ({_PASSAGES})) WHERE r <= 2",
     "mirrors": f"""SELECT 'mirror:' || doc_id AS doc_id, md5(text) AS digest, doc_id AS duplicate_of, lang AS topic FROM (

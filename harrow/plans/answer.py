@@ -39,7 +39,7 @@ class Complete:
 Event = Text | Citation | Complete
 
 
-class AnswerGenerator(Protocol):
+class Answerer(Protocol):
     """Answers a question from sources, piece by piece; a ``Complete`` is its last event."""
 
     def stream(self, question: str, sources: Sequence[dict[str, Any]]) -> Iterator[Event]: ...
@@ -81,7 +81,7 @@ def sse(event: str, data: dict[str, Any]) -> str:
     return f"event: {event}\ndata: {json.dumps(data)}\n\n"
 
 
-def answer_events(question: str, sources: Sequence[dict[str, Any]], generator: AnswerGenerator, request_id: str | None = None) -> Iterator[str]:
+def answer_events(question: str, sources: Sequence[dict[str, Any]], generator: Answerer, request_id: str | None = None) -> Iterator[str]:
     """``sources``, then ``text`` and ``citation``, then exactly one of ``done`` and ``error``."""
     yield sse("sources", {"request_id": request_id or uuid.uuid4().hex, "results": list(sources)})
     try:

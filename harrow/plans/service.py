@@ -17,7 +17,7 @@ from ..operators.index import IndexStore
 from ..operators.search import bm25_topk_stored, dense_topk, retrieve, route
 from ..options import RetrievalOptions
 from ..streaming.ingest import Embedder, HashedEmbedder
-from .answer import AnswerGenerator, Extractive, answer_events, problem
+from .answer import Answerer, Extractive, answer_events, problem
 
 log = logging.getLogger("harrow")
 
@@ -51,11 +51,11 @@ class Services:
 
     spark: SparkSession
     store: IndexStore
-    generator: AnswerGenerator
+    generator: Answerer
     embedder: Embedder
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, dimension: int = 64, generator: AnswerGenerator | None = None, embedder: Embedder | None = None) -> Services:
+    def create(cls, spark: SparkSession, path: str, dimension: int = 64, generator: Answerer | None = None, embedder: Embedder | None = None) -> Services:
         store = IndexStore(spark, path, dimension)
         store.ensure()
         return cls(spark, store, generator or Extractive(), embedder or HashedEmbedder(dimension))

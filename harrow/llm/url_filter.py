@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import staged_path
+
 # The rules of the stated policy (host and path, verdict).
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -109,10 +111,17 @@ def _with_grams(df: DataFrame) -> DataFrame:
 
 
 def fit_url_classifier(labelled: DataFrame, columns: int = COLUMNS, penalty: float = 0.003):
-    """A Spark ML model from (url, label 0/1); null labels are left out. The table is a small one: it is fitted in one task."""
+    """A Spark ML model from (url, label 0/1); null labels are left out. The table is a small one: it is fitted in one task.
+
+    The model is saved and loaded: a fitted one carries its training summary, and with it
+    the session, into every scoring task, and a session that has ever observed a metric
+    (``DataFrame.observe``) can't be serialised.
+    """
     stages = [HashingTF(inputCol="harrow_grams", outputCol="harrow_features", numFeatures=columns), LogisticRegression(featuresCol="harrow_features", labelCol="label", probabilityCol="harrow_p", predictionCol="harrow_y", rawPredictionCol="harrow_raw", regParam=penalty, maxIter=60)]
     rows = _with_grams(with_url_parts(labelled)).where("label is not null").select("harrow_grams", F.col("label").cast("double").alias("label"))
-    return Pipeline(stages=stages).fit(rows.coalesce(1))
+    path = staged_path(labelled.sparkSession, "url-classifier")
+    Pipeline(stages=stages).fit(rows.coalesce(1)).write().save(path)
+    return PipelineModel.load(path)
 
 
 def held_out(labelled: DataFrame, parts: int = 5, **options) -> DataFrame:

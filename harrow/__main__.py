@@ -1,4 +1,4 @@
-"""Commands: ingest, recluster, eval-set, eval, retrieve, serve."""
+"""Commands: ingest, recluster, compact, eval-set, eval, retrieve, serve."""
 
 from __future__ import annotations
 
@@ -26,6 +26,7 @@ def main(argv: list[str] | None = None) -> int:
     commands = parser.add_subparsers(dest="command", required=True)
     commands.add_parser("ingest").add_argument("path")
     commands.add_parser("recluster")
+    commands.add_parser("compact", help="merge segments of the index and remove what no version names")
     made = commands.add_parser("eval-set")
     made.add_argument("corpus")
     made.add_argument("out")
@@ -51,10 +52,12 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "ingest":
         done = ingest(services.store, load_documents(spark, a.path), from_environment(ChunkingOptions))
         print(json.dumps(vars(done)))
-        return 1 if done.failures else 0
+        return 1 if done.failed else 0
     if a.command == "recluster":
         model = clustering.recluster(services.store, from_environment(ClusteringOptions))
         print(json.dumps({"k": model.k, "silhouette": model.silhouette, "version": model.version, "silhouette_by_k": model.silhouette_by_k}))
+    elif a.command == "compact":
+        print(json.dumps({"segments_rewritten": services.store.compact(), "folders_removed": services.store.vacuum()}))
     elif a.command == "retrieve":
         found = services.retrieve(a.query, from_environment(RetrievalOptions))
         print(show.results(found) if a.table else json.dumps(found, ensure_ascii=False))
@@ -64,21 +67,22 @@ def main(argv: list[str] | None = None) -> int:
         asked = load_queries(spark, a.queries)
         queries = asked.select("query_id", F.col("query").alias("text"), F.coalesce("source", F.lit("")).alias("source"))
         queries = queries.join(services.embedder.queries(queries, "query_id"), "query_id", "left")
-        stored = services.store.read("chunks")
-        chunks = stored.select(F.col("chunk_id").alias("doc_id"), "text", "dense", "cluster_id")
+        now = services.store.snapshot()
+        stored = now.texts()
+        chunks = now.vectors().select(F.col("chunk_id").alias("doc_id"), "dense", "cluster_id")
         canonical = stored.select(F.col("chunk_id").alias("doc_id"), canonical_id("doc_id", F.col("metadata")["duplicate_of"]).alias("canonical"))
         relevant = asked.select("query_id", F.explode("relevant_doc_ids").alias("doc_id"))
         options = from_environment(RetrievalOptions)
-        sparse = bm25_topk_stored(queries, services.store, max(options.prefetch_limit, options.candidate_pool, a.k)).withColumnRenamed("chunk_id", "doc_id")
-        centroids = services.store.load_centroids()
-        found = ablation.evaluate(queries, chunks, relevant, a.k, options, centroids, canonical, sparse)
+        sparse = lambda depth: bm25_topk_stored(queries, now, depth).withColumnRenamed("chunk_id", "doc_id")
+        centroids = now.centroids() if now.manifest.model is not None else None
+        found = ablation.evaluate(queries, chunks, relevant, a.k, options, centroids, canonical, sparse(max(options.prefetch_limit, options.candidate_pool, a.k)))
         rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
         summary = [r | {c: (r[c]["lo"], r[c]["hi"]) for c in ("ndcg_ci", "delta_ci")} for r in rows(found["summary"])]
-        meta = {"k": a.k, "queries": queries.count(), "chunks": chunks.count()}
-        topic = stored.select("cluster_id", F.col("metadata")["topic"].alias("topic")).dropna()
+        meta = {"k": a.k, "queries": queries.count(), "chunks": now.statistics()[0]}
+        topic = stored.select("chunk_id", F.col("metadata")["topic"].alias("topic")).join(now.vectors().select("chunk_id", "cluster_id"), "chunk_id").select("cluster_id", "topic").dropna()
         if not topic.isEmpty():
             meta |= {"topics": topic.select("topic").distinct().count(), "cluster purity": clustering.purity(topic).first()[0]}
-        latency = {c.name: ablation.batch_latency(queries, chunks, c, centroids) for c in ablation.ablation_configs(options, a.k)}
+        latency = {c.name: ablation.batch_latency(queries, chunks, c, centroids, sparse) for c in ablation.ablation_configs(options, a.k)}
         print(report.write_report(a.out, summary, rows(found["by_source"]), rows(found["scores"]), meta, latency))
     return 0
 

@@ -1,12 +1,11 @@
-"""The index: postings and statistics, dense vectors, incremental replacement."""
+"""The index as tables: postings and their blocks, statistics, dense vectors, incremental replacement."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import ConfigurationError, IndexError_
 from ..functions.text import content_hash, embedding_text, tokens
 
 DENSE = "dense"
@@ -120,13 +119,15 @@ def schema_problems(df: DataFrame, wanted: T.StructType, dimension: int | None =
 
 
 POSTING_BUCKETS = 64
-TABLES = ("chunks", "centroids", "postings", "lengths")
-#: Shapes of the tables of the lexical index, which may be empty.
-LEXICAL = {"postings": "term string, chunk_id string, doc_id string, tf int, dl int, bucket int", "lengths": "chunk_id string, doc_id string, dl int"}
+#: Postings of one block, and of a group of one term that is put in order by one task.
+BLOCK_POSTINGS = 128
+GROUP_POSTINGS = 1 << 16
+#: A heavy term's group count takes some 100 bytes in a broadcast table.
+BROADCAST_TERMS = 100_000
 
 
-def term_bucket(term: str = "term") -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(POSTING_BUCKETS)).cast("int")
+def term_bucket(term: str = "term", buckets: int = POSTING_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def chunk_terms(chunks: DataFrame) -> DataFrame:
@@ -134,120 +135,34 @@ def chunk_terms(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", "doc_id", tokens(embedding_text("title", "section", "text")).alias("terms"))
 
 
-def stored_postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, doc_id, tf, dl, bucket) of chunks, as the store keeps them."""
+def stored_postings(chunks: DataFrame, buckets: int = POSTING_BUCKETS) -> DataFrame:
+    """(term, chunk_id, doc_id, tf, dl, bucket) of chunks."""
     rows = chunk_terms(chunks).select("chunk_id", "doc_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-    return rows.groupBy("term", "chunk_id", "doc_id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf")).select("term", "chunk_id", "doc_id", "tf", "dl", term_bucket().alias("bucket"))
+    return rows.groupBy("term", "chunk_id", "doc_id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf")).select("term", "chunk_id", "doc_id", "tf", "dl", term_bucket(buckets=buckets).alias("bucket"))
 
 
-class IndexStore:
-    """The tables of an index under one folder, as versioned Parquet: readers never see half a write.
+def bm25_part(tf: Column | str, dl: Column | str, avgdl: float, k1: float = 1.2, b: float = 0.75) -> Column:
+    """What a posting adds to a BM25 score for each unit of its term's rarity; it grows with tf and falls with dl."""
+    tf, dl = (F.col(c) if isinstance(c, str) else c for c in (tf, dl))
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
-    Next to the chunks lie their postings, in folders by a hash of the term, and their
-    lengths: a lexical search reads the folders of the asked terms, and no text.
-    """
 
-    def __init__(self, spark: SparkSession, path: str, dimension: int):
-        self.spark, self.path, self.dimension = spark, path.rstrip("/"), dimension
-        self._fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._fs_path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _versions(self, table: str) -> list[int]:
-        folder = self._fs_path(f"{self.path}/{table}")
-        if not self._fs.exists(folder):
-            return []
-        names = [s.getPath() for s in self._fs.listStatus(folder)]
-        done = [p.getName() for p in names if self._fs.exists(self._fs_path(f"{p}/_SUCCESS"))]
-        return sorted(int(n[1:]) for n in done if n.startswith("v") and n[1:].isdigit())
-
-    def exists(self, table: str) -> bool:
-        return bool(self._versions(table))
-
-    def read(self, table: str) -> DataFrame:
-        versions = self._versions(table)
-        if not versions:
-            raise IndexError_(f"no table {table} under {self.path}")
-        reader = self.spark.read.schema(LEXICAL[table]) if table in LEXICAL else self.spark.read
-        return reader.parquet(f"{self.path}/{table}/v{versions[-1]}")
-
-    def write(self, table: str, df: DataFrame, keep: int = 2, by: str | None = None) -> None:
-        """A new version, in folders of ``by``; only the last ``keep`` stay."""
-        versions = self._versions(table)
-        rows = df.repartition(by).write.partitionBy(by) if by else df.write
-        rows.mode("overwrite").parquet(f"{self.path}/{table}/v{(versions or [0])[-1] + 1}")
-        for old in versions[: max(0, len(versions) + 1 - keep)]:
-            self._fs.delete(self._fs_path(f"{self.path}/{table}/v{old}"), True)
-
-    def ensure(self) -> None:
-        """Create missing tables; refuse existing ones of another shape, naming every problem."""
-        for table, schema in (("chunks", CHUNK_SCHEMA), ("centroids", CENTROID_SCHEMA)):
-            if not self.exists(table):
-                self.write(table, self.spark.createDataFrame([], schema))
-                continue
-            if problems := schema_problems(self.read(table), schema, self.dimension if table == "chunks" else None):
-                raise IndexError_(f"{table}: {'; '.join(problems)}")
-        if not (self.exists("postings") and self.exists("lengths")):
-            self._index(self.read("chunks"), None)
-
-    def drop(self) -> None:
-        for table in TABLES:
-            self._fs.delete(self._fs_path(f"{self.path}/{table}"), True)
-
-    def ping(self) -> bool:
-        """Whether the store's tables can be read."""
-        try:
-            for table in TABLES:
-                self.read(table).limit(1).count()
-        except IndexError_:
-            raise
-        except Exception as lost:
-            raise IndexError_(f"the store under {self.path} can't be read") from lost
-        return True
-
-    def _index(self, fresh: DataFrame, gone: DataFrame | None) -> None:
-        """Postings and lengths of ``fresh`` chunks take the place of those of the documents ``gone``."""
-        for table, rows in (("postings", stored_postings(fresh)), ("lengths", chunk_terms(fresh).select("chunk_id", "doc_id", F.size("terms").alias("dl")))):
-            if gone is not None and self.exists(table):
-                rows = self.read(table).join(gone, "doc_id", "left_anti").select(*rows.columns).unionByName(rows)
-            self.write(table, rows, by="bucket" if table == "postings" else None)
-
-    def postings(self) -> DataFrame:
-        return self.read("postings")
-
-    def statistics(self) -> tuple[int, float]:
-        """(chunks, mean length) of the lexical index."""
-        row = self.read("lengths").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-        return row.n, row.avgdl or 1.0
-
-    def count_chunks(self) -> int:
-        return self.read("chunks").count()
-
-    def content_hashes(self) -> DataFrame:
-        """(doc_id, content_hash) of every stored document."""
-        return self.read("chunks").select("doc_id", "content_hash").distinct()
-
-    def dense_vectors(self) -> DataFrame:
-        return self.read("chunks").select("chunk_id", DENSE)
-
-    def payloads(self, fields: list[str]) -> DataFrame:
-        return self.read("chunks").select("chunk_id", *fields)
-
-    def load_centroids(self) -> DataFrame | None:
-        rows = self.read("centroids").orderBy("cluster_id")
-        return None if rows.isEmpty() else rows
-
-    def replace(self, fresh: DataFrame) -> None:
-        if fresh.isEmpty():
-            return
-        self.write("chunks", replace_documents(self.read("chunks"), fresh))
-        self._index(fresh, fresh.select("doc_id").distinct())
-
-    def write_cluster_model(self, centroids: DataFrame, assignments: DataFrame) -> None:
-        """All centroids anew, with their sizes, and cluster_id of every chunk."""
-        if set(centroids.columns) < {"cluster_id", "centroid", "version"}:
-            raise ConfigurationError("centroids need cluster_id, centroid and version")
-        sizes = assignments.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
-        rows = centroids.drop("size").join(sizes, "cluster_id", "left").withColumn("size", F.coalesce("size", F.lit(0)).cast("bigint"))
-        self.write("centroids", rows.select("cluster_id", "centroid", "size", "version"))
-        chunks = self.read("chunks").drop("cluster_id").join(assignments.select("chunk_id", F.col("cluster_id").cast("int").alias("cluster_id")), "chunk_id", "left")
-        self.write("chunks", chunks.select(*CHUNK_SCHEMA.fieldNames()))
+def posting_blocks(rows: DataFrame, avgdl: float, block: int = BLOCK_POSTINGS, group: int = GROUP_POSTINGS) -> DataFrame:
+    """(bucket, term, block, n, max_tf, min_dl, entries): postings in blocks by falling impact.
+
+    No posting of a block adds more to a score than one with ``max_tf`` and ``min_dl``
+    would, whatever the collection's mean length. A term with more than ``group``
+    postings is dealt to as many groups as it takes, each with blocks of its own, so
+    no task puts all postings of a common term in order.
+    """
+    heavy = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > group).select("term", F.ceil(F.col("df") / group).cast("int").alias("groups"))
+    dealt = rows.join(F.broadcast(heavy) if heavy.count() <= BROADCAST_TERMS else heavy, "term", "left")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.coalesce("groups", F.lit(1))).cast("int")).withColumn("impact", bm25_part("tf", "dl", avgdl))
+    order = Window.partitionBy("term", "part").orderBy(F.desc("impact"), "chunk_id")
+    placed = dealt.withColumn("place", F.row_number().over(order) - 1).withColumn("within", F.floor(F.col("place") / block).cast("int"))
+    made = placed.groupBy("term", "part", "within").agg(
+        F.first("bucket").alias("bucket"), F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"),
+        F.sort_array(F.collect_list(F.struct("place", "chunk_id", "doc_id", "tf", "dl"))).alias("e"),
+    )
+    entries = F.transform("e", lambda e: F.struct(e["chunk_id"].alias("chunk_id"), e["doc_id"].alias("doc_id"), e["tf"].alias("tf"), e["dl"].alias("dl")))
+    return made.select("bucket", "term", (F.col("part").cast("bigint") * (1 << 32) + F.col("within")).alias("block"), "n", "max_tf", "min_dl", entries.alias("entries"))

@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import ConfigurationError, HarrowError
-from ..operators.index import IndexStore
+from ..operators.store import IndexStore
 from ..operators.search import bm25_topk_stored, dense_topk, retrieve, route
 from ..options import RetrievalOptions
 from ..streaming.ingest import Embedder, HashedEmbedder
@@ -74,18 +74,20 @@ class Services:
 
         asked = self.spark.createDataFrame([(0, query)], "query_id int, text string")
         queries = timed("embed", asked.join(self.embedder.queries(asked, "query_id"), "query_id", "left"))
-        chunks, centroids = self.store.read("chunks"), self.store.load_centroids()
+        now = self.store.snapshot()
+        vectors = now.vectors().select("chunk_id", "dense", "cluster_id")
+        centroids = now.centroids() if now.manifest.model is not None else None
         if options.route_top_m and centroids is None:
             log.warning("routing asked for, but there is no cluster model; searching all clusters")
         routed = None
         if options.route_top_m and centroids is not None and options.use_dense:
             routed = timed("route", route(queries, centroids, options.route_top_m))
         depth = options.prefetch_limit if options.use_dense and options.use_sparse else options.limit
-        sparse = timed("sparse", bm25_topk_stored(queries, self.store, depth)) if options.use_sparse else None
-        dense = timed("dense", dense_topk(queries, chunks, depth, routed.select("query_id", "cluster_id") if routed is not None else None, "chunk_id")) if options.use_dense else None
-        found = retrieve(queries, chunks, replace(options, route_top_m=0), None, id_col="chunk_id", sparse=sparse, dense=dense)
+        sparse = timed("sparse", bm25_topk_stored(queries, now, depth)) if options.use_sparse else None
+        dense = timed("dense", dense_topk(queries, vectors, depth, routed.select("query_id", "cluster_id") if routed is not None else None, "chunk_id")) if options.use_dense else None
+        found = retrieve(queries, vectors, replace(options, route_top_m=0), None, id_col="chunk_id", sparse=sparse, dense=dense)
         columns = ("chunk_id", "doc_id", "title", "section", "text", "source_uri", "char_start", "char_end")
-        rows = timed("rank", found.join(chunks.select(*columns), "chunk_id").orderBy("rank")).orderBy("rank").collect()
+        rows = timed("rank", found.join(now.texts().select(*columns), "chunk_id").orderBy("rank")).orderBy("rank").collect()
         timings["total"] = round(1000 * (time.monotonic() - begun), 2)
         results = [{c: r[c] for c in columns[:-2]} | {"char_span": [r.char_start, r.char_end], "score": r.score} for r in rows]
         clusters = [] if routed is None else [{"cluster_id": r.cluster_id, "similarity": r.score} for r in routed.orderBy("rank").collect()]

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
+from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,8 @@ from ..errors import HarrowError, SourceError
 from ..functions.text import embedding_text
 from ..operators.chunking import TokenCounter, chunk_documents, empty_documents, word_counter
 from ..operators.clustering import assign
-from ..operators.index import CHUNK_SCHEMA, IndexStore, hashed_embedding, with_content_hash
+from ..operators.index import CHUNK_SCHEMA, hashed_embedding, with_content_hash
+from ..operators.store import IndexStore
 from ..options import ChunkingOptions
 from ..sources.corpus import DOCUMENT_SCHEMA
 from ..staging import stage
@@ -26,8 +28,10 @@ log = logging.getLogger("harrow")
 #: An id and a hash take some 200 bytes in a broadcast table.
 BROADCAST_KEYS = 100_000
 
-#: Documents whose chunks are written together; a group that fails leaves the others alone.
-FLUSH_DOCUMENTS = 100_000
+#: Documents that make one segment of the index; a group that fails leaves the others alone.
+FLUSH_DOCUMENTS = 1_000_000
+#: Failed documents that a report names; ``failed`` counts all.
+FAILURES_SHOWN = 1_000
 
 
 class Embedder(Protocol):
@@ -57,9 +61,17 @@ class IngestionReport:
     unchanged: int = 0
     indexed: int = 0
     chunks: int = 0
+    failed: int = 0
     failures: dict[str, str] = field(default_factory=dict)
     elapsed_s: float = 0.0
 
+    def add(self, chunks: int, lost: DataFrame) -> None:
+        """A group's chunks, and its failed documents (doc_id, reason)."""
+        self.chunks += chunks
+        self.failed += lost.count()
+        room = FAILURES_SHOWN - len(self.failures)
+        self.failures.update({r.doc_id: r.reason for r in lost.orderBy("doc_id").limit(room).collect()})
+
 
 def latest_changes(hashed: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(keys of the corpus, rows of ``hashed`` that are new or changed).
@@ -74,7 +86,7 @@ def latest_changes(hashed: DataFrame, held: DataFrame) -> tuple[DataFrame, DataF
 
 
 def ingest(
-    store: IndexStore, docs: DataFrame, options: ChunkingOptions | None = None, count: TokenCounter = word_counter, embed: Embedder | None = None, flush_documents: int = FLUSH_DOCUMENTS
+    store: IndexStore, docs: DataFrame, options: ChunkingOptions | None = None, count: TokenCounter = word_counter, embed: Embedder | None = None, flush_documents: int = FLUSH_DOCUMENTS, batch: tuple[str, int] | None = None
 ) -> IngestionReport:
     """Index what is new or changed in ``docs`` (doc_id, title, text, source_uri, metadata).
 
@@ -82,58 +94,73 @@ def ingest(
     its old chunks; documents that left the corpus stay. Of a repeated id the row with
     the largest hash is taken. Chunks get the cluster of their nearest centroid if
     there is a model. Changed documents are written in groups of about
-    ``flush_documents``; where a group's embedding or writing fails, its documents are
-    reported as failed, keep what they had, and are new again in the next run.
+    ``flush_documents``, a segment each; where a group's embedding or writing fails, at
+    any step, its documents are reported as failed, keep what they had, and are new
+    again in the next run. The report names at most ``FAILURES_SHOWN`` of them.
+    Afterwards segments of like size are merged.
+
+    ``batch`` (a stream's name, the number of a batch): a batch that is wholly in the
+    index already is not looked at again; one that broke off goes on where it did.
     """
     begun = time.monotonic()
     if missing := [c for c in DOCUMENT_SCHEMA.fieldNames() if c not in docs.columns]:
         raise SourceError(f"documents lack {', '.join(missing)}")
     store.ensure()
+    if batch and batch[1] <= store.batch_done(batch[0]):
+        return IngestionReport(elapsed_s=time.monotonic() - begun)
     embed = embed or HashedEmbedder(store.dimension)
     keys, rows = latest_changes(with_content_hash(docs), store.content_hashes())
-    fresh = stage(rows)
-    seen, new = keys.count(), fresh.count()
+    seen = keys.count()
+    changed = stage(rows)
+    new = changed.count()
     report = IngestionReport(seen, seen - new)
     centroids = store.load_centroids()
     groups = max(1, -(-new // flush_documents))
+    fresh = changed if groups == 1 else stage(changed.withColumn("flush", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int")), by="flush")
     for group in range(groups if new else 0):
-        own = fresh.where(F.pmod(F.xxhash64("doc_id"), F.lit(groups)) == group)
+        own = fresh if groups == 1 else fresh.where(F.col("flush") == group).drop("flush")
         try:
-            made, failed = _flush(store, own, options, count, embed, centroids)
+            report.add(*_flush(store, own, options, count, embed, centroids))
         except AnalysisException:
             raise  # no data makes a query that can't be planned
-        except (HarrowError, PySparkException) as lost:
+        except (HarrowError, PySparkException, Py4JError) as lost:
             log.warning("a group of documents could not be indexed: %s", lost)
-            made, failed = 0, {r.doc_id: f"its group failed: {type(lost).__name__}" for r in own.select("doc_id").toLocalIterator()}
-        report.chunks += made
-        report.failures.update(failed)
-    report.indexed = new - len(report.failures)
+            report.add(0, own.select("doc_id", F.lit(f"its group failed: {type(lost).__name__}").alias("reason")))
+    report.indexed = new - report.failed
+    if batch and not report.failed:
+        store.mark_batch(*batch)
+    try:
+        store.compact()
+    except (HarrowError, PySparkException, Py4JError) as lost:  # what was written stands; the next run tries again
+        log.warning("segments could not be merged: %s", lost)
     report.elapsed_s = time.monotonic() - begun
     return report
 
 
-def _flush(store: IndexStore, docs: DataFrame, options: ChunkingOptions | None, count: TokenCounter, embed: Embedder, centroids: DataFrame | None) -> tuple[int, dict[str, str]]:
-    """Chunk, embed and write one group: (chunks, reason by document that gave none)."""
+def _flush(store: IndexStore, docs: DataFrame, options: ChunkingOptions | None, count: TokenCounter, embed: Embedder, centroids: DataFrame | None) -> tuple[int, DataFrame]:
+    """Chunk, embed and write one group: (chunks, documents that gave none with the reason)."""
     chunks = stage(chunk_documents(docs.drop("content_hash"), options, count))
-    failed = {r.doc_id: r.reason for r in empty_documents(docs, chunks).toLocalIterator()}
+    failed = stage(empty_documents(docs, chunks).select("doc_id", "reason"))
     dense = embed.documents(chunks.select("chunk_id", embedding_text("title", "section", "text").alias("text")), "chunk_id")
-    rows = stage(chunks.join(dense, "chunk_id", "left"))
+    rows = chunks.join(dense, "chunk_id", "left")
     if centroids is not None:
+        rows = stage(rows)
         rows = rows.join(assign(rows.select("chunk_id", "dense"), centroids).select("chunk_id", "cluster_id"), "chunk_id", "left")
     else:
         rows = rows.withColumn("cluster_id", F.lit(None).cast("int"))
-    store.replace(rows.select(*CHUNK_SCHEMA.fieldNames()))
+    store.replace(stage(rows.select(*CHUNK_SCHEMA.fieldNames())))
     return chunks.count(), failed
 
 
 def ingest_stream(spark: SparkSession, store: IndexStore, folder: str, checkpoint: str, on_report: Callable[[IngestionReport], None] = lambda r: None, **options) -> StreamingQuery:
     """Ingest every JSONL file that arrives in ``folder``; available files are taken, then the stream stops.
 
-    Progress lives in ``checkpoint``. A batch that is run again finds its documents unchanged.
+    Progress lives in ``checkpoint``, and the last batch done in the index: one that is run
+    again finds itself done, or, had it broken off, its first documents unchanged.
     """
     source = spark.readStream.schema(DOCUMENT_SCHEMA).option("maxFilesPerTrigger", 64).json(folder)
 
-    def batch(df: DataFrame, _: int) -> None:
-        on_report(ingest(store, df, **options))
+    def batch(df: DataFrame, number: int) -> None:
+        on_report(ingest(store, df, batch=(checkpoint, number), **options))
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -18,7 +18,8 @@ from harrow.operators import batching as B
 from harrow.operators import clustering as L
 from harrow.operators import search as R
 from harrow.operators import synthesis as Y
-from harrow.operators.index import CHUNK_SCHEMA, IndexStore
+from harrow.operators.index import CHUNK_SCHEMA
+from harrow.operators.store import IndexStore
 from harrow.options import ClusteringOptions, EmbeddingOptions
 from harrow.plans.answer import Complete, Extractive, Text, answer_events
 from harrow.plans import show

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..errors import HarrowError, SourceError
+from ..errors import HarrowError, IndexError_, SourceError
 from ..functions.text import embedding_text
 from ..operators.chunking import TokenCounter, chunk_documents, empty_documents, word_counter
 from ..operators.clustering import assign
@@ -62,16 +62,24 @@ class IngestionReport:
     indexed: int = 0
     chunks: int = 0
     failed: int = 0
+    broken: int = 0
     failures: dict[str, str] = field(default_factory=dict)
     elapsed_s: float = 0.0
 
-    def add(self, chunks: int, lost: DataFrame) -> None:
-        """A group's chunks, and its failed documents (doc_id, reason)."""
+    def add(self, chunks: int, lost: DataFrame, broken: bool = False) -> None:
+        """A group's chunks, and its failed documents (doc_id, reason); ``broken``: all of them, by no fault of theirs."""
         self.chunks += chunks
-        self.failed += lost.count()
+        failed = lost.count()
+        self.failed += failed
+        self.broken += failed if broken else 0
         room = FAILURES_SHOWN - len(self.failures)
         self.failures.update({r.doc_id: r.reason for r in lost.orderBy("doc_id").limit(room).collect()})
 
+    def check(self) -> None:
+        """A stream must not go on after groups that could not be written: their files won't come again."""
+        if self.broken:
+            raise IndexError_(f"{self.broken} documents could not be written: {next(iter(self.failures.values()))}")
+
 
 def latest_changes(hashed: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(keys of the corpus, rows of ``hashed`` that are new or changed).
@@ -125,9 +133,9 @@ def ingest(
             raise  # no data makes a query that can't be planned
         except (HarrowError, PySparkException, Py4JError) as lost:
             log.warning("a group of documents could not be indexed: %s", lost)
-            report.add(0, own.select("doc_id", F.lit(f"its group failed: {type(lost).__name__}").alias("reason")))
+            report.add(0, own.select("doc_id", F.lit(f"its group failed: {type(lost).__name__}").alias("reason")), broken=True)
     report.indexed = new - report.failed
-    if batch and not report.failed:
+    if batch and not report.broken:
         store.mark_batch(*batch)
     try:
         store.compact()
@@ -156,11 +164,14 @@ def ingest_stream(spark: SparkSession, store: IndexStore, folder: str, checkpoin
     """Ingest every JSONL file that arrives in ``folder``; available files are taken, then the stream stops.
 
     Progress lives in ``checkpoint``, and the last batch done in the index: one that is run
-    again finds itself done, or, had it broken off, its first documents unchanged.
+    again finds itself done, or, had it broken off, its first documents unchanged. A batch
+    of which a group could not be written ends the stream, to be taken up at the next start.
     """
     source = spark.readStream.schema(DOCUMENT_SCHEMA).option("maxFilesPerTrigger", 64).json(folder)
 
     def batch(df: DataFrame, number: int) -> None:
-        on_report(ingest(store, df, batch=(checkpoint, number), **options))
+        report = ingest(store, df, batch=(checkpoint, number), **options)
+        on_report(report)
+        report.check()
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

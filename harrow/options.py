@@ -55,8 +55,15 @@ class ClusteringOptions:
     k_grid: tuple[int, ...] = (4, 6, 8, 10, 12, 16)
     silhouette_sample_size: int = 5000
     random_state: int = 42
+    method: str = "minibatch"
+    n_init: int = 5
+    batch_rows: int = 1024
+    max_passes: int = 10
+    tolerance: float = 1e-3
 
     def __post_init__(self):
+        _need(self.method in ("minibatch", "lloyd"), "method must be minibatch or lloyd")
+        _need(self.n_init >= 1 and self.batch_rows >= 1 and self.max_passes >= 1, "n_init, batch_rows and max_passes must be positive")
         _need(self.n_clusters is None or self.n_clusters >= 2, "n_clusters must be 2 or more")
         _need(self.silhouette_sample_size >= 100, "silhouette_sample_size must be 100 or more")
 
@@ -105,6 +112,8 @@ def from_environment(kind: type, prefix: str = "HARROW", environ: dict[str, str]
             own[f.name] = None
         elif isinstance(f.default, bool):
             own[f.name] = raw.lower() in ("1", "true", "yes", "on")
+        elif isinstance(f.default, str):
+            own[f.name] = raw
         elif isinstance(f.default, tuple):
             own[f.name] = tuple(int(x) for x in raw.split(","))
         elif isinstance(f.default, float) or f.name == "mmr_lambda":

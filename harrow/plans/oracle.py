@@ -56,6 +56,9 @@ _STEPS = {
       FROM (SELECT query_id, unnest(list_distinct(terms)) AS term FROM item_terms) q JOIN post p USING (term) JOIN freq USING (term) JOIN lens USING (doc_id), whole GROUP BY ALL)""",
     "vecs": "SELECT vec_id, embedding::DOUBLE[] AS dense, label AS cluster_id FROM embeddings",
     "units": "SELECT vec_id, cluster_id, list_transform(dense, lambda x: x / sqrt(list_dot_product(dense, dense))) AS u FROM vecs",
+    "label_first": "SELECT cluster_id, arg_min(u, vec_id) AS c FROM units GROUP BY 1",
+    "near_first": """SELECT vec_id, u, cluster_id FROM (SELECT v.vec_id, v.u, f.cluster_id, row_number() OVER (
+      PARTITION BY vec_id ORDER BY round(list_dot_product(u, u) + list_dot_product(c, c) - 2 * list_dot_product(u, c), 12), f.cluster_id) AS r FROM units v, label_first f) WHERE r = 1""",
     "topic_sums": "SELECT cluster_id, i, sum(u[i]) AS s, count(*) AS n FROM units, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL",
     "topic": "SELECT cluster_id, list(s / l ORDER BY i) AS centroid FROM topic_sums JOIN (SELECT cluster_id, sqrt(sum(s * s)) AS l FROM topic_sums GROUP BY 1) USING (cluster_id) GROUP BY 1",
     "near_vec": f"SELECT *, {_TOP.format(id='vec_id')} FROM (SELECT query_id, vec_id, list_cosine_similarity(q.dense, v.dense) AS score FROM item_vec q, vecs v)",
@@ -206,6 +209,9 @@ _BODIES = {
     "dense_mmr": _mmr("near_vec", "vecs", "vec_id"),
     "retrieve_default": _mmr("fused", "doc_vec", "doc_id"),
     "lloyd_step": "SELECT cluster_id, i - 1 AS i, round(centroid[i], 6) AS x FROM topic, (SELECT unnest(range(1, 65)) AS i)",
+    "minibatch_step": """SELECT cluster_id, met, i - 1 AS i, round(c + coalesce(s - n * c, 0) / met, 6) AS x FROM (
+      SELECT cluster_id, i, any_value(label_first.c[i]) AS c, sum(near_first.u[i]) AS s, count(near_first.vec_id) AS n, 10 + count(near_first.vec_id) AS met
+      FROM label_first CROSS JOIN (SELECT unnest(range(1, 65)) AS i) LEFT JOIN near_first USING (cluster_id) GROUP BY cluster_id, i)""",
     "normalized_vectors": "SELECT vec_id, i - 1 AS i, round(u[i], 6) AS x FROM units, (SELECT unnest(range(1, 65)) AS i)",
     "assign_clusters": "SELECT vec_id, cluster_id, round(s, 6) AS similarity FROM (SELECT vec_id, t.cluster_id, round(list_cosine_similarity(dense, centroid), 12) AS s, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_cosine_similarity(dense, centroid), 12) DESC, t.cluster_id) AS r FROM vecs , topic t) WHERE r = 1",
     "cluster_sizes": "SELECT cluster_id, count(vec_id) AS size FROM topic LEFT JOIN (SELECT vec_id, t.cluster_id, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_cosine_similarity(dense, centroid), 12) DESC, t.cluster_id) AS r FROM vecs , topic t) a USING (cluster_id) WHERE r = 1 OR r IS NULL GROUP BY cluster_id",

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -304,6 +305,17 @@ def lloyd_step(spark, sf):
     return topics(spark, sf).select("cluster_id", F.posexplode("centroid").alias("i", "x")).select("cluster_id", F.col("i").cast("bigint").alias("i"), F.round("x", 6).alias("x"))
 
 
+@query
+def minibatch_step(spark, sf):
+    """One batch (all vectors) moves the first vector of each label, which has met ten before."""
+    rows = vectors(spark, sf).select("vec_id", "cluster_id", unit("dense").alias("dense"))
+    first = rows.groupBy("cluster_id").agg(F.min_by("dense", "vec_id").alias("c")).orderBy("cluster_id").collect()
+    model = clustering.Centres(np.array([r.c for r in first]), np.full(len(first), 10.0))
+    clustering.minibatch_step(rows, [model])
+    moved = [(r.cluster_id, int(n), i, x) for r, c, n in zip(first, model.centres.tolist(), model.met, strict=True) for i, x in enumerate(c)]
+    return spark.createDataFrame(moved, "cluster_id int, met long, i long, x double").withColumn("x", F.round("x", 6))
+
+
 @query
 def normalized_vectors(spark, sf):
     return vectors(spark, sf).select("vec_id", F.posexplode(unit("dense")).alias("i", "x")).select("vec_id", F.col("i").cast("bigint").alias("i"), F.round("x", 6).alias("x"))

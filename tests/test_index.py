@@ -187,6 +187,34 @@ def test_stream_of_files(spark, tmp_path):
     assert [r.indexed for r in reports] == [1, 1] and store.count_chunks() == 2 and store.read("chunks").columns == CHUNK_SCHEMA.fieldNames()
 
 
+def test_mini_batches_come_near_whole_passes(spark):
+    path = "/root/testdata/sf0.01/embeddings.parquet"
+    rows = spark.read.parquet(path).selectExpr("vec_id", "embedding dense", "label")
+    found = {}
+    for method in ("minibatch", "lloyd"):
+        model = L.fit(rows, ClusteringOptions(n_clusters=10, method=method, batch_rows=100), "vec_id")
+        near = L.with_nearest(rows, L.centroid_table(model, spark)).withColumn("topic", F.col("label"))
+        found[method] = L.purity(near).first().purity, model.silhouette
+    assert found["minibatch"][0] > found["lloyd"][0] - 0.03 and found["minibatch"][1] > found["lloyd"][1] - 0.02
+    again = L.fit(rows, ClusteringOptions(n_clusters=10, batch_rows=100), "vec_id")
+    assert again.version == L.fit(rows.repartition(7), ClusteringOptions(n_clusters=10, batch_rows=100), "vec_id").version
+
+
+def test_a_batch_moves_centres_by_what_they_have_met(spark):
+    rng = np.random.default_rng(3)
+    batch, centres, met = rng.normal(size=(40, 5)), rng.normal(size=(4, 5)) * 3, np.array([0.0, 5.0, 50.0, 0.0])
+    centres[3] = 100  # meets nothing
+    model = L.Centres(centres.copy(), met.copy())
+    cost = L.minibatch_step(spark.createDataFrame([(x.tolist(),) for x in batch], "dense array<double>").repartition(3), [model, L.Centres(centres[:2].copy(), met[:2])])
+    wanted, seen, total = centres.copy(), met.copy(), 0.0
+    nearest = [int(np.argmin(((x - centres) ** 2).sum(axis=1))) for x in batch]
+    for x, c in zip(batch, nearest, strict=True):
+        seen[c] += 1
+        wanted[c] += (x - wanted[c]) / seen[c]  # one vector after the other
+        total += float(((x - centres[c]) ** 2).sum())
+    assert np.allclose(model.centres, wanted) and model.met.tolist() == seen.tolist() and abs(cost[0] - total) < 1e-6 and len(cost) == 2
+
+
 def test_clusters_of_blobs(spark):
     rng = np.random.default_rng(0)
     rows = [(f"{c}-{i}", (np.eye(8)[c] + rng.normal(0, 0.05, 8)).tolist()) for c in range(4) for i in range(25)]

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..staging import stage
 
 RESAMPLES = 2000
-BROADCAST_ROWS = 200_000
+#: Places of a draw that make one row, and values that a task holds at once (32 MB).
+BLOCK_PLACES = 1 << 16
+MATRIX_VALUES = 1 << 22
 LOSS = 1e-9
 
 
@@ -68,11 +74,28 @@ def paired_delta(scores: DataFrame, baseline: str, metric: str = "ndcg_at_k") ->
     return scores.join(base, "query_id").select("config", "query_id", (F.col(metric) - F.col("base")).alias("delta"))
 
 
-def resamples(spark: SparkSession, n: int, count: int = RESAMPLES) -> DataFrame:
-    """(draw, i): ``n`` positions with replacement for each of ``count`` draws, from a hash, so always the same."""
-    draw, place = F.floor(F.col("id") / n).cast("bigint"), F.col("id") % n
-    h = F.md5(F.concat_ws(":", draw.cast("string"), place.cast("string")))
-    return spark.range(n * count).select(draw.alias("draw"), (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % n).alias("i"))
+def resamples(spark: SparkSession, n: int, count: int = RESAMPLES, block: int = BLOCK_PLACES) -> DataFrame:
+    """(draw, places): ``n`` positions below ``n`` with replacement for each of ``count`` draws, ``block`` of them a row.
+
+    They come from a hash of draw and place, so they are always the same.
+    """
+    blocks = -(-n // block)
+    rows = spark.range(0, count * blocks, 1, min(count * blocks, spark.sparkContext.defaultParallelism)).select(F.floor(F.col("id") / blocks).cast("bigint").alias("draw"), (F.col("id") % blocks * block).alias("first"))
+    places = F.sequence("first", F.least(F.col("first") + block, F.lit(n)) - 1)
+    drawn = F.transform(places, lambda p: F.conv(F.substring(F.md5(F.concat_ws(":", F.col("draw").cast("string"), p.cast("string"))), 1, 8), 16, 10).cast("bigint") % n)
+    return rows.select("draw", drawn.alias("places"))
+
+
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """The distinct values of ``order`` with ``i``, their place from 0 in ascending order; no task holds more than its range."""
+    ranged = rows.select(order).distinct().repartitionByRange(order).sortWithinPartitions(order)
+    own = stage(ranged.select(order, F.spark_partition_id().alias("part"), (F.monotonically_increasing_id() % (1 << 33)).alias("at")))
+    before, starts = 0, []
+    for r in own.groupBy("part").count().orderBy("part").collect():
+        starts.append((r["part"], before))
+        before += r["count"]
+    table = rows.sparkSession.createDataFrame(starts, "part int, start long")
+    return own.join(F.broadcast(table), "part").select(order, (F.col("start") + F.col("at")).alias("i"))
 
 
 def bootstrap_ci(values: DataFrame, value: str, by: str = "config", order: str = "query_id", count: int = RESAMPLES) -> DataFrame:
@@ -80,19 +103,54 @@ def bootstrap_ci(values: DataFrame, value: str, by: str = "config", order: str =
 
     Queries are numbered in order of ``order`` and all groups use the same draws, so
     intervals of differences are paired. Groups are expected to hold the same queries.
+    A task counts how often a draw takes each query and multiplies these counts with the
+    values of all groups, which it holds as one matrix of at most ``MATRIX_VALUES``
+    values; more queries than that are taken a slice of the matrix at a time.
     """
     spark = values.sparkSession
-    values = stage(values.select(by, order, value))
-    n = values.select(order).distinct().count()
-    if not n:
+    values = stage(values.select(by, order, value).where(F.col(value).isNotNull()))
+    groups = [r[0] for r in values.select(by).distinct().orderBy(by).collect()]
+    if not groups:
         return spark.createDataFrame([], f"{by} string, mean double, lo double, hi double")
-    numbered = values.select(order).distinct().withColumn("i", F.row_number().over(Window.orderBy(order)) - 1)
-    rows = values.select(by, order, F.col(value).alias("v")).join(numbered, order).select(by, "i", "v")
-    # A row takes some 100 bytes in a broadcast table.
-    near = F.broadcast(rows) if values.count() <= BROADCAST_ROWS else rows
-    means = resamples(spark, n, count).join(near, "i").groupBy(by, "draw").agg(F.avg("v").alias("m"))
-    ends = means.groupBy(by).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
-    return values.groupBy(by).agg(F.avg(value).alias("mean")).join(ends, by).select(by, "mean", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
+    places = stage(numbered(values, order))
+    n = places.count()
+    rows = values.join(places, order).select(by, "i", F.col(value).cast("double").alias("v"))
+    width = max(1, MATRIX_VALUES // len(groups))
+    if n > width:
+        rows = stage(rows.withColumn("slice", F.floor(F.col("i") / width).cast("int")), by="slice")
+    draws, sums = resamples(spark, n, count), None
+    for first in range(0, n, width):
+        some = rows.where(F.col("slice") == first // width) if n > width else rows
+        matrix = np.full((min(width, n - first), len(groups)), np.nan)
+        column = {g: c for c, g in enumerate(groups)}
+        for r in some.toLocalIterator():
+            matrix[r.i - first, column[r[by]]] = r.v
+        part = _drawn_sums(draws, spark.sparkContext.broadcast((np.nan_to_num(matrix), ~np.isnan(matrix))), first)
+        sums = part if sums is None else sums.unionAll(part)
+    if n > min(width, BLOCK_PLACES):
+        sums = sums.groupBy("draw", "g").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    ends = sums.where("n > 0").groupBy("g").agg(F.percentile(F.col("s") / F.col("n"), F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
+    named = spark.createDataFrame([(i, g) for i, g in enumerate(groups)], f"g int, own {dict(values.dtypes)[by]}")
+    means = values.groupBy(by).agg(F.avg(value).alias("mean")).join(F.broadcast(named), F.col(by).eqNullSafe(F.col("own"))).drop("own")
+    return means.join(F.broadcast(ends), "g").select(by, "mean", F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
+
+
+def _drawn_sums(draws: DataFrame, sent, first: int) -> DataFrame:
+    """(draw, g, s, n): the sum and number of a group's values among a row's places, of the values from place ``first`` on."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix, there = sent.value
+        for batch in batches:
+            draw, lists = batch.column("draw").to_numpy(), batch.column("places")
+            sums, found = np.zeros((len(draw), matrix.shape[1])), np.zeros((len(draw), matrix.shape[1]), np.int64)
+            for k in range(len(draw)):
+                at = lists[k].values.to_numpy() - first
+                counts = np.bincount(at[(at >= 0) & (at < len(matrix))], minlength=len(matrix))
+                sums[k], found[k] = counts @ matrix, counts @ there
+            g = np.tile(np.arange(matrix.shape[1], dtype=np.int32), len(draw))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(draw, matrix.shape[1])), pa.array(g), pa.array(sums.ravel()), pa.array(found.ravel())], names=["draw", "g", "s", "n"])
+
+    return draws.mapInArrow(task, "draw bigint, g int, s double, n bigint")
 
 
 def outside(relevant_clusters: Column, routed: Column, m: int) -> Column:

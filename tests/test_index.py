@@ -16,6 +16,7 @@ from harrow.functions import text as tx
 from harrow.functions.text import embedding_text
 from harrow.operators import batching as B
 from harrow.operators import clustering as L
+from harrow.operators import metrics as M
 from harrow.operators import search as R
 from harrow.operators import synthesis as Y
 from harrow.operators.index import CHUNK_SCHEMA
@@ -194,10 +195,9 @@ def test_mini_batches_come_near_whole_passes(spark):
     for method in ("minibatch", "lloyd"):
         model = L.fit(rows, ClusteringOptions(n_clusters=10, method=method, batch_rows=100), "vec_id")
         near = L.with_nearest(rows, L.centroid_table(model, spark)).withColumn("topic", F.col("label"))
-        found[method] = L.purity(near).first().purity, model.silhouette
+        found[method] = L.purity(near).first().purity, model.silhouette, model.version
     assert found["minibatch"][0] > found["lloyd"][0] - 0.03 and found["minibatch"][1] > found["lloyd"][1] - 0.02
-    again = L.fit(rows, ClusteringOptions(n_clusters=10, batch_rows=100), "vec_id")
-    assert again.version == L.fit(rows.repartition(7), ClusteringOptions(n_clusters=10, batch_rows=100), "vec_id").version
+    assert L.fit(rows.repartition(7), ClusteringOptions(n_clusters=10, batch_rows=100), "vec_id").version == found["minibatch"][2]
 
 
 def test_a_batch_moves_centres_by_what_they_have_met(spark):
@@ -260,6 +260,44 @@ def test_batches_per_group(spark):
     assert B.pack_batches(rows, EmbeddingOptions(max_batch_tokens=8)).agg(F.max("batch")).first()[0] == 4
 
 
+@pytest.mark.parametrize("parts", ["1", "5", "40"])
+def test_batches_over_ranges_are_those_of_one_walk(spark, parts):
+    rng = random.Random(int(parts))
+    rows = [(i, rng.choice("aaaabc"), rng.choice([1, 1, 2, 3, 9, 30])) for i in range(700)] + [(1000 + i, None, 5) for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id int, g string, tokens bigint")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        for options in (EmbeddingOptions(max_batch_texts=7, max_batch_tokens=20), EmbeddingOptions(max_batch_texts=100, max_batch_tokens=25), EmbeddingOptions(max_batch_texts=100, max_batch_tokens=100_000)):
+            wanted = {}
+            for g in [None, *"abc"]:
+                own = [(i, n) for i, x, n in rows if x == g]
+                wanted.update({i: (g, n, b) for (i, n), b in zip(own, B.greedy_batches([n for _, n in own], options.max_batch_texts, options.batch_tokens), strict=True)})
+            assert {r.doc_id: (r.g, r.tokens, r.batch) for r in B.pack_batches(df, options, group="g").collect()} == wanted
+            whole = B.greedy_batches([n for _, _, n in rows], options.max_batch_texts, options.batch_tokens)
+            assert [r.batch for r in B.pack_batches(df, options).orderBy("doc_id").collect()] == whole
+        assert B.pack_batches(df.where("false"), EmbeddingOptions()).count() == 0
+        with pytest.raises(RateLimitError):
+            B.pack_batches(df, EmbeddingOptions(tokens_per_minute=20))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize(("block", "values"), [(1 << 16, 1 << 22), (7, 1 << 22), (7, 20)])
+def test_intervals_are_those_of_the_draws_one_by_one(spark, monkeypatch, block, values):
+    rng = np.random.default_rng(4)
+    rows = [(c, f"q{i:02}", float(rng.random())) for c in "ab" for i in range(23) if (c, i) != ("b", 5)] + [("a", "null", None)]
+    monkeypatch.setattr(M, "MATRIX_VALUES", values)
+    monkeypatch.setattr(M.resamples, "__defaults__", (M.RESAMPLES, block))
+    monkeypatch.setattr(M, "BLOCK_PLACES", block)
+    got = {r.config: (r.mean, r.lo, r.hi) for r in M.bootstrap_ci(spark.createDataFrame(rows, "config string, query_id string, v double"), "v", count=150).collect()}
+    drawn = [[int(hashlib.md5(f"{d}:{p}".encode()).hexdigest()[:8], 16) % 23 for p in range(23)] for d in range(150)]
+    for c in "ab":
+        own = {int(q[1:]): v for g, q, v in rows if g == c and v is not None}
+        means = [np.mean([own[i] for i in places if i in own]) for places in drawn]
+        assert np.allclose(got[c], (np.mean(list(own.values())), *np.percentile(means, [2.5, 97.5])))
+    assert M.bootstrap_ci(spark.createDataFrame([], "config string, query_id string, v double"), "v").count() == 0
+
+
 def test_mirrors_keep_lead_and_headings(spark):
     text = "lead\n\n== H ==\n" + "\n".join(f"p{i}" for i in range(40))
     docs = spark.createDataFrame([("a", "t", text, "u", {"source": "wikipedia", "topic": "x"}), ("b", "t", text, "u", {"source": "arxiv", "topic": "x"})], DOCS)

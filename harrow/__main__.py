@@ -1,4 +1,4 @@
-"""Commands: ingest, recluster, compact, eval-set, eval, retrieve, serve."""
+"""Commands: fetch-corpus, ingest, recluster, compact, eval-set, eval, retrieve, serve."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ from .options import ChunkingOptions, ClusteringOptions, RetrievalOptions, from_
 from .plans import ablation, evalset, report, show
 from .plans.service import Services, configure_logging, serve
 from .sources.corpus import load_documents, load_queries, write_jsonl
+from .sources.web import fetch_corpus
 from .streaming.ingest import ingest
 
 
@@ -24,6 +25,14 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--index", default="index")
     parser.add_argument("--dimension", type=int, default=64)
     commands = parser.add_subparsers(dest="command", required=True)
+    get = commands.add_parser("fetch-corpus", help="articles and papers of the topics in a JSON file: a list of name, category, titles")
+    get.add_argument("topics")
+    get.add_argument("out")
+    get.add_argument("--papers", type=int, default=20, help="of each topic")
+    get.add_argument("--max-chars", type=int, default=8000)
+    get.add_argument("--mirrors", type=int, default=2, help="near copies for each topic")
+    for source in ("articles", "feed"):
+        get.add_argument(f"--{source}", type=json.loads, default={}, help=f"options of the {source} source, as JSON")
     commands.add_parser("ingest").add_argument("path")
     commands.add_parser("recluster")
     commands.add_parser("compact", help="merge segments of the index and remove what no version names")
@@ -48,6 +57,11 @@ def main(argv: list[str] | None = None) -> int:
         rows = evalset.build_eval_set(load_documents(spark, a.corpus), evalset.first_sentence)
         write_jsonl(rows, a.out)
         return 0
+    if a.command == "fetch-corpus":
+        with open(a.topics, encoding="utf-8") as file:
+            topics = json.load(file)
+        print(f"wrote {fetch_corpus(spark, topics, a.out, a.papers, a.max_chars, a.mirrors, a.articles, a.feed)} documents to {a.out}")
+        return 0
     services = Services.create(spark, a.index, a.dimension)
     if a.command == "ingest":
         done = ingest(services.store, load_documents(spark, a.path), from_environment(ChunkingOptions))

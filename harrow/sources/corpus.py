@@ -1,4 +1,4 @@
-"""Reading and writing corpora and evaluation sets; shaping of fetched records."""
+"""Reading and writing corpora and evaluation sets."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import SourceError
-from ..functions.text import cap_at_sections, squash, strip_back_matter
 
 DOCUMENT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("doc_id", "title", "text", "source_uri")] + [T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))])
 QUERY_SCHEMA = T.StructType(
@@ -74,7 +73,10 @@ def load_queries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(QUERY_SCHEMA).option("mode", "FAILFAST").json(path)
 
 
-def write_jsonl(rows: DataFrame, path: str) -> None:
+def write_jsonl(rows: DataFrame, path: str, order: str | None = None) -> None:
+    """JSON lines in a folder; with ``order`` the files, by name, and the lines in them are in ascending order of it."""
+    if order:
+        rows = rows.repartitionByRange(order).sortWithinPartitions(order)
     rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
@@ -93,22 +95,6 @@ def build_corpus(articles: DataFrame, papers: DataFrame, mirrors: DataFrame | No
     return first_by_id(rows, "_seq").drop("_seq")
 
 
-def encyclopedia_records(fetched: DataFrame, max_chars: int = 8000) -> DataFrame:
-    """Records from fetched articles (topic, title, extract, revision_id, url): back matter cut, whole sections up to ``max_chars``."""
-    text = cap_at_sections(strip_back_matter("extract"), max_chars)
-    meta = F.map_from_arrays(F.array(*[F.lit(x) for x in ("source", "topic", "license", "revision_id")]), F.array(F.lit("wikipedia"), "topic", F.lit("CC BY-SA 4.0"), F.col("revision_id").cast("string")))
-    return fetched.select(F.concat(F.lit("wikipedia:"), F.replace("title", F.lit(" "), F.lit("_"))).alias("doc_id"), "title", text.alias("text"), F.col("url").alias("source_uri"), meta.alias("metadata"))
-
-
-def paper_records(entries: DataFrame, category: str, count: int) -> DataFrame:
-    """Records from feed entries (topic, id, title, summary, primary_category, published): only the primary
-    category asked for, version stripped, white space squashed, the first ``count`` by publication."""
-    own = entries.where(F.col("primary_category") == category).withColumn("pid", F.regexp_replace(F.regexp_extract("id", r"([^/]+(?:/\d+)?)$", 1), r"v\d+$", ""))
-    meta = F.map_from_arrays(F.array(*[F.lit(x) for x in ("source", "topic", "license", "published", "primary_category")]), F.array(F.lit("arxiv"), "topic", F.lit("arXiv"), F.col("published").cast("string"), "primary_category"))
-    rows = own.orderBy(F.desc("published"), "pid").limit(count)
-    return rows.select(F.concat(F.lit("arxiv:"), F.col("pid")).alias("doc_id"), squash("title").alias("title"), squash("summary").alias("text"), F.concat(F.lit("https://arxiv.org/abs/"), F.col("pid")).alias("source_uri"), meta.alias("metadata"))
-
-
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a saved Atom feed (id, title, summary, published, primary_category)."""
     schema = "id string, title string, summary string, published string, `arxiv:primary_category` struct<_term:string>"

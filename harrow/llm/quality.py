@@ -1,21 +1,23 @@
 """Document quality by co-training two views.
 
-The content view sees the text: words, runs of symbols, and layout (lines, their
-lengths, shares of kinds of characters). The page view sees the other columns of the
-table only: source, language and length (numbers count by quarter octaves). Each
-starts from the labelled rows. In every round each view scores all unlabelled
-documents and labels the ones it is surest of, in the classes' known proportion; they
-join the *other* view's training rows. Of equal documents one is taken. At the end
-both are calibrated on out-of-fold log odds of the labelled rows (Platt), and a last
-model on both log odds scores every document.
+The content view sees what is written: words, runs of symbols, shares of kinds of
+characters. The page view sees no words. It has the table's other columns (source,
+language and length; numbers count by quarter octaves) and how the page is set: how
+many lines there are and how long, how many of them begin and end like sentences, how
+dense navigation marks are. Each view starts from the labelled rows. In every round
+each scores all unlabelled documents and labels the ones it is surest of, in the
+classes' known proportion; they join the *other* view's training rows. Of equal
+documents one is taken. At the end both are calibrated on out-of-fold log odds of the
+labelled rows (Platt), and a last model on both log odds scores every document.
 
 Texts are read once: a document becomes a list of known terms (at most ``TERMS``, the
 commonest of the labelled rows, whatever their labels), its layout and its page
 features. That table is written, and the rounds run over it. Fitting takes at most
 ``FIT_ROWS`` labelled rows of each class (``FIT_BYTES`` of text for the terms), in the
 order of a hash of their ids, and the pseudo-labelled ones, a share ``GROWTH`` of these
-a round; labelled rows beyond that count as unlabelled. It is done in one task. Every
-document is a candidate in every round, and is scored, whole.
+a round; labelled rows beyond that count as unlabelled. A task fits one model, of one
+view or of one fold of it. Every document is a candidate in every round, and is scored,
+whole.
 """
 
 from __future__ import annotations
@@ -45,18 +47,18 @@ FOLDS = 4
 TERMS = 1 << 15
 LEAST_DOCS = 3
 PAGE_BITS = 16
-LAYOUT = 7
+LAYOUT = 6
 METADATA = ("source", "lang", "n_chars")
 KEEP_GOOD = 0.998
 _U = np.uint64
-_LETTER, _DIGIT, _SYMBOL, _UPPER, _SPACE, _LINE = (
+_LETTER, _DIGIT, _SYMBOL, _UPPER, _SPACE, _LINE, _STOP, _MARK = (
     np.array([f(chr(c), c) for c in range(256)])
-    for f in (lambda s, c: c >= 128 or s.isalpha(), lambda s, c: c < 128 and s.isdigit(), lambda s, c: 33 <= c < 127 and not s.isalnum(), lambda s, c: c < 128 and s.isupper(), lambda s, c: s in " \t", lambda s, c: s == "\n")
+    for f in (lambda s, c: c >= 128 or s.isalpha(), lambda s, c: c < 128 and s.isdigit(), lambda s, c: 33 <= c < 127 and not s.isalnum(), lambda s, c: c < 128 and s.isupper(), lambda s, c: s in " \t", lambda s, c: s == "\n", lambda s, c: s in ".!?", lambda s, c: s in "|>")
 )
 
 
 def layout(data: np.ndarray, offsets: np.ndarray, first: int, last: int) -> np.ndarray:
-    """Layout of each document, whatever its length: log mean line and word, shares of characters, symbols next to each other."""
+    """Look of each document's words, whatever its length: log mean word, shares of characters, symbols next to each other."""
     lo, hi = int(offsets[first]), int(offsets[last])
     own, raw = offsets[first : last + 1] - lo, data[lo:hi]
     size = np.diff(own)
@@ -70,7 +72,26 @@ def layout(data: np.ndarray, offsets: np.ndarray, first: int, last: int) -> np.n
     lines, spaces = count(_LINE[raw]) + 1, count(_SPACE[raw]) + 1
     n = np.maximum(size, 1)
     shares = [count(_LETTER[raw]) / n, count(_DIGIT[raw]) / n, count(symbol) / n, count(_UPPER[raw]) / n, count(twice) / n]
-    return np.stack((np.log1p(size / lines), np.log1p(size / (spaces + lines)), *shares), axis=1)
+    return np.stack((np.log1p(size / (spaces + lines)), *shares), axis=1)
+
+
+def setting(data: np.ndarray, offsets: np.ndarray, first: int, last: int) -> np.ndarray:
+    """How each page is set, in small integers: lines and their mean length by half octaves, eighths of lines that begin
+    with a capital and that end a sentence, navigation marks to a word (up to one) by eighths."""
+    lo, hi = int(offsets[first]), int(offsets[last])
+    own, raw = offsets[first : last + 1] - lo, data[lo:hi]
+    size, filled = np.diff(own), own[1:] > own[:-1]
+    begins, ends = np.zeros(len(raw), bool), np.zeros(len(raw), bool)
+    begins[1:], ends[:-1] = _LINE[raw[:-1]], _LINE[raw[1:]]
+    begins[own[:-1][filled]], ends[own[1:][filled] - 1] = True, True
+
+    def count(flags: np.ndarray) -> np.ndarray:
+        total = np.concatenate(([0], np.cumsum(flags)))
+        return total[own[1:]] - total[own[:-1]]
+
+    lines, words = count(_LINE[raw]) + 1, count(_SPACE[raw] | _LINE[raw]) + 1
+    marks = np.ceil(8 * np.minimum(count(_MARK[raw]) / words, 1))
+    return np.stack((np.floor(2 * np.log2(lines)), np.floor(2 * np.log2(1 + size / lines)), np.round(8 * count(begins & _UPPER[raw]) / lines), np.round(8 * count(ends & _STOP[raw]) / lines), marks), axis=1).astype(np.int64)
 
 
 def page_features(columns: Sequence[Sequence]) -> np.ndarray:
@@ -117,17 +138,18 @@ def _common_terms(batches: Iterator[pa.RecordBatch], terms: int, fit_bytes: int)
 def _describe(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, metadata: list[str], keep: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = utf8(batch.column("harrow_text"))
-        terms, counts, shape = [], [], []
+        terms, counts, shape, page_set = [], [], [], [np.zeros((0, 5), np.int64)]
         for first, last in blocks(offsets):
             d, f = vocabulary.find(*document_features(data, offsets, first, last, symbols=True))
             terms.append(f.astype(np.uint16))
             counts.append(np.bincount(d, minlength=last - first))
             shape.append(layout(data, offsets, first, last).astype(np.float32))
+            page_set.append(setting(data, offsets, first, last))
         n = batch.num_rows
         if not n:
             continue
-        page = page_features([batch.column(c).to_pylist() for c in metadata]).astype(np.uint16)
-        made = [binary_column(np.concatenate(terms), np.concatenate(counts)), binary_column(np.concatenate(shape).ravel(), np.full(n, LAYOUT)), binary_column(page.ravel(), np.full(n, len(metadata)))]
+        page = page_features([*np.concatenate(page_set).T.tolist(), *(batch.column(c).to_pylist() for c in metadata)]).astype(np.uint16)
+        made = [binary_column(np.concatenate(terms), np.concatenate(counts)), binary_column(np.concatenate(shape).ravel(), np.full(n, LAYOUT)), binary_column(page.ravel(), np.full(n, page.shape[1]))]
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *made], names=[*keep, "harrow_terms", "harrow_layout", "harrow_page"])
 
 
@@ -187,6 +209,8 @@ class CoTrained:
     both: Logistic
     bar: float
     metadata: list[str]
+    #: Pseudo-labels that the content view and the page view gave to the other.
+    taught: tuple[int, int] = (0, 0)
 
     def predict(self, content: Features, page: Features) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated probabilities of quality: content view, page view, both."""
@@ -199,29 +223,39 @@ def _sizes(vocabulary_size: int) -> tuple[int, int]:
     return max(1, vocabulary_size), 1 << PAGE_BITS
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[tuple[Features, Features], pa.Table | None]:
-    """The features of all training rows, which are bounded."""
-    held = list(batches)
-    if not held:
-        none = np.zeros(0, np.int64)
-        return ((none, none, np.zeros((0, LAYOUT))), (none, none, np.zeros((0, 0)))), None
-    table = pa.Table.from_batches(held).combine_chunks()
-    return features_of(table.to_batches()[0]), table
+def _labels(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy().astype(float)
 
 
-def _labels(table: pa.Table | None, name: str) -> np.ndarray:
-    return np.zeros(0) if table is None else table.column(name).to_numpy().astype(float)
+def _fit_task(key: tuple, table: pa.Table, sizes: tuple[int, int]) -> pa.Table:
+    """One model of a bounded table of training rows: of view ``task // (FOLDS + 1)``, without fold ``task % (FOLDS + 1) - 1`` of the labelled ones.
 
+    ``content_label`` and ``page_label`` are what each view is trained on. Gives the model
+    pickled, or for a fold the held-out rows with their log odds.
+    """
+    task = key[0].as_py()
+    v, k = task // (FOLDS + 1), task % (FOLDS + 1) - 1
+    table = table.sort_by("row").combine_chunks()
+    view = features_of(table.to_batches()[0])[v]
+    own, truth = _labels(table, ("content_label", "page_label")[v]), _labels(table, "quality")
+    held = ~np.isnan(truth) & (folds(table.column("doc_id").to_numpy().astype(np.int64), FOLDS) == k) if k >= 0 else np.zeros(len(own), bool)
+    made = fit_view(view, sizes[v], np.flatnonzero(~np.isnan(own) & ~held), own)
+    if k >= 0:
+        at = np.flatnonzero(held)
+        made = table.column("row").to_numpy()[at], truth[at], logits(made, rows_of(view, at))
+    return pa.table({"task": pa.array([task], pa.int32()), "made": pa.array([pickle.dumps(made)], pa.binary())})
 
-@lean
-def _fit_round(batches: Iterator[pa.RecordBatch], sizes: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Both views' models of one round; ``content_label`` and ``page_label`` are what each is trained on."""
-    views, table = _gathered(batches)
-    made = []
-    for view, size, name in zip(views, sizes, ("content_label", "page_label"), strict=True):
-        label = _labels(table, name)
-        made.append(fit_view(view, size, np.flatnonzero(~np.isnan(label)), label))
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], names=["models"])
+
+def _fitted(training: DataFrame, tasks: Sequence[int], sizes: tuple[int, int]) -> dict[int, object]:
+    """What ``_fit_task`` makes for each task, all at once; nothing without training rows. The training rows are sent once a task."""
+    rows = training.withColumn("harrow_task", F.explode(F.array(*map(F.lit, tasks)))).repartitionByRange(len(tasks), "harrow_task")
+    task = lambda key, table: _fit_task(key, table.drop_columns(["harrow_task"]), sizes)
+    return {r.task: pickle.loads(r.made) for r in rows.groupBy("harrow_task").applyInArrow(task, "task int, made binary").collect()}
+
+
+def _empty_view(v: int, size: int) -> Logistic:
+    none = np.zeros(0, np.int64)
+    return fit_logistic(none, none, size, np.zeros((0, LAYOUT if v == 0 else 0)), np.zeros(0))
 
 
 def surest(p: np.ndarray, taken: np.ndarray, digest: np.ndarray, quota: int, sure: float) -> np.ndarray:
@@ -252,30 +286,25 @@ def _pick(batches: Iterator[pa.RecordBatch], models: list[Logistic], taken: tupl
         yield pa.RecordBatch.from_arrays([pa.array(np.full(n, v, np.int32)), pa.array(np.full(n, value, np.int32)), pa.array(p), pa.array(r), pa.array(d)], names=["view", "value", "p", "row", "digest"])
 
 
-@lean
-def _finish(batches: Iterator[pa.RecordBatch], sizes: tuple[int, int], metadata: list[str], keep_good: float) -> Iterator[pa.RecordBatch]:
-    """The last models of both views, their calibration on held-out folds of the labelled rows, and the model of both."""
-    views, table = _gathered(batches)
-    truth, own = _labels(table, "quality"), [_labels(table, "content_label"), _labels(table, "page_label")]
-    ids = table.column("doc_id").to_numpy().astype(np.int64) if table is not None else np.zeros(0, np.int64)
-    known = np.flatnonzero(~np.isnan(truth))
-    final = [View(fit_view(views[v], sizes[v], np.flatnonzero(~np.isnan(own[v])), own[v])) for v in (0, 1)]
-    fold, z, none = folds(ids, FOLDS), np.zeros((len(ids), 2)), np.zeros(0, np.int64)
-    for k in range(FOLDS):
-        held = known[fold[known] == k]
-        for v in (0, 1):
-            fit = np.flatnonzero(~np.isnan(own[v]) & ~((fold == k) & ~np.isnan(truth)))
-            if len(held):
-                z[held, v] = logits(fit_view(views[v], sizes[v], fit, own[v]), rows_of(views[v], held))
+def _finished(training: DataFrame, sizes: tuple[int, int], metadata: list[str], keep_good: float) -> CoTrained:
+    """The last models of both views, their calibration on held-out folds of the labelled rows, and the model of both.
+
+    The held-out log odds, two for each of a bounded number of labelled rows, come to the driver.
+    """
+    made, none = _fitted(training, range(2 * (FOLDS + 1)), sizes), np.zeros(0, np.int64)
+    final, sides = [View(made.get(v * (FOLDS + 1)) or _empty_view(v, sizes[v])) for v in (0, 1)], []
     for v in (0, 1):
-        platt = fit_logistic(none, none, 0, z[known, v : v + 1], truth[known], penalty=0.01)
-        final[v].slope = float(platt.dense[0] / platt.scale[0]) if len(known) else 1.0
+        parts = [made[t] for t in range(v * (FOLDS + 1) + 1, (v + 1) * (FOLDS + 1)) if t in made]
+        rows, truth, z = (np.concatenate(x) if parts else np.zeros(0) for x in (zip(*parts, strict=True) if parts else [()] * 3))
+        order = np.argsort(rows)
+        truth, z = truth[order], z[order]
+        platt = fit_logistic(none, none, 0, z[:, None], truth, penalty=0.01)
+        final[v].slope = float(platt.dense[0] / platt.scale[0]) if len(z) else 1.0
         final[v].shift = float(platt.constant - final[v].slope * platt.centre[0])
-        z[:, v] = final[v].slope * z[:, v] + final[v].shift
-    both = fit_logistic(none, none, 0, z[known], truth[known], penalty=0.01)
-    p = sigmoid(both.logit(none, none, z[known]))
-    model = CoTrained(Vocabulary(np.zeros(0, np.uint64)), final[0], final[1], both, _bar(p, truth[known], keep_good), metadata)
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        sides.append(final[v].slope * z + final[v].shift)
+    z = np.stack(sides, axis=1)
+    both = fit_logistic(none, none, 0, z, truth, penalty=0.01)
+    return CoTrained(Vocabulary(np.zeros(0, np.uint64)), final[0], final[1], both, _bar(sigmoid(both.logit(none, none, z)), truth, keep_good), metadata)
 
 
 def _bar(p: np.ndarray, y: np.ndarray, keep_good: float) -> float:
@@ -294,16 +323,10 @@ def _bar(p: np.ndarray, y: np.ndarray, keep_good: float) -> float:
     return float((p[order[best]] + (p[order[best + 1]] if best + 1 < len(p) else 1.0)) / 2)
 
 
-def _in_one_task(df: DataFrame, task, column: str):
-    """What ``task`` makes of all rows of a bounded table; without rows, of nothing."""
-    found = df.repartition(1).sortWithinPartitions("row").mapInArrow(task, f"{column} binary").collect()
-    return found[0][0] if found else next(task(iter(()))).column(0)[0].as_py()
-
-
 def train_quality(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] | None = None, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES, rounds: int = ROUNDS, growth: float = GROWTH, sure: float = SURE, keep_good: float = KEEP_GOOD) -> tuple[CoTrained, DataFrame]:
     """(model, the documents as its views see them): co-train on ``docs`` (doc_id, text, metadata...) and labels (doc_id, quality 0/1).
 
-    ``metadata``: the page view's columns (default: those of ``METADATA`` that there are).
+    ``metadata``: the page view's columns besides the setting (default: those of ``METADATA`` that there are).
     Null labels and ids are left out, of repeated ids one row is used. Without labels, or
     with one class only, every document scores that class's share and is kept.
     """
@@ -333,17 +356,20 @@ def train_quality(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] |
         return labelled.withColumns({"content_label": F.col("quality"), "page_label": F.col("quality")}).unionByName(added)
 
     for _ in range(rounds if len(counts) == 2 else 0):
-        models = pickle.loads(_in_one_task(training(), partial(_fit_round, sizes=sizes), "models"))
+        found = _fitted(training(), (0, FOLDS + 1), sizes)
+        models = [found[0], found[FOLDS + 1]]
         taken = tuple(np.array(sorted(d), np.int64) for d in digests)
         offers = open_rows.mapInArrow(partial(_pick, models=models, taken=taken, quota=quota, sure=sure), "view int, value int, p double, row bigint, digest bigint")
         best = Window.partitionBy("view", "value").orderBy(F.desc("p"), "digest", "row")
         single = offers.groupBy("view", "value", "digest").agg(F.max("p").alias("p"), F.min("row").alias("row"))
-        chosen = single.withColumn("place", F.row_number().over(best)).where(F.when(F.col("value") == 1, F.lit(quota[1])).otherwise(F.lit(quota[0])) >= F.col("place"))
+        # The plain bound lets each task leave out what can't be among a group's first.
+        placed = single.withColumn("place", F.row_number().over(best)).where(F.col("place") <= max(quota))
+        chosen = placed.where(F.when(F.col("value") == 1, F.lit(quota[1])).otherwise(F.lit(quota[0])) >= F.col("place"))
         for r in chosen.orderBy("view", "value", "place").collect():
             pseudo[1 - r.view].setdefault(r.row, r.value)
             digests[1 - r.view].add(r.digest)
-    model: CoTrained = pickle.loads(_in_one_task(training(), partial(_finish, sizes=sizes, metadata=metadata, keep_good=keep_good), "model"))
-    model.vocabulary = vocabulary
+    model = _finished(training(), sizes, metadata, keep_good)
+    model.vocabulary, model.taught = vocabulary, (len(pseudo[1]), len(pseudo[0]))
     return model, seen
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 
 import numpy as np
@@ -15,6 +16,7 @@ from harrow.llm import order_minhash as O
 from harrow.llm import quality as Q
 from harrow.llm import toxicity as X
 from harrow.llm.linear import TrainingSet, fit_logistic, sigmoid
+from harrow.llm.words import utf8
 
 from .conftest import make_docs
 
@@ -323,6 +325,19 @@ def test_quality_on_held_out_rows(spark, words, odd_rows):
     assert Q.score_quality(docs, none).where("not keep").count() == 0
 
 
+def test_the_setting_of_pages():
+    import pyarrow as pa
+
+    texts = ["", "One line. Ends?\nsecond\n\nThird!", "a | b | c", "|>" * 50, "\n", "Ü.\nB"]
+    data, offsets = utf8(pa.array(texts))
+    for t, got in zip(texts, Q.setting(data, offsets, 0, len(texts)).tolist(), strict=True):
+        lines = t.split("\n")
+        words = sum(t.count(c) for c in " \t\n") + 1
+        begin, end = sum(x[:1] in set("ABCDEFGHIJKLMNOPQRSTUVWXYZ") and x != "" for x in lines), sum(x[-1:] in set(".!?") and x != "" for x in lines)
+        marks = math.ceil(8 * min(1, sum(t.count(c) for c in "|>") / words))
+        assert got == [math.floor(2 * math.log2(len(lines))), math.floor(2 * math.log2(1 + len(t.encode()) / len(lines))), round(8 * begin / len(lines)), round(8 * end / len(lines)), marks], t
+
+
 def test_cotraining_equals_its_steps_by_hand(spark, words):
     """Every round and the final models against plain loops over the same features, on a small table with copies."""
     rows, labels = corpus(words, 160, 31)
@@ -358,7 +373,7 @@ def test_cotraining_equals_its_steps_by_hand(spark, words):
                 fresh |= met
             taken[1 - v] |= fresh
         own = now
-    assert added > 10
+    assert added > 10 and sum(model.taught) == added and min(model.taught) > 0
     for v, view in enumerate((model.text, model.page)):
         rows_v = np.flatnonzero(~np.isnan(own[v]))
         assert np.allclose(Q.fit_view(views[v], sizes[v], rows_v, own[v]).sparse, view.model.sparse, atol=1e-7)

@@ -188,6 +188,10 @@ _BODIES = {
     "ingest_changed_docs": "SELECT * FROM changed",
     "ingest_counts": "SELECT (SELECT count(*) FROM hashed) AS seen, (SELECT count(*) FROM hashed) - (SELECT count(*) FROM changed) AS unchanged, (SELECT count(*) FROM changed) AS indexed, 0::BIGINT AS failed",
     "replace_document": "SELECT * FROM stored WHERE doc_id NOT IN (SELECT doc_id FROM changed) UNION ALL SELECT * FROM changed",
+    "stored_replace": "SELECT * FROM stored WHERE doc_id NOT IN (SELECT doc_id FROM changed) UNION ALL SELECT * FROM changed",
+    "posting_blocks": "SELECT term, count(*) AS n, max(tf) AS max_tf, min(dl)::BIGINT AS min_dl, count(*) AS entries FROM post JOIN lens USING (doc_id) GROUP BY term",
+    "bm25_pruned_topk": f"SELECT query_id, place AS rank, doc_id, round(score, 6) AS score FROM (SELECT query_id, doc_id::VARCHAR AS doc_id, score, {_TOP.format(id='doc_id::VARCHAR').replace('AS rank', 'AS place')} FROM bm) WHERE place <= 10",
+    "routed_lists_topk": f"SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (SELECT query_id, vec_id::VARCHAR AS vec_id, score, {_TOP.format(id='vec_id::VARCHAR')} FROM (SELECT n.query_id, n.vec_id, n.score FROM near_vec n JOIN vecs v USING (vec_id) JOIN routes r ON r.query_id = n.query_id AND r.cluster_id = v.cluster_id AND r.rank <= 3)) WHERE rank <= 10",
     "paragraphs": r"""SELECT doc_id, line, (coalesce(begins, 0) + len(raw) - len(regexp_replace(raw, '^\s+', '')))::BIGINT AS "start", (coalesce(begins, 0) + len(raw) - len(regexp_replace(raw, '^\s+', '')) + len(body))::BIGINT AS "end" FROM lines WHERE body <> ''""",
     "section_lines": rf"""SELECT conv_id, line, section, md5(body) AS digest FROM (
       SELECT *, last_value(opened IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS section FROM (

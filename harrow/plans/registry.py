@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.vectors import unit
 from ..operators import batching, chunking, clustering, index, metrics, search, synthesis
+from ..operators.store import IndexStore
 from ..options import EmbeddingOptions, RetrievalOptions
-from ..staging import stage
+from ..staging import stage, stage_path
 from . import ablation, evalset
 from .oracle import ORACLE_SQL  # noqa: F401
 
@@ -165,6 +166,59 @@ def replace_document(spark, sf):
     return index.replace_documents(stored_version(spark, sf), fresh)
 
 
+def as_chunks(rows: DataFrame, **columns) -> DataFrame:
+    """Documents as one chunk each, in the shape that the store keeps; ``columns``: what isn't null or empty."""
+    given = {"chunk_id": F.col("doc_id"), "index": F.lit(0), "title": F.lit(""), "text": F.lit(""), "content_hash": F.lit("")} | columns
+    return rows.select(*(given.get(f.name, F.col("doc_id") if f.name == "doc_id" else F.lit(None)).cast(f.dataType).alias(f.name) for f in index.CHUNK_SCHEMA))
+
+
+def new_store(spark, dimension: int = 64) -> IndexStore:
+    made = IndexStore(spark, stage_path(spark), dimension)
+    made.ensure()
+    return made
+
+
+@query
+def stored_replace(spark, sf):
+    """What an index holds after an earlier version of the corpus was written and the changed documents replaced, its segments merged."""
+    old = titled(spark, sf).withColumn("text", tx.squash("text")).select("doc_id", "title", "text")
+    gone = items(spark, sf).select(F.concat(F.lit("item:"), F.col("query_id")).alias("doc_id"), F.lit("item").alias("title"), "text")
+    store, hashed = new_store(spark), {"title": F.col("title"), "text": F.col("text"), "content_hash": F.col("content_hash")}
+    store.replace(as_chunks(index.with_content_hash(old.unionByName(gone)), **hashed))
+    docs = index.with_content_hash(titled(spark, sf))
+    store.replace(as_chunks(index.changed_documents(docs, store.content_hashes(docs)), **hashed))
+    store.compact(fan=2)
+    return store.content_hashes()
+
+
+@query
+def posting_blocks(spark, sf):
+    """Of each term the postings in all its blocks, and the bounds that hold for them."""
+    rows = index.stored_postings(as_chunks(documents(spark, sf).select(F.col("doc_id").cast("string").alias("doc_id"), "text"), text=F.col("text")))
+    made = index.posting_blocks(rows, 100.0)
+    return made.groupBy("term").agg(F.sum("n").cast("bigint").alias("n"), F.max("max_tf").cast("bigint").alias("max_tf"), F.min("min_dl").cast("bigint").alias("min_dl"), F.sum(F.size("entries")).alias("entries"))
+
+
+@query
+def bm25_pruned_topk(spark, sf):
+    """The lexical top 10 from an index's blocks of postings, of which those that can't matter stay unread."""
+    store = new_store(spark)
+    store.replace(as_chunks(documents(spark, sf).select(F.col("doc_id").cast("string").alias("doc_id"), "text"), text=F.col("text")))
+    found = search.bm25_topk_stored(items(spark, sf), store, K, prune_from=0)
+    return found.select("query_id", "rank", F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query
+def routed_lists_topk(spark, sf):
+    """The nearest vectors in the lists of the clusters that each query is routed to."""
+    store = new_store(spark)
+    rows = vectors(spark, sf).select(F.col("vec_id").cast("string").alias("doc_id"), "dense", "cluster_id")
+    store.replace(as_chunks(rows, dense=F.col("dense"), cluster_id=F.col("cluster_id")))
+    routed = search.route(asked(spark, sf), topics(spark, sf), M_ROUTED)
+    found = search.dense_topk(asked(spark, sf), store.snapshot().vectors(), K, routed, "chunk_id")
+    return found.select("query_id", "rank", F.col("chunk_id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
 @query
 def paragraphs(spark, sf):
     return chunking.line_spans(documents(spark, sf))

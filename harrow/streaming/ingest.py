@@ -81,13 +81,15 @@ class IngestionReport:
             raise IndexError_(f"{self.broken} documents could not be written: {next(iter(self.failures.values()))}")
 
 
-def latest_changes(hashed: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+def latest_changes(hashed: DataFrame, held: DataFrame | Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(keys of the corpus, rows of ``hashed`` that are new or changed).
 
     Of a repeated id the largest hash counts, and one row of it. Only ids and hashes are
     shuffled until the changed ones are known; texts of unchanged documents never are.
+    ``held``: (doc_id, content_hash) of what is there, or what gives that for keys.
     """
-    keys = hashed.groupBy("doc_id").agg(F.max("content_hash").alias("content_hash"))
+    keys = stage(hashed.groupBy("doc_id").agg(F.max("content_hash").alias("content_hash")))
+    held = held(keys) if callable(held) else held
     changed = stage(keys.join(held, ["doc_id", "content_hash"], "left_anti"))
     wanted = F.broadcast(changed) if changed.count() <= BROADCAST_KEYS else changed
     return keys, hashed.join(wanted, ["doc_id", "content_hash"], "left_semi").dropDuplicates(["doc_id"])
@@ -117,7 +119,7 @@ def ingest(
     if batch and batch[1] <= store.batch_done(batch[0]):
         return IngestionReport(elapsed_s=time.monotonic() - begun)
     embed = embed or HashedEmbedder(store.dimension)
-    keys, rows = latest_changes(with_content_hash(docs), store.content_hashes())
+    keys, rows = latest_changes(with_content_hash(docs), store.content_hashes)
     seen = keys.count()
     changed = stage(rows)
     new = changed.count()

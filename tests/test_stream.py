@@ -33,9 +33,8 @@ def last_of(rows):
     return sorted((d, r["text"]) for d, r in last.items() if not r["deleted"])
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_any_order_gives_the_last_changes(spark, tmp_path, seed):
-    rows, rng = changes(seed), random.Random(seed)
+def test_any_order_gives_the_last_changes(spark, tmp_path):
+    rows, rng = changes(), random.Random(1)
     mixed = rows + rng.choices(rows, k=15)  # some twice
     rng.shuffle(mixed)
     store, folder = IndexStore(spark, str(tmp_path / "index"), 16, buckets=2), tmp_path / "in"

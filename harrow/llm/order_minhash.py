@@ -14,18 +14,16 @@ and is like nothing but itself.
 from __future__ import annotations
 
 import hashlib
-import json
 import math
-from bisect import bisect_left
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, shuffle_partitions, staged
+from .common import lean, shuffle_partitions, small, staged
 from .words import mix
 
 PIECE = 8
@@ -213,61 +211,102 @@ def with_fingerprint(docs: DataFrame, keep: list[str], piece: int = PIECE, text:
     return rows.mapInArrow(partial(fingerprint, piece=piece), f"{schema + ', ' if schema else ''}fingerprint string")
 
 
-def _after(key: tuple) -> tuple | None:
-    """The least key above ``key``: (doc_id, hash), ordered as Spark orders structs."""
-    doc_id, h = key
-    return (doc_id, h + 1) if h < (1 << 63) - 1 else None
-
-
 def _order(key: tuple) -> tuple:
     return key[0] is not None, key[0] or 0, key[1]
 
 
-def stretches(keys: DataFrame, total: int, parts: int, hot_rows: int) -> tuple[list[tuple], list[int], list[int]]:
-    """(cuts, base, parts of each): stretches of the order of ``keys(doc_id, h)``.
+_LANDMARKS = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64())])
+
+
+@lean
+def _landmarks(batches: Iterator[pa.RecordBatch], bar: int) -> Iterator[pa.RecordBatch]:
+    """Of a range's keys in order: the first, those of more than ``bar`` rows (with their number), and what follows these."""
+    found: list[tuple] = []
+    run, n, follows = None, 0, True
+
+    def closed() -> None:
+        if n > bar or follows and n:
+            found.append((*run, n if n > bar else None))
+
+    for batch in batches:
+        for key in zip(batch.column("doc_id").to_pylist(), batch.column("h").to_pylist(), strict=True):
+            if key == run:
+                n += 1
+                continue
+            closed()
+            run, n, follows = key, 1, run is None or n > bar
+    closed()
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), _LANDMARKS, strict=True)], schema=_LANDMARKS)
+
+
+class Stretches:
+    """Stretches of the order of keys (doc_id, h), by their first keys.
+
+    Stretch ``i`` has the numbers from ``base[i]`` on: one, unless it is a single much
+    repeated key, which has ``parts[i]``. Tasks get it as a broadcast value of 25 bytes
+    a stretch, and find places in it by binary search.
+    """
 
-    Stretch ``i`` begins with the key ``cuts[i]`` and has the numbers from ``base[i]``
-    on, one unless it is a single much repeated key. About ``parts`` rows reach the
-    driver: the first key of each range, and the keys with more than a range's rows.
+    def __init__(self, cuts: list[tuple], parts: list[int]):
+        cuts = [*zip(*sorted(zip(cuts, parts, strict=True), key=lambda c: _order(c[0])), strict=True)]
+        self.nulls = sum(k[0] is None for k in cuts[0])
+        self.ids = np.array([k[0] or 0 for k in cuts[0]], np.int64)
+        self.hashes = np.array([k[1] for k in cuts[0]], np.int64)
+        self.parts = np.array(cuts[1], np.int64)
+        self.base = np.concatenate(([0], np.cumsum(self.parts)))
+
+    @property
+    def numbers(self) -> int:
+        return int(self.base[-1])
+
+    def place(self, ids: pa.Array, hashes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(position of the last cut at or below each key, whether it is that cut); keys below all cuts have the first."""
+        void = ids.is_null().to_numpy(zero_copy_only=False)
+        own, h = ids.fill_null(0).to_numpy(zero_copy_only=False), hashes.to_numpy(zero_copy_only=False)
+        known = self.ids[self.nulls :]
+        low, high = (np.where(void, other, self.nulls + np.searchsorted(known, own, side)) for side, other in (("left", 0), ("right", self.nulls)))
+        at = low.copy()
+        # Where cuts share the id, their hashes decide.
+        shared = np.flatnonzero(high > low)
+        if len(shared):
+            shared = shared[np.argsort(low[shared], kind="stable")]
+            bounds = np.flatnonzero(np.diff(low[shared], prepend=-1, append=-1))
+            for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                rows = shared[i:j]
+                at[rows] += np.searchsorted(self.hashes[low[rows[0]] : high[rows[0]]], h[rows], "right")
+        at = np.maximum(at - 1, 0)
+        return at, (self.ids[at] == own) & (self.hashes[at] == h) & ((at < self.nulls) == void)
+
+    def closes(self) -> pa.Table:
+        """(s, number): the numbers after whose rows the first key of stretch ``s`` comes: its own parts but the last, and the last of the stretch before."""
+        s = np.repeat(np.arange(len(self.parts)), self.parts)
+        number = np.arange(self.numbers)
+        last = np.concatenate((s[1:] != s[:-1], [True]))
+        return pa.table({"s": np.where(last, (s + 1) % len(self.parts), s).astype(np.int32), "number": number.astype(np.int32)})
+
+
+def stretches(keys: DataFrame, total: int, parts: int, hot_rows: int) -> Stretches:
+    """About ``parts`` stretches of ``keys(doc_id, h)``, from one pass over them in order.
+
+    The first key of each range reaches the driver, and the keys of more than a
+    range's rows with what follows them.
     """
     bar = max(hot_rows, math.ceil(total / parts))
-    counted = keys.repartitionByRange(parts, "doc_id", "h").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n")).withColumn("at", F.spark_partition_id())
-    key = F.struct("doc_id", "h")
-    ranges = counted.groupBy("at").agg(F.min(key).alias("first"), F.collect_list(F.when(F.col("n") > bar, F.struct("doc_id", "h", "n"))).alias("hot")).collect()
-    cuts = {tuple(r.first) for r in ranges}
-    hot = {(x.doc_id, x.h): x.n for r in ranges for x in r.hot}
-    known = sorted(cuts | set(hot), key=_order)
-    for k in hot:
-        # What follows a hot key begins a stretch of its own, if any row does.
-        place = bisect_left(known, _order(k), key=_order)
-        nxt = known[place + 1] if place + 1 < len(known) else None
-        found = keys.where(key > F.struct(F.lit(k[0]).cast("bigint").alias("doc_id"), F.lit(k[1]).alias("h"))).agg(F.min(key).alias("k")).first().k
-        if found is not None and (nxt is None or _order(tuple(found)) < _order(nxt)):
-            cuts.add(tuple(found))
-    known = sorted(cuts | set(hot), key=_order)
-    sizes = [math.ceil(hot[k] / bar) if k in hot else 1 for k in known]
-    return known, [0, *np.cumsum(sizes)[:-1].tolist()], sizes
-
-
-def _stretch_of(cuts: list[tuple]) -> Column:
-    """Position of the last cut at or below (doc_id, h): first among each 64th cut, then among the 64 from there."""
-    kind = "array<struct<doc_id:bigint,h:bigint>>"
-    listed = lambda some: F.from_json(F.lit(json.dumps([{"doc_id": d, "h": h} for d, h in some])), kind)
-    own = F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("h").alias("h"))
-    below = lambda some: F.size(F.filter(some, lambda c: c <= own))
-    coarse = F.greatest(below(listed(cuts[::64])) - 1, F.lit(0)) * 64
-    return (coarse + below(F.slice(listed(cuts), coarse + 1, F.lit(64))) - 1).cast("int")
+    ranges = keys.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h")
+    found = ranges.mapInArrow(partial(_landmarks, bar=bar), "doc_id bigint, h bigint, n bigint").collect()
+    return Stretches([(r.doc_id, r.h) for r in found], [math.ceil(r.n / bar) if r.n else 1 for r in found])
 
 
 @lean
 def _one_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first row of each number that this task meets."""
+    """The first row of each stretch's first key that this task meets."""
     seen: set[int] = set()
     for batch in batches:
         at = []
-        for i, number in enumerate(batch.column("number").to_pylist()):
-            if number not in seen:
-                seen.add(number)
+        for i, s in enumerate(batch.column("s").to_pylist()):
+            if s not in seen:
+                seen.add(s)
                 at.append(i)
         if at:
             yield batch.take(pa.array(at)) if len(at) < batch.num_rows else batch
@@ -289,20 +328,26 @@ def neighbours(docs: DataFrame, stretch_bytes: int = STRETCH_BYTES, hot_rows: in
     parts = max(shuffle_partitions(spark), math.ceil((size or 0) / stretch_bytes))
     if not total:
         return rows.select(F.lit(0).alias("number"), F.lit(False).alias("ahead"), "doc_id", "text")
-    cuts, base, sizes = stretches(keys.drop("bytes"), total, parts, hot_rows)
-    many = sum(sizes)
-    dealt = rows.withColumn("s", _stretch_of(cuts))
-    lists = lambda x: F.from_json(F.lit(json.dumps(x)), "array<int>")
-    number = F.element_at(lists(base), F.col("s") + 1)
-    if many > len(cuts):
-        number = number + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.element_at(lists(sizes), F.col("s") + 1)).cast("int")
-    # What closes a number: another row of a hot key, else the first key of the next stretch.
-    closes = [(base[i] + j, *(cuts[i] if j < sizes[i] - 1 else cuts[(i + 1) % len(cuts)])) for i in range(len(cuts)) for j in range(sizes[i])]
-    wanted = F.broadcast(spark.createDataFrame(closes, "number int, c_doc_id bigint, c_h bigint"))
-    ahead = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("c_doc_id")) & (F.col("h") == F.col("c_h"))).select("number", F.lit(True).alias("ahead"), "doc_id", "h", "text")
-    ahead = ahead.mapInArrow(_one_each, ahead.schema).dropDuplicates(["number"])
-    both = dealt.select(number.alias("number"), F.lit(False).alias("ahead"), "doc_id", "h", "text").unionByName(ahead)
-    return both.repartitionById(many, "number").sortWithinPartitions("number", "ahead", "doc_id", "h").drop("h")
+    cut = stretches(keys.drop("bytes"), total, parts, hot_rows)
+    sent = spark.sparkContext.broadcast(cut)
+
+    @F.arrow_udf("int")
+    def number(doc_id: pa.Array, h: pa.Array, spread: pa.Array) -> pa.Array:
+        at, _ = sent.value.place(doc_id, h)
+        return pa.array(sent.value.base[at] + spread.to_numpy(zero_copy_only=False) % sent.value.parts[at], pa.int32())
+
+    @F.arrow_udf("int")
+    def begins(doc_id: pa.Array, h: pa.Array) -> pa.Array:
+        at, exact = sent.value.place(doc_id, h)
+        return pa.array(at, pa.int32(), mask=~exact)
+
+    # A row of each first key, then one for each number that it closes.
+    first = rows.withColumn("s", begins("doc_id", "h")).where("s is not null").select("s", "doc_id", "h", "text")
+    first = first.mapInArrow(_one_each, first.schema).dropDuplicates(["s"])
+    closes = small(spark.createDataFrame(cut.closes()), 64)
+    ahead = first.join(closes, "s").select("number", F.lit(True).alias("ahead"), "doc_id", "h", "text")
+    dealt = rows.select(number("doc_id", "h", F.xxhash64(F.monotonically_increasing_id())).alias("number"), F.lit(False).alias("ahead"), "doc_id", "h", "text")
+    return dealt.unionByName(ahead).repartitionById(cut.numbers, "number").sortWithinPartitions("number", "ahead", "doc_id", "h").drop("h")
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])

@@ -1,5 +1,6 @@
 """Fingerprints, nearest neighbours and the trained classifiers."""
 
+import bisect
 import hashlib
 import itertools
 import math
@@ -93,6 +94,23 @@ def test_much_repeated_rows_spread_over_stretches(spark, words, hot):
     assert sum(sizes) == len(rows) and max(sizes) < 600
 
 
+def test_places_among_many_stretches():
+    rng = random.Random(16)
+    keys = sorted({(rng.choice([None, 5, rng.randrange(-(10**9), 10**9), rng.randrange(100)]), rng.randrange(-(1 << 63), 1 << 63)) for _ in range(100_000)}, key=O._order)
+    cut = O.Stretches(rng.sample(keys, len(keys)), [1] * len(keys))
+    asked = rng.sample(keys, 2000) + [(k, h + d) for k, h in rng.sample(keys, 2000) for d in (-1, 1)] + [(None, 0), (5, 0), (6, 1), (-(10**10), 0), (10**10, 0)]
+    at, exact = cut.place(pa.array([k for k, _ in asked], pa.int64()), pa.array([h for _, h in asked], pa.int64()))
+    for key, i, same in zip(asked, at.tolist(), exact.tolist(), strict=True):
+        place = bisect.bisect_right(keys, O._order(key), key=O._order) - 1
+        assert i == max(place, 0) and same == (place >= 0 and keys[place] == key)
+
+
+def test_numbers_of_stretches_and_what_closes_them():
+    cut = O.Stretches([(7, 1), (None, 3), (2, 9)], [1, 2, 3])
+    assert cut.numbers == 6 and cut.base.tolist() == [0, 2, 5, 6]
+    assert cut.closes().to_pydict() == {"s": [0, 1, 1, 1, 2, 0], "number": [0, 1, 2, 3, 4, 5]}
+
+
 def test_edits_of_few_rows(spark, odd_rows):
     assert O.compare_with_edits(make_docs(spark, odd_rows).where("false")).count() == 0
     single = O.compare_with_edits(make_docs(spark, [(1, "abcdefgh", "s")])).collect()

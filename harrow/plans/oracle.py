@@ -121,6 +121,50 @@ def _uuid5(name: str) -> str:
     return f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || {variant} || substr({h}, 19, 2) || '-' || substr({h}, 21, 12)"
 
 
+def _chunks(source: str, key: str, markdown: bool = False, limit: int = 512, overlap: int = 64) -> str:
+    """The steps to ``chunk(key, index, char_start, char_end, token_count, section, text)`` of the texts of ``source``.
+
+    Lines, sentences of long lines and word runs of long sentences are the pieces. What a
+    run from piece ``t`` ends before depends on ``t`` alone, and so does the piece that the
+    next one starts with: only that chain of starts is walked.
+    """
+    words = lambda x: rf"len(regexp_extract_all({x}, '\S+'))"
+    named = rf"nullif(regexp_extract(body, '^={{2,6}}\s*(.+?)\s*={{2,6}}$', 1), '')"
+    if markdown:
+        named = rf"coalesce({named}, nullif(regexp_extract(body, '^#{{1,6}}\s+(.+?)$', 1), ''))"
+    return rf"""RECURSIVE_STEP
+    para AS MATERIALIZED (SELECT {key}, line, body, begins, section FROM (
+      SELECT *, last_value(opened IGNORE NULLS) OVER (PARTITION BY {key} ORDER BY line ROWS UNBOUNDED PRECEDING) AS section FROM (
+        SELECT {key}, i AS line, {_strip("l")} AS body, {named} AS opened, before + len(l) - len(regexp_replace(l, '^\s+', '')) AS begins FROM (
+          SELECT *, sum(len(l) + 1) OVER (PARTITION BY {key} ORDER BY i) - len(l) - 1 AS before FROM (
+            SELECT {key}, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM (SELECT {key}, string_split(text, chr(10)) AS ls FROM {source} )))) WHERE body <> '') WHERE opened IS NULL),
+    sentence AS MATERIALIZED (SELECT {key}, line, section, i AS part, rtrim(l, ' ' || chr(9) || chr(13)) AS own, begins + sum(len(l)) OVER (PARTITION BY {key}, line ORDER BY i) - len(l) AS begins FROM (
+      SELECT {key}, line, section, begins, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM (
+        SELECT *, string_split(regexp_replace(body, '([.!?]\s+)([A-Z0-9"''(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS ls FROM para WHERE {words("body")} > {limit}))),
+    piece AS MATERIALIZED (
+      SELECT {key}, line, 0 AS part, 0 AS run, section, begins AS a, begins + len(body) AS b, {words("body")} AS cost FROM para WHERE {words("body")} <= {limit}
+      UNION ALL SELECT {key}, line, part, 0, section, begins, begins + len(own), {words("own")} FROM sentence WHERE {words("own")} <= {limit}
+      UNION ALL SELECT {key}, line, part, (i - 1) // {limit}, any_value(section), min(spot), max(spot + len(rtrim(w, ' ' || chr(9) || chr(13)))), count(*) FROM (
+        SELECT *, begins + sum(len(w)) OVER (PARTITION BY {key}, line, part ORDER BY i) - len(w) AS spot FROM (
+          SELECT {key}, line, part, section, begins, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT *, regexp_extract_all(own, '\S+\s*') AS ws FROM sentence WHERE {words("own")} > {limit})))
+        GROUP BY {key}, line, part, (i - 1) // {limit}),
+    placed AS MATERIALIZED (SELECT *, lag(u, 1, -1) OVER o >= 0 AND section IS DISTINCT FROM lag(section) OVER o AS fresh, sum(cost + gap) OVER o - cost - gap AS paid FROM (
+        SELECT p.{key}, a, b, cost, section, row_number() OVER q - 1 AS u, coalesce({words("substring(text, (lag(b) OVER q + 1)::BIGINT, (a - lag(b) OVER q)::BIGINT)")}, 0) AS gap
+        FROM piece p JOIN {source} d ON d.{key} = p.{key} WINDOW q AS (PARTITION BY p.{key} ORDER BY a))
+      WINDOW o AS (PARTITION BY {key} ORDER BY u)),
+    ends AS MATERIALIZED (SELECT t.{key}, t.u, any_value(t.section) AS section, min(e.u) AS e FROM placed t JOIN placed e ON e.{key} = t.{key} AND e.u > t.u
+      WHERE e.paid - t.paid - t.gap + e.gap + e.cost > {limit} OR (e.fresh AND e.paid - t.paid - t.gap >= {limit // 2}) GROUP BY ALL),
+    onward AS MATERIALIZED (SELECT n.{key}, n.u, n.e, coalesce(min(v.u), n.e) AS next FROM ends n JOIN placed e ON e.{key} = n.{key} AND e.u = n.e
+      LEFT JOIN placed v ON v.{key} = n.{key} AND v.u > n.u AND v.u < n.e AND NOT e.fresh AND n.section IS NOT DISTINCT FROM e.section
+        AND e.paid - v.paid - v.gap <= least({overlap}, {limit} - e.gap - e.cost) GROUP BY n.{key}, n.u, n.e),
+    run AS (SELECT DISTINCT {key}, 0::BIGINT AS index, 0::BIGINT AS u FROM placed
+      UNION ALL SELECT r.{key}, r.index + 1, n.next FROM run r JOIN onward n ON n.{key} = r.{key} AND n.u = r.u),
+    closed AS MATERIALIZED (SELECT r.*, coalesce(n.e, last + 1) - 1 AS z FROM run r JOIN (SELECT {key}, max(u) AS last FROM placed GROUP BY 1) m ON m.{key} = r.{key}
+      LEFT JOIN onward n ON n.{key} = r.{key} AND n.u = r.u),
+    chunk AS MATERIALIZED (SELECT c.{key}, c.index, f.a::INT AS char_start, g.b::INT AS char_end, (g.paid + g.gap + g.cost - f.paid - f.gap)::INT AS token_count, f.section, substring(text, f.a::BIGINT + 1, (g.b - f.a)::BIGINT) AS text
+      FROM closed c JOIN placed f ON f.{key} = c.{key} AND f.u = c.u JOIN placed g ON g.{key} = c.{key} AND g.u = c.z JOIN {source} d ON d.{key} = c.{key})"""
+
+
 def _picks(pool: str, vec: str, key: str, name: str) -> str:
     """The steps to ``name(query_id, rank, key, score)``: ten recursive picks from the first 40 of ``pool``."""
     return f"""
@@ -251,6 +295,9 @@ _BODIES = {
       SELECT t.source, t.doc_id, t.tokens, t.i, f.batch + fresh::INT, CASE WHEN fresh THEN 1 ELSE f.held + 1 END, CASE WHEN fresh THEN t.tokens ELSE f.size + t.tokens END
       FROM (SELECT *, i + 1 AS next FROM filled) f JOIN texts t ON t.source = f.source AND t.i = f.next, LATERAL (SELECT f.held = 128 OR f.size + t.tokens > 20000 AS fresh))
     SELECT doc_id, source, tokens, batch FROM filled""",
+    "chunk_pack": f"""{_chunks("titled", "doc_id")}
+    SELECT c.doc_id, index, char_start, char_end, token_count, {_uuid5("c.doc_id || ':' || content_hash || ':' || index")} AS chunk_id, md5(text) AS digest FROM chunk c JOIN hashed h ON h.doc_id = c.doc_id""",
+    "chunk_sections": f"{_chunks('sectioned', 'conv_id', markdown=True)} SELECT conv_id::VARCHAR AS doc_id, index, section, token_count, md5(text) AS digest FROM chunk",
     "multihop_pairs": f"RECURSIVE_STEP {_pairs('SELECT DISTINCT lang AS topic, doc_id FROM documents')} SELECT topic, first, second FROM chosen",
     "evaluation_set": f"""RECURSIVE_STEP
     picked AS MATERIALIZED (SELECT p.doc_id::VARCHAR AS doc_id, line, passage, source, lang AS topic FROM

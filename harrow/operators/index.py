@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +16,8 @@ from pyspark.sql import types as T
 from ..functions.text import content_hash, embedding_text, tokens
 
 DENSE = "dense"
+#: Values of the dense vectors that a task makes at once.
+VALUES_AT_ONCE = 1 << 20
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -37,19 +46,37 @@ def bm25_weights(index: DataFrame, lengths: DataFrame, avgdl: float, id_col: str
     return index.join(lengths, id_col).select(id_col, "term", weight.alias("weight"))
 
 
+def _feature_hashes(batches: Iterator[pa.RecordBatch], dimension: int) -> Iterator[pa.RecordBatch]:
+    """(id, terms) to (id, dense): each distinct term of a batch is hashed once, a row's signed counts are its vector."""
+    for batch in batches:
+        terms = batch.column(1)
+        coded = terms.flatten().dictionary_encode()
+        digests = [hashlib.md5(t.encode()).digest() for t in coded.dictionary.to_pylist()]
+        bucket = np.array([int.from_bytes(d[:4], "big") % dimension for d in digests], np.int64)
+        sign = np.array([1 - 2 * (d[4] % 2) for d in digests], np.float64)
+        sizes, at = pc.list_value_length(terms).to_numpy(zero_copy_only=False), coded.indices.to_numpy(zero_copy_only=False)
+        # A slice of rows at a time: long vectors don't need a matrix of the whole batch.
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        step = max(1, VALUES_AT_ONCE // dimension)
+        for first in range(0, len(batch), step):
+            m = min(step, len(batch) - first)
+            own = at[ends[first] : ends[first + m]]
+            place = np.repeat(np.arange(m) * dimension, sizes[first : first + m]) + bucket[own]
+            sums = np.bincount(place, weights=sign[own], minlength=m * dimension).reshape(m, dimension)
+            norms = np.sqrt((sums * sums).sum(axis=1))
+            kept = norms > 0
+            dense = (sums[kept] / norms[kept, None]).ravel()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(dense) + 1, dimension, dtype=np.int32)), pa.array(dense))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, m).filter(pa.array(kept)), lists], names=[batch.schema.names[0], DENSE])
+
+
 def hashed_embedding(docs: DataFrame, id_col: str = "doc_id", text: str = "text", dimension: int = 64) -> DataFrame:
     """(id, dense): signed feature hashing of the terms, L2-normalised. The offline stand-in for an embedding model.
 
-    A text without terms has no direction and so no row.
+    A row gives a row, without a shuffle; a text without terms has no direction and so none.
     """
-    digit = lambda at: F.instr(F.lit("0123456789abcdef"), F.substring("h", at, 1)) - 1
-    # The bucket is the first 32 bits modulo the dimension; where this divides 256 the fourth byte alone decides.
-    first = digit(7) * 16 + digit(8) if 256 % dimension == 0 else F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint")
-    hashed = docs.select(id_col, F.explode(tokens(text)).alias("term")).select(id_col, F.md5("term").alias("h"))
-    sums = hashed.groupBy(id_col, (first % dimension).cast("int").alias("b")).agg(F.sum(1 - 2 * (digit(10) % 2)).alias("w"))
-    rows = sums.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("b", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w")).cast("double")).alias("n"))
-    place = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)) / F.col("n"))
-    return rows.where("n > 0").select(id_col, place.alias(DENSE))
+    rows = docs.select(id_col, tokens(text).alias("terms"))
+    return rows.mapInArrow(partial(_feature_hashes, dimension=dimension), f"`{id_col}` {dict(rows.dtypes)[id_col]}, {DENSE} array<double>")
 
 
 def changed_documents(docs: DataFrame, index: DataFrame) -> DataFrame:

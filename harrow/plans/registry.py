@@ -62,9 +62,7 @@ def asked(spark, sf) -> DataFrame:
 def corpus(spark, sf) -> DataFrame:
     """Documents with vector and the cluster of the nearest topic centroid, made once a query."""
     docs = documents(spark, sf).select("doc_id", "text")
-    dense = index.hashed_embedding(docs)
-    near = clustering.assign(dense, topics(spark, sf), "doc_id").select("doc_id", "cluster_id")
-    return docs.join(dense.join(near, "doc_id"), "doc_id")
+    return clustering.with_nearest(docs.join(index.hashed_embedding(docs), "doc_id"), topics(spark, sf)).drop("similarity")
 
 
 def vectors(spark, sf) -> DataFrame:

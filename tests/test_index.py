@@ -1,6 +1,8 @@
 import hashlib
 import json
+import math
 import random
+import re
 import shutil
 import threading
 import urllib.error
@@ -16,6 +18,7 @@ from harrow.functions import text as tx
 from harrow.functions.text import embedding_text
 from harrow.operators import batching as B
 from harrow.operators import clustering as L
+from harrow.operators import index
 from harrow.operators import metrics as M
 from harrow.operators import search as R
 from harrow.operators import synthesis as Y
@@ -338,3 +341,21 @@ def test_answers_and_reports(tmp_path):
     assert update_section(str(page), "new") and page.read_text() == f"x {BEGIN}\nnew\n{END} y"
     page.write_text("none")
     assert not update_section(str(page), "new")
+
+
+def test_hashed_vectors_row_by_row(spark, monkeypatch):
+    rows = [(1, "Red red, green; blue"), (2, None), (3, ""), (4, "..."), (5, "word " * 30_000), (5, "again"), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("dense", F.lit(0))
+    for dimension in (64, 100):
+        wanted = []
+        for i, text in rows:
+            sums = [0] * dimension
+            for term in re.findall("[a-z0-9]+", (text or "").lower()):
+                h = hashlib.md5(term.encode()).hexdigest()
+                sums[int(h[:8], 16) % dimension] += 1 - 2 * (int(h[8:10], 16) % 2)
+            norm = math.sqrt(sum(x * x for x in sums))
+            if norm:
+                wanted.append((i, [x / norm for x in sums]))
+        got = [(r.doc_id, r.dense) for r in index.hashed_embedding(docs, dimension=dimension).collect()]
+        assert sorted(got, key=str) == sorted(wanted, key=str)
+    assert index.hashed_embedding(docs.where("false")).count() == 0

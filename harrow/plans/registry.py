@@ -192,8 +192,8 @@ def stored_replace(spark, sf):
 @query
 def posting_blocks(spark, sf):
     """Of each term the postings in all its blocks, and the bounds that hold for them."""
-    rows = index.stored_postings(as_chunks(documents(spark, sf).select(F.col("doc_id").cast("string").alias("doc_id"), "text"), text=F.col("text")))
-    made = index.posting_blocks(rows, 100.0)
+    counted = stage(index.counted_terms(as_chunks(documents(spark, sf).select(F.col("doc_id").cast("string").alias("doc_id"), "text"), text=F.col("text"))))
+    made = index.posting_blocks(index.posting_rows(counted), 100.0)
     return made.groupBy("term").agg(F.sum("n").cast("bigint").alias("n"), F.max("max_tf").cast("bigint").alias("max_tf"), F.min("min_dl").cast("bigint").alias("min_dl"), F.sum(F.size("entries")).alias("entries"))
 
 

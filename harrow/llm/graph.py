@@ -22,6 +22,8 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
     """
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     edges = staged(edges, f"{name}-edges")
+    mark = lambda e: e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
+    before = mark(edges)
     for _ in range(max_rounds):
         both = _both(edges)
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -30,9 +32,8 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 60)
         parent = down.groupBy("b").agg(F.min("a").alias("m"))
         small = down.join(parent, "b").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y"))
         after = staged(small.where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), f"{name}-round")
-        mark = lambda e: e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        done = mark(after) == mark(edges)
-        edges = after
+        now = mark(after)
+        done, edges, before = now == before, after, now
         if done:
             break
     else:

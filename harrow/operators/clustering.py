@@ -30,6 +30,8 @@ from ..staging import stage
 MOST_BATCHES = 64
 #: Batches' worth of vectors that the starting centres are picked from.
 START_BATCHES = 3
+#: Rows that a task holds against all centres at once.
+ROWS_AT_ONCE = 1024
 DECIMALS = 12
 
 
@@ -107,6 +109,64 @@ def mean_silhouette(vectors: DataFrame, id_col: str, vector: str = "dense") -> f
     return float(silhouettes(vectors, id_col, vector).agg(F.avg("silhouette")).first()[0])
 
 
+def _unit_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, ROWS_AT_ONCE):
+            own = batch.slice(first, ROWS_AT_ONCE)
+            yield _unit_rows(own.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(own.num_rows, -1))
+
+
+def _labels(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """As ``with_nearest`` labels them."""
+    return np.round(rows @ centres.T, DECIMALS).argmax(axis=1)
+
+
+def nearest_silhouettes(vectors: DataFrame, models: list[np.ndarray], vector: str = "dense") -> list[float]:
+    """For each model (unit centres) the ``mean_silhouette`` of all rows, each in the cluster of its nearest centre.
+
+    All models share two passes: one sums the clusters, one the silhouettes. A task hands on a row for each centre, then for each model.
+    """
+    ends = np.cumsum([len(m) for m in models])
+    spans = [(e - len(m), e) for m, e in zip(models, ends.tolist(), strict=True)]
+    width = models[0].shape[1]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, totals = np.zeros(ends[-1], np.int64), np.zeros((ends[-1], width))
+        for rows in _unit_slices(batches):
+            for m, (a, b) in zip(models, spans, strict=True):
+                code = _labels(rows, m)
+                met[a:b] += np.bincount(code, minlength=b - a)
+                np.add.at(totals, a + code, rows)
+        used = np.flatnonzero(met)
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1) * width, pa.int32()), pa.array(totals[used].ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(met[used]), flat], names=["centre", "met", "total"])
+
+    parts = vectors.select(vector).mapInArrow(sums, "centre int, met bigint, total array<double>")
+    met, totals = np.zeros(ends[-1]), np.zeros((ends[-1], width))
+    for r in parts.groupBy("centre").agg(F.sum("met").alias("met"), Summarizer.sum(array_to_vector("total")).alias("total")).collect():
+        met[r.centre], totals[r.centre] = r.met, r.total.toArray()
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(len(models))
+        for rows in _unit_slices(batches):
+            at = np.arange(len(rows))
+            for i, (m, (a, b)) in enumerate(zip(models, spans, strict=True)):
+                code, n = _labels(rows, m), met[a:b]
+                far = n - rows @ totals[a:b].T
+                # The distance to itself is one less its squared norm, which is 0 for unit vectors.
+                inner = (far[at, code] - (1 - (rows * rows).sum(axis=1))) / np.maximum(n[code] - 1, 1)
+                others = np.where(n > 0, far / np.maximum(n, 1), np.inf)
+                others[at, code] = np.inf
+                outer = others.min(axis=1)
+                most = np.maximum(inner, outer)
+                counts = (n[code] > 1) & (outer < np.inf) & (most != 0)
+                found[i] += ((outer - inner)[counts] / most[counts]).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(models), dtype=np.int32)), pa.array(found)], names=["model", "s"])
+
+    total = {r.model: r.s for r in vectors.select(vector).mapInArrow(scores, "model int, s double").groupBy("model").agg(F.sum("s").alias("s")).collect()}
+    return [float(total[i] / met[a:b].sum()) if np.count_nonzero(met[a:b]) > 1 else -1.0 for i, (a, b) in enumerate(spans)]
+
+
 @dataclass
 class Centres:
     """Centres in the making, and how many vectors each has met."""
@@ -247,7 +307,7 @@ def fit(vectors: DataFrame, options: ClusteringOptions | None = None, id_col: st
         raise ClusteringError(f"{n} vectors can't be put into clusters of {options.n_clusters or options.k_grid}")
     made = minibatch_models(rows, grid, n, options, id_col, vector) if options.method == "minibatch" else lloyd_models(rows, grid, options, vector)
     models = {k: ClusterModel(c.tolist(), k, 0.0, version_of(c.tolist())) for k, c in made.items()}
-    scores = {k: mean_silhouette(with_nearest(rows, centroid_table(m, rows.sparkSession), vector), id_col, vector) for k, m in models.items()}
+    scores = dict(zip(made, nearest_silhouettes(rows, list(made.values()), vector), strict=True))
     best = max(scores, key=lambda k: (scores[k], -k))
     return ClusterModel(models[best].centroids, best, scores[best], models[best].version, scores)
 

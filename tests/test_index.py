@@ -218,6 +218,21 @@ def test_a_batch_moves_centres_by_what_they_have_met(spark):
     assert np.allclose(model.centres, wanted) and model.met.tolist() == seen.tolist() and abs(cost[0] - total) < 1e-6 and len(cost) == 2
 
 
+def test_silhouettes_of_many_models_take_two_passes(spark):
+    rng = np.random.default_rng(5)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(unit(rng.normal(size=(60, 5))))] + [(60, [0.0] * 5)], "vec_id int, dense array<double>").repartition(3)
+    models = [unit(rng.normal(size=(k, 5))) for k in (2, 3, 7, 30)]  # of 30 some are met by one row or none
+    models += [np.array([[1.0, 0, 0, 0, 0], [1.0, 0, 0, 0, 0]])]  # ties go to the first: one cluster in use
+    spark.sparkContext.setJobGroup("silhouettes", "")
+    found = L.nearest_silhouettes(rows, models)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("silhouettes"))
+    spark.sparkContext.setJobGroup("others", "")
+    tables = [spark.createDataFrame([(i, c) for i, c in enumerate(m.tolist())], "cluster_id int, centroid array<double>") for m in models]
+    assert np.allclose(found, [L.mean_silhouette(L.with_nearest(rows, t), "vec_id") for t in tables], atol=1e-12) and found[-1] == -1
+    assert jobs <= 6  # with adaptive execution a stage is a job
+
+
 def test_clusters_of_blobs(spark):
     rng = np.random.default_rng(0)
     rows = [(f"{c}-{i}", (np.eye(8)[c] + rng.normal(0, 0.05, 8)).tolist()) for c in range(4) for i in range(25)]

@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import ctypes
 import functools
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 _STAGED: list[tuple[object, object]] = []
+#: Seconds between two times that the driver gives memory back while tables are staged, and when it last did.
+RELEASE_SECONDS = 5.0
+_released = 0.0
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,14 +46,29 @@ def staged_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def release(spark: SparkSession) -> None:
+    """Give the driver's unused memory back.
+
+    The JVM keeps plans as long as Python names them, also in cycles, and Spark removes the
+    broadcast tables and shuffle files of plans once the JVM has collected these. A driver of
+    many short jobs would otherwise only grow.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage and outlives lost executors; removed when the application ends.
     """
+    global _released
     spark = df.sparkSession
     path = staged_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    if time.monotonic() - _released >= RELEASE_SECONDS:
+        release(spark)
+        _released = time.monotonic()
     return spark.read.schema(df.schema).parquet(path)
 
 

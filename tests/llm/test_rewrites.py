@@ -11,6 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from harrow.llm import common
 from harrow.llm import infill as I
 from harrow.llm import pieces as P
 from harrow.llm import vector_codes as V
@@ -224,3 +225,13 @@ def test_last_pieces_are_those_of_the_merges():
     for _ in range(2000):
         text = "".join(rng.choice("abcdeinorst ") for _ in range(rng.randrange(1, 25)))
         assert [own.texts[i] for i in own.stretch_ids(text)] == own.merged(text)
+
+
+def test_staging_gives_memory_back(spark, monkeypatch):
+    jvm, cycle = spark.sparkContext._jvm, []
+    cycle += [cycle, jvm.java.util.ArrayList()]
+    kept = jvm.java.lang.ref.WeakReference(cycle[1])
+    del cycle
+    monkeypatch.setattr(common, "_released", 0.0)
+    common.staged(spark.range(3), "some")
+    assert common._released > 0 and kept.get() is None

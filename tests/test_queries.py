@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from harrow.operators import search
 from harrow.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +48,16 @@ def test_choice_of_k_tries_the_whole_grid(spark):
     rows = registry.QUERIES["kmeans_select_k"](spark, SF).collect()
     assert sorted(r.k for r in rows) == [4, 6, 8, 10, 12, 16]
     assert [r.k for r in rows if r.chosen] == [max(rows, key=lambda r: r.silhouette).k]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["hybrid_minmax"])
+def test_hybrid_lists_are_ranked_from_k_rows_a_query_and_task(spark, monkeypatch, name):
+    handed, ranked = [], search.ranked
+    monkeypatch.setattr(search, "ranked", lambda scores, *rest: handed.append(scores) or ranked(scores, *rest))
+    registry.QUERIES[name](spark, SF)
+    tasks, asked = registry.documents(spark, SF).rdd.getNumPartitions(), registry.items(spark, SF).count()
+    *lists, fused = handed  # the dense list and the lexical one come first
+    assert len(lists) == 2 and registry.documents(spark, SF).count() > tasks * registry.PREFETCH
+    assert all(scores.count() <= asked * registry.PREFETCH * tasks for scores in lists)
+    assert fused.count() <= asked * registry.PREFETCH * 2

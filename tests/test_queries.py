@@ -51,7 +51,7 @@ def test_choice_of_k_tries_the_whole_grid(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["hybrid_minmax", "hybrid_mmr"])
+@pytest.mark.parametrize("name", ["hybrid_minmax", "hybrid_mmr", "retrieve_default"])
 def test_hybrid_lists_are_ranked_from_k_rows_a_query_and_task(spark, monkeypatch, name):
     handed, ranked = [], search.ranked
     monkeypatch.setattr(search, "ranked", lambda scores, *rest: handed.append(scores) or ranked(scores, *rest))
